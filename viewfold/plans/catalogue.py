@@ -1,4 +1,983 @@
-"""Name to query and name to SQL, for the engine's own operators."""
+"""Name to query, and name to the SQL that gives the same rows, for the engine's own operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from viewfold.functions import geometry as geo
+from viewfold.functions import signal, text
+from viewfold.functions.geometry import box, columns
+from viewfold.functions.times import micros
+from viewfold.operators import catalog, evaluate, frames, lines, rules, suppress, tiles, tracking, zones
+from viewfold.sources import tables as src
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# the fixtures in SQL
+
+DET = """det AS (
+  SELECT l_orderkey AS frame_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT) AS det_idx,
+    l_returnflag AS label, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS category_id, ROUND(1.0 - l_discount*5 - l_tax, 4) AS score,
+    CAST(l_partkey*7 % 561 AS DOUBLE) AS x1, CAST(l_suppkey*13 % 401 AS DOUBLE) AS y1,
+    CAST(l_partkey*7 % 561 + 20 + CAST(l_quantity AS BIGINT) AS DOUBLE) AS x2, CAST(l_suppkey*13 % 401 + 20 + CAST(l_quantity AS BIGINT) AS DOUBLE) AS y2,
+    l_partkey, l_suppkey, l_quantity FROM lineitem)"""
+TRK = """k AS (SELECT greatest(5, count(DISTINCT user_id) // 3) AS k FROM events),
+g AS (SELECT event_id // k AS frame_id, ts, user_id, event_type, value FROM events, k),
+frm AS (SELECT frame_id, min(ts) AS ts FROM g GROUP BY frame_id),
+trk AS (
+  SELECT g.frame_id, frm.ts AS ts, user_id AS track_id, min(event_type) AS label,
+    CAST((user_id*37 + g.frame_id*11) % 600 AS DOUBLE) AS x1, CAST((user_id*53 + g.frame_id*7) % 420 AS DOUBLE) AS y1,
+    CAST((user_id*37 + g.frame_id*11) % 600 + 40 AS DOUBLE) AS x2, CAST((user_id*53 + g.frame_id*7) % 420 + 60 AS DOUBLE) AS y2,
+    ROUND(max(value)/500.0, 4) AS score
+  FROM g JOIN frm ON g.frame_id = frm.frame_id GROUP BY g.frame_id, frm.ts, user_id)"""
+BOXES = "x1, y1, x2, y2"
+
+
+def det(spark, sf):
+    return src.detections(spark, sf)
+
+
+def trk(spark, sf):
+    return src.tracks(spark, sf)
+
+
+def rounded(df: DataFrame, names=("x1", "y1", "x2", "y2"), places: int = 4) -> DataFrame:
+    return df.withColumns({n: F.round(n, places) for n in names})
+
+
+# box algebra
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, (x2 - x1) * (y2 - y1) AS area FROM det")
+def box_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return det(spark, sf_dir).select("frame_id", "det_idx", geo.area(box()).alias("area"))
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x2 - x1 AS w, y2 - y1 AS h, x1 AS bx1, y1 AS by1, x2 AS bx2, y2 AS by2, x1 + y1 + x2 + y1 + x2 + y2 + x1 + y2 AS corner_sum FROM det")
+def box_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = geo.to_center(box())
+    back = geo.from_center(c)
+    total = F.aggregate(geo.corners(box()), F.lit(0.0), lambda a, x: a + x)
+    return det(spark, sf_dir).select("frame_id", "det_idx", *(v.alias(n) for v, n in zip(c, ("cx", "cy", "w", "h"))), *(v.alias("b" + n) for v, n in zip(back, ("x1", "y1", "x2", "y2"))), total.alias("corner_sum"))
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, x1 AS tl_x, y1 AS tl_y, (x1 + x2) / 2 AS bc_x, y2 AS bc_y, x2 AS cr_x, (y1 + y2) / 2 AS cr_y, CAST(320 AS INTEGER) AS frame_x, CAST(240 AS INTEGER) AS frame_y FROM det")
+def anchor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = []
+    for p, a in (("tl", "TOP_LEFT"), ("bc", "BOTTOM_CENTER"), ("cr", "CENTER_RIGHT")):
+        x, y = geo.anchor(box(), a)
+        out += [x.alias(f"{p}_x"), y.alias(f"{p}_y")]
+    fx, fy = geo.frame_anchor(F.lit(640), F.lit(480), "CENTER")
+    return det(spark, sf_dir).select("frame_id", "det_idx", *out, fx.alias("frame_x"), fy.alias("frame_y"))
+
+
+_CLAMP = "greatest(0.0, least({m}, round_even({v}, 0)))"
+
+
+def _extend_sql(dx: str, dy: str) -> str:
+    v = [_CLAMP.format(m=m, v=e) for m, e in ((640.0, f"x1 - ({dx})"), (480.0, f"y1 - ({dy})"), (640.0, f"x2 + ({dx})"), (480.0, f"y2 + ({dy})"))]
+    return f"WITH {DET}, s AS (SELECT *, x2 - x1 AS w, y2 - y1 AS h FROM det) SELECT frame_id, det_idx, {', '.join(f'{e} AS {n}' for e, n in zip(v, ('x1', 'y1', 'x2', 'y2')))} FROM s"
+
+
+@query(_extend_sql("w * 0.15", "h * 0.15"))
+def crop_extend_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return det(spark, sf_dir).select("frame_id", "det_idx", *columns(geo.extend(box(), "none", 30.0, 1.0, 640, 480)))
+
+
+@query(_extend_sql("((CASE WHEN h > w THEN h * 1.25 * 1.5 ELSE w * 1.25 END) - w) / 2", "((CASE WHEN h > w THEN h * 1.25 ELSE w * 1.25 / 1.5 END) - h) / 2"))
+def crop_extend_long_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return det(spark, sf_dir).select("frame_id", "det_idx", *columns(geo.extend(box(), "long_side", 25.0, 1.5, 640, 480)))
+
+
+_TALL = "greatest(sqrt(w * h * 1.44 / 1.5), h)"
+
+
+@query(_extend_sql(f"(greatest({_TALL} * 1.5, w) - w) / 2", f"(greatest({_TALL} * 1.5, w) / 1.5 - h) / 2"))
+def crop_extend_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return det(spark, sf_dir).select("frame_id", "det_idx", *columns(geo.extend(box(), "area", 20.0, 1.5, 640, 480)))
+
+
+@query(f"""WITH {DET}, r AS (SELECT frame_id, det_idx, round_even(x2 * 1.1 - 30.5, 0) AS a, round_even(y1 - 10.5, 0) AS b, round_even(x1 * 1.2 - 30.5, 0) AS c, round_even(y2 * 1.1, 0) AS d FROM det)
+SELECT frame_id, det_idx, least(640.0, greatest(0.0, least(a, c))) AS x1, least(480.0, greatest(0.0, least(b, d))) AS y1, least(640.0, greatest(0.0, greatest(a, c))) AS x2, least(480.0, greatest(0.0, greatest(b, d))) AS y2
+FROM r WHERE least(640.0, greatest(0.0, least(a, c))) <> least(640.0, greatest(0.0, greatest(a, c))) AND least(480.0, greatest(0.0, least(b, d))) <> least(480.0, greatest(0.0, greatest(b, d)))""")
+def crop_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = (F.col("x2") * 1.1 - 30.5, F.col("y1") - 10.5, F.col("x1") * 1.2 - 30.5, F.col("y2") * 1.1)
+    rect, ok = geo.crop_rect(b, 640, 480)
+    return det(spark, sf_dir).where(ok).select("frame_id", "det_idx", *columns(rect))
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, round(x1 * 2.0 + 0.0, 4) AS x1, round(y1 * 2.0 - 160.0, 4) AS y1, round(x2 * 2.0 + 0.0, 4) AS x2, round(y2 * 2.0 - 160.0, 4) AS y2 FROM det")
+def letterbox_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a 640 x 640 picture made from 1280 x 960 with bars above and below."""
+    return rounded(det(spark, sf_dir).select("frame_id", "det_idx", *columns(geo.letterbox(box(), "letterbox", (1280, 960), (640, 640)))))
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, round(x1 * 1.5 + 160.0, 4) AS x1, round(y1 * 1.5, 4) AS y1, round(x2 * 1.5 + 160.0, 4) AS x2, round(y2 * 1.5, 4) AS y2 FROM det")
+def crop_first_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(det(spark, sf_dir).select("frame_id", "det_idx", *columns(geo.letterbox(box(), "crop_first", (1280, 960), (640, 640)))))
+
+
+_INTER = "greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+_AREA = "({p}.x2 - {p}.x1) * ({p}.y2 - {p}.y1)"
+
+
+@query(f"""WITH {DET}, p AS (SELECT a.frame_id, a.det_idx AS i, b.det_idx AS j, {_INTER} AS inter, {_AREA.format(p='a')} AS sa, {_AREA.format(p='b')} AS sb FROM det a JOIN det b ON a.frame_id = b.frame_id AND a.det_idx < b.det_idx)
+SELECT frame_id, i, j, round(inter / (sa + sb - inter), 6) AS iou FROM p WHERE inter / (sa + sb - inter) > 0""")
+def frame_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.iou_pairs(det(spark, sf_dir)).withColumn("iou", F.round("iou", 6))
+
+
+@query(f"""WITH {DET}, p AS (SELECT a.frame_id, a.det_idx AS i, b.det_idx AS j, {_INTER} AS inter, least({_AREA.format(p='a')}, {_AREA.format(p='b')}) AS s FROM det a JOIN det b ON a.frame_id = b.frame_id AND a.det_idx < b.det_idx)
+SELECT frame_id, i, j, round(inter / s, 6) AS ios FROM p WHERE inter > 0""")
+def ios_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = det(spark, sf_dir)
+    a, b = d.alias("a"), d.alias("b")
+    on = (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("a.det_idx") < F.col("b.det_idx"))
+    return a.join(b, on).select(F.col("a.frame_id").alias("frame_id"), F.col("a.det_idx").alias("i"), F.col("b.det_idx").alias("j"), F.round(geo.ios(box("a."), box("b.")), 6).alias("ios")).where("ios > 0")
+
+
+@query(f"""WITH {DET}, s AS (SELECT a.frame_id, a.det_idx AS i, b.det_idx AS j, sign((a.x2-a.x1)*(b.y1-a.y1)-(a.y2-a.y1)*(b.x1-a.x1)) AS p, sign((a.x2-a.x1)*(b.y2-a.y1)-(a.y2-a.y1)*(b.x2-a.x1)) AS q,
+  sign((b.x2-b.x1)*(a.y1-b.y1)-(b.y2-b.y1)*(a.x1-b.x1)) AS r, sign((b.x2-b.x1)*(a.y2-b.y1)-(b.y2-b.y1)*(a.x2-b.x1)) AS t FROM det a JOIN det b ON a.frame_id = b.frame_id AND a.det_idx < b.det_idx)
+SELECT frame_id, i, j FROM s WHERE p <> q AND r <> t""")
+def diagonals_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = det(spark, sf_dir)
+    pt = lambda t, k: (F.col(f"{t}.x{k}"), F.col(f"{t}.y{k}"))
+    on = (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("a.det_idx") < F.col("b.det_idx"))
+    hit = geo.segments_cross(pt("a", 1), pt("a", 2), pt("b", 1), pt("b", 2))
+    return d.alias("a").join(d.alias("b"), on).where(hit).select(F.col("a.frame_id").alias("frame_id"), F.col("a.det_idx").alias("i"), F.col("b.det_idx").alias("j"))
+
+
+# suppression and fusion
+
+
+def _nms_sql(keys: str, over: str, where: str) -> str:
+    on = " AND ".join(f"f.{k} = s.{k}" for k in keys.split(", "))
+    return f"""WITH RECURSIVE {DET}, s AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, det_idx, {BOXES}) AS rn FROM det WHERE {where}),
+f AS (
+  SELECT {keys}, CAST(1 AS BIGINT) AS rn, [{{'i': det_idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM s WHERE rn = 1
+  UNION ALL
+  SELECT {', '.join(f'f.{k}' for k in keys.split(', '))}, s.rn, CASE WHEN list_bool_or(list_transform(f.kept, lambda k: {over})) THEN f.kept ELSE list_append(f.kept, {{'i': s.det_idx, 'x1': s.x1, 'y1': s.y1, 'x2': s.x2, 'y2': s.y2}}) END
+  FROM f JOIN s ON {on} AND s.rn = f.rn + 1),
+l AS (SELECT {keys}, arg_max(kept, rn) AS kept FROM f GROUP BY {keys}),
+u AS (SELECT frame_id, unnest(kept).i AS det_idx FROM l)
+SELECT det.frame_id, det.det_idx, label, score, {BOXES} FROM det JOIN u ON det.frame_id = u.frame_id AND det.det_idx = u.det_idx"""
+
+
+def _over_sql(p: float, iou: bool) -> str:
+    inter = f"greatest(0.0, least(k.x2, s.x2) - greatest(k.x1, s.x1) + {p}) * greatest(0.0, least(k.y2, s.y2) - greatest(k.y1, s.y1) + {p})"
+    ka, sa = (f"({t}.x2 - {t}.x1 + {p}) * ({t}.y2 - {t}.y1 + {p})" for t in "ks")
+    return f"{inter} / ({ka} + {sa} - {inter})" if iou else f"{inter} / least({ka}, {sa})"
+
+
+_NMS_OUT = ["frame_id", "det_idx", "label", "score", "x1", "y1", "x2", "y2"]
+
+
+@query(_nms_sql("frame_id, label", _over_sql(0.0, True) + " > 0.3", "score > 0"))
+def nms_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppress.nms(det(spark, sf_dir)).select(*_NMS_OUT)
+
+
+@query(_nms_sql("frame_id", _over_sql(0.0, True) + " > 0.2", "score > 0"))
+def nms_class_agnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppress.nms(det(spark, sf_dir), 0.2, class_agnostic=True).select(*_NMS_OUT)
+
+
+@query(_nms_sql("frame_id, label", _over_sql(1.0, False) + " > 0.4", "TRUE"))
+def nms_ios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppress.nms(det(spark, sf_dir), 0.4, use_iou=False).select(*_NMS_OUT)
+
+
+@query()
+def nms_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppress.nms(det(spark, sf_dir), 0.1, policy="largest_area").select(*_NMS_OUT)
+
+
+@query()
+def nms_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(suppress.nms(det(spark, sf_dir), 0.1, policy="average").select(*_NMS_OUT))
+
+
+@query()
+def nms_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppress.nms(det(spark, sf_dir), 0.1, policy="merge").select(*_NMS_OUT)
+
+
+@query()
+def edge_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suppress.fuse_edges(det(spark, sf_dir), 0.55).withColumn("score", F.round("score", 6))
+
+
+# tiles
+
+_SPREAD = """base AS (SELECT {c} AS c, {r} AS r, {tw} AS tw, {th} AS th),
+cells AS (SELECT *, unnest(range(c)) AS col FROM base), grid AS (SELECT *, unnest(range(r)) AS row FROM cells)
+SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, x AS x1, y AS y1, x + tw AS x2, y + th AS y2
+FROM (SELECT *, CASE WHEN c > 1 THEN floor(col * ({w}.0 - tw) / (c - 1)) ELSE 0.0 END AS x, CASE WHEN r > 1 THEN floor(row * ({h}.0 - th) / (r - 1)) ELSE 0.0 END AS y FROM grid)"""
+
+
+@query("WITH " + _SPREAD.format(c="CAST(1 + ceil((1920.0 - 640) / (640 * (1.0 - 0.01 * 15))) AS BIGINT)", r="CAST(1 + ceil((1080.0 - 480) / (480 * (1.0 - 0.01 * 10))) AS BIGINT)", tw="640.0::DOUBLE", th="480.0::DOUBLE", w=1920, h=1080))
+def tiles_fixed_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.fixed_size(spark, (640, 480), (1920, 1080), (15, 10))
+
+
+@query("WITH t AS (SELECT CAST(round_even(1920 / (1 + 3 * (1.0 - 0.01 * 15)), 0) AS DOUBLE) AS tw), t2 AS (SELECT tw, CAST(round_even(tw / 1.5, 0) AS DOUBLE) AS th FROM t), " + _SPREAD.format(c="4", r="CAST(1 + ceil((1080.0 - th) / (th * (1.0 - 0.01 * 10))) AS BIGINT)", tw="tw", th="th", w=1920, h=1080).replace("AS th),", "AS th FROM t2),", 1))
+def tiles_fixed_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.fixed_ratio(spark, 1.5, (4, 0), (1920, 1080), (15, 10))
+
+
+GRID = tiles.TileGrid(3, 2, 0.1, 1.0, (640, 480), whole=True)
+_TW, _TH, _GX, _GY = GRID.size()
+
+
+def _span_sql(k: str, n: int, step: float, whole: int, grow: float) -> tuple[str, str]:
+    a = f"{k} * {step * (1 - GRID.overlap)!r}"
+    b = f"CASE WHEN {k} = {n - 1} THEN {float(whole)!r} ELSE {a} + {step!r} END"
+    before = f"CASE WHEN {k} = 0 THEN 0.0 WHEN {k} = {n - 1} THEN {grow!r} ELSE {grow / 2!r} END"
+    after = f"CASE WHEN {k} = 0 THEN {grow!r} WHEN {k} = {n - 1} THEN 0.0 ELSE {grow / 2!r} END"
+    return f"round_even(CAST({a} - ({before}) AS DOUBLE), 0)", f"round_even(CAST(({b}) + ({after}) AS DOUBLE), 0)"
+
+
+_SX, _SY = _span_sql("col", 3, _TW, 640, _GX), _span_sql("row", 2, _TH, 480, _GY)
+TILES = f"""tl AS (SELECT tile_id, row, col, 'LOCAL' AS label, {_SX[0]} AS x1, {_SY[0]} AS y1, {_SX[1]} AS x2, {_SY[1]} AS y2
+  FROM (SELECT range AS tile_id, CAST(range // 3 AS INTEGER) AS row, CAST(range % 3 AS INTEGER) AS col FROM range(6))
+  UNION ALL SELECT -999, -1, -1, 'GLOBAL', 0.0, 0.0, 640.0, 480.0)"""
+
+
+@query(f"WITH {TILES} SELECT tile_id, row, col, label, x1, y1, x2, y2 FROM tl")
+def tile_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GRID.frame(spark)
+
+
+def _in_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of each tile in its coordinates, as if a model had run there: boxes whose centre
+    falls in the tile."""
+    t = F.broadcast(GRID.frame(spark).select("tile_id", *(F.col(n).alias("t" + n) for n in ("x1", "y1", "x2", "y2"))))
+    cx, cy = geo.anchor(box(), "CENTER")
+    inside = (cx >= F.col("tx1")) & (cx < F.col("tx2")) & (cy >= F.col("ty1")) & (cy < F.col("ty2"))
+    found = det(spark, sf_dir).join(t, inside)
+    return found.withColumns({"x1": F.col("x1") - F.col("tx1"), "y1": F.col("y1") - F.col("ty1"), "x2": F.col("x2") - F.col("tx1"), "y2": F.col("y2") - F.col("ty1")}).drop("tx1", "ty1", "tx2", "ty2")
+
+
+_TILED = f"""{DET}, {TILES}, loc AS (
+  SELECT d.frame_id, d.det_idx, d.label, d.category_id, d.score, tile_id, tl.label AS tile_label, row, col, d.x1 - tl.x1 AS x1, d.y1 - tl.y1 AS y1, d.x2 - tl.x1 AS x2, d.y2 - tl.y1 AS y2, tl.x1 AS ox, tl.y1 AS oy
+  FROM det d JOIN tl ON (d.x1 + d.x2) / 2 >= tl.x1 AND (d.x1 + d.x2) / 2 < tl.x2 AND (d.y1 + d.y2) / 2 >= tl.y1 AND (d.y1 + d.y2) / 2 < tl.y2)"""
+
+
+@query(f"WITH {_TILED} SELECT frame_id, det_idx, tile_id, x1 + ox AS x1, y1 + oy AS y1, x2 + ox AS x2, y2 + oy AS y2 FROM loc")
+def tile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.to_image(_in_tiles(spark, sf_dir), GRID.frame(spark)).select("frame_id", "det_idx", "tile_id", *geo.box())
+
+
+@query(f"WITH {_TILED} SELECT frame_id, det_idx, tile_id FROM loc WHERE CASE WHEN tile_label = 'GLOBAL' THEN (x2 - x1) * (y2 - y1) >= 640.0 * 480.0 * 0.01 * 0.1 * 5 ELSE (x2 - x1) * (y2 - y1) < 640.0 * 480.0 * 0.01 END")
+def local_global_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = tiles.to_image(_in_tiles(spark, sf_dir), GRID.frame(spark))
+    return tiles.split_by_size(moved, (640, 480), 0.1).select("frame_id", "det_idx", "tile_id")
+
+
+_EW, _EH = _TW + _GX, _TH + _GY
+
+
+@query(f"""WITH {_TILED} SELECT frame_id, det_idx, tile_id, (x1 - 1 <> x2 + 1 AND y1 - 1 <> y2 + 1) AND (
+  (tile_id % 3 <> 0 AND x1 - 1 <= {_EW * 0.02!r} AND x2 + 1 >= 0) OR (tile_id % 3 <> 2 AND x2 + 1 >= {_EW * 0.98!r} AND x1 - 1 <= {_EW!r})
+  OR (tile_id // 3 <> 0 AND y1 - 1 <= {_EH * 0.02!r} AND y2 + 1 >= 0) OR (tile_id // 3 <> 1 AND y2 + 1 >= {_EH * 0.98!r} AND y1 - 1 <= {_EH!r})) AS edge FROM loc WHERE tile_id >= 0""")
+def edge_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _in_tiles(spark, sf_dir).where("tile_id >= 0")
+    return found.select("frame_id", "det_idx", "tile_id", tiles.on_inner_edge(box(), F.col("tile_id"), GRID).alias("edge"))
+
+
+@query()
+def tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.merge_tiles(_in_tiles(spark, sf_dir), GRID.frame(spark), GRID, large=0.01, fusion=0.8).select("frame_id", "label", F.round("score", 6).alias("score"), *box())
+
+
+@query(f"""WITH {TRK}, r(roi_index, label, x1, y1, x2, y2) AS (VALUES (0, 'ROI0', 0.0, 0.0, 320.0, 240.0), (1, 'ROI1', 320.0, 240.0, 640.0, 480.0))
+SELECT frame_id, roi_index, r.label, CAST(1.0 AS DOUBLE) AS score, CAST(r.x1 AS DOUBLE) AS x1, CAST(r.y1 AS DOUBLE) AS y1, CAST(r.x2 AS DOUBLE) AS x2, CAST(r.y2 AS DOUBLE) AS y2 FROM frm, r""")
+def roi_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.rois_on_frames(src.frames_of(trk(spark, sf_dir)), [(0, 0, 320, 240), (320, 240, 640, 480)])
+
+
+@query(f"""WITH {TRK}, r(roi_index, label, x1, y1, x2, y2) AS (VALUES (0, 'ROI0', 0.0, 0.0, 320.0, 240.0), (1, 'ROI1', 320.0, 240.0, 640.0, 480.0)),
+c AS (SELECT frm.frame_id, roi_index, r.label, (r.x2 - r.x1) * (r.y2 - r.y1) AS a, count(*) FILTER (WHERE trk.x1 >= r.x1 AND trk.x1 < r.x2 AND trk.y1 >= r.y1 AND trk.y1 < r.y2) AS changed FROM frm CROSS JOIN r LEFT JOIN trk ON trk.frame_id = frm.frame_id GROUP BY ALL)
+SELECT frame_id, roi_index, label, changed FROM c WHERE frame_id < 1 OR changed > 0.00012 * a""")
+def motion_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trk(spark, sf_dir)
+    rois = tiles.rois_on_frames(src.frames_of(t), [(0, 0, 320, 240), (320, 240, 640, 480)])
+    pixels = t.select("frame_id", F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return tiles.motion_gate(rois, pixels, 0.00012).select("frame_id", "roi_index", "label", "changed")
+
+
+# selection and counts per frame
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, score, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, det_idx) AS INTEGER) AS rank FROM det QUALIFY rank <= 2")
+def topk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.select_best(det(spark, sf_dir), 2).select("frame_id", "det_idx", "score", "rank")
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY (x2 - x1) * (y2 - y1) DESC, det_idx) AS INTEGER) AS rank FROM det QUALIFY rank <= 1")
+def topk_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.select_best(det(spark, sf_dir), 1, strategy="largest_area").select("frame_id", "det_idx", "rank")
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, score FROM det WHERE score > 0.8")
+def threshold_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.select_best(det(spark, sf_dir), 0, 0.8).select("frame_id", "det_idx", "score")
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, label, CASE WHEN label IN ('A', 'N') THEN score ELSE 0.0 END AS score FROM det")
+def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.exclude_classes(det(spark, sf_dir), ["A", "N"]).select("frame_id", "det_idx", "label", "score")
+
+
+@query(f"WITH {TRK} SELECT frame_id, track_id, concat_ws(' ', label, '#' || track_id) AS overlay FROM trk WHERE label IN ('click', 'view', 'purchase')")
+def overlay_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.overlay_labels(frames.class_filter(trk(spark, sf_dir), ["click", "view", "purchase"], True)).select("frame_id", "track_id", "overlay")
+
+
+@query(f"WITH {TRK} SELECT frm.frame_id, CAST(count(trk.track_id) AS DOUBLE) AS value FROM frm LEFT JOIN trk ON frm.frame_id = trk.frame_id AND trk.score >= 0.9 GROUP BY frm.frame_id")
+def object_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trk(spark, sf_dir)
+    return rules.object_count(src.frames_of(t), t, None, 0.9).select("frame_id", "value")
+
+
+@query(f"WITH {DET} SELECT frame_id, label, count(*) AS n FROM det WHERE score >= 0.5 GROUP BY frame_id, label")
+def class_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return det(spark, sf_dir).where("score >= 0.5").groupBy("frame_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# zones
+
+
+def _poly_sql(poly: list[tuple[int, int]], x: str, y: str) -> str:
+    px, py = f"ceil({x})", f"ceil({y})"
+    on, odd = [], []
+    for (ax, ay), (bx, by) in zip(poly, poly[1:] + poly[:1]):
+        on.append(f"(({px} - {ax}.0) * {by - ay}.0 - ({py} - {ay}.0) * {bx - ax}.0 = 0 AND {px} BETWEEN {min(ax, bx)} AND {max(ax, bx)} AND {py} BETWEEN {min(ay, by)} AND {max(ay, by)})")
+        if ay != by:
+            odd.append(f"CAST(({py} < {ay}) <> ({py} < {by}) AND {px} < ({py} - {ay}.0) * CAST({(bx - ax) / (by - ay)!r} AS DOUBLE) + {ax}.0 AS INTEGER)")
+    return f"({' OR '.join(on)} OR ({' + '.join(odd)}) % 2 = 1)"
+
+
+_CX, _BY = "(least(640.0, greatest(0.0, x1)) + least(640.0, greatest(0.0, x2))) / 2", "least(480.0, greatest(0.0, y2))"
+_ZC = [f"SELECT *, {k} AS zone_index, '{n}' AS zone_id, {_poly_sql(p, _CX, _BY)} AS hit FROM trk" for k, (n, p) in enumerate(src.ZONES.items())]
+MARK = f"mark AS ({' UNION ALL '.join(_ZC)})"
+
+
+@query(f"WITH {TRK}, {MARK} SELECT frame_id, track_id, zone_index, zone_id, hit FROM mark")
+def point_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.mark(trk(spark, sf_dir), src.ZONES).select("frame_id", "track_id", "zone_index", "zone_id", "hit")
+
+
+@query(f"""WITH {TRK} SELECT frame_id, track_id, round(greatest(0.0, least(x2, 400.0) - greatest(x1, 100.0)) * greatest(0.0, least(y2, 400.0) - greatest(y1, 100.0)) / 90000.0, 6) AS share,
+  greatest(0.0, least(x2, 400.0) - greatest(x1, 100.0)) * greatest(0.0, least(y2, 400.0) - greatest(y1, 100.0)) / 90000.0 > 0.02 AS hit FROM trk""")
+def iopa_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = geo.iopa(box(), src.ZONES["dock"])
+    return trk(spark, sf_dir).select("frame_id", "track_id", F.round(share, 6).alias("share"), (share > 0.02).alias("hit"))
+
+
+@query()
+def iopa_diamond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trk(spark, sf_dir).select("frame_id", "track_id", F.round(geo.iopa(box(), src.ZONES["diamond"]), 6).alias("share"))
+
+
+@query(f"WITH {TRK}, {MARK} SELECT frame_id, zone_index, zone_id, label, count(*) AS cnt FROM mark WHERE hit GROUP BY GROUPING SETS ((frame_id, zone_index, zone_id, label), (frame_id, zone_index, zone_id))")
+def zone_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.untracked_counts(zones.mark(trk(spark, sf_dir), src.ZONES))
+
+
+def _zone_agg_sql(agg: str) -> str:
+    return f"""WITH {TRK}, {MARK}, c AS (SELECT frame_id, zone_index, count(*) AS c FROM mark WHERE hit GROUP BY ALL),
+    grid AS (SELECT frame_id, z FROM frm, (VALUES (0), (1), (2)) v(z)), f AS (SELECT grid.frame_id, coalesce(c.c, 0) AS c FROM grid LEFT JOIN c ON c.frame_id = grid.frame_id AND c.zone_index = z)
+    SELECT frame_id, round(CAST({agg} AS DOUBLE), 6) AS value FROM f GROUP BY frame_id"""
+
+
+def _zone_agg(agg: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = trk(spark, sf_dir)
+        counts = zones.untracked_counts(zones.mark(t, src.ZONES)).where("label is null")
+        return rules.zone_count(counts, src.frames_of(t), list(src.ZONES), aggregation=agg).select("frame_id", F.round("value", 6).alias("value"))
+
+    run.__name__ = f"zone_count_{agg}"
+    return run
+
+
+for _a, _s in (("sum", "sum(c)"), ("max", "max(c)"), ("min", "min(c)"), ("mean", "avg(c)"), ("std", "stddev_pop(c)")):
+    query(_zone_agg_sql(_s))(_zone_agg(_a))
+
+TIMEOUT = 2
+_M = TIMEOUT + 1
+#: The counter of each (zone, track) along its sightings, as a recursion.
+HYST = f"""q AS (SELECT zone_index, zone_id, track_id, frame_id, hit, row_number() OVER (PARTITION BY zone_index, track_id ORDER BY frame_id) AS n, lead(frame_id) OVER (PARTITION BY zone_index, track_id ORDER BY frame_id) AS next_frame FROM mark),
+h AS (
+  SELECT zone_index, track_id, n, frame_id, CASE WHEN hit THEN 1 ELSE 0 END AS c, CASE WHEN hit AND {_M} = 1 THEN frame_id END AS since, CAST(NULL AS BIGINT) AS left_at, CAST(NULL AS BIGINT) AS left_since FROM q WHERE n = 1
+  UNION ALL
+  SELECT zone_index, track_id, n, frame_id, c2, CASE WHEN c2 = 0 THEN NULL WHEN s1 IS NOT NULL THEN s1 WHEN hit AND c2 = {_M} THEN frame_id END,
+    CASE WHEN c > 0 AND c1 = 0 AND since IS NOT NULL THEN pf + c WHEN NOT hit AND c1 > 0 AND c2 = 0 AND s1 IS NOT NULL THEN frame_id END,
+    CASE WHEN c > 0 AND c1 = 0 AND since IS NOT NULL THEN since WHEN NOT hit AND c1 > 0 AND c2 = 0 AND s1 IS NOT NULL THEN s1 END
+  FROM (SELECT *, CASE WHEN hit THEN least({_M}, c1 + 1) ELSE greatest(0, c1 - 1) END AS c2, CASE WHEN c1 = 0 THEN NULL ELSE since END AS s1
+    FROM (SELECT q.zone_index, q.track_id, q.n, q.frame_id, q.hit, h.c, h.since, h.frame_id AS pf, CAST(greatest(0, h.c - (q.frame_id - h.frame_id - 1)) AS INTEGER) AS c1
+      FROM h JOIN q ON q.zone_index = h.zone_index AND q.track_id = h.track_id AND q.n = h.n + 1))),
+hs AS (SELECT h.*, q.zone_id, q.next_frame FROM h JOIN q ON q.zone_index = h.zone_index AND q.track_id = h.track_id AND q.n = h.n)"""
+
+
+def _states(spark, sf_dir):
+    t = trk(spark, sf_dir)
+    return zones.hysteresis(zones.mark(t, src.ZONES), TIMEOUT), src.frames_of(t)
+
+
+@query(f"WITH RECURSIVE {TRK}, {MARK}, {HYST} SELECT zone_index, zone_id, track_id, frame_id, CAST(c AS INTEGER) AS counter, since IS NOT NULL AS in_zone, CASE WHEN since IS NULL THEN 0 ELSE frame_id - since + 1 END AS frames_in_zone FROM hs")
+def zone_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(spark, sf_dir)[0].select("zone_index", "zone_id", "track_id", "frame_id", "counter", "in_zone", F.col("frames_in_zone").cast("long").alias("frames_in_zone"))
+
+
+@query(f"WITH RECURSIVE {TRK}, {MARK}, {HYST} SELECT zone_index, track_id, hs.frame_id, epoch_us(a.ts) - epoch_us(b.ts) AS time_in_zone FROM hs JOIN frm a ON a.frame_id = hs.frame_id LEFT JOIN frm b ON b.frame_id = hs.since")
+def time_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, f = _states(spark, sf_dir)
+    return zones.with_times(s, f).select("zone_index", "track_id", "frame_id", "time_in_zone")
+
+
+OCC = """occ AS (
+  SELECT zone_index, frame_id, count(*) AS total FROM (
+    SELECT zone_index, frame_id FROM hs WHERE since IS NOT NULL
+    UNION ALL SELECT zone_index, unnest(range(frame_id + 1, least(coalesce(next_frame, 1152921504606846976), frame_id + c))) FROM hs WHERE since IS NOT NULL AND c > 1 AND coalesce(next_frame, 1152921504606846976) > frame_id + 1) GROUP BY ALL),
+zn(zone_index, zone_id) AS (VALUES (0, 'dock'), (1, 'gate'), (2, 'diamond')),
+od AS (SELECT zn.zone_index, zn.zone_id, frm.frame_id, epoch_us(frm.ts) AS us, coalesce(occ.total, 0) AS total FROM frm CROSS JOIN zn LEFT JOIN occ ON occ.zone_index = zn.zone_index AND occ.frame_id = frm.frame_id)"""
+
+
+@query(f"WITH RECURSIVE {TRK}, {MARK}, {HYST}, {OCC} SELECT zone_index, zone_id, frame_id, total FROM od")
+def zone_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, f = _states(spark, sf_dir)
+    return zones.occupancy(s, f, src.ZONES).select("zone_index", "zone_id", "frame_id", "total")
+
+
+@query(f"""WITH RECURSIVE {TRK}, {MARK}, {HYST}, {OCC},
+tu AS (SELECT *, total > 0 AS busy, coalesce(lag(total > 0) OVER (PARTITION BY zone_index ORDER BY frame_id), FALSE) AS was, row_number() OVER (PARTITION BY zone_index ORDER BY frame_id) AS n, min(us) OVER (PARTITION BY zone_index) AS us0 FROM od),
+tv AS (SELECT *, last_value(CASE WHEN busy <> was THEN us END IGNORE NULLS) OVER (PARTITION BY zone_index ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ch FROM tu),
+ex AS (SELECT zone_index, zone_id, track_id, left_at AS frame_id, left_since AS since FROM hs WHERE left_at IS NOT NULL UNION ALL SELECT zone_index, zone_id, track_id, frame_id + c, since FROM hs WHERE since IS NOT NULL AND next_frame IS NULL)
+SELECT 'zone_entry' AS event_type, zone_index, zone_id, frame_id, track_id, CAST(NULL AS BIGINT) AS dwell_us FROM hs WHERE since = frame_id
+UNION ALL SELECT 'zone_exit', zone_index, zone_id, ex.frame_id, track_id, epoch_us(a.ts) - epoch_us(b.ts) FROM ex JOIN frm a ON a.frame_id = ex.frame_id JOIN frm b ON b.frame_id = ex.since
+UNION ALL SELECT CASE WHEN busy THEN 'zone_occupied' ELSE 'zone_empty' END, zone_index, zone_id, frame_id, NULL, us - CASE WHEN n > 1 THEN coalesce(ch, us0) END FROM tv WHERE busy <> was""")
+def zone_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, f = _states(spark, sf_dir)
+    return zones.zone_events(s, f, src.ZONES)
+
+
+# trails and lines
+
+TRL = """c0 AS (SELECT frame_id, ts, track_id, label, CAST(trunc(x1) AS BIGINT) AS x1, CAST(trunc(y1) AS BIGINT) AS y1, CAST(trunc(x2) AS BIGINT) AS x2, CAST(trunc(y2) AS BIGINT) AS y2,
+    CASE WHEN frame_id - lag(frame_id) OVER w - 1 >= 8 OR lag(frame_id) OVER w IS NULL THEN 1 ELSE 0 END AS nw FROM trk WINDOW w AS (PARTITION BY track_id ORDER BY frame_id)),
+c1 AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY track_id ORDER BY frame_id) AS BIGINT) AS session FROM c0),
+trl AS (SELECT frame_id, ts, track_id, session, x1, y1, x2, y2, first_value(label) OVER w AS label, row_number() OVER w AS points,
+    first_value(x1) OVER t AS sx1, first_value(x2) OVER t AS sx2, first_value(y2) OVER t AS sy2, lag(x1) OVER w AS px1, lag(x2) OVER w AS px2, lag(y2) OVER w AS py2
+  FROM c1 WINDOW w AS (PARTITION BY track_id, session ORDER BY frame_id), t AS (PARTITION BY track_id, session ORDER BY frame_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"WITH {TRK}, {TRL} SELECT frame_id, track_id, session, label, CAST(points AS INTEGER) AS points, sx1, sy2, x1, y2, CAST(least(points, 10) AS INTEGER) AS kept FROM trl")
+def trails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.trails(trk(spark, sf_dir), keep=True).select("frame_id", "track_id", "session", "label", "points", "sx1", "sy2", "x1", "y2", F.size("trail").alias("kept"))
+
+
+def _cross_sql(p: str) -> str:
+    sel = []
+    for k, (x1, y1, x2, y2) in enumerate(src.LINES):
+        sel.append(f"SELECT *, {k} AS line_index, {float(x1)} AS lx1, {float(y1)} AS ly1, {float(x2)} AS lx2, {float(y2)} AS ly2 FROM v")
+    side = lambda ax, ay, bx, by, px, py: f"sign(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
+    hit = f"{side('lx1', 'ly1', 'lx2', 'ly2', 'pax', 'pay')} <> {side('lx1', 'ly1', 'lx2', 'ly2', 'pbx', 'pby')} AND {side('pax', 'pay', 'pbx', 'pby', 'lx1', 'ly1')} <> {side('pax', 'pay', 'pbx', 'pby', 'lx2', 'ly2')}"
+    cross = "((pbx - pax) * (ly2 - ly1) - (pby - pay) * (lx2 - lx1))"
+    return f"""v AS (SELECT frame_id, ts, track_id, session, label, ({p}x1 + {p}x2) / 2.0 AS pax, {p}y2 AS pay, (x1 + x2) / 2.0 AS pbx, y2 AS pby FROM trl WHERE points > 1),
+lv AS ({' UNION ALL '.join(sel)}),
+cr AS (SELECT frame_id, ts, track_id, session, label, line_index, CASE WHEN {cross} > 0 THEN 'left' WHEN {cross} < 0 THEN 'right' WHEN sign(pbx - pax) = sign(lx2 - lx1) AND sign(pby - pay) = sign(ly2 - ly1) THEN 'left' ELSE 'right' END AS direction,
+  CASE WHEN pbx - pax < 0 THEN 'left' ELSE 'right' END AS horizontal, CASE WHEN pby - pay < 0 THEN 'top' ELSE 'bottom' END AS vertical FROM lv WHERE {hit})"""
+
+
+_FIRST = "f1 AS (SELECT *, row_number() OVER (PARTITION BY track_id, session, line_index ORDER BY frame_id) AS rn FROM cr)"
+
+
+@query(f"WITH {TRK}, {TRL}, {_cross_sql('s')}, {_FIRST} SELECT frame_id, track_id, session, label, line_index, direction FROM f1 WHERE rn = 1")
+def line_cross_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.crossings(lines.trails(trk(spark, sf_dir)), src.LINES).drop("ts")
+
+
+@query(f"WITH {TRK}, {TRL}, {_cross_sql('p')} SELECT frame_id, track_id, session, label, line_index, horizontal, vertical FROM cr")
+def line_cross_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.crossings(lines.trails(trk(spark, sf_dir)), src.LINES, whole_trail=False, first_only=False, absolute=True).drop("ts")
+
+
+@query(f"""WITH {TRK}, {TRL}, {_cross_sql('p')}, {_FIRST}, n AS (SELECT frame_id, line_index, count(*) FILTER (WHERE direction = 'left') AS l, count(*) FILTER (WHERE direction = 'right') AS r FROM f1 WHERE rn = 1 GROUP BY ALL),
+gr AS (SELECT frame_id, z AS line_index FROM frm, (VALUES (0), (1), (2)) v(z))
+SELECT gr.frame_id, gr.line_index, CAST(sum(coalesce(l, 0)) OVER w AS BIGINT) AS "left", CAST(sum(coalesce(r, 0)) OVER w AS BIGINT) AS "right" FROM gr LEFT JOIN n ON n.frame_id = gr.frame_id AND n.line_index = gr.line_index WINDOW w AS (PARTITION BY gr.line_index ORDER BY gr.frame_id)""")
+def line_counts_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trk(spark, sf_dir)
+    return lines.running_counts(lines.crossings(lines.trails(t), src.LINES, whole_trail=False), src.frames_of(t), len(src.LINES))
+
+
+@query(f"""WITH {TRK}, {TRL}, {_cross_sql('p')}, fl AS (SELECT DISTINCT frame_id, track_id, line_index FROM cr)
+SELECT trk.frame_id, trk.track_id, bool_or(coalesce(line_index = 0, FALSE)) AS line0, bool_or(coalesce(line_index = 1, FALSE)) AS line1, bool_or(coalesce(line_index = 2, FALSE)) AS line2 FROM trk LEFT JOIN fl ON fl.frame_id = trk.frame_id AND fl.track_id = trk.track_id GROUP BY ALL""")
+def line_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trk(spark, sf_dir)
+    hits = lines.crossings(lines.trails(t), src.LINES, whole_trail=False, first_only=False)
+    return lines.flag_objects(t, hits, 3).select("frame_id", "track_id", *(F.col("cross_line")[k].alias(f"line{k}") for k in range(3)))
+
+
+@query()
+def line_cross_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trk(spark, sf_dir)
+    return lines.repeated_crossings(lines.trails(t), src.frames_of(t), src.LINES, whole_trail=True).drop("ts")
+
+
+# events and notifications
+
+OBJ = f"{TRK}, ob AS (SELECT frm.frame_id, frm.ts, CAST(count(trk.track_id) AS DOUBLE) AS value FROM frm LEFT JOIN trk ON frm.frame_id = trk.frame_id AND trk.score >= 0.95 GROUP BY frm.frame_id, frm.ts)"
+_COND = f"cn AS (SELECT *, CAST(value > (SELECT avg(value) FROM ob) AS INTEGER) AS hit FROM ob)"
+
+
+def _metric(spark, sf_dir):
+    """Objects of high score per frame, less their mean: positive in busy frames."""
+    t = trk(spark, sf_dir)
+    m = rules.object_count(src.frames_of(t), t, None, 0.95)
+    mean = m.agg(F.avg("value").alias("__m"))
+    return m.crossJoin(F.broadcast(mean)).withColumn("value", F.col("value") - F.col("__m")).drop("__m")
+
+
+RULE = """
+Trigger: busy
+when: ObjectCount
+with: {min score: 0.95}
+is greater than: 0
+during: [5, frames]
+for at least: [60, percent]
+"""
+
+
+@query(f"WITH {OBJ}, {_COND} SELECT frame_id, sum(hit) OVER w >= 0.6 * count(*) OVER w AND row_number() OVER (ORDER BY frame_id) >= 5 AS fired FROM cn WINDOW w AS (ORDER BY frame_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.fire(rules.parse_rule(RULE), _metric(spark, sf_dir)).select("frame_id", "fired")
+
+
+_SEC = "14400000000"
+
+
+@query(f"""WITH {OBJ}, {_COND}, u AS (SELECT *, epoch_us(ts) AS us FROM cn)
+SELECT frame_id, sum(hit) OVER w >= 0.5 * count(*) OVER w AND min(us) OVER (ORDER BY us) < us - {_SEC} AS fired FROM u WINDOW w AS (ORDER BY us RANGE BETWEEN {_SEC} PRECEDING AND CURRENT ROW)""")
+def event_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = rules.parse_rule({"Trigger": "slow", "when": "ObjectCount", "is greater than": 0, "during": [4 * 3600, "seconds"], "for at least": [50, "percent"]})
+    return rules.fire(rule, _metric(spark, sf_dir)).select("frame_id", "fired")
+
+
+@query(f"WITH {OBJ}, {_COND} SELECT frame_id, sum(hit) OVER w <= 2 AS fired FROM cn WINDOW w AS (ORDER BY frame_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
+def event_at_most(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = rules.parse_rule({"Trigger": "calm", "when": "ObjectCount", "is greater than": 0, "during": [6, "frames"], "for at most": [2, "frames"]})
+    return rules.fire(rule, _metric(spark, sf_dir)).select("frame_id", "fired")
+
+
+@query(f"""WITH {TRK}, {TRL}, {_cross_sql('p')}, {_FIRST}, n AS (SELECT frame_id, count(*) FILTER (WHERE direction = 'left') AS v FROM f1 WHERE rn = 1 AND line_index IN (0, 1) GROUP BY ALL)
+SELECT frm.frame_id, CAST(coalesce(v, 0) AS DOUBLE) AS value, coalesce(v, 0) >= 2 AS fired FROM frm LEFT JOIN n ON n.frame_id = frm.frame_id""")
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trk(spark, sf_dir)
+    per = lines.running_counts(lines.crossings(lines.trails(t), src.LINES, whole_trail=False), src.frames_of(t), 3, accumulate=False).where("line_index < 2")
+    rule = rules.parse_rule({"Trigger": "left", "when": "LineCount", "with": {"directions": ["left"]}, "is greater than or equal to": 2, "during": [1, "frame"]})
+    return rules.fire(rule, rules.line_count(per, src.frames_of(t), 3, directions=["left"])).select("frame_id", "value", "fired")
+
+
+EV = f"{OBJ}, {_COND}, ev AS (SELECT frame_id, epoch_us(ts) AS us, hit = 1 AND frame_id % 7 <> 0 AS cond FROM cn)"
+
+
+def _events(spark, sf_dir):
+    m = _metric(spark, sf_dir)
+    busy = F.when(F.col("value") > 0, F.lit("busy"))
+    skip = F.when(F.col("frame_id") % 7 == 0, F.lit("skip"))
+    return m.select("frame_id", "ts", F.array_compact(F.array(busy, skip)).alias("events"))
+
+
+@query(f"WITH {EV} SELECT frame_id, cond AND NOT coalesce(lag(cond) OVER (ORDER BY frame_id), FALSE) AS fired FROM ev")
+def notify_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.notify(_events(spark, sf_dir), "n", "busy and not skip").select("frame_id", "fired")
+
+
+@query(f"WITH {EV} SELECT frame_id, cond AS fired, CASE WHEN cond THEN 'Notification triggered: n' END AS message FROM ev")
+def notify_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.notify(_events(spark, sf_dir), "n", "busy and not skip", while_true=True).select("frame_id", "fired", F.try_element_at("notifications", F.lit("n")).alias("message"))
+
+
+_LAST = "last_value(CASE WHEN cond THEN {v} END IGNORE NULLS) OVER (ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"WITH {EV} SELECT frame_id, cond AND NOT coalesce(lag(cond) OVER (ORDER BY frame_id), FALSE) AND coalesce(frame_id - {_LAST.format(v='frame_id')} > 3, TRUE) AS fired FROM ev")
+def notify_holdoff_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.notify(_events(spark, sf_dir), "n", "busy and not skip", holdoff=3).select("frame_id", "fired")
+
+
+@query(f"WITH {EV} SELECT frame_id, cond AND coalesce(us - {_LAST.format(v='us')} > 7200000000, TRUE) AS fired FROM ev")
+def notify_holdoff_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.notify(_events(spark, sf_dir), "n", "busy and not skip", while_true=True, holdoff=7200.0).select("frame_id", "fired")
+
+
+@query(f"WITH {EV} SELECT frame_id FROM ev WHERE cond OR frame_id % 7 = 0")
+def analyzer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    return frames.by_names(e, ["busy", "skip"]).select("frame_id")
+
+
+# clips and scene cuts
+
+_TRIG = f"{TRK}, tg AS (SELECT DISTINCT frame_id AS t FROM trk WHERE score >= 0.977), nf AS (SELECT max(frame_id) + 1 AS n FROM frm)"
+CLIP = """gd AS (
+  SELECT min(t) AS t FROM tg
+  UNION ALL SELECT (SELECT min(t) FROM tg WHERE t >= gd.t + 8) FROM gd WHERE gd.t IS NOT NULL),
+cl AS (SELECT t AS trigger, t - 2 AS start_frame, CASE WHEN t + 8 > n THEN greatest(0, n - 10) + t + 8 - n ELSE greatest(t - 2, 0) END AS first_frame, least(t + 7, n - 1) AS last_frame, t + 8 <= n AS whole FROM gd, nf WHERE t IS NOT NULL)"""
+
+
+def _clips(spark, sf_dir):
+    t = trk(spark, sf_dir)
+    n = t.agg(F.max("frame_id")).first()[0] + 1
+    trig = t.where("score >= 0.977").select(F.col("frame_id").alias("trigger")).distinct()
+    return rules.clips(trig, n, 10, 2), t
+
+
+@query(f"WITH RECURSIVE {_TRIG}, {CLIP} SELECT * FROM cl WHERE first_frame <= last_frame")
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clips(spark, sf_dir)[0]
+
+
+@query(f"WITH RECURSIVE {_TRIG}, {CLIP} SELECT trigger, frame_id, printf('clip_%08d', start_frame) AS file_name FROM (SELECT *, unnest(range(first_frame, last_frame + 1)) AS frame_id FROM cl)")
+def clip_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, t = _clips(spark, sf_dir)
+    return rules.clip_frames(found, src.frames_of(t)).select("trigger", "frame_id", text.clip_name(F.lit("clip"), F.col("start_frame")).alias("file_name"))
+
+
+_SCENE = """s AS (SELECT event_id AS n, value AS score FROM events),
+r AS (SELECT n, score, row_number() OVER (ORDER BY n) AS rn, avg(score) OVER (ORDER BY n ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS m FROM s),
+cand AS MATERIALIZED (SELECT n FROM r WHERE rn > 4 AND score >= 15 AND CASE WHEN abs(m) >= 0.00001 THEN least(score / m, 255.0) ELSE 255.0 END >= 1.8),
+cut AS (SELECT min(n) AS n FROM cand WHERE n >= 15 UNION ALL SELECT (SELECT min(n) FROM cand WHERE cand.n >= cut.n + 15) FROM cut WHERE n IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_SCENE} SELECT n FROM cut WHERE n IS NOT NULL")
+def scene_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = src.series(spark, sf_dir).select("n", F.col("value").alias("score"))
+    return rules.scene_cuts(s, ratio=1.8)
+
+
+# signals
+
+_TAPS = signal.lowpass_taps(0.2, 7)
+_FIR = " + ".join(f"coalesce(lag(value, {6 - k}) OVER w, first_value(value) OVER w) * CAST({t!r} AS DOUBLE)" for k, t in enumerate(_TAPS))
+
+
+@query(f"SELECT event_id AS n, round({_FIR}, 4) AS filtered FROM events WINDOW w AS (ORDER BY event_id)")
+def fir_lowpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal.fir(src.series(spark, sf_dir), "value", _TAPS).select("n", F.round("filtered", 4).alias("filtered"))
+
+
+@query(f"WITH {TRK} SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS out_id FROM frm WHERE frame_id % 30 NOT IN (0, 3, 6, 9, 12, 16, 19, 22, 25, 29)")
+def fps_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.thin_to_fps(src.frames_of(trk(spark, sf_dir)), 30, 20).select("frame_id", "out_id")
+
+
+@query(f"WITH {TRK} SELECT frame_id, epoch_us(ts) AS us, 30.0::DOUBLE AS source_fps, 640 AS width FROM frm")
+def frame_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = src.with_metadata(src.frames_of(trk(spark, sf_dir)), 30.0, 20.0)
+    return m.select("meta.frame_id", micros("meta.timestamp").alias("us"), "meta.source_fps", "meta.width")
+
+
+@query(f"""WITH {TRK}, gp AS (SELECT frame_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (ORDER BY frame_id) - epoch_us(ts) AS gap FROM frm),
+rp AS (SELECT frame_id, unnest(range(0, 1 + coalesce(greatest(CAST(floor(gap / 2000000000.0) AS BIGINT) - 1, 0), 0))) AS k FROM gp)
+SELECT frame_id AS source_frame, CAST(k AS INTEGER) AS repeat, round(CASE WHEN k = 0 THEN 1.0 ELSE greatest(0.3, exp(k * -0.1)) END, 6) AS brightness, row_number() OVER (ORDER BY frame_id, k) - 1 AS out_id FROM rp""")
+def fps_stabilize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal.stabilise_fps(src.frames_of(trk(spark, sf_dir)), 2_000_000_000).withColumn("brightness", F.round("brightness", 6))
+
+
+_TRKSEQ = f"{TRK}, sq AS (SELECT track_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY track_id ORDER BY frame_id) AS rn FROM trk)"
+
+
+@query(f"""WITH RECURSIVE {_TRKSEQ}, ml AS (
+  SELECT track_id, rn, us AS last, CAST(0 AS BIGINT) AS d, CAST(0 AS BIGINT) AS n FROM sq WHERE rn = 1
+  UNION ALL SELECT sq.track_id, sq.rn, sq.us, (d * (least(n + 1, 20) - 1) + sq.us - last) // least(n + 1, 20), least(n + 1, 20) FROM ml JOIN sq ON sq.track_id = ml.track_id AND sq.rn = ml.rn + 1)
+SELECT track_id, arg_max(n, rn) AS records, arg_max(d, rn) AS mean_us FROM ml GROUP BY track_id""")
+def fps_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trk(spark, sf_dir)
+    return signal.fps_meter(t, micros("ts"), "frame_id", "track_id", 20).select("track_id", "records", F.col("mean_us").cast("long").alias("mean_us"))
+
+
+@query(f"""WITH RECURSIVE {_TRKSEQ}, wd AS (
+  SELECT track_id, rn, us AS last, CAST(-1.0 AS DOUBLE) AS d FROM sq WHERE rn = 1
+  UNION ALL SELECT sq.track_id, sq.rn, sq.us, CASE WHEN d < 0 THEN CAST(sq.us - last AS DOUBLE) ELSE d * 0.9::DOUBLE + CAST(sq.us - last AS DOUBLE) * (1 - 0.9::DOUBLE) END FROM wd JOIN sq ON sq.track_id = wd.track_id AND sq.rn = wd.rn + 1)
+SELECT track_id, round(arg_max(d, rn), 1) AS gap_us FROM wd GROUP BY track_id""")
+def watchdog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trk(spark, sf_dir)
+    return signal.watchdog(t, micros("ts"), "frame_id", "track_id", now_us=F.lit(0)).select("track_id", F.round("gap_us", 1).alias("gap_us"))
+
+
+@query(f"""WITH RECURSIVE {_TRKSEQ}, th AS (
+  SELECT track_id, rn, us AS base, TRUE AS kept FROM sq WHERE rn = 1
+  UNION ALL SELECT sq.track_id, sq.rn, CASE WHEN sq.us - base >= 5000000000 THEN sq.us - (sq.us - base) % 5000000000 ELSE base END, sq.us - base >= 5000000000 FROM th JOIN sq ON sq.track_id = th.track_id AND sq.rn = th.rn + 1)
+SELECT track_id, count(*) FILTER (WHERE kept) AS kept FROM th GROUP BY track_id""")
+def fps_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trk(spark, sf_dir)
+    return signal.throttle(t, micros("ts"), 1 / 5000, "frame_id", "track_id").groupBy("track_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("""WITH b AS (SELECT user_id AS stream_id, event_id // 100 AS block_id, list(CAST(floor(value) AS INTEGER) ORDER BY event_id) AS s FROM events GROUP BY ALL)
+SELECT stream_id, block_id, list_sum(list_concat(coalesce(lag(s) OVER w, list_transform(s, lambda x: 0)), s)) AS total, CAST(len(list_concat(coalesce(lag(s) OVER w, s), s)) AS INTEGER) AS n FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY block_id)""")
+def audio_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    item = F.struct("event_id", F.floor("value").cast("int").alias("v"))
+    b = e.groupBy(F.col("user_id").alias("stream_id"), F.expr("event_id div 100").alias("block_id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias("samples"))
+    o = src.overlapped_blocks(b)
+    return o.select("stream_id", "block_id", F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("samples").alias("n"))
+
+
+# joins of frames, crops and classifiers
+
+
+def _as_results(df: DataFrame) -> DataFrame:
+    item = F.struct("det_idx", "label", "score", "x1", "y1", "x2", "y2")
+    return df.groupBy("frame_id").agg(F.sort_array(F.collect_list(item)).alias("results"))
+
+
+@query(f"""WITH {DET}, w AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY det_idx) - 1 AS ci, count(*) OVER (PARTITION BY frame_id) AS n FROM det WHERE score >= 0.7)
+SELECT o.frame_id, CAST(coalesce(ci, -1) AS INTEGER) AS crop_index, w.det_idx, coalesce(ci, -1) = coalesce(n, 0) - 1 AS is_last FROM (SELECT DISTINCT frame_id FROM det) o LEFT JOIN w ON w.frame_id = o.frame_id""")
+def crop_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frames.crop_fanout(_as_results(det(spark, sf_dir)), keep=lambda r: r["score"] >= 0.7)
+    return out.select("frame_id", "crop_index", F.col("crop.det_idx").alias("det_idx"), "is_last")
+
+
+@query(f"""WITH {DET}, fr AS (SELECT DISTINCT frame_id FROM det), c AS (SELECT frame_id, det_idx, p_type AS label, CAST(p_size / 50.0 AS DOUBLE) AS score FROM det JOIN part ON p_partkey = l_partkey WHERE det.score >= 0.7)
+SELECT fr.frame_id, CAST(count(c.det_idx) AS INTEGER) AS n, string_agg(c.label, ',' ORDER BY det_idx) AS labels FROM fr LEFT JOIN c ON c.frame_id = fr.frame_id GROUP BY fr.frame_id""")
+def crop_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = det(spark, sf_dir)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    crops = d.where("score >= 0.7").join(part, F.col("l_partkey") == F.col("p_partkey")).select("frame_id", F.col("det_idx").alias("crop_index"), F.col("p_type").alias("label"), (F.col("p_size") / 50.0).alias("score"))
+    out = frames.combine_crops(d.select("frame_id").distinct(), crops)
+    n = F.coalesce(F.size("extra_0"), F.lit(0))
+    return out.select("frame_id", F.greatest(n, F.lit(0)).alias("n"), F.when(n > 0, F.array_join(F.transform("extra_0", lambda x: x["label"]), ",")).alias("labels"))
+
+
+@query(f"""WITH {DET} SELECT frame_id, det_idx, CASE WHEN l_partkey % 3 = 0 THEN label ELSE p_type END AS label, round(CASE WHEN l_partkey % 3 = 0 THEN score ELSE p_size / 50.0 END, 6) AS score, category_id FROM det JOIN part ON p_partkey = l_partkey""")
+def classify_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = det(spark, sf_dir)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    blank = F.col("l_partkey") % 3 == 0
+    cls = d.join(part, F.col("l_partkey") == F.col("p_partkey")).select("frame_id", "det_idx", F.lit(0).alias("rank"), F.when(~blank, F.col("p_type")).alias("label"), F.when(~blank, F.col("p_size") / 50.0).alias("score"), F.lit(None).cast("int").alias("category_id"))
+    return frames.patch_classes(d, cls).select("frame_id", "det_idx", "label", F.round("score", 6).alias("score"), "category_id")
+
+
+@query(f"WITH {DET} SELECT frame_id, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(det_idx AS VARCHAR), ',' ORDER BY label = 'R', det_idx) AS ids FROM det WHERE frame_id IN (SELECT frame_id FROM det WHERE label = 'R') AND frame_id IN (SELECT frame_id FROM det WHERE label <> 'R') GROUP BY frame_id")
+def result_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = det(spark, sf_dir)
+    out = frames.combine_results(_as_results(d.where("label <> 'R'")), _as_results(d.where("label = 'R'")))
+    return out.select("frame_id", F.size("results").alias("n"), F.array_join(F.transform("results", lambda r: r["det_idx"].cast("string")), ",").alias("ids"))
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, label FROM det WHERE label = 'A' UNION ALL SELECT frame_id, det_idx, 'N2' FROM det WHERE label = 'N'")
+def model_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = det(spark, sf_dir).select("frame_id", "det_idx", "label")
+    return frames.union_models(d.where("label = 'A'"), d.where("label = 'N'").withColumn("label", F.lit("N2")))
+
+
+@query(f"""WITH {DET}, roi AS (SELECT frame_id, det_idx AS roi_index, x1, y1 FROM det WHERE label = 'A')
+SELECT roi.frame_id, roi_index AS crop_index, label, det.x1 / 10 + roi.x1 AS x1, det.y1 / 10 + roi.y1 AS y1, det.x2 / 10 + roi.x1 AS x2, det.y2 / 10 + roi.y1 AS y2 FROM roi JOIN det ON det.frame_id = roi.frame_id AND label <> 'A'""")
+def detect_in_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = det(spark, sf_dir)
+    rois = d.where("label = 'A'").withColumnRenamed("det_idx", "roi_index")
+    inner = d.where("label <> 'A'").join(rois.select("frame_id", "roi_index"), "frame_id").select("frame_id", "roi_index", "label", "score", *(((F.col(n) / 10).alias(n)) for n in ("x1", "y1", "x2", "y2")))
+    return frames.detect_in_rois(rois, inner).select("frame_id", F.col("crop_index"), "label", "x1", "y1", "x2", "y2")
+
+
+# the catalog
+
+
+def _catalog(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    meta = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("price"), F.col("p_retailprice").cast("string"))
+    return p.select(F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("model_name"), F.lit(None).cast("string").alias("alias"), F.col("p_type").alias("task"), F.array("p_brand").alias("hardware"), F.when(F.col("p_size") > 25, F.lit("zoo/a")).alias("zoo_url"), F.lit(None).cast("string").alias("device_type"), meta.alias("metadata"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS model_name FROM part WHERE p_brand = (SELECT arg_min(p_brand, p_partkey) FROM part) AND p_size = (SELECT arg_min(p_size, p_partkey) FROM part)")
+def catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _catalog(spark, sf_dir)
+    first = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.min_by("p_brand", "p_partkey"), F.min_by("p_size", "p_partkey")).first()
+    return catalog.models(c, hardware=first[0], metadata={"size": first[1]}).select("model_name")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS model_name, p_size AS size FROM part ORDER BY p_size DESC, p_partkey LIMIT 1")
+def catalog_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.best(_catalog(spark, sf_dir), "size").select("model_name", F.col("metadata")["size"].cast("int").alias("size"))
+
+
+@query("SELECT 'hardware' AS what, value FROM (SELECT DISTINCT p_brand AS value FROM part) UNION ALL SELECT 'task', value FROM (SELECT DISTINCT p_type AS value FROM part)")
+def catalog_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _catalog(spark, sf_dir)
+    return catalog.distinct_values(c, "hardware").select(F.lit("hardware").alias("what"), "value").unionByName(catalog.distinct_values(c, "task").select(F.lit("task").alias("what"), "value"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS model_name, 'zoo/default' AS zoo_url, p_brand AS device_type, CAST(p_size AS VARCHAR) AS size, '30' AS fps FROM part")
+def catalog_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = catalog.with_defaults(_catalog(spark, sf_dir), {"zoo_url": "zoo/default", "metadata": {"size": 1, "fps": 30}})
+    return c.select("model_name", "zoo_url", "device_type", F.col("metadata")["size"].alias("size"), F.col("metadata")["fps"].alias("fps"))
+
+
+# evaluation
+
+
+@query(f"""WITH {DET}, s AS (SELECT frame_id, label, max(score) AS score FROM det GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, label) AS rk FROM s),
+t AS (SELECT frame_id, CASE WHEN frame_id % 2 = 0 THEN label ELSE CASE label WHEN 'A' THEN 'N' WHEN 'N' THEN 'R' ELSE 'A' END END AS class FROM r WHERE rk = 1),
+j AS (SELECT t.class, k, CAST(coalesce(r.rk, 99) <= k AS INTEGER) AS h FROM t LEFT JOIN r ON r.frame_id = t.frame_id AND r.label = t.class, (VALUES (1), (2)) v(k))
+SELECT class, k, round(avg(h), 6) AS accuracy, count(*) AS n FROM j GROUP BY GROUPING SETS ((class, k), (k))""")
+def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pred = det(spark, sf_dir).groupBy(F.col("frame_id").alias("item"), "label").agg(F.max("score").alias("score"))
+    first = pred.withColumn("r", F.row_number().over(W.partitionBy("item").orderBy(F.col("score").desc(), "label"))).where("r = 1")
+    other = F.when(F.col("label") == "A", "N").when(F.col("label") == "N", "R").otherwise("A")
+    truth = first.select("item", F.when(F.col("item") % 2 == 0, F.col("label")).otherwise(other).alias("label"))
+    return evaluate.topk_accuracy(pred, truth, (1, 2)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("""WITH p AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS pred FROM lineitem GROUP BY l_orderkey)
+SELECT round(avg(abs(pred - o_totalprice)), 2) AS mae, round(avg((pred - o_totalprice) * (pred - o_totalprice)) / 1e6, 2) AS mse_m, count(*) AS n FROM orders JOIN p ON l_orderkey = o_orderkey""")
+def mae_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("pred"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("truth"))
+    e = evaluate.regression_errors(o.join(p, "l_orderkey"))
+    return e.select(F.round("mae", 2).alias("mae"), F.round(F.col("mse") / 1e6, 2).alias("mse_m"), "n")
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, CASE label WHEN 'A' THEN 7 WHEN 'N' THEN 8 ELSE 9 END AS category_id, round_even(x1 / 3, 3) AS x, round_even(y1 / 3, 3) AS y, round_even(x2 / 3 - x1 / 3, 3) AS w, round_even(y2 / 3 - y1 / 3, 3) AS h FROM det")
+def coco_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = det(spark, sf_dir).withColumns({n: F.col(n) / 3 for n in ("x1", "y1", "x2", "y2")})
+    c = evaluate.to_coco(d, {"A": 7, "N": 8, "R": 9})
+    return c.select("frame_id", "det_idx", "category_id", *(F.col("bbox")[k].alias(n) for k, n in enumerate("xywh")))
+
+
+def _pred_truth(spark, sf_dir):
+    d = det(spark, sf_dir)
+    shift = F.col("l_quantity") % 5
+    base = d.select(F.col("frame_id").alias("image_id"), "category_id", "det_idx", "score", "l_suppkey", shift.alias("s"), *box())
+    truth = base.where("l_suppkey % 2 = 0").select("image_id", "category_id", F.col("det_idx").alias("truth_idx"), *box())
+    pred = base.withColumns({n: F.col(n) + F.col("s") for n in ("x1", "y1", "x2", "y2")}).drop("s", "l_suppkey")
+    return pred, truth
+
+
+@query(f"""WITH {DET}, pr AS (SELECT frame_id, category_id, det_idx, x1 + l_quantity % 5 AS x1, y1 + l_quantity % 5 AS y1, x2 + l_quantity % 5 AS x2, y2 + l_quantity % 5 AS y2 FROM det),
+p AS (SELECT a.frame_id AS image_id, a.det_idx, b.det_idx AS truth_idx, {_INTER} AS inter, {_AREA.format(p='a')} AS sa, {_AREA.format(p='b')} AS sb FROM pr a JOIN det b ON a.frame_id = b.frame_id AND a.category_id = b.category_id AND b.l_suppkey % 2 = 0)
+SELECT image_id, det_idx, truth_idx, round(inter / (sa + sb - inter), 6) AS iou FROM p""")
+def iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.iou_with_truth(*_pred_truth(spark, sf_dir)).withColumn("iou", F.round("iou", 6))
+
+
+@query(f"""WITH {DET}, m AS (SELECT frame_id AS image_id, category_id, score, det_idx, l_suppkey % 2 = 0 AS hit FROM det), pos AS (SELECT category_id, count(*) AS n FROM det WHERE l_suppkey % 2 = 0 GROUP BY 1),
+c AS (SELECT m.category_id, score, image_id, det_idx, n, sum(CAST(hit AS INTEGER)) OVER w AS tp, count(*) OVER w AS k FROM m JOIN pos ON pos.category_id = m.category_id WINDOW w AS (PARTITION BY m.category_id ORDER BY score DESC, image_id, det_idx ROWS UNBOUNDED PRECEDING))
+SELECT category_id, image_id, det_idx, CAST(tp AS BIGINT) AS tp, CAST(k - tp AS BIGINT) AS fp, round(tp / n, 9) AS recall, round(tp / k, 9) AS "precision" FROM c""")
+def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve for a match that is known: boxes of even suppliers are hits."""
+    d = det(spark, sf_dir)
+    m = d.select(F.col("frame_id").alias("image_id"), "category_id", F.lit("all").alias("area"), F.lit(0.5).alias("threshold"), "score", F.col("det_idx").alias("rank"), (F.col("l_suppkey") % 2 == 0).cast("int").alias("state"))
+    n = d.where("l_suppkey % 2 = 0").groupBy("category_id").agg(F.count(F.lit(1)).alias("positives")).withColumn("area", F.lit("all"))
+    c = evaluate.precision_recall(m, n)
+    return c.select("category_id", "image_id", F.col("rank").alias("det_idx"), "tp", "fp", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
+
+
+@query()
+def map50_95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.coco_summary(*_pred_truth(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+_CENT = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), e AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM v), c AS (SELECT label AS cluster, d, round(avg(x), 6) AS x FROM e WHERE label IS NOT NULL GROUP BY label, d), dist AS (SELECT e.vec_id, c.cluster, sum((e.x - c.x) * (e.x - c.x)) AS d2 FROM e JOIN c ON c.d = e.d GROUP BY ALL)"
+
+
+def _vectors(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    each = v.where("label is not null").select("label", F.posexplode("v").alias("d", "x")).groupBy("label", "d").agg(F.round(F.avg("x"), 6).alias("x"))
+    return v, each.groupBy(F.col("label").alias("cluster")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("c"))
+
+
+@query(f"WITH {_CENT} SELECT vec_id, arg_min(cluster, d2) AS cluster FROM dist GROUP BY vec_id")
+def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.assign_centroids(*_vectors(spark, sf_dir)).select("vec_id", "cluster")
+
+
+@query(f"WITH {_CENT}, a AS (SELECT vec_id, arg_min(cluster, d2) AS cluster, min(d2) AS d2 FROM dist GROUP BY vec_id) SELECT cluster, arg_min(vec_id, d2) AS vec_id, count(*) AS n FROM a GROUP BY cluster")
+def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.exemplars(catalog.assign_centroids(*_vectors(spark, sf_dir))).select("cluster", "vec_id", "n")
+
+
+@query()
+def kmeans_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, _ = _vectors(spark, sf_dir)
+    return catalog.kmeans_exemplars(v.where("v is not null"), 10).withColumn("d2", F.round("d2", 6))
+
+
+# tracking
+
+
+@query()
+def track_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trk(spark, sf_dir).withColumn("stream_id", F.col("track_id") % 8).withColumnRenamed("track_id", "det_idx")
+    return rounded(tracking.track_objects(t, buffer=30).select("stream_id", "frame_id", "det_idx", "track_id", *box()), places=3)
+
+
+@query()
+def select_sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trk(spark, sf_dir).withColumns({"stream_id": F.col("track_id") % 8, "det_idx": F.col("track_id")})
+    return tracking.select_sticky(t, F.col("score"), top_k=2, timeout=5).select("stream_id", "frame_id", "track_id")
+
+
+# names and templates
+
+
+@query("SELECT p_partkey, regexp_replace(p_name || '/' || p_brand || ': ' || p_type, '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM part")
+def filename_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select("p_partkey", text.clean_filename(F.concat("p_name", F.lit("/"), "p_brand", F.lit(": "), "p_type")).alias("name"))
+
+
+@query("""WITH a AS (SELECT event_id, event_type || 'EventHTTPPart' || event_id || ' x' AS s FROM events)
+SELECT event_id, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(s, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9_]+', '_', 'g'), '^([0-9])', '_\\1') AS name FROM a""")
+def snake_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", text.snake_case(F.concat("event_type", F.lit("EventHTTPPart"), F.col("event_id").cast("string"), F.lit(" x"))).alias("name"))
+
+
+@query("SELECT event_id, CASE WHEN n > 0 THEN event_type || '_' || n ELSE event_type END AS name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n FROM events)")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("name"))
+    return text.unique_names(e, "name", "event_id")
+
+
+@query("SELECT event_id, 'clip_' || printf('%08d', event_id - 5) AS name FROM events")
+def clip_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", text.clip_name(F.lit("clip"), F.col("event_id") - 5).alias("name"))
+
+
+@query("SELECT event_id, 'user ' || user_id || ' did ' || event_type || ' ${nothing} ${1+1}' AS message FROM events")
+def template_subst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("result", F.struct("user_id", "event_type"))
+    return e.select("event_id", text.template("user ${result.user_id} did ${{ result.event_type }} ${nothing} ${1+1}", {"result": F.col("result")}).alias("message"))
+
+
+@query("""SELECT p_partkey, round(r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE, 4) AS lum, CASE WHEN r * 0.2126 + g * 0.7152 + b * 0.0722 > 180 THEN 0 ELSE 255 END AS ink, CAST(255 - r AS BIGINT) AS comp, CAST(b AS BIGINT) AS swapped
+FROM (SELECT p_partkey, p_partkey * 37 % 256 AS r, p_partkey * 91 % 256 AS g, p_partkey * 13 % 256 AS b FROM part)""")
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", *((F.col("p_partkey") * k % 256).alias(n) for n, k in zip("rgb", (37, 91, 13))))
+    c = [F.col(n) for n in "rgb"]
+    return p.select("p_partkey", F.round(text.luminance(*c), 4).alias("lum"), text.text_colour(*c)[0].alias("ink"), text.complement(*c)[0].alias("comp"), text.swap_channels(F.array(*c))[0].alias("swapped"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS zoo_url, regexp_extract(url, '([^/]*)$', 1) AS model_name, 'http://h/b/' || page_id AS object_url FROM pages")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    s = text.split_model_url(F.col("url"))
+    return p.select("page_id", s["zoo_url"].alias("zoo_url"), s["model_name"].alias("model_name"), text.object_url(F.lit("http://h/"), F.lit("b"), F.col("page_id").cast("string")).alias("object_url"))

@@ -130,7 +130,9 @@ def average_precision(curve: DataFrame, positives: DataFrame, thresholds: tuple[
     Classes without positives give no row."""
     keys = ["category_id", "area", "threshold"]
     part = W.partitionBy(*keys).orderBy(F.col("score").desc(), "image_id", "rank")
-    top = curve.withColumn("p", F.max("precision").over(part.rowsBetween(0, W.unboundedFollowing)))
+    # from the lowest score on, as a frame that grows costs one step a row and one that shrinks all
+    back = W.partitionBy(*keys).orderBy("score", F.col("image_id").desc(), F.col("rank").desc()).rowsBetween(W.unboundedPreceding, 0)
+    top = curve.withColumn("p", F.max("precision").over(back))
     marks = top.withColumn("upto", F.floor(F.col("recall") * 100 + 1e-9).cast("int"))
     marks = marks.withColumn("low", F.coalesce(F.lag("upto").over(part), F.lit(-1)))
     hits = [F.count_if((F.col("state") == 1) & (F.col("rank") < n)).alias(f"tp_{n}") for n in limits]

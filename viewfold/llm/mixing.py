@@ -14,27 +14,36 @@ DIMS = ("source", "lang", "topic")
 #: Share of each marginal's own token share that its target keeps: share^power, normalised.
 POWERS = {"source": 0.5, "lang": 0.5, "topic": 0.0}
 ROUNDS, FRACTION, MAX_CELLS = 25, 0.5, 1_000_000
+_GAP = np.isin(np.arange(256), (9, 10, 13, 32))
 #: Topics of the query, by the first letters of words; ties go to the first.
-TOPICS = {k: f"(^|[ \\t\\n\\r])[{k}{k.upper()}]" for k in ("a-d", "e-h", "i-p", "q-z")}
+TOPICS = {"a-d": "abcd", "e-h": "efgh", "i-p": "ijklmnop", "q-z": "qrstuvwxyz"}
 
 
-def tokens(text: Column) -> Column:
-    """Words parted by spaces, tabs and line ends; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\r]+")), F.lit(0)).cast("long")
+def measure(text: bytes | None, kinds: np.ndarray, n: int) -> tuple[int, int]:
+    """Words, parted by spaces, tabs and line ends, and the topic (of ``n``) to which most words'
+    first byte belongs by ``kinds``; ties and no words: the first."""
+    x = np.frombuffer(text or b"", dtype=np.uint8)
+    gap = np.ones(len(x) + 1, dtype=bool)
+    gap[1:] = _GAP[x]
+    first = x[gap[:-1] & ~gap[1:]]
+    return len(first), int(np.bincount(kinds[first], minlength=n + 1)[:n].argmax())
 
 
-def topic(text: Column, topics: dict[str, str] = TOPICS) -> Column:
-    """The topic whose pattern matches most often; ties and null: the first."""
-    counts = [F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)) for p in topics.values()]
-    most = F.greatest(*counts)
-    out = F.lit(list(topics)[-1])
-    for name, c in list(zip(topics, counts))[-2::-1]:
-        out = F.when(c == most, F.lit(name)).otherwise(out)
-    return out
+def tokens_and_topic(text: Column, topics: dict[str, str] = TOPICS) -> Column:
+    """Struct (n, topic) of a whole text, in Arrow batches."""
+    names = list(topics)
+    kinds = np.full(256, len(names), dtype=np.int64)
+    for k, letters in enumerate(topics.values()):
+        kinds[list((letters.lower() + letters.upper()).encode())] = k
 
+    @F.pandas_udf("n long, topic string")
+    def run(texts):
+        import pandas as pd
 
-def cells_of(docs: DataFrame, dims=DIMS) -> DataFrame:
-    return docs.groupBy(*dims).agg(F.sum("n_tokens").alias("t"))
+        made = [measure(None if t is None else t.encode(), kinds, len(names)) for t in texts]
+        return pd.DataFrame({"n": [n for n, _ in made], "topic": [names[k] for _, k in made]})
+
+    return run(text)
 
 
 def rake(cells: list[tuple], totals: np.ndarray, targets: list[dict], rounds: int) -> np.ndarray:
@@ -91,13 +100,15 @@ def mix(docs: DataFrame, dims=DIMS, targets: dict[str, dict] | None = None, powe
     rows. ``weight`` is the cell's calibrated multiplier over the probability, for what
     truncation at 1 leaves out. An empty table gives no rows.
 
-    The corpus is only summed per cell, with map-side combining; the texts are not moved. The
+    ``topics`` names topics by the first letters (ASCII, either case) of words. The corpus is
+    only summed per cell, with map-side combining; the texts are not moved. The
     cells, source by language by topic, are raked on the driver up to MAX_CELLS, which is
     checked, and their probabilities then sent to the executors; more cells raise an error, as
     such targets can't be met from the tokens of single documents."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("n_tokens", "topic", "weight", "probability", "sampled")]
-    marked = docs.select(*(F.col(f"`{c}`") for c in keep), F.greatest(tokens(F.col(text_col)), F.lit(1)).alias("n_tokens"), topic(F.col(text_col), topics).alias("topic"))
+    marked = docs.withColumn("__m", tokens_and_topic(F.col(text_col), topics))
+    marked = marked.select(*(F.col(f"`{c}`") for c in keep), F.greatest(F.col("__m.n"), F.lit(1)).cast("long").alias("n_tokens"), F.col("__m.topic").alias("topic"))
     named = [F.coalesce(F.col(d).cast("string"), F.lit("")).alias(f"__{d}") for d in dims]
     rows = marked.select(*named, "n_tokens").groupBy(*(f"__{d}" for d in dims)).agg(F.sum("n_tokens").alias("t")).orderBy(*(f"__{d}" for d in dims)).limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:

@@ -124,9 +124,10 @@ def mixing_sql(source: str = "documents", fraction: float = mixing.FRACTION, rou
     """SQL for ``mixing.mix`` with tempered targets: the rounds are unrolled, one step a CTE."""
     count = lambda p: f"len(regexp_extract_all(coalesce(text, ''), '{p}'))".replace("\\t", "\t").replace("\\n", "\n").replace("\\r", "\r")
     names = list(mixing.TOPICS)
+    patterns = [f"(^|[ \\t\\n\\r])[{x}{x.upper()}]" for x in mixing.TOPICS.values()]
     case = " ".join(f"WHEN c{k} = greatest({', '.join(f'c{j}' for j in range(len(names)))}) THEN '{n}'" for k, n in enumerate(names))
     ctes = [
-        f"m0 AS (SELECT *, CAST(greatest(1, {count('[^ \\t\\n\\r]+')}) AS BIGINT) AS n_tokens, {', '.join(f'{count(p)} AS c{k}' for k, p in enumerate(mixing.TOPICS.values()))} FROM {source})",
+        f"m0 AS (SELECT *, CAST(greatest(1, {count('[^ \\t\\n\\r]+')}) AS BIGINT) AS n_tokens, {', '.join(f'{count(p)} AS c{k}' for k, p in enumerate(patterns))} FROM {source})",
         f"m AS (SELECT *, CASE {case} END AS topic, coalesce(source, '') AS k_source, coalesce(lang, '') AS k_lang FROM m0)",
         "w0 AS MATERIALIZED (SELECT k_source, k_lang, topic AS k_topic, CAST(sum(n_tokens) AS DOUBLE) AS t, CAST(sum(n_tokens) AS DOUBLE) AS w FROM m GROUP BY ALL)",
     ]

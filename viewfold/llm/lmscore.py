@@ -105,7 +105,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     uniform. An empty table gives no rows."""
     spark = docs.sparkSession
     good = labels.where(target).where(F.col(label_id).isNotNull()).select(F.col(label_id).alias("__id")).distinct().withColumn("__t", F.lit(True))
-    flagged = docs.select(id_col, text_col).join(good, F.col(id_col) == F.col("__id"), "left").select(F.col(text_col), F.coalesce("__t", F.lit(False)).alias("__t"))
+    # labels grow with the corpus, so they are never sent whole
+    flagged = docs.select(id_col, text_col).join(good.hint("merge"), F.col(id_col) == F.col("__id"), "left").select(F.col(text_col), F.coalesce("__t", F.lit(False)).alias("__t"))
     chars = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     word_bits, pair_bits = table_bits(chars)
     one = 2 * (1 << word_bits) + (1 << pair_bits)

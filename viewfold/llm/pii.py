@@ -9,6 +9,7 @@ adds spans that the patterns miss (parts with odd separators, spelled-out at-sig
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -181,10 +182,14 @@ class SemiCRF:
     def decode(self, text: str, tokens: list[tuple[int, int]], base: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
         """Best segmentation of a region; tokens outside segments score 0. Segments that touch a
         base match are left to it."""
+        taken, k = [0], 0  # how many tokens up to each one touch a base match
+        for s, e in tokens:
+            while k < len(base) and base[k][1] <= s:
+                k += 1
+            taken.append(taken[-1] + (k < len(base) and base[k][0] < e))
         ending: dict[int, list[tuple[int, str, float]]] = {}
         for i, j, kind in candidates(text, tokens):
-            s, e = tokens[i][0], tokens[j - 1][1]
-            if not any(s < be and bs < e for bs, be in base) and (v := self.score(kind, text, s, e)) > 0:
+            if taken[i] == taken[j] and (v := self.score(kind, text, tokens[i][0], tokens[j - 1][1])) > 0:
                 ending.setdefault(j, []).append((i, kind, v))
         best, back = [0.0], [None]
         for j in range(1, len(tokens) + 1):
@@ -251,12 +256,17 @@ def find_all(text: str | None, crf: SemiCRF) -> tuple[dict[str, list[tuple[int,
         empty: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
         return empty, empty
     base = base_matches(text)
-    flat = sorted(x for spans in base.values() for x in spans)
-    starts = np.array([s for s, _ in flat])
-    longest = max((e - s for s, e in flat), default=0)
+    flat: list[tuple[int, int]] = []  # base matches in order, those that overlap as one
+    for s, e in sorted(x for spans in base.values() for x in spans):
+        if flat and s < flat[-1][1]:
+            flat[-1] = (flat[-1][0], max(e, flat[-1][1]))
+        else:
+            flat.append((s, e))
     full = {k: list(v) for k, v in base.items()}
+    ends = [e for _, e in flat]
     for tokens in regions(text):
-        lo, hi = (np.searchsorted(starts, (tokens[0][0] - longest, tokens[-1][1])) if flat else (0, 0))
+        lo = bisect_right(ends, tokens[0][0])
+        hi = bisect_left(flat, (tokens[-1][1],))
         for kind, s, e in crf.decode(text, tokens, flat[lo:hi]):
             full[kind].append((s, e))
     return base, {k: sorted(v) for k, v in full.items()}
@@ -269,8 +279,11 @@ def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> SemiCRF:
     """Fit on at most ``fit_rows`` texts of up to FIT_CHARS characters that hold digits or an
     at-sign, the first by hash of the text."""
-    some = docs.select(F.col(text_col).alias("t")).where((F.length("t") <= FIT_CHARS) & F.col("t").rlike("[0-9@]")).orderBy(F.xxhash64("t"), "t").limit(fit_rows)
-    return fit_crf([r.t for r in some.collect()])
+    some = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).where((F.length("t") <= FIT_CHARS) & F.col("t").rlike("[0-9@]"))
+    # hashes alone first, so that no task sends fit_rows texts
+    hashes = [r.h for r in some.select("h").orderBy("h").limit(fit_rows).collect()]
+    rows = some.where(F.col("h") <= hashes[-1]).select("h", "t").distinct().limit(fit_rows).collect() if hashes else []
+    return fit_crf([r.t for r in sorted(rows)])
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crf: SemiCRF | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:

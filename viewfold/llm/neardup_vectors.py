@@ -95,7 +95,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     n = classes.count()
     longest = classes.agg(F.max(F.size("v"))).first()[0] or 1
-    sample = classes.select("cls", "v").orderBy("cls").limit(fit_rows).collect() if n else []
+    upto = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 9 * fit_rows // (10 * max(n, 1)))  # hashes are spread evenly
+    sample = sorted(classes.select("cls", "v").where(F.col("cls") <= upto).limit(fit_rows).collect()) if n else []
     rows = [np.array(r.v) for r in sample if len(r.v) == longest]
     x = np.array([r / np.linalg.norm(r) for r in rows]) if rows else np.zeros((0, longest))
     depth = min(max(0, math.ceil(math.log2(max(n, 1) / leaf_rows))), max(0, int(math.log2(max(len(x), 1) / 16))))
@@ -159,13 +160,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         np.add.at(count, a, linked @ w[b])
         if lo != hi:
             np.add.at(count, b, linked.T @ w[a])
-        # each row's first link leads towards the least class of its neighbours here
-        to = cls.copy()
-        far = np.iinfo(np.int64).max
-        low_b = np.where(linked, cls[b][None, :], far)
-        np.minimum.at(to, a, low_b.min(axis=1))
-        low_a = np.where(linked, cls[a][:, None], far)
-        np.minimum.at(to, b, low_a.min(axis=0))
+        # the least class of each row's local component: labels spread along the links until none changes
+        to, far = cls.copy(), np.iinfo(np.int64).max
+        while True:
+            before = to.copy()
+            np.minimum.at(to, a, np.where(linked, to[b][None, :], far).min(axis=1))
+            np.minimum.at(to, b, np.where(linked, to[a][:, None], far).min(axis=0))
+            if (to == before).all():
+                break
         return pd.DataFrame({"cls": cls, "n": count, "to": to})[count > 0]
 
     found = store(cut.groupBy("leaf", "label", "size", "lo", "hi").applyInPandas(compare, "cls long, n long, to long"), "links")

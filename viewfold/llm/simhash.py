@@ -111,7 +111,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     named = linked.join(least, "component").select("fp", "least")
     ids = classes.join(named, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    # stored, so that the join has exchanges of its own that can be split where copies abound
+    return fps.join(store(ids, "ids"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:

@@ -135,6 +135,36 @@ def test_scores_equal_a_plain_model(spark):
     assert lmscore.score_documents(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_distinct_pairs_never_share_counts(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "CHUNK_CHARS", 60_000, raising=False)
+    monkeypatch.setattr(lmscore, "SLICE_CHARS", 90_000, raising=False)
+    rnd = random.Random(3)
+    rows = [(k if k % 9 else None, " ".join(f"w{rnd.randint(0, 299)}" for _ in range(1000))) for k in range(60)] + [(7, "w1 w2"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(k, k % 3 == 0) for k in range(60)], "doc_id long, quality boolean")
+    got = sorted((r.doc_id or -1, r.n_tokens, r.ce_diff or 0) for r in lmscore.score_documents(docs, labels, target="quality").collect())
+    wb, _ = lmscore.table_bits(sum(len(t or "") for _, t in rows))
+    entries = [[0, *lmscore.slots(lmscore.word_ids((t or "").encode()), wb, 2 * wb)[0].tolist()] for _, t in rows]
+    means = []
+    for keep in (lambda i: True, lambda i: i is not None and i % 3 == 0):
+        first, word, pair = Counter(), Counter(), Counter()
+        for (i, _), e in zip(rows, entries):
+            if keep(i):
+                first.update(e[:-1])
+                word.update(e[1:])
+                pair.update(zip(e, e[1:]))
+        n = sum(word.values()) + lmscore.ALPHA * 2**wb
+        means.append([np.mean([-math.log((1 - lmscore.MIX) * (word[w] + lmscore.ALPHA) / n + lmscore.MIX * (pair[u, w] / first[u] if first[u] else 0)) for u, w in zip(e, e[1:])] or [0]) for e in entries])
+    want = sorted((i or -1, len(e) - 1, b - a) for (i, _), e, a, b in zip(rows, entries, *means))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-12)
+
+
+def test_the_vocabulary_grows_with_the_corpus():
+    bits = [lmscore.table_bits(n)[0] for n in (10**8, 10**9, 3 * 10**10, 10**11)]
+    assert bits == sorted(set(bits)) and bits[2] >= 26
+
+
 # personal data
 
 

@@ -1,13 +1,19 @@
 """Cross-entropy difference (Moore and Lewis, 2010) with two matched bigram models.
 
-Words are hashed into one closed vocabulary of 2^word_bits entries and bigrams into one table of
-2^pair_bits entries. Both are shared by the target and the background model, whose order and
-smoothing are equal too, so a collision weighs the same in either. Loss of a word:
+Words are hashed into one closed vocabulary of 2^word_bits entries, which grows with the corpus;
+bigrams are counted by both of their entries, exactly. The vocabulary is shared by the target and
+the background model, whose order and smoothing are equal too, so a collision weighs the same in
+either. Loss of a word:
 
     -ln( (1-MIX) (c(w)+ALPHA)/(N+ALPHA V) + MIX c(u,w)/c(u) )     (no second term if c(u) = 0)
 
 c(u) being the count of the preceding word; a text starts with a boundary word. A document's score is its mean loss under the target
 model less that under the background model: the lower, the more it reads like the target.
+
+Counts are never gathered in one place. Documents are dealt into chunks by id; a chunk sends its
+distinct keys with their counts to the slices of the key table, and a slice sends each chunk the
+corpus-wide counts of the chunk's own keys. Chunks and slices are of fixed size, so that their
+number grows with the corpus.
 """
 
 from __future__ import annotations
@@ -20,8 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIX, ALPHA, BLOCK = 0.7, 0.5, 1 << 12
-MIN_BITS, MAX_BITS = 16, 22
+MIX, ALPHA = 0.7, 0.5
+#: Of the vocabulary; two entries and the kind of a key fill 64 bits.
+MIN_BITS, HASH_BITS = 14, 31
+#: Characters of text for each chunk of documents and each slice of the key table.
+CHUNK_CHARS, SLICE_CHARS = 16 << 20, 32 << 20
+PARTS = "chunk long, slice long, keys binary, background binary, goal binary, n_background long, n_goal long"
+COUNTS = "chunk long, slice long, background binary, goal binary, n_background long, n_goal long"
+SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double"
 
 
 def word_ids(text: bytes | None) -> np.ndarray:
@@ -31,68 +43,64 @@ def word_ids(text: bytes | None) -> np.ndarray:
 
 
 def slots(ids: np.ndarray, word_bits: int, pair_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary entry of each word, of the word before it, and the pair's entry."""
+    """Vocabulary entry of each word, of the word before it, and both as one number."""
     w = ((ids.astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - word_bits)
     before = np.concatenate([[np.uint64(0)], w[:-1]])
-    pair = ((before << np.uint64(24) ^ w) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - pair_bits)
+    pair = before << np.uint64(pair_bits - word_bits) | w
     return w.astype(np.int64), before.astype(np.int64), pair.astype(np.int64)
 
 
-def count_tables(docs: DataFrame, target_col: str, text_col: str, word_bits: int, pair_bits: int) -> DataFrame:
-    """``(block, counts)`` over all documents. The four count tables (background and target,
-    each of preceding words, words and pairs) are laid end to end and cut into blocks; a task adds up its rows in
-    memory of fixed size and sends each block once, compressed; equal blocks are then summed."""
-    v, p = 1 << word_bits, 1 << pair_bits
-    one = 2 * v + p
-    size = -(-2 * one // BLOCK) * BLOCK
-
-    def run(batches):
-        sums = np.zeros(size, dtype=np.int64)
-        some = False
-        for b in batches:
-            for base, want in ((0, False), (one, True)):
-                texts = b.column(0).cast(pa.binary()).to_pylist()
-                if want:
-                    texts = [t for t, y in zip(texts, b.column(1).to_pylist()) if y]
-                parts = [slots(ids, word_bits, pair_bits) for ids in map(word_ids, texts) if len(ids)]
-                if parts:
-                    some = True
-                    w, before, pair = (np.concatenate(x) for x in zip(*parts))
-                    sums[base : base + v] += np.bincount(before, minlength=v)
-                    sums[base + v : base + 2 * v] += np.bincount(w, minlength=v)
-                    sums[base + 2 * v : base + one] += np.bincount(pair, minlength=p)
-        if some:
-            rows = sums.reshape(-1, BLOCK)
-            at = np.flatnonzero(rows.any(axis=1))
-            for k in range(0, len(at), 64):
-                part = at[k : k + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([zlib.compress(rows[i].astype("<i8").tobytes(), 1) for i in part], pa.binary())], ["block", "counts"])
-
-    def add(key, t):
-        total = np.zeros(BLOCK, dtype=np.int64)
-        for x in t.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(x), dtype="<i8")
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    parts = docs.select(text_col, target_col).mapInArrow(run, "block int, counts binary")
-    return parts.groupBy("block").applyInArrow(add, "block int, counts binary")
-
-
-def losses(ids: np.ndarray, counts: np.ndarray, n: float, word_bits: int, pair_bits: int) -> np.ndarray:
-    v = 1 << word_bits
-    w, before, pair = slots(ids, word_bits, pair_bits)
-    single = (counts[v + w] + ALPHA) / (n + ALPHA * v)
-    after = counts[before]
-    both = np.where(after > 0, counts[2 * v + pair] / np.maximum(after, 1), 0.0)
-    return -np.log((1 - MIX) * single + MIX * np.minimum(both, 1.0))
+def table_bits(chars: int) -> tuple[int, int]:
+    """Bits of a vocabulary entry and of a pair. The vocabulary follows the corpus, one entry for
+    about 256 characters, up to the width of the words' hashes."""
+    word = min(HASH_BITS, max(MIN_BITS, math.ceil(math.log2(max(chars, 1) / 256))))
+    return word, 2 * word
 
 
-def table_bits(chars: int) -> tuple[int, int]:
-    """Sizes of the shared tables: they follow the corpus, one pair entry for about 64
-    characters, within MIN_BITS and MAX_BITS (the proven bound of what is sent to executors:
-    2 * (2^MAX_BITS + 2^(MAX_BITS-1)) counts of 4 bytes)."""
-    pair = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(chars, 1) / 64))))
-    return pair - 2, pair
+def pack(x: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed."""
+    return zlib.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(x: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+class Keys:
+    """The distinct keys of some texts: pairs, then words, then preceding words, each in order.
+
+    ``pairs``, ``words`` and ``befores`` are numbers of keys, ``token`` is the pair's key of each
+    token, ``word`` and ``before`` the keys of each pair's entries, ``lengths`` words per text."""
+
+    def __init__(self, texts: list[bytes | None], word_bits: int, pair_bits: int):
+        ids = [*map(word_ids, texts)]
+        self.lengths = np.array([len(x) for x in ids], dtype=np.int64)
+        pair = np.concatenate([np.zeros(0, np.int64), *(slots(x, word_bits, pair_bits)[2] for x in ids if len(x))]).astype(np.uint64)
+        pairs, self.token = np.unique(pair, return_inverse=True)
+        words, word = np.unique(pairs & np.uint64((1 << word_bits) - 1), return_inverse=True)
+        befores, before = np.unique(pairs >> np.uint64(word_bits), return_inverse=True)
+        self.pairs = len(pairs)
+        self.word, self.before = word + len(pairs), before + len(pairs) + len(words)
+        self.keys = np.concatenate([pairs, words | np.uint64(1 << 62), befores | np.uint64(1 << 63)])
+
+    def counts(self, tokens: np.ndarray) -> np.ndarray:
+        """How often each key occurs among the given tokens (a mask)."""
+        n = np.bincount(self.token[tokens], minlength=self.pairs)[: self.pairs]
+        size = len(self.keys)
+        return np.concatenate([n, np.zeros(size - self.pairs, np.int64)]) + sum(np.bincount(at, n, size).astype(np.int64) for at in (self.word, self.before))
+
+    def slices(self, n: int) -> list[np.ndarray]:
+        """Where the keys of each slice stand."""
+        own = ((self.keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)
+        order = np.argsort(own, kind="stable")
+        return np.split(order, np.searchsorted(own[order], np.arange(1, n, dtype=np.uint64)))
+
+    def losses(self, counts: np.ndarray, n: int, word_bits: int) -> np.ndarray:
+        """Loss of each pair."""
+        single = (counts[self.word] + ALPHA) / (n + ALPHA * (1 << word_bits))
+        after = counts[self.before]
+        both = np.where(after > 0, counts[: self.pairs] / np.maximum(after, 1), 0.0)
+        return -np.log((1 - MIX) * single + MIX * np.minimum(both, 1.0))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", target: str = "quality = 1") -> DataFrame:
@@ -103,32 +111,72 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     token; null and empty texts have 0 tokens and null losses. Labels without a document,
     repeated labels and null labels change nothing; without any target document the target model is
     uniform. An empty table gives no rows."""
-    spark = docs.sparkSession
-    good = labels.where(target).where(F.col(label_id).isNotNull()).select(F.col(label_id).alias("__id")).distinct().withColumn("__t", F.lit(True))
-    # labels grow with the corpus, so they are never sent whole
-    flagged = docs.select(id_col, text_col).join(good.hint("merge"), F.col(id_col) == F.col("__id"), "left").select(F.col(text_col), F.coalesce("__t", F.lit(False)).alias("__t"))
     chars = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     word_bits, pair_bits = table_bits(chars)
-    one = 2 * (1 << word_bits) + (1 << pair_bits)
-    flat = np.zeros(-(-2 * one // BLOCK) * BLOCK, dtype=np.uint32)
-    for r in count_tables(flagged, "__t", text_col, word_bits, pair_bits).collect():
-        flat[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(r.counts), dtype="<i8")
-    model = spark.sparkContext.broadcast((flat[:one], flat[one : 2 * one]))
-
-    def run(batches):
-        background, goal = model.value
-        v = 1 << word_bits
-        n_background, n_goal = float(background[v : 2 * v].sum()), float(goal[v : 2 * v].sum())
-        for b in batches:
-            out = []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                ids = word_ids(t)
-                if not len(ids):
-                    out.append((0, None, None))
-                    continue
-                out.append((len(ids), float(losses(ids, goal, n_goal, word_bits, pair_bits).mean()), float(losses(ids, background, n_background, word_bits, pair_bits).mean())))
-            n, a, c = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(c, pa.float64())], ["doc_id", "n_tokens", "loss_target", "loss_background"])
-
-    scored = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double")
+    chunks, slices = chars // CHUNK_CHARS + 1, chars // SLICE_CHARS + 1
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).alias("chunk")
+    # rows without an id match no label, and go by their text
+    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select(chunk(F.coalesce("id", F.xxhash64("text"))), "id", "text")
+    good = labels.where(target).where(F.col(label_id).isNotNull()).select(F.col(label_id).cast("long").alias("id")).distinct().select(chunk(F.col("id")), "id")
+    texts = lambda t: t.column("text").cast(pa.binary()).to_pylist()
+
+    def count(rows, marked):
+        if not rows.num_rows:
+            return pa.table({c: pa.array([], pa.binary() if c in ("keys", "background", "goal") else pa.int64()) for c in ("chunk", "slice", "keys", "background", "goal", "n_background", "n_goal")})
+        k = Keys(texts(rows), word_bits, pair_bits)
+        wanted = set(marked.column("id").to_pylist())
+        mask = np.repeat(np.array([i in wanted for i in rows.column("id").to_pylist()], dtype=bool), k.lengths)
+        background, goal = k.counts(np.ones(len(mask), dtype=bool)), k.counts(mask)
+        parts = k.slices(slices)
+        return pa.table(
+            {
+                "chunk": pa.array([rows.column("chunk")[0].as_py()] * slices, pa.int64()),
+                "slice": pa.array(range(slices), pa.int64()),
+                "keys": pa.array([pack(np.diff(k.keys[at], prepend=np.uint64(0))) for at in parts], pa.binary()),
+                "background": pa.array([pack(background[at]) for at in parts], pa.binary()),
+                "goal": pa.array([pack(goal[at]) for at in parts], pa.binary()),
+                "n_background": pa.array([len(mask)] * slices, pa.int64()),
+                "n_goal": pa.array([int(mask.sum())] * slices, pa.int64()),
+            }
+        )
+
+    def add(t):
+        keys = [np.cumsum(unpack(x), dtype=np.uint64) for x in t.column("keys").to_pylist()]
+        ends = np.cumsum([len(x) for x in keys])[:-1]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        out = {"chunk": t.column("chunk"), "slice": t.column("slice")}
+        for c in ("background", "goal"):
+            sums = np.bincount(at, np.concatenate([unpack(x) for x in t.column(c).to_pylist()]))
+            out[c] = pa.array([pack(x) for x in np.split(sums[at], ends)], pa.binary())
+        for c in ("n_background", "n_goal"):
+            out[c] = pa.array([sum(t.column(c).to_pylist())] * t.num_rows, pa.int64())
+        return pa.table(out)
+
+    def score(rows, counts):
+        k = Keys(texts(rows), word_bits, pair_bits)
+        some = k.lengths > 0
+        starts = (np.cumsum(k.lengths) - k.lengths)[some]
+        parts = k.slices(slices)
+        means = {}
+        for c in ("goal", "background"):
+            n = np.zeros(len(k.keys), dtype=np.int64)
+            for s, x in zip(counts.column("slice").to_pylist(), counts.column(c).to_pylist()):
+                n[parts[s]] = unpack(x)
+            loss = k.losses(n, counts.column(f"n_{c}")[0].as_py() if counts.num_rows else 0, word_bits)
+            means[c] = np.zeros(len(some))
+            if some.any():
+                means[c][some] = np.add.reduceat(loss[k.token], starts) / k.lengths[some]
+        return pa.table(
+            {
+                "doc_id": rows.column("id"),
+                "n_tokens": pa.array(k.lengths),
+                "loss_target": pa.array(means["goal"], mask=~some),
+                "loss_background": pa.array(means["background"], mask=~some),
+            }
+        )
+
+    by_chunk = dealt.groupBy("chunk")
+    parts = by_chunk.cogroup(good.groupBy("chunk")).applyInArrow(count, PARTS)
+    sums = parts.groupBy("slice").applyInArrow(add, COUNTS)
+    scored = by_chunk.cogroup(sums.groupBy("chunk")).applyInArrow(score, SCORES)
     return scored.withColumn("ce_diff", F.col("loss_target") - F.col("loss_background"))

@@ -90,6 +90,50 @@ def test_near_matches(spark):
     assert got[1][0] == ["7"] and got[2][0] == [] and got[12] == ([], ["7"]) and got[13] == ([], [])
 
 
+def slow_near(docs, items, span, terms=4):
+    count = Counter(w for _, t in set(items) for w in words(t))
+    out = {}
+    for d, t in docs:
+        w, got = words(t), set()
+        for i, x in items:
+            v = words(x)
+            for k in range(max(1, len(v) - 9) if v else 0):
+                rare = sorted(set(v[k : k + 10]), key=lambda y: (count[y], y.encode()))[:terms]
+                at = {y: [p for p, z in enumerate(w) if z == y] for y in rare}
+                if any(all(any(abs(p - q) <= span for q in at[y]) for y in rare) for p in at[rare[0]]):
+                    got.add(str(i))
+        out[d] = sorted(got)
+    return out
+
+
+@pytest.mark.parametrize("slice_chars", [64_000_000, 100])
+def test_near_matches_end_at_documents_and_are_the_same_in_every_shard(spark, monkeypatch, slice_chars):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    swapped = "x alpha beta delta gamma epsilon eta zeta theta iota kappa y"
+    other = " ".join(f"o{k}" for k in range(30))
+    rows = [(1, item), (2, swapped), (3, "alpha beta gamma"), (4, "delta epsilon zeta eta theta iota kappa"), (5, "alpha " + "x " * 50 + "beta"), (6, "zeta beta alpha gamma delta lambda epsilon"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame([(7, item), (8, other), (9, "kappa iota theta " * 9)], "item_id long, text string")
+    # of item 7 the words alpha to eta occur once in the benchmark, so alpha, beta, delta and epsilon are chosen
+    for size in (4096, 1):
+        monkeypatch.setattr(decontam, "SHARD_DOCS", size)
+        got = {r.doc_id: [x for x in r.near_items if x == "7"] for r in decontam.find_contamination(docs, b, near_span=12, slice_chars=slice_chars).collect()}
+        assert got == {1: ["7"], 2: ["7"], 3: [], 4: [], 5: [], 6: ["7"], 7: []}
+
+
+def test_near_matches_equal_brute_force(spark):
+    docs, items = contamination_rows(9)
+    found = decontam.find_contamination(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"), near_span=10)
+    got = {r.doc_id: r for r in found.collect()}
+    assert {d: r.near_items for d, r in got.items()} == slow_near(docs, items, 10)
+    assert all(set(r["items"]) <= set(r.near_items) for r in got.values()) and any(r.near_items != r["items"] for r in got.values())
+
+
+def test_near_items_query(spark):
+    got = QUERIES["op4_near_items"](spark, SF).collect()
+    assert len(got) == read(spark, "documents").count() and all(r.n_near > 0 for r in got if r.n_hit > 0)
+
+
 def test_contamination_of_empty_tables(spark):
     df = read(spark, "documents")
     assert decontam.find_contamination(df.limit(0), read(spark, "benchmark")).count() == 0

@@ -9,6 +9,7 @@ shuffle, and a passage that many documents share is spread over their shards.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import repeat
 
 import numpy as np
@@ -108,26 +109,45 @@ def _phrase(lists: list[np.ndarray]) -> np.ndarray:
     return got
 
 
-def _near(lists: list[np.ndarray], span: int) -> np.ndarray:
-    """Positions of the rarest term with each of the other terms within ``span`` words."""
-    lists = sorted(lists, key=len)
+def _near(lists: list[np.ndarray], span: int, starts: np.ndarray) -> np.ndarray:
+    """Positions of the first term with each of the other terms within ``span`` words in the
+    same document."""
     got = lists[0]
-    for p in lists[1:]:
-        at = np.searchsorted(p, got)
-        left = got - p[np.maximum(at - 1, 0)]
-        right = p[np.minimum(at, len(p) - 1)] - got
-        got = got[np.minimum(np.abs(left), np.abs(right)) <= span]
+    for p in sorted(lists[1:], key=len):
+        d = np.searchsorted(starts, got, "right")
+        first, last = np.maximum(got - span, starts[d - 1]), np.minimum(got + span, starts[d] - 1)
+        got = got[np.searchsorted(p, last, "right") > np.searchsorted(p, first)]
         if not len(got):
             break
     return got
 
 
-def search(index: DataFrame, windows, near_span: int | None = None, near_terms: int = 4) -> DataFrame:
+def term_counts(items: DataFrame, vocabulary) -> dict[bytes, int]:
+    """How often each term of the broadcast ``vocabulary`` occurs in the texts ``t``."""
+
+    def run(batches):
+        known = vocabulary.value
+        n = np.zeros(len(known), dtype=np.int64)
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                for w in words_of(t):
+                    if (k := known.get(w)) is not None:
+                        n[k] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], ["k", "n"])
+
+    got = {r.k: r.n for r in items.select("t").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    return {t: got.get(k, 0) for t, k in vocabulary.value.items()}
+
+
+def search(index: DataFrame, windows, near_span: int | None = None, near_terms: int = 4, frequency=None) -> DataFrame:
     """One row per document of the index. ``windows``: a broadcast of what ``windows_of`` gives.
 
     Exact matches give ``items``, the merged covered word ranges ``spans`` (end exclusive) and
     ``n_hit``, the words in them. With ``near_span``, ``near_items`` are items of which some
-    window's ``near_terms`` rarest terms all stand within that many words of each other."""
+    window's ``near_terms`` rarest terms all stand within that many words of the rarest, in any
+    order. Which are rarest is told by ``frequency`` (a broadcast of {term: number}), or else by the
+    windows, and so is the same in every shard."""
 
     def run(batches):
         wins = list(windows.value)
@@ -136,6 +156,10 @@ def search(index: DataFrame, windows, near_span: int | None = None, near_terms:
         by_len: dict[int, list[int]] = {}
         for k, w in enumerate(wins):
             by_len.setdefault(len(w), []).append(k)
+        rare: list[list[int]] = []
+        if near_span is not None:
+            seen = frequency.value if frequency is not None else Counter(t for w in wins for t in w)
+            rare = [[number[t] for t in sorted(set(w), key=lambda t: (seen.get(t, 0), t))[:near_terms]] for w in wins]
         mats = {n: np.array([[number[t] for t in wins[k]] for k in ks], dtype=np.int64) for n, ks in by_len.items()}
         for b in batches:
             for ids, starts, n_words, terms, ends, positions in zip(*(b.column(c) for c in ("doc_ids", "starts", "n_words", "terms", "ends", "positions"))):
@@ -162,14 +186,10 @@ def search(index: DataFrame, windows, near_span: int | None = None, near_terms:
                             mark[(got[:, None] + np.arange(n)).ravel()] = True
                             for d in doc_of(got):
                                 found.setdefault(d, set()).update(items[k])
-                    if near_span is not None:
-                        rare = np.sort(np.take_along_axis(mat, np.argsort(df[mat], axis=1, kind="stable")[:, :near_terms], axis=1), axis=1)
-                        for row in np.flatnonzero(df[rare].min(axis=1) > 0):
-                            at = _near([lists[q] for q in dict.fromkeys(rare[row].tolist())], near_span)
-                            d = np.searchsorted(starts, at, "right") - 1
-                            inside = (at - near_span >= starts[d]) & (at + near_span < starts[d + 1] - 1)
-                            for x in np.unique(d[inside]).tolist():
-                                near.setdefault(x, set()).update(items[by_len[n][row]])
+                for k, terms_ in enumerate(rare):
+                    if all(q in lists for q in terms_):
+                        for d in doc_of(_near([lists[q] for q in terms_], near_span, starts)):
+                            near.setdefault(d, set()).update(items[k])
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.view(np.int8), [0]])))
                 spans: list[list[dict]] = [[] for _ in ids]
                 hit = np.zeros(len(ids), dtype=np.int64)
@@ -212,8 +232,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         part = rows if slices == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == k)
         wins = windows_of([(r.i, (r.t or "").encode()) for r in part.collect()], width)
         vocabulary = {t: n for n, t in enumerate(dict.fromkeys(t for w in wins for t in w))}
-        index = store(build_index(docs, id_col, text_col, spark.sparkContext.broadcast(vocabulary)), "postings")
-        found.append(search(index, spark.sparkContext.broadcast(wins), near_span))
+        known = spark.sparkContext.broadcast(vocabulary)
+        index = store(build_index(docs, id_col, text_col, known), "postings")
+        frequency = None if near_span is None else spark.sparkContext.broadcast(term_counts(rows.distinct(), known))
+        found.append(search(index, spark.sparkContext.broadcast(wins), near_span, frequency=frequency))
     if slices == 1:
         return found[0]
     merged = found[0]

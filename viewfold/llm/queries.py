@@ -29,6 +29,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near_span=decontam.WINDOW)
+    return found.select("doc_id", "n_words", "n_hit", F.size("near_items").cast("long").alias("n_near"), F.array_join("near_items", ",").alias("near_items"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -66,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_lm_score, op3_line_dedup, op4_decontaminate, op5_simhash, op6_mix_sources, op7_pii, op8_chat_format, op9_quality, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_lm_score, op3_line_dedup, op4_decontaminate, op4_near_items, op5_simhash, op6_mix_sources, op7_pii, op8_chat_format, op9_quality, op10_toxicity)}
 
 _OP1 = """
 WITH RECURSIVE v AS (

@@ -71,6 +71,19 @@ def test_contamination_equals_brute_force(spark, slice_chars):
     assert got == slow_contamination(docs, items)
 
 
+@pytest.mark.parametrize("slice_chars", [64_000_000, 100])
+def test_rows_that_share_an_id_keep_their_own_matches(spark, slice_chars):
+    docs, items = contamination_rows(3)
+    texts = [t for _, t in docs] + [docs[1][1], docs[1][1], items[0][1], items[1][1]]
+    texts += [" ".join(reversed((t or "").split())) for t in texts[:20]]
+    ids = [None if k % 3 == 0 else 5 for k in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontam.find_contamination(df, b, slice_chars=slice_chars).collect()]
+    each = slow_contamination(list(enumerate(texts)), items)
+    assert sorted(map(str, got)) == sorted(str((i, *each[k])) for k, i in enumerate(ids))
+
+
 def test_index_of_all_terms_and_small_shards(spark, monkeypatch):
     docs, items = contamination_rows(5)
     monkeypatch.setattr(decontam, "SHARD_DOCS", 7)

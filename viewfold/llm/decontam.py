@@ -218,8 +218,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     The index holds the postings of the benchmark's terms only; nothing else is ever looked up.
     The benchmark goes to the executors only up to ``slice_chars`` characters at a time, which
     is measured first. A larger one is searched in slices of whole items, each over an index of
-    that slice's terms, and the documents' matches are merged by id (rows that share an id then
-    share their matches, and rows without an id are searched but come back unmatched by others).
+    that slice's terms; rows are numbered and stored before, and their matches merged by number.
 
     Null texts have no words; items without an id or without words are ignored; repeated items
     count once; an empty table of either kind gives no rows or no hits."""
@@ -227,13 +226,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t"))
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     slices = chars // slice_chars + 1
+    numbered = docs
+    if slices > 1:
+        numbered = store(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "rows")
+        id_col, text_col = "row", "text"
     found = []
     for k in range(slices):
         part = rows if slices == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == k)
         wins = windows_of([(r.i, (r.t or "").encode()) for r in part.collect()], width)
         vocabulary = {t: n for n, t in enumerate(dict.fromkeys(t for w in wins for t in w))}
         known = spark.sparkContext.broadcast(vocabulary)
-        index = store(build_index(docs, id_col, text_col, known), "postings")
+        index = store(build_index(numbered, id_col, text_col, known), "postings")
         frequency = None if near_span is None else spark.sparkContext.broadcast(term_counts(rows.distinct(), known))
         found.append(search(index, spark.sparkContext.broadcast(wins), near_span, frequency=frequency))
     if slices == 1:
@@ -254,7 +257,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         join = lambda c: sorted({x for row in pdf[c] for x in row})
         return pd.DataFrame([[key[0], key[1], sum(e - s for s, e in spans), join("items"), [{"start": s, "end": e} for s, e in spans], join("near_items")]], columns=["doc_id", "n_words", "n_hit", "items", "spans", "near_items"])
 
-    return merged.groupBy("doc_id", "n_words").applyInPandas(union, MATCHES)
+    whole = merged.groupBy("doc_id", "n_words").applyInPandas(union, MATCHES).withColumnRenamed("doc_id", "row")
+    return numbered.select("row", F.col("id").alias("doc_id")).join(whole, "row").drop("row")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:

@@ -49,6 +49,20 @@ def test_kmeans_finds_clusters(spark):
     assert catalog.kmeans_exemplars(df, 0).count() <= 6
 
 
+def test_kmeans_moves_centroids_by_every_vector(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (400, 3)) + np.repeat([[0], [30]], 200, axis=0)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, v array<double>").repartition(5)
+    for k, parts in ((1, [x]), (2, [x[:200], x[200:]])):
+        got = sorted((r.vec_id, r.n, r.d2) for r in catalog.kmeans_exemplars(df, k, fit_rows=12).collect())
+        d2 = [((x - p.mean(axis=0)) ** 2).sum(axis=1) for p in parts]
+        want = [(int(d.argmin()), len(p), float(d.min())) for d, p in zip(d2, parts)]
+        assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    assert catalog.kmeans_exemplars(df, 50, fit_rows=12).count() == 50
+    assert catalog.kmeans_exemplars(df, fit_rows=12).count() == 16
+    assert catalog.kmeans_exemplars(df.where("vec_id < 3"), 5).count() == 3 and catalog.kmeans_exemplars(df.limit(0)).count() == 0
+
+
 def coco(spark, preds, truths):
     p = spark.createDataFrame([(i, 0, k, float(s), *map(float, b)) for k, (i, s, b) in enumerate(preds)], "image_id long, category_id int, det_idx long, score double, x1 double, y1 double, x2 double, y2 double")
     t = spark.createDataFrame([(i, 0, k, *map(float, b)) for k, (i, b) in enumerate(truths)], "image_id long, category_id int, truth_idx long, x1 double, y1 double, x2 double, y2 double")

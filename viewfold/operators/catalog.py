@@ -108,31 +108,66 @@ def exemplars(assigned: DataFrame, id_col: str = "vec_id") -> DataFrame:
     return assigned.groupBy("cluster").agg(F.min(F.struct("d2", id_col)).alias("b"), F.count(F.lit(1)).alias("n")).select("cluster", f"b.{id_col}", "n", "b.d2")
 
 
+def cluster_sums(vectors: DataFrame, centroids, k: int) -> DataFrame:
+    """``(cluster, n, s)``: number and sum of the vectors nearest to each of the broadcast
+    centroids. A task sends one row a cluster; rows are added in the tasks' order."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def run(batches):
+        c = centroids.value
+        n, s = np.zeros(k, dtype=np.int64), np.zeros(c.shape)
+        step = max(1, 4_000_000 // max(c.size, 1))
+        for b in batches:
+            x = np.array(b.column(0).to_pylist(), dtype=float)
+            for at in range(0, len(x), step):
+                part = x[at : at + step]
+                own = ((part[:, None, :] - c[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+                n += np.bincount(own, minlength=k)
+                np.add.at(s, own, part)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([TaskContext.get().partitionId()] * len(some), pa.int64()), pa.array(n[some]), pa.array(s[some].tolist(), pa.list_(pa.float64()))], ["cluster", "part", "n", "s"])
+
+    def add(t):
+        t = t.sort_by("part")
+        return pa.table({"cluster": t.column("cluster").slice(0, 1), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "s": pa.array([np.array(t.column("s").to_pylist()).sum(axis=0).tolist()], pa.list_(pa.float64()))})
+
+    return vectors.mapInArrow(run, "cluster long, part long, n long, s array<double>").groupBy("cluster").applyInArrow(add, "cluster long, n long, s array<double>")
+
+
 def kmeans_exemplars(df: DataFrame, k: int = 0, id_col: str = "vec_id", vec: str = "v", rounds: int = 20, seed: int = 1, fit_rows: int = 20_000) -> DataFrame:
     """k-means and its exemplars: k 0 means one cluster per 25 vectors, 3 at least. Centroids are
-    seeded by k-means++ and moved on a sample of at most ``fit_rows`` vectors (the first by hash
-    of the id); every vector is assigned."""
+    seeded by k-means++ on a sample of ``fit_rows`` vectors, or k if that is more (the first by
+    hash of the id); every vector moves them and is assigned."""
     import numpy as np
 
     spark = df.sparkSession
-    n = df.count()
-    k = k or int(max(3, n / 25))
-    rows = df.select(id_col, vec).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows).collect()
+    vectors = df.select(id_col, F.col(vec).cast("array<double>").alias(vec)).persist()
+    n = vectors.count()
+    k = min(k or int(max(3, n / 25)), n)
+    rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(max(fit_rows, k)).collect()
     x = np.array([r[1] for r in rows], dtype=float)
-    k = min(k, len(x))
     rng = np.random.default_rng(seed)
-    c = x[[int(rng.integers(len(x)))]] if len(x) else x
-    d = ((x - c[0]) ** 2).sum(axis=1) if len(x) else np.zeros(0)
-    while len(c) < k:
-        nxt = x[int(rng.choice(len(x), p=d / d.sum()))] if d.sum() > 0 else x[len(c)]
-        c = np.vstack([c, nxt])
-        d = np.minimum(d, ((x - nxt) ** 2).sum(axis=1))
-    for _ in range(rounds):
-        own = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2).argmin(axis=1) if len(x) * max(k, 1) * (x.shape[1] if x.ndim > 1 else 1) < 4e8 else np.array([((c - v) ** 2).sum(axis=1).argmin() for v in x])
-        new = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(k)])
+    if k < len(x):
+        c = np.empty((k, x.shape[1]))
+        c[0] = x[int(rng.integers(len(x)))]
+        d = ((x - c[0]) ** 2).sum(axis=1)
+        for j in range(1, k):
+            c[j] = x[int(rng.choice(len(x), p=d / d.sum()))] if d.sum() > 0 else x[j]
+            d = np.minimum(d, ((x - c[j]) ** 2).sum(axis=1))
+    else:
+        c = x
+    for _ in range(rounds if k else 0):
+        sent = spark.sparkContext.broadcast(c)
+        new = c.copy()
+        for r in cluster_sums(vectors.select(vec), sent, k).collect():
+            new[r.cluster] = np.array(r.s) / r.n
+        sent.destroy()
         if np.allclose(new, c):
             break
         c = new
+    vectors.unpersist()
     cents = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(c)], "cluster int, c array<double>")
     return exemplars(assign_centroids(df, cents, id_col, vec), id_col)
 

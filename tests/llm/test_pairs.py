@@ -32,11 +32,12 @@ def groups(n, links):
     return [find(k) for k in range(n)]
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("local", [2_000_000, 3])
+def test_components_of_random_graphs(spark, local):
     rnd = random.Random(4)
     for n, m in ((30, 20), (200, 190), (50, 0)):
         links = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)] + [(k, k + 1) for k in range(n // 3)]
-        got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), local=local).collect()}
         want = groups(n, links)
         assert all(got.get(k, k) == want[k] for k in range(n))
 
@@ -50,6 +51,16 @@ def test_masks_cover_every_pair_within_the_radius():
         assert any(m & diff == 0 for m in masks)
 
 
+def test_finer_masks_cover_what_a_bucket_leaves_open():
+    rnd = random.Random(2)
+    for m, finer in zip(simhash.covering_masks(4), simhash.finer_masks(4)):
+        free = [b for b in range(64) if not m >> b & 1]
+        assert all(f & m == m and (64 - f.bit_count()) <= 17 for f in finer)
+        for _ in range(100):
+            diff = sum(1 << b for b in rnd.sample(free, rnd.randint(1, 4)))
+            assert any(f & diff == 0 for f in finer)
+
+
 def slow_simhash(text):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in re.split("[ \t-\r]+", text) if w]
@@ -87,7 +98,8 @@ def test_simhash_groups_equal_brute_force(spark):
         assert got[i].component_id == rows[want[k]][0]
 
 
-def test_near_links_on_spread_fingerprints(spark):
+@pytest.mark.parametrize("split", [simhash.SPLIT, 3])
+def test_near_links_on_spread_fingerprints(spark, split):
     """Chains and rings of fingerprints around a few centres, where stars alone do not join all."""
     rnd = random.Random(3)
     fps = set()
@@ -100,7 +112,7 @@ def test_near_links_on_spread_fingerprints(spark):
     fps = sorted(f - 2**64 if f >> 63 else f for f in fps)
     links = [(a, b) for a in range(len(fps)) for b in range(a) if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 4]
     want = groups(len(fps), links)
-    got = {r.fp: r.component for r in simhash.near_links(docs(spark, [(f,) for f in fps], "fp long")).collect()}
+    got = {r.fp: r.component for r in simhash.near_links(docs(spark, [(f,) for f in fps], "fp long"), split=split).collect()}
     byc, byw = {}, {}
     for k, f in enumerate(fps):
         byc.setdefault(got.get(f, f), set()).add(f)
@@ -111,7 +123,10 @@ def test_near_links_on_spread_fingerprints(spark):
 def test_simhash_keeps_one_and_handles_nulls_and_repeats(spark):
     rows = [(5, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (9, "x y z"), (9, "x y z")]
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, component_id string")
-    assert sorted((r.doc_id or -1) for r in simhash.keep_one(df).collect()) == [-1, 2, 9, 9]
+    assert sorted((r.doc_id or -1) for r in simhash.keep_one(df).collect()) == [2, 9]
+    more = [*rows, (9, "quite another text"), (None, "m n o p"), (None, "M N O P"), (None, ""), (None, None)]
+    got = simhash.keep_one(spark.createDataFrame(more, "doc_id long, text string"))
+    assert sorted((r.doc_id or -1, (r.text or "").lower()) for r in got.collect()) == [(-1, ""), (-1, "m n o p"), (2, "a b c d e"), (9, "quite another text"), (9, "x y z")]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     assert simhash.keep_one(df).columns == df.columns
 

@@ -155,6 +155,16 @@ def test_contamination_of_empty_tables(spark):
     assert decontam.drop_contaminated(df, read(spark, "benchmark")).columns == df.columns
 
 
+@pytest.mark.parametrize("slice_chars", [decontam.SLICE_CHARS, 100])
+def test_contaminated_rows_go_by_their_own_text(spark, slice_chars):
+    docs, items = contamination_rows(6)
+    ids = [None if k % 3 == 0 else 5 for k in range(len(docs))]
+    df = spark.createDataFrame([(i, t, 1) for i, (_, t) in zip(ids, docs)], "doc_id long, text string, n_hit int")
+    left = decontam.drop_contaminated(df, spark.createDataFrame(items, "item_id long, text string"), slice_chars=slice_chars)
+    each = slow_contamination(list(enumerate(t for _, t in docs)), items)
+    assert sorted(map(str, left.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for k, (i, (_, t)) in enumerate(zip(ids, docs)) if not each[k][1])
+
+
 # language-model scores
 
 

@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch that are Python objects at a time.
+STEP = 256
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts_of(batch: pa.RecordBatch, text: int = 1) -> Iterator[list[tuple]]:
+    """The batch's rows as lists of tuples, STEP at a time, the texts as UTF-8 bytes."""
+    for at in range(0, batch.num_rows, STEP):
+        part = batch.slice(at, STEP)
+        yield list(zip(*(c.cast(pa.binary()).to_pylist() if k == text else c.to_pylist() for k, c in enumerate(part.columns))))
+    pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or, where that is unset, a
-    folder in the warehouse."""
+    """The folder all executors share, ``spark.checkpoint.dir``. Where that is unset, a folder in the
+    warehouse in local mode, where there are no other executors, and an error elsewhere."""
     sc = spark.sparkContext
-    return sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    if path := sc.getConf().get("spark.checkpoint.dir"):
+        return path
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
 
 
 def store(df: DataFrame, label: str = "t") -> DataFrame:
@@ -39,19 +58,66 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """``docs`` with two longs that tell every row from every other and are the same each time it is
+    read, their names, and what has been stored for that.
+
+    Rows selected from Parquet files have their file and their place in it; anything else is
+    stored first."""
+    plan, stored = docs._jdf.queryExecution().analyzed(), None
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or "parquet" not in plan.toString():
+        docs = stored = store(docs, "rows")
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")), ["__file", "__row"], stored
+
+
+def _smallest(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Links ``(u, v)`` as links from each node to the smallest node that it reaches in the
+    batches, ``least`` links and more at a time."""
+
+    def solve(parts: list[np.ndarray]) -> pa.RecordBatch:
+        nodes, ends = np.unique(np.concatenate(parts), return_inverse=True)
+        a, b = ends.reshape(-1, 2).T
+        to = np.arange(len(nodes))
+        while True:
+            low = np.minimum(to[a], to[b])
+            new = to.copy()
+            np.minimum.at(new, to[a], low)
+            np.minimum.at(new, to[b], low)
+            new = new[new]
+            if (new == to).all():
+                break
+            to = new
+        some = np.flatnonzero(to != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[to[some]])], ["u", "v"])
+
+    parts, n = [], 0
+    for b in batches:
+        parts.append(np.stack([c.to_numpy() for c in b.columns], axis=1).ravel())
+        n += b.num_rows
+        if n >= least:
+            yield solve(parts)
+            parts, n = [], 0
+    if n:
+        yield solve(parts)
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, local: int = 2_000_000) -> DataFrame:
     """Components of the graph with the links ``(a, b)`` of longs: ``(node, component)`` for each
     node that has a link to another node, ``component`` being the smallest node reachable.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014). Each star step is a
-    minimum with map-side combining and one join, so a node with very many links is never
-    gathered in one task. Rounds end when the links no longer change."""
-    big, small = F.greatest("a", "b"), F.least("a", "b")
-    e = store(edges.where("a <> b").select(big.alias("u"), small.alias("v")).distinct(), "cc")
+    Each task first joins what its own links join, ``local`` links at a time. Then come alternating
+    large-star and small-star rounds (Kiveris et al., 2014). Each star step is a minimum with
+    map-side combining and one join, so a node with very many links is never gathered in one
+    task. Rounds end when the links no longer change, or when ``local`` links at most are left,
+    which one task joins."""
+    shrink = lambda df: df.mapInArrow(lambda batches: _smallest(batches, local), "u long, v long")
+    e = store(shrink(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))), "cc")
     seen = None
     for _ in range(max_rounds):
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == seen:
+        if now[0] <= local or now == seen:
             break
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -64,5 +130,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if now[0] <= local:
+        new = store(shrink(e.coalesce(1)), "cc")
+        discard(e)
+        e = new
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out._stored_at = e._stored_at
+    return out

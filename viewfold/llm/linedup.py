@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewfold.llm.common import store
+from viewfold.llm.common import store, texts_of
 
 WIDTH = 3
 
@@ -68,10 +68,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def emit(batches):
         for b in batches:
             ids, hs = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                own = set(_windows(t, width)[2])
-                hs += own
-                ids += [i] * len(own)
+            for rows in texts_of(b):
+                for i, t in rows:
+                    own = set(_windows(t, width)[2])
+                    hs += own
+                    ids += [i] * len(own)
             two = np.frombuffer(b"".join(hs), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(ids, pa.int64())], ["h0", "h1", "d"])
 
@@ -83,16 +84,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [c for c in docs.columns if c != count_col]
     joined = docs.withColumn("__key", key).join(later.withColumnRenamed("d", "__key"), "__key", "left")
 
-    @F.pandas_udf("text string, n long")
-    def cut(text, later):
-        import pandas as pd
-
-        out = []
-        for t, x in zip(text, later):
-            own = frozenset(struct.pack("<qq", y["h0"], y["h1"]) for y in x) if x is not None else frozenset()
-            kept, n = _strip(None if t is None else t.encode(), own, width)
-            out.append((None if kept is None else kept.decode(), n))
-        return pd.DataFrame(out, columns=["text", "n"])
+    @F.arrow_udf("struct<text:string,n:long>")
+    def cut(text: pa.Array, later: pa.Array) -> pa.Array:
+        out: list[bytes | None] = []
+        ns: list[int] = []
+        for rows in texts_of(pa.record_batch([text, later], ["text", "later"]), 0):
+            for t, x in rows:
+                kept, n = _strip(t, frozenset(struct.pack("<qq", y["h0"], y["h1"]) for y in x or ()), width)
+                out.append(kept)
+                ns.append(n)
+        return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64())], ["text", "n"])
 
     done = joined.withColumn("__cut", cut(F.col(text_col), F.col("__later")))
     cols = [F.col("__cut.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewfold.llm.common import discard, store
+from viewfold.llm.common import discard, store, texts_of
 
 BITS, FIT_ROWS, EM_ROUNDS, EPOCHS = 14, 20_000, 60, 300
 #: Function words of the four languages.
@@ -35,8 +35,8 @@ def _shape(word: bytes) -> bytes:
     """A word's character classes with runs joined; kept for the words' raw shapes seen."""
     s = _shapes.get(word)
     if s is None:
-        s = bytes(c for k, c in enumerate(word) if k == 0 or c != word[k - 1])[:12]
-        if len(_shapes) < 200_000:
+        s = bytes(c for k, c in enumerate(word) if k == 0 or c != word[k - 1])
+        if len(_shapes) < 20_000 and len(word) <= 40:
             _shapes[word] = s
     return s
 
@@ -166,11 +166,11 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, pattern, slots, values)`` for each row; pattern -1 for a text without words."""
 
     def run(batches):
-        for b in batches:
-            made = [describe(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+        for rows in (x for b in batches for x in texts_of(b)):
+            made = [describe(t) for _, t in rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0).cast(pa.int64()),
+                    pa.array([i for i, _ in rows], pa.int64()),
                     pa.array([-1 if d is None else pattern(d[0]) for d in made], pa.int64()),
                     pa.array([[] if d is None else list(d[1]) for d in made], pa.list_(pa.int32())),
                     pa.array([[] if d is None else list(d[1].values()) for d in made], pa.list_(pa.float64())),
@@ -230,10 +230,9 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     """Rows of ``docs`` that the scorer keeps. The texts stay where they are: no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, id_col, text_col, fit_rows))
 
-    @F.pandas_udf("boolean")
-    def good(text):
-        import pandas as pd
-
-        return pd.Series([model.value.score(None if t is None else t.encode()) >= 0.5 for t in text], dtype=bool)
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        m = model.value
+        return pa.array([m.score(t) >= m.threshold for rows in texts_of(pa.record_batch([text], ["t"]), 0) for (t,) in rows], pa.bool_())
 
     return docs.where(good(F.col(text_col)))

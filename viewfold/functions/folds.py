@@ -1,19 +1,38 @@
-"""Arrow batch functions over arrays: one array a row, many rows a batch."""
+"""Arrow batch functions over arrays of structs: one array a row, many rows a batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import functions as F
-
-
-def per_row(f: Callable, kind: str):
-    """A column function that applies ``f`` to each row's array."""
-
-    @F.pandas_udf(kind)
-    def run(rows):
-        import pandas as pd
-
-        return pd.Series([f(x) for x in rows], dtype=object)
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
+
+
+def per_list(f: Callable[..., Sequence[list]], kind: str):
+    """A column function over columns of arrays. ``f`` gets a row's arrays as lists of values, one
+    list for each field of the structs, and gives a list for each field of ``kind``, the DDL of a
+    result's fields. Fields stay columns of numbers throughout: no object is made for a struct."""
+    fields = _parse_datatype_string(kind)
+    assert isinstance(fields, StructType)
+    types = [to_arrow_type(x.dataType) for x in fields]
+
+    @F.arrow_udf(ArrayType(fields))
+    def run(*arrays: pa.Array) -> pa.Array:
+        cols, cuts = [], []
+        for a in arrays:
+            values = a.values
+            at = a.offsets.to_pylist()
+            null = [not v for v in a.is_valid().to_pylist()]
+            cuts.append([(0, 0) if n else (s, e) for s, e, n in zip(at, at[1:], null)])
+            cols.append([c.to_pylist() for c in values.flatten()] if pa.types.is_struct(values.type) else [values.to_pylist()])
+        out: list[list] = [[] for _ in types]
+        ends = [0]
+        for each in zip(*cuts):
+            for o, made in zip(out, f(*(c[s:e] for (s, e), own in zip(each, cols) for c in own))):
+                o += made
+            ends.append(len(out[0]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(o, t) for o, t in zip(out, types)], fields.names))
 
     return run

@@ -98,13 +98,14 @@ def throttle(df: DataFrame, us: Column, fps: float, order: str = "n", key: str |
 
 def stabilise_fps(frames: DataFrame, interval_us: int, key: str | None = None) -> DataFrame:
     """Fills gaps: when two intervals pass without a frame the last one is repeated once per
-    interval, darkened by max(0.3, e^(-0.1 k)) at the k-th repeat, until the next frame comes.
-    Frames are numbered anew. (source_frame, repeat, brightness, out_id)"""
+    interval, until the next frame comes, darkened by max(0.3, e^(-0.1 k)) after k repeats before, so
+    that the first repeat is as bright as the frame. Frames are numbered anew. (source_frame,
+    repeat, brightness, out_id)"""
     over = _over(key, "frame_id")
     us = micros("ts")
     gap = F.lead(us).over(over) - us
     n = F.greatest(F.floor(gap / interval_us) - 1, F.lit(0))
     rows = frames.withColumn("__n", F.coalesce(n, F.lit(0))).select(*([key] if key else []), F.col("frame_id").alias("source_frame"), F.explode(F.sequence(F.lit(0), F.col("__n").cast("int"))).alias("repeat"))
-    bright = F.when(F.col("repeat") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.3), F.exp(F.col("repeat") * -0.1)))
+    bright = F.greatest(F.lit(0.3), F.exp(F.greatest(F.col("repeat") - 1, F.lit(0)) * -0.1))
     order = (W.partitionBy(key) if key else W.partitionBy(F.lit(0))).orderBy("source_frame", "repeat")
     return rows.withColumn("brightness", bright).withColumn("out_id", F.row_number().over(order).cast("long") - 1)

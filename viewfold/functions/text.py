@@ -9,27 +9,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+# fixed values: the characters a file name may keep, and the four patterns of identifiers
+FILENAME_CHARS = r"-_.()!@#$& A-Za-z0-9"
+WORD_START, WORD_BREAK, NOT_IDENTIFIER, LEADING_DIGIT = r"([^\n])([A-Z][a-z]+)", r"([a-z0-9])([A-Z])", r"[^0-9a-zA-Z_]", r"^([0-9])"
+
+
 def clean_filename(c: Column) -> Column:
-    """Each run of characters that are not letters, digits, dot, dash or underscore as one _."""
-    return F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_")
+    """Each run of other characters than FILENAME_CHARS as one _."""
+    return F.regexp_replace(c, f"[^{FILENAME_CHARS}]+", "_")
 
 
 def snake_case(c: Column) -> Column:
-    """camelCase and other names as lower-case identifiers; a leading digit gets a _ before it."""
-    c = F.regexp_replace(c, r"([A-Z]+)([A-Z][a-z])", "$1_$2")
-    c = F.lower(F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1_$2"))
-    return F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9_]+", "_"), r"^([0-9])", "_$1")
+    """camelCase as lower case with _ between words: before a capital that lower-case letters
+    follow, and between a lower-case letter or digit and a capital. Each character that can't stand
+    in an identifier becomes a _, so several may stand in a row; a leading digit gets one too."""
+    for pattern in (WORD_START, WORD_BREAK):
+        c = F.regexp_replace(c, pattern, "$1_$2")
+    return F.regexp_replace(F.regexp_replace(F.lower(c), NOT_IDENTIFIER, "_"), LEADING_DIGIT, "_$1")
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Repeats of a name get _1, _2, … in order."""
-    n = F.row_number().over(W.partitionBy(name).orderBy(order)) - 1
-    return df.withColumn(name, F.when(n > 0, F.concat(F.col(name), F.lit("_"), n.cast("string"))).otherwise(F.col(name)))
+    """Names made unique in order: a name that is taken tries _1, _2, … until one is free.
+
+    Only names that are equal but for such endings can meet. Where all of these are the same name
+    its repeats are numbered by a window; others are gone through in order, a family at a time."""
+    rows = df.withColumn("__root", F.regexp_replace(name, r"(_[0-9]+)+$", ""))
+    family = W.partitionBy("__root")
+    rows = rows.withColumn("__mixed", F.min(name).over(family) != F.max(name).over(family))
+    n = F.row_number().over(W.partitionBy("__root").orderBy(order)) - 1
+    plain = rows.where(~F.coalesce("__mixed", F.lit(False))).withColumn(name, F.when(n > 0, F.concat(F.col(name), F.lit("_"), n.cast("string"))).otherwise(F.col(name)))
+
+    def walk(t):
+        import pyarrow as pa
+
+        t = t.sort_by(order)
+        taken: set[str] = set()
+        tried: dict[str, int] = {}
+        out = []
+        for x in t.column(name).to_pylist():
+            got = x
+            while got in taken:
+                tried[x] = tried.get(x, 0) + 1
+                got = f"{x}_{tried[x]}"
+            taken.add(got)
+            out.append(got)
+        return t.set_column(t.schema.get_field_index(name), name, pa.array(out, pa.string()))
+
+    mixed = rows.where("__mixed").groupBy("__root").applyInArrow(walk, rows.schema)
+    return plain.unionByName(mixed).drop("__root", "__mixed")
 
 
 def clip_name(prefix: Column, start: Column) -> Column:
-    """Prefix and the start frame in eight places; a minus takes one of them."""
-    return F.concat(prefix, F.lit("_"), F.format_string("%08d", start))
+    """Prefix, a _ unless the prefix is a folder that ends in /, and the start frame in eight
+    places, of which a minus takes one."""
+    return F.concat(prefix, F.when(F.endswith(prefix, F.lit("/")), F.lit("")).otherwise(F.lit("_")), F.format_string("%08d", start))
+
+
+def clip_json(clip: dict[str, Column], results: Column) -> Column:
+    """The JSON text that goes with a clip: ``properties`` (timestamp, start_frame, triggered_by,
+    duration, pre_trigger_delay, target_fps as given) and ``results``, the frames' results."""
+    known = ("timestamp", "start_frame", "triggered_by", "duration", "pre_trigger_delay", "target_fps")
+    if set(clip) - set(known):
+        raise ValueError(f"unknown properties {sorted(set(clip) - set(known))}")
+    return F.to_json(F.struct(F.struct(*(clip[k].alias(k) for k in known if k in clip)).alias("properties"), results.alias("results")))
 
 
 _FIELD = re.compile(r"\$\{\{?\s*([^${}]*?)\s*\}?\}")

@@ -136,40 +136,73 @@ def cluster_sums(vectors: DataFrame, centroids, k: int) -> DataFrame:
     return vectors.mapInArrow(run, "cluster long, part long, n long, s array<double>").groupBy("cluster").applyInArrow(add, "cluster long, n long, s array<double>")
 
 
-def kmeans_exemplars(df: DataFrame, k: int = 0, id_col: str = "vec_id", vec: str = "v", rounds: int = 20, seed: int = 1, fit_rows: int = 20_000) -> DataFrame:
-    """k-means and its exemplars: k 0 means one cluster per 25 vectors, 3 at least. Centroids are
-    seeded by k-means++ on a sample of ``fit_rows`` vectors, or k if that is more (the first by
-    hash of the id); every vector moves them and is assigned."""
+def kmeans_exemplars(df: DataFrame, k: int = 0, id_col: str = "vec_id", vec: str = "v", rounds: int = 20, seed: int = 1, fit_rows: int = 20_000, seeds: list[list[float]] | None = None) -> DataFrame:
+    """k-means and its exemplars: k 0 means one cluster per 25 vectors, 3 at least. Centroids start
+    at ``seeds``, or else are seeded by k-means++ on a sample of ``fit_rows`` vectors, or k if that
+    is more (the first by hash of the id); every vector moves them and is assigned. An empty
+    cluster stays where it is, and has no exemplar."""
     import numpy as np
 
     spark = df.sparkSession
     vectors = df.select(id_col, F.col(vec).cast("array<double>").alias(vec)).persist()
-    n = vectors.count()
-    k = min(k or int(max(3, n / 25)), n)
-    rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(max(fit_rows, k)).collect()
-    x = np.array([r[1] for r in rows], dtype=float)
-    rng = np.random.default_rng(seed)
-    if k < len(x):
-        c = np.empty((k, x.shape[1]))
-        c[0] = x[int(rng.integers(len(x)))]
-        d = ((x - c[0]) ** 2).sum(axis=1)
-        for j in range(1, k):
-            c[j] = x[int(rng.choice(len(x), p=d / d.sum()))] if d.sum() > 0 else x[j]
-            d = np.minimum(d, ((x - c[j]) ** 2).sum(axis=1))
+    if seeds is not None:
+        c = np.array(seeds, dtype=float)
+        k = len(c)
     else:
-        c = x
+        n = vectors.count()
+        k = min(k or int(max(3, n / 25)), n)
+        rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(max(fit_rows, k)).collect()
+        c = seed_centroids(np.array([r[1] for r in rows], dtype=float), k, seed)
     for _ in range(rounds if k else 0):
         sent = spark.sparkContext.broadcast(c)
         new = c.copy()
         for r in cluster_sums(vectors.select(vec), sent, k).collect():
             new[r.cluster] = np.array(r.s) / r.n
         sent.destroy()
-        if np.allclose(new, c):
+        if np.allclose(new, c, rtol=1e-12, atol=1e-12):
             break
         c = new
     vectors.unpersist()
-    cents = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(c)], "cluster int, c array<double>")
-    return exemplars(assign_centroids(df, cents, id_col, vec), id_col)
+    return exemplars(nearest_of(df.where(F.col(vec).isNotNull()), c, id_col, vec), id_col)
+
+
+def seed_centroids(x, k: int, seed: int):
+    """k-means++: each next centroid is drawn by its squared distance to those there are."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    if k >= len(x):
+        return x
+    c = np.empty((k, x.shape[1]))
+    c[0] = x[int(rng.integers(len(x)))]
+    d = ((x - c[0]) ** 2).sum(axis=1)
+    for j in range(1, k):
+        c[j] = x[int(rng.choice(len(x), p=d / d.sum()))] if d.sum() > 0 else x[j]
+        d = np.minimum(d, ((x - c[j]) ** 2).sum(axis=1))
+    return c
+
+
+def nearest_of(df: DataFrame, centroids, id_col: str = "vec_id", vec: str = "v") -> DataFrame:
+    """(id, cluster, d2) by Arrow batches, a part of the distances at a time, so that many centroids
+    are no wider a row than few; they are sent to each executor once."""
+    import numpy as np
+    import pyarrow as pa
+
+    sent = df.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches):
+        c = sent.value
+        step = max(1, 4_000_000 // max(c.size, 1))
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), dtype=float).reshape(b.num_rows, -1)
+            at, d2 = np.zeros(len(x), dtype=np.int32), np.zeros(len(x))
+            for k in range(0, len(x) if len(c) else 0, step):
+                d = ((x[k : k + step, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+                at[k : k + step] = d.argmin(axis=1)
+                d2[k : k + step] = d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at), pa.array(d2)], [id_col, "cluster", "d2"])
+
+    return df.select(id_col, F.col(vec).cast("array<double>")).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, cluster int, d2 double")
 
 
 def rank_by(df: DataFrame, metric: Column, keys: list[str], k: int, tie: str) -> DataFrame:

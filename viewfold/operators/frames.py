@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from viewfold.functions.geometry import area, box, iou
-from viewfold.schema import BOX, require_columns
+from viewfold.operators.suppress import nms
+from viewfold.schema import BOX, by, require_columns
 
 STRATEGIES: dict[str, Callable[[], Column]] = {"highest_score": lambda: F.col("score"), "largest_area": lambda: area(box())}
 
@@ -34,7 +35,7 @@ def by_names(df: DataFrame, names: list[str], column: str = "events") -> DataFra
     return df.where(F.arrays_overlap(c, F.array(*map(F.lit, names))))
 
 
-def select_best(df: DataFrame, top_k: int = 1, threshold: float = 0.0, strategy: str = "highest_score", metric: Column | None = None) -> DataFrame:
+def select_best(df: DataFrame, top_k: int = 1, threshold: float = 0.0, strategy: str = "highest_score", metric: Column | None = None, stream: str | None = None) -> DataFrame:
     """Per frame: the ``top_k`` boxes of the greatest metric (ties by det_idx), or, for top_k 0,
     those with a metric over ``threshold``."""
     if top_k == 0 and threshold <= 0:
@@ -44,19 +45,22 @@ def select_best(df: DataFrame, top_k: int = 1, threshold: float = 0.0, strategy:
     m = metric if metric is not None else STRATEGIES[strategy]()
     if top_k == 0:
         return df.where(m > threshold)
-    return df.withColumn("rank", F.row_number().over(W.partitionBy("frame_id").orderBy(m.desc(), "det_idx"))).where(F.col("rank") <= top_k)
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*by(stream, "frame_id")).orderBy(m.desc(), "det_idx"))).where(F.col("rank") <= top_k)
 
 
 def overlay_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("overlay", F.concat_ws(" ", F.col("label"), F.concat(F.lit("#"), F.col("track_id").cast("string"))))
 
 
-def iou_pairs(df: DataFrame, least: float = 0.0) -> DataFrame:
+def iou_pairs(df: DataFrame, least: float = 0.0, stream: str | None = None) -> DataFrame:
     """Pairs of boxes of a frame with an IoU over ``least``."""
     a, b = df.alias("a"), df.alias("b")
     v = iou(box("a."), box("b."))
-    joined = a.join(b, (F.col("a.frame_id") == F.col("b.frame_id")) & (F.col("a.det_idx") < F.col("b.det_idx")))
-    return joined.select(F.col("a.frame_id").alias("frame_id"), F.col("a.det_idx").alias("i"), F.col("b.det_idx").alias("j"), v.alias("iou")).where(F.col("iou") > least)
+    on = F.col("a.det_idx") < F.col("b.det_idx")
+    for k in by(stream, "frame_id"):
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    joined = a.join(b, on)
+    return joined.select(*(F.col(f"a.{k}").alias(k) for k in by(stream, "frame_id")), F.col("a.det_idx").alias("i"), F.col("b.det_idx").alias("j"), v.alias("iou")).where(F.col("iou") > least)
 
 
 def crop_fanout(frames: DataFrame, results: str = "results", keep: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -108,11 +112,18 @@ def patch_classes(df: DataFrame, classified: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(f"__{c}", c) for c in ("label", "score", "category_id")}).drop("__label", "__score", "__category_id")
 
 
-def detect_in_rois(rois: DataFrame, inner: DataFrame, add_rois: bool = False) -> DataFrame:
+def detect_in_rois(rois: DataFrame, inner: DataFrame, add_rois: bool = False, nms_threshold: float | None = None, stream: str | None = None, **how) -> DataFrame:
     """Detections inside regions moved to the image, with the region's number; with ``add_rois``
-    the regions come too. ``inner``: (frame_id, roi_index, label, score, x1, y1, x2, y2)."""
-    r = rois.select("frame_id", "roi_index", F.col("x1").alias("ox"), F.col("y1").alias("oy"))
-    moved = rebase(inner.join(r, ["frame_id", "roi_index"]), (F.col("ox"), F.col("oy"))).select("frame_id", "label", "score", *BOX, F.col("roi_index").alias("crop_index"))
+    the regions come too. ``inner``: (frame_id, roi_index, label, score, x1, y1, x2, y2). With
+    ``nms_threshold``, what overlapping regions found twice is suppressed over the whole frame, and
+    inner rows need det_idx and category_id (``how``: options of ``nms``)."""
+    keys = by(stream, "frame_id", "roi_index")
+    r = rois.select(*keys, F.col("x1").alias("ox"), F.col("y1").alias("oy"))
+    moved = rebase(inner.join(r, keys), (F.col("ox"), F.col("oy")))
+    out = [*by(stream, "frame_id"), "label", "score", *BOX, F.col("roi_index").alias("crop_index")]
+    if nms_threshold is not None:
+        moved = nms(moved, nms_threshold, keep=["roi_index"], stream=stream, **how)
+    moved = moved.select(*out)
     if not add_rois:
         return moved
-    return rois.select("frame_id", "label", "score", *BOX, F.lit(None).cast("int").alias("crop_index")).unionByName(moved)
+    return rois.select(*by(stream, "frame_id"), "label", "score", *BOX, F.lit(None).cast("int").alias("crop_index")).unionByName(moved)

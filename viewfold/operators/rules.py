@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from viewfold.functions.text import template
 from viewfold.functions.times import micros
+from viewfold.schema import by
 
 #: Fixed words of the rule language.
 COMPARATORS = {
@@ -72,18 +74,18 @@ def parse_rule(text: str | dict) -> Rule:
     return Rule(text["Trigger"], text["when"], used[0], float(text[used[0]]), float(n), unit in FRAMES, most, float(q), u == "percent", params)
 
 
-def object_count(frames: DataFrame, detections: DataFrame, classes: list[str] | None = None, min_score: float | None = None) -> DataFrame:
+def object_count(frames: DataFrame, detections: DataFrame, classes: list[str] | None = None, min_score: float | None = None, key: str | None = None) -> DataFrame:
     """(frame_id, ts, value): boxes of the classes with at least the score; 0 where none."""
     ok = F.lit(True)
     if classes is not None:
         ok = ok & F.col("label").isin(*classes)
     if min_score is not None:
         ok = ok & F.coalesce(F.col("score") >= min_score, F.lit(False))
-    counts = detections.where(ok).groupBy("frame_id").agg(F.count(F.lit(1)).alias("value"))
-    return frames.select("frame_id", "ts").join(counts, "frame_id", "left").withColumn("value", F.coalesce("value", F.lit(0)).cast("double"))
+    counts = detections.where(ok).groupBy(*by(key, "frame_id")).agg(F.count(F.lit(1)).alias("value"))
+    return frames.select(*by(key, "frame_id"), "ts").join(counts, by(key, "frame_id"), "left").withColumn("value", F.coalesce("value", F.lit(0)).cast("double"))
 
 
-def zone_count(counts: DataFrame, frames: DataFrame, zones: list[str], index: int | str | None = None, classes: list[str] | None = None, aggregation: str = "sum") -> DataFrame:
+def zone_count(counts: DataFrame, frames: DataFrame, zones: list[str], index: int | str | None = None, classes: list[str] | None = None, aggregation: str = "sum", key: str | None = None) -> DataFrame:
     """Counts per zone summed over classes, then aggregated over zones. ``counts``: (frame_id,
     zone_index, label, cnt), a null label being the total; without ``classes`` every row counts,
     total and classes alike. No zone: 0 for sum, else null, which never fires."""
@@ -94,25 +96,30 @@ def zone_count(counts: DataFrame, frames: DataFrame, zones: list[str], index: in
     if index is not None and not 0 <= index < len(zones):
         raise ValueError(f"zone {index} is out of range")
     pick = counts.where(F.col("label").isin(*classes)) if classes is not None else counts
-    per = pick.groupBy("frame_id", "zone_index").agg(F.sum("cnt").alias("c"))
+    per = pick.groupBy(*by(key, "frame_id", "zone_index")).agg(F.sum("cnt").alias("c"))
     which = [index] if index is not None else list(range(len(zones)))
-    grid = frames.select("frame_id", "ts", F.explode(F.array(*map(F.lit, which)) if which else F.array().cast("array<int>")).alias("zone_index"))
+    grid = frames.select(*by(key, "frame_id"), "ts", F.explode(F.array(*map(F.lit, which)) if which else F.array().cast("array<int>")).alias("zone_index"))
     agg = {"sum": F.sum, "max": F.max, "min": F.min, "mean": F.avg, "std": F.stddev_pop}[aggregation]
-    rows = grid.join(per, ["frame_id", "zone_index"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    got = rows.groupBy("frame_id").agg(agg("c").cast("double").alias("value"))
-    out = frames.select("frame_id", "ts").join(got, "frame_id", "left")
+    rows = grid.join(per, by(key, "frame_id", "zone_index"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    got = rows.groupBy(*by(key, "frame_id")).agg(agg("c").cast("double").alias("value"))
+    out = frames.select(*by(key, "frame_id"), "ts").join(got, by(key, "frame_id"), "left")
     return out.withColumn("value", F.coalesce("value", F.lit(0.0))) if aggregation == "sum" else out
 
 
-def line_count(counts: DataFrame, frames: DataFrame, n_lines: int, index: int | None = None, directions: list[str] | None = None) -> DataFrame:
+def line_count(counts: DataFrame, frames: DataFrame, n_lines: int, index: int | None = None, directions: list[str] | None = None, key: str | None = None) -> DataFrame:
     """Crossings in the given directions over the lines. ``counts``: (frame_id, line_index, …)."""
     if index is not None and not 0 <= index < n_lines:
         raise ValueError(f"line {index} is out of range")
     have = [d for d in (directions or ["left", "right", "top", "bottom"]) if d in counts.columns]
     rows = counts if index is None else counts.where(F.col("line_index") == index)
     total = reduce(lambda a, b: a + b, [F.col(d) for d in have], F.lit(0))
-    got = rows.groupBy("frame_id").agg(F.sum(total).cast("double").alias("value"))
-    return frames.select("frame_id", "ts").join(got, "frame_id", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    got = rows.groupBy(*by(key, "frame_id")).agg(F.sum(total).cast("double").alias("value"))
+    return frames.select(*by(key, "frame_id"), "ts").join(got, by(key, "frame_id"), "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def custom_metric(frames: DataFrame, value: Column, key: str | None = None) -> DataFrame:
+    """(frame_id, ts, value): any expression over the frames' columns, null where it has none."""
+    return frames.select(*by(key, "frame_id"), "ts", value.cast("double").alias("value"))
 
 
 def fire(rule: Rule, metric: DataFrame, key: str | None = None) -> DataFrame:
@@ -130,18 +137,21 @@ def fire(rule: Rule, metric: DataFrame, key: str | None = None) -> DataFrame:
     else:
         us = micros("ts")
         d = int(rule.duration * 1_000_000)
-        over = part.orderBy(us).rangeBetween(-d, 0)
-        full = F.min(us).over(part.orderBy(us).rowsBetween(W.unboundedPreceding, 0)) < us - d
-    true, size = F.sum(hit).over(over), F.count(F.lit(1)).over(over)
+        now = part.orderBy("frame_id").rowsBetween(W.unboundedPreceding, 0)
+        # of the frames so far less what has dropped out; a later frame of the same time has not come yet
+        out = part.orderBy(us).rangeBetween(W.unboundedPreceding, -d - 1)
+        full = F.min(us).over(now) < us - d
+    upto = (lambda c: F.sum(c).over(over)) if rule.in_frames else lambda c: F.sum(c).over(now) - F.coalesce(F.sum(c).over(out), F.lit(0))
+    true, size = upto(hit), upto(F.lit(1))
     quota = size * (rule.quota / 100.0) if rule.percent else F.lit(rule.quota)
     ok = true <= quota if rule.at_most else true >= quota
     return df.withColumn("fired", ok & full if rule.percent else ok)
 
 
-def events_by_frame(named: dict[str, DataFrame]) -> DataFrame:
+def events_by_frame(named: dict[str, DataFrame], key: str | None = None) -> DataFrame:
     """(frame_id, events): the sorted names of the rules that fired; a set, empty where none."""
-    rows = [df.select("frame_id", F.when(F.col("fired"), F.lit(n)).alias("e")) for n, df in named.items()]
-    return reduce(DataFrame.unionByName, rows).groupBy("frame_id").agg(F.array_sort(F.collect_set("e")).alias("events"))
+    rows = [df.select(*by(key, "frame_id"), F.when(F.col("fired"), F.lit(n)).alias("e")) for n, df in named.items()]
+    return reduce(DataFrame.unionByName, rows).groupBy(*by(key, "frame_id")).agg(F.array_sort(F.collect_set("e")).alias("events"))
 
 
 _WORD = re.compile(r"\s*(?:(\()|(\))|([A-Za-z_][\w.]*)|(\"[^\"]*\"|'[^']*'))")
@@ -202,7 +212,8 @@ def notify(frames: DataFrame, name: str, condition: str, while_true: bool = Fals
 
     Fires when the condition becomes true, or always while it is; then only if more than the
     hold-off (whole number: frames, other number: seconds, or a pair with its unit) has passed
-    since the last frame in which the condition was true, fired or not."""
+    since the last frame in which the condition was true, fired or not. In ``message``, ${time} is
+    the frame's time and ${result.x} its column x; see ``template``."""
     if isinstance(holdoff, (tuple, list)):
         n, unit = holdoff
         if unit not in ("frames", "seconds"):
@@ -225,7 +236,8 @@ def notify(frames: DataFrame, name: str, condition: str, while_true: bool = Fals
         us = micros("ts")
         last = F.last(F.when(F.col("condition"), us), True).over(before)
         ok = ok & F.coalesce(us - last > hold_us, F.lit(True))
-    text = F.lit(message or f"Notification triggered: {name}")
+    fields = {"time": F.date_format("ts", "EEE MMM d HH:mm:ss yyyy"), "result": F.struct(*(F.col(f"`{c}`") for c in frames.columns))}
+    text = template(message or f"Notification triggered: {name}", fields)
     return df.withColumn("fired", ok).withColumn("notifications", F.when(F.col("fired"), F.create_map(F.lit(name), text)).otherwise(F.create_map().cast("map<string,string>")))
 
 
@@ -238,14 +250,16 @@ def cut_scores(df: DataFrame, window: int = 4, key: str | None = None) -> DataFr
     return df.withColumn("ratio", F.when(F.row_number().over(part) > window, ratio))
 
 
-def spaced(candidates: DataFrame, least: int, order: str = "n", key: str | None = None, first: int | None = None) -> DataFrame:
+def spaced(candidates: DataFrame, least: int, order: str = "n", key: str | None = None, first: int | None = None, keep: str | None = None) -> DataFrame:
     """Greedy spacing: a candidate counts if it is ``least`` or more after the last that counted
-    (after ``first``, if given, for the first one). A fold over the candidates of a key."""
+    (after ``first``, if given, for the first one). A fold over the candidates of a key, the least
+    value of whose column ``keep`` stays with them."""
     start = F.lit(first if first is not None else -(1 << 62)).cast("long")
-    rows = candidates.groupBy(*([key] if key else [])).agg(F.sort_array(F.collect_list(F.col(order).cast("long"))).alias("__c"))
+    extra = [F.min(keep).alias(keep)] if keep else []
+    rows = candidates.groupBy(*by(key)).agg(F.sort_array(F.collect_list(F.col(order).cast("long"))).alias("__c"), *extra)
     acc = F.struct(start.alias("last"), F.expr("array_repeat(0L, 0)").alias("kept"))
     kept = F.aggregate("__c", acc, lambda a, x: F.when(x - a["last"] >= least, F.struct(x.alias("last"), F.array_append(a["kept"], x).alias("kept"))).otherwise(a), lambda a: a["kept"])
-    return rows.select(*([key] if key else []), F.explode(kept).alias(order))
+    return rows.select(*by(key), *([keep] if keep else []), F.explode(kept).alias(order))
 
 
 def scene_cuts(df: DataFrame, ratio: float = 3.0, min_length: int = 15, window: int = 4, min_content: float = 15.0, key: str | None = None) -> DataFrame:
@@ -256,23 +270,25 @@ def scene_cuts(df: DataFrame, ratio: float = 3.0, min_length: int = 15, window:
     return spaced(found, min_length, "n", key, 0)
 
 
-def clips(triggers: DataFrame, n_frames: int, duration: int, pre: int = 0, key: str | None = None) -> DataFrame:
+def clips(triggers: DataFrame, n_frames: int | Column, duration: int, pre: int = 0, key: str | None = None) -> DataFrame:
     """(trigger, start_frame, first_frame, last_frame, whole): clips opened by trigger frames.
+    ``n_frames``: how many frames the stream has, or a column of the triggers that says it.
 
     A trigger at t opens [t - pre, t - pre + duration - 1]; others up to its last frame are
     absorbed. The start may be negative, the content is not. At the end of the stream an open
     clip holds what has come; a stream shorter than a clip loses its leading frames there."""
     if not 0 <= pre < duration:
         raise ValueError("the part before the trigger must be shorter than the clip")
-    opened = spaced(triggers, duration - pre, "trigger", key)
-    t = F.col("trigger")
-    pending = F.greatest(t + duration - pre - n_frames, F.lit(0))
-    first = F.when(pending > 0, F.lit(max(0, n_frames - duration)) + pending).otherwise(F.greatest(t - pre, F.lit(0)))
-    out = opened.select("*", (t - pre).alias("start_frame"), first.cast("long").alias("first_frame"), F.least(t - pre + duration - 1, F.lit(n_frames - 1)).alias("last_frame"), (pending == 0).alias("whole"))
+    n = F.lit(n_frames).cast("long")
+    opened = spaced(triggers.withColumn("__n", n), duration - pre, "trigger", key, keep="__n")
+    t, n = F.col("trigger"), F.col("__n")
+    pending = F.greatest(t + duration - pre - n, F.lit(0))
+    first = F.when(pending > 0, F.greatest(n - duration, F.lit(0)) + pending).otherwise(F.greatest(t - pre, F.lit(0)))
+    out = opened.select("*", (t - pre).alias("start_frame"), first.cast("long").alias("first_frame"), F.least(t - pre + duration - 1, n - 1).alias("last_frame"), (pending == 0).alias("whole")).drop("__n")
     return out.where("first_frame <= last_frame")
 
 
-def clip_frames(found: DataFrame, frames: DataFrame) -> DataFrame:
+def clip_frames(found: DataFrame, frames: DataFrame, key: str | None = None) -> DataFrame:
     """The frames of each clip, by an equi-join on the frame numbers of the clips."""
     each = found.withColumn("frame_id", F.explode(F.sequence("first_frame", "last_frame")))
-    return each.join(frames, "frame_id")
+    return each.join(frames, by(key, "frame_id"))

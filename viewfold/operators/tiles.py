@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewfold.functions.geometry import area, box
-from viewfold.operators.suppress import fuse_edges, nms
+from viewfold.operators.suppress import OWN, fused_boxes, kept_boxes, sorted_boxes
+from viewfold.schema import BOX, by
 
 GLOBAL = -999
 
@@ -100,19 +101,19 @@ class TileGrid:
         return out
 
 
-def rois_on_frames(frames: DataFrame, rois: list[tuple[float, float, float, float]]) -> DataFrame:
+def rois_on_frames(frames: DataFrame, rois: list[tuple[float, float, float, float]], stream: str | None = None) -> DataFrame:
     """Fixed regions as detections ROI0, ROI1, … of every frame, with score 1."""
     items = F.array(*(F.struct(F.lit(f"ROI{k}").alias("label"), F.lit(1.0).alias("score"), *(F.lit(float(v)).alias(n) for v, n in zip(r, ("x1", "y1", "x2", "y2")))) for k, r in enumerate(rois)))
-    return frames.select("frame_id", F.posexplode(items).alias("roi_index", "r")).select("frame_id", "roi_index", "r.*")
+    return frames.select(*by(stream, "frame_id"), F.posexplode(items).alias("roi_index", "r")).select(*by(stream, "frame_id"), "roi_index", "r.*")
 
 
-def motion_gate(rois: DataFrame, motion: DataFrame, threshold: float, look_back: int = 1) -> DataFrame:
+def motion_gate(rois: DataFrame, motion: DataFrame, threshold: float, look_back: int = 1, stream: str | None = None) -> DataFrame:
     """Regions with more changed pixels than ``threshold`` of their area. ``motion``: (frame_id,
     x, y) of changed pixels against the frame ``look_back`` before. The first ``look_back``
     frames keep all regions."""
-    hits = rois.alias("r").join(motion.alias("m"), "frame_id", "left")
+    hits = rois.alias("r").join(motion.alias("m"), by(stream, "frame_id"), "left")
     inside = (F.col("m.x") >= F.col("r.x1")) & (F.col("m.x") < F.col("r.x2")) & (F.col("m.y") >= F.col("r.y1")) & (F.col("m.y") < F.col("r.y2"))
-    changed = hits.groupBy("frame_id", "roi_index", "label", "score", "x1", "y1", "x2", "y2").agg(F.count_if(inside).alias("changed"))
+    changed = hits.groupBy(*by(stream, "frame_id"), "roi_index", "label", "score", *BOX).agg(F.count_if(inside).alias("changed"))
     return changed.where((F.col("frame_id") < look_back) | (F.col("changed") > threshold * area(box())))
 
 
@@ -145,16 +146,20 @@ def on_inner_edge(b, tile_id: Column, grid: TileGrid, band: float = 0.02, slack:
     return real & (left | right | top | bottom)
 
 
-def merge_tiles(found: DataFrame, tiles: DataFrame, grid: TileGrid, threshold: float = 0.3, large: float | None = None, fusion: float | None = None, band: float = 0.02) -> DataFrame:
+def merge_tiles(found: DataFrame, tiles: DataFrame, grid: TileGrid, threshold: float = 0.3, large: float | None = None, fusion: float | None = None, band: float = 0.02, stream: str | None = None) -> DataFrame:
     """Detections of tiles, in tile coordinates, as detections of frames: moved to the image, split
-    by size if ``large`` is given, boxes at inner edges fused if ``fusion`` is given, then NMS."""
+    by size if ``large`` is given, boxes at inner edges fused if ``fusion`` is given, then NMS. A
+    frame's boxes are gathered once for both."""
     edge = on_inner_edge(box(), F.col("tile_id"), grid, band) & (F.col("tile_id") != GLOBAL) if fusion is not None else F.lit(False)
     moved = to_image(found.withColumn("edge", edge), tiles)
     if large is not None:
         moved = split_by_size(moved, grid.image, grid.overlap, large)
-    cols = ["frame_id", "det_idx", "label", "category_id", "score", "x1", "y1", "x2", "y2"]
-    rest = moved.where("not edge").select(*cols)
+    frames = by(stream, "frame_id")
+    rows = sorted_boxes(moved, [*frames, "label"], ["edge"])
+    item = lambda b: F.struct((-b["score"]).alias("k"), *(b[c].alias(c) for c in OWN))
+    boxes = F.transform(F.filter("boxes", lambda b: ~b["edge"]), item)
     if fusion is not None:
-        fused = fuse_edges(moved.where("edge").select(*cols), fusion)
-        rest = rest.unionByName(fused.withColumn("det_idx", F.xxhash64("x1", "y1", "x2", "y2", "score")).select(*cols))
-    return nms(rest, threshold)
+        fused = fused_boxes(F.filter("boxes", lambda b: b["edge"] & (b["score"] >= 0)), fusion)
+        boxes = F.sort_array(F.concat(boxes, F.transform(fused, item)))
+    kept = kept_boxes(F.filter(boxes, lambda b: b["score"] > 0), threshold, True, 0.0)
+    return rows.select(*frames, F.inline(kept)).select(*frames, "det_idx", "label", "category_id", "score", *BOX)

@@ -1,7 +1,7 @@
 """Polygon zones: which boxes are inside, occupancy with hysteresis, presence times and events.
 
-All is keyed by (zone, track); frames in which a track has no row are never materialised for the
-counter, they only let it decay.
+All is keyed by (zone, track), within ``stream`` where several streams are in one table; frames in
+which a track has no row are never materialised for the counter, they only let it decay.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from viewfold.functions.folds import per_row
+from viewfold.functions.folds import per_list
 from viewfold.functions.geometry import anchor, box, clip_and_scale, in_polygon, iopa
 from viewfold.functions.times import micros
-from viewfold.schema import BOX, require_columns
+from viewfold.schema import BOX, by, require_columns
 
 Zones = dict[str, list[tuple[int, int]]]
 
@@ -89,68 +89,124 @@ def step(state: tuple[int, int, int | None, int | None], frame: int, hit: bool,
     return (frame, c, since, begun), ended, was
 
 
-_STATES = "array<struct<frame_id:long,hit:boolean,counter:int,since:long,left_at:long,left_since:long,begun:long>>"
+_STATES = "frame_id long, hit boolean, label string, counter int, since long, left_at long, left_since long, begun long, held_label string"
 
 
-def hysteresis(marked: DataFrame, timeout: int = 0) -> DataFrame:
+def hysteresis(marked: DataFrame, timeout: int = 0, stream: str | None = None) -> DataFrame:
     """A row per sighting and zone: ``counter``, ``since`` (the frame in which the track was
     established, null while it isn't), ``in_zone``, ``frames_in_zone``, and ``left_at`` with
-    ``left_since`` where an episode ended on or before this sighting. ``next_frame`` is the
-    track's next sighting."""
-    require_columns(marked, "frame_id", "track_id", "zone_index", "zone_id", "hit")
+    ``left_since`` where an episode ended on or before this sighting. ``held_label`` is the label
+    with which the episode began, which counts while the track is outside or missing; after an
+    ended episode it is that episode's. ``next_frame`` is the track's next sighting.
+
+    A track's sightings in a zone are one array; how long a history may be is bounded by a row of
+    2 GB, some 50 million sightings."""
+    keys = by(stream, "zone_index", "zone_id", "track_id")
+    require_columns(marked, "frame_id", "hit", *keys)
     most = timeout + 1
 
-    def walk(rows) -> list[dict]:
-        state, out = (-1, 0, None, None), []
-        for r in rows:
-            state, ended, was = step(state, r["frame_id"], bool(r["hit"]), most)
-            out.append({"frame_id": r["frame_id"], "hit": bool(r["hit"]), "counter": state[1], "since": state[2], "left_at": ended, "left_since": was, "begun": state[3]})
-        return out
-
-    fold = per_row(walk, _STATES)
-    seq = marked.groupBy("zone_index", "zone_id", "track_id").agg(F.sort_array(F.collect_list(F.struct("frame_id", "hit"))).alias("rows"))
-    out = seq.select("zone_index", "zone_id", "track_id", F.inline(fold("rows")))
-    over = W.partitionBy("zone_index", "track_id").orderBy("frame_id")
+    def walk(frames, hits, labels) -> tuple[list, ...]:
+        state, held = (-1, 0, None, None), None
+        out: list[tuple] = []
+        for frame, hit, label in zip(frames, hits, labels):
+            begun = state[3]
+            state, ended, was = step(state, frame, bool(hit), most)
+            before = held
+            if state[3] is not None and state[3] != begun:
+                held = label
+            out.append((frame, bool(hit), label, state[1], state[2], ended, was, state[3], before if ended is not None else held))
+        return tuple(map(list, zip(*out))) if out else ([],) * 9
+
+    fold = per_list(walk, _STATES)
+    label = F.col("label") if "label" in marked.columns else F.lit(None).cast("string")
+    seq = marked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("frame_id", "hit", label.alias("label")))).alias("rows"))
+    out = seq.select(*keys, F.inline(fold("rows")))
+    over = W.partitionBy(*by(stream, "zone_index", "track_id")).orderBy("frame_id")
     return out.withColumns({"next_frame": F.lead("frame_id").over(over), "in_zone": F.col("since").isNotNull(), "frames_in_zone": F.when(F.col("since").isNotNull(), F.col("frame_id") - F.col("since") + 1).otherwise(F.lit(0))})
 
 
-def with_times(states: DataFrame, frames: DataFrame) -> DataFrame:
+def with_times(states: DataFrame, frames: DataFrame, stream: str | None = None) -> DataFrame:
     """``time_in_zone`` in microseconds: since the frame of establishment."""
-    t = frames.select(F.col("frame_id"), micros("ts").alias("us"))
-    since = t.select(F.col("frame_id").alias("since"), F.col("us").alias("us0"))
-    return states.join(t, "frame_id").join(since, "since", "left").withColumn("time_in_zone", F.when(F.col("in_zone"), F.col("us") - F.col("us0"))).drop("us", "us0")
+    t = frames.select(*by(stream, "frame_id"), micros("ts").alias("us"))
+    since = t.select(*by(stream), F.col("frame_id").alias("since"), F.col("us").alias("us0"))
+    return states.join(t, by(stream, "frame_id")).join(since, by(stream, "since"), "left").withColumn("time_in_zone", F.when(F.col("in_zone"), F.col("us") - F.col("us0"))).drop("us", "us0")
+
+
+_FACT = "struct<kind:string,frame_id:long,track_id:long,label:string,since:long,delta:int>"
+
+
+def _facts(states: DataFrame, stream: str | None) -> DataFrame:
+    """What each sighting says, in one pass: entries, exits, and by how much the number of
+    established tracks rises or falls from a frame on, those missing whose counter has not run out
+    included. (…, kind, frame_id, track_id, label, since, delta)"""
+    far = F.lit(1 << 60)
+    since, frame = F.col("since"), F.col("frame_id")
+    here = since.isNotNull()
+    last = F.least(F.coalesce("next_frame", far) - 1, frame + F.col("counter") - 1)
+    ends = here & F.col("next_frame").isNull()
+    seen = F.when(F.col("hit"), F.col("label")).otherwise(F.col("held_label"))
+    none = F.lit(None)
+
+    def fact(when, kind, at, label=none, start=none, delta=none):
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), at.alias("frame_id"), F.col("track_id"), label.cast("string").alias("label"), start.cast("long").alias("since"), F.lit(delta).cast("int").alias("delta")).cast(_FACT))
+
+    apart = here & (last > frame) & ~seen.eqNullSafe(F.col("held_label"))
+    rows = F.array_compact(
+        F.array(
+            fact(here & (since == frame), "zone_entry", frame, F.col("label")),
+            fact(F.col("left_at").isNotNull(), "zone_exit", F.col("left_at"), F.col("held_label"), F.col("left_since")),
+            fact(ends, "zone_exit", frame + F.col("counter"), F.col("held_label"), since),
+            fact(here, "in", frame, seen, delta=1),
+            fact(here, "out", F.when(apart, frame + 1).otherwise(F.greatest(frame, last) + 1), seen, delta=-1),
+            fact(apart, "in", frame + 1, F.col("held_label"), delta=1),
+            fact(apart, "out", last + 1, F.col("held_label"), delta=-1),
+        )
+    )
+    keys = by(stream, "zone_index", "zone_id")
+    return states.select(*keys, F.explode(rows).alias("__f")).select(*keys, "__f.*")
+
+
+def _grid(frames: DataFrame, zones: Zones, stream: str | None) -> DataFrame:
+    names = F.array(*(F.struct(F.lit(k).alias("zone_index"), F.lit(n).alias("zone_id")) for k, n in enumerate(zones)))
+    return frames.select(*by(stream), "frame_id", "ts", F.inline(names))
 
 
-def occupancy(states: DataFrame, frames: DataFrame, zones: Zones) -> DataFrame:
+def occupancy(states: DataFrame, frames: DataFrame, zones: Zones, stream: str | None = None, classes: list[str] | None = None) -> DataFrame:
     """Established tracks per frame and zone, frames without any included: those seen, and those
-    missing whose counter has not run out."""
-    seen = states.where("since is not null").select("zone_index", "frame_id")
-    gap = (F.col("since").isNotNull()) & (F.col("counter") > 1) & (F.coalesce(F.col("next_frame"), F.lit(1 << 60)) > F.col("frame_id") + 1)
-    absent = states.where(gap).select("zone_index", F.explode(F.sequence(F.col("frame_id") + 1, F.least(F.coalesce(F.col("next_frame"), F.lit(1 << 60)) - 1, F.col("frame_id") + F.col("counter") - 1))).alias("frame_id"))
-    counts = seen.unionByName(absent).groupBy("zone_index", "frame_id").agg(F.count(F.lit(1)).alias("total"))
-    names = F.array(*(F.struct(F.lit(k).alias("zone_index"), F.lit(n).alias("zone_id")) for k, n in enumerate(zones)))
-    grid = frames.select("frame_id", "ts", F.inline(names))
-    return grid.join(counts, ["zone_index", "frame_id"], "left").withColumn("total", F.coalesce("total", F.lit(0)).cast("long"))
-
-
-def zone_events(states: DataFrame, frames: DataFrame, zones: Zones) -> DataFrame:
-    """(event_type, zone_index, zone_id, frame_id, track_id, dwell_us): entries, exits with the
-    time since establishment, and zones becoming occupied or empty with the time spent in the
-    state before, counted from its start or from the first frame. An exit by absence falls on
-    the frame in which the counter runs out, if the stream gets that far."""
-    t = frames.select("frame_id", micros("ts").alias("us"))
-    none = F.lit(None).cast("long")
-    entry = states.where("since = frame_id").select(F.lit("zone_entry").alias("event_type"), "zone_index", "zone_id", "frame_id", "track_id", none.alias("dwell_us"))
-    on_time = states.where("left_at is not null").select("zone_index", "zone_id", "track_id", F.col("left_at").alias("frame_id"), F.col("left_since").alias("since"))
-    last = states.where("since is not null and next_frame is null").select("zone_index", "zone_id", "track_id", (F.col("frame_id") + F.col("counter")).alias("frame_id"), "since")
-    began = t.select(F.col("frame_id").alias("since"), F.col("us").alias("us0"))
-    left = on_time.unionByName(last).join(t, "frame_id").join(began, "since")
-    exits = left.select(F.lit("zone_exit").alias("event_type"), "zone_index", "zone_id", "frame_id", "track_id", (F.col("us") - F.col("us0")).alias("dwell_us"))
-    over = W.partitionBy("zone_index").orderBy("frame_id")
-    busy = occupancy(states, frames, zones).withColumn("busy", F.col("total") > 0).withColumn("was", F.coalesce(F.lag("busy").over(over), F.lit(False)))
-    busy = busy.withColumn("us", micros("ts")).withColumn("turn", F.col("busy") != F.col("was"))
-    first = F.min("us").over(W.partitionBy("zone_index"))
-    change = F.last(F.when(F.col("turn"), F.col("us")), True).over(over.rowsBetween(W.unboundedPreceding, -1))
-    busy = busy.withColumn("start", F.when(F.row_number().over(over) > 1, F.coalesce(change, first)))
-    turns = busy.where("turn").select(F.when(F.col("busy"), "zone_occupied").otherwise("zone_empty").alias("event_type"), "zone_index", "zone_id", "frame_id", none.alias("track_id"), (F.col("us") - F.col("start")).alias("dwell_us"))
-    return entry.unionByName(exits).unionByName(turns)
+    missing whose counter has not run out. With ``classes`` there is a column for each besides:
+    tracks inside count as what they are labelled, others as what they entered as."""
+    keys = by(stream, "zone_index")
+    delta = F.col("delta").cast("long")
+    per = {"total": delta} | {f"class_{c}": F.when(F.col("label") == c, delta) for c in classes or ()}
+    # steps may fall on numbers that no frame has, so they are summed up beside the frames
+    rows = _grid(frames, zones, stream).withColumn("__frame", F.lit(True)).unionByName(_facts(states, stream).where("delta is not null"), allowMissingColumns=True)
+    upto = W.partitionBy(*keys).orderBy("frame_id").rangeBetween(W.unboundedPreceding, 0)
+    counted = rows.withColumns({n: F.coalesce(F.sum(v).over(upto), F.lit(0)) for n, v in per.items()})
+    return counted.where("__frame").select(*keys, "zone_id", "frame_id", "ts", *per)
+
+
+def zone_events(states: DataFrame, frames: DataFrame, zones: Zones, stream: str | None = None) -> DataFrame:
+    """(event_type, zone_index, zone_id, frame_id, timestamp_us, track_id, object_label, dwell_us):
+    entries, exits with the time since establishment, and zones becoming occupied or empty with
+    the time spent in the state before, counted from its start or from the first frame. An exit
+    by absence falls on the frame in which the counter runs out, if the stream gets that far.
+    An entry has the object's label, an exit the label with which it entered.
+
+    The states are read once: what they say and the frames go through one sort by zone."""
+    facts = _facts(states, stream)
+    grid = _grid(frames, zones, stream).withColumns({"kind": F.lit("frame"), "us": micros("ts")}).drop("ts")
+    t = frames.select(*by(stream), F.col("frame_id"), micros("ts").alias("us"))
+    began = t.select(*by(stream), F.col("frame_id").alias("since"), F.col("us").alias("us0"))
+    told = facts.join(t, by(stream, "frame_id"), "left").join(began, by(stream, "since"), "left")
+    zone = W.partitionBy(*by(stream, "zone_index"))
+    upto = zone.orderBy("frame_id").rangeBetween(W.unboundedPreceding, 0)
+    rows = told.unionByName(grid, allowMissingColumns=True).withColumn("busy", F.coalesce(F.sum("delta").over(upto), F.lit(0)) > 0)
+    own = W.partitionBy(*by(stream, "zone_index"), F.col("kind") == "frame").orderBy("frame_id")
+    rows = rows.where("delta is null").withColumn("turn", F.col("busy") != F.coalesce(F.lag("busy").over(own), F.lit(False)))
+    change = F.last(F.when(F.col("turn"), F.col("us")), True).over(own.rowsBetween(W.unboundedPreceding, -1))
+    start = F.when(F.row_number().over(own) > 1, F.coalesce(change, F.first("us").over(own)))
+    rows = rows.withColumn("start", start)
+    frame, out = F.col("kind") == "frame", F.col("kind") == "zone_exit"
+    kind = F.when(~frame, F.col("kind")).when(F.col("busy"), "zone_occupied").otherwise("zone_empty")
+    dwell = F.when(frame, F.col("us") - F.col("start")).when(out, F.col("us") - F.col("us0"))
+    return rows.where(F.col("us").isNotNull() & (~frame | F.col("turn"))).select(kind.alias("event_type"), *by(stream), "zone_index", "zone_id", "frame_id", F.col("us").alias("timestamp_us"), "track_id", F.col("label").alias("object_label"), dwell.alias("dwell_us"))

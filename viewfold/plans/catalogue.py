@@ -39,11 +39,13 @@ TRK = """k AS (SELECT greatest(5, count(DISTINCT user_id) // 3) AS k FROM events
 g AS (SELECT event_id // k AS frame_id, ts, user_id, event_type, value FROM events, k),
 frm AS (SELECT frame_id, min(ts) AS ts FROM g GROUP BY frame_id),
 trk AS (
-  SELECT g.frame_id, frm.ts AS ts, user_id AS track_id, min(event_type) AS label,
+  SELECT g.frame_id, frm.ts AS ts, user_id AS track_id, min(event_type) AS label, user_id % 8 AS stream_id,
     CAST((user_id*37 + g.frame_id*11) % 600 AS DOUBLE) AS x1, CAST((user_id*53 + g.frame_id*7) % 420 AS DOUBLE) AS y1,
     CAST((user_id*37 + g.frame_id*11) % 600 + 40 AS DOUBLE) AS x2, CAST((user_id*53 + g.frame_id*7) % 420 + 60 AS DOUBLE) AS y2,
     ROUND(max(value)/500.0, 4) AS score
-  FROM g JOIN frm ON g.frame_id = frm.frame_id GROUP BY g.frame_id, frm.ts, user_id)"""
+  FROM g JOIN frm ON g.frame_id = frm.frame_id GROUP BY g.frame_id, frm.ts, user_id),
+sfr AS (SELECT frm.frame_id, frm.ts, s.range AS stream_id FROM frm, range(8) s)"""
+KEY = "stream_id"
 BOXES = "x1, y1, x2, y2"
 
 
@@ -55,6 +57,10 @@ def trk(spark, sf):
     return src.tracks(spark, sf)
 
 
+def stream_frames(t: DataFrame) -> DataFrame:
+    return src.frames_of(t, src.STREAMS)
+
+
 def rounded(df: DataFrame, names=("x1", "y1", "x2", "y2"), places: int = 4) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
@@ -201,22 +207,64 @@ def nms_ios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppress.nms(det(spark, sf_dir), 0.4, use_iou=False).select(*_NMS_OUT)
 
 
-@query()
+_PLACE = {
+    "largest_area": (["s.x1", "s.y1", "s.x2", "s.y2"], ["CASE WHEN {l} THEN s.x1 ELSE k.c1 END", "CASE WHEN {l} THEN s.y1 ELSE k.c2 END", "CASE WHEN {l} THEN s.x2 ELSE k.c3 END", "CASE WHEN {l} THEN s.y2 ELSE k.c4 END"], "k.c{n}"),
+    "average": (["s.x1 * s.score", "s.y1 * s.score", "s.x2 * s.score", "s.y2 * s.score"], ["k.c1 + s.x1 * s.score", "k.c2 + s.y1 * s.score", "k.c3 + s.x2 * s.score", "k.c4 + s.y2 * s.score"], "CASE WHEN k.cs <> 0 THEN k.c{n} / k.cs ELSE k.{b} END"),
+    "merge": (["s.x1", "s.y1", "s.x2", "s.y2"], ["least(k.c1, s.x1)", "least(k.c2, s.y1)", "greatest(k.c3, s.x2)", "greatest(k.c4, s.y2)"], "k.c{n}"),
+}
+
+
+def _policy_sql(policy: str, threshold: float) -> str:
+    """Each box joins the first kept box that it overlaps, which is what suppresses it."""
+    start, join, place = _PLACE[policy]
+    larger = "(s.x2 - s.x1 + 1) * (s.y2 - s.y1 + 1) >= (k.c3 - k.c1 + 1) * (k.c4 - k.c2 + 1)"
+    own = lambda v, c, cs: "{'i': %s.i, 'score': %s.score, 'x1': %s.x1, 'y1': %s.y1, 'x2': %s.x2, 'y2': %s.y2, " % ((v,) * 6) + ", ".join(f"'c{n}': CAST({e} AS DOUBLE)" for n, e in enumerate(c, 1)) + f", 'cs': CAST({cs} AS DOUBLE)}}"
+    new, grown = own("s", start, "s.score"), own("k", [e.format(l=larger) for e in join], "k.cs + s.score")
+    return f"""WITH RECURSIVE {DET}, s AS (SELECT *, det_idx AS i, row_number() OVER (PARTITION BY frame_id, label ORDER BY score DESC, det_idx, {BOXES}) AS rn FROM det),
+f AS (
+  SELECT frame_id, label, CAST(1 AS BIGINT) AS rn, [{new}] AS kept FROM s WHERE rn = 1
+  UNION ALL
+  SELECT frame_id, label, rn, CASE WHEN pos > 0 THEN list_transform(kept, lambda k, j: CASE WHEN j = pos THEN {grown} ELSE k END) ELSE list_append(kept, {new}) END
+  FROM (SELECT f.kept, s.*, coalesce(list_position(list_transform(f.kept, lambda k: {_over_sql(1.0, True)} > {threshold}), TRUE), 0) AS pos FROM f JOIN s ON f.frame_id = s.frame_id AND f.label = s.label AND s.rn = f.rn + 1) s),
+l AS (SELECT frame_id, label, arg_max(kept, rn) AS kept FROM f GROUP BY ALL), u AS (SELECT frame_id, label, unnest(kept) AS k FROM l)
+SELECT frame_id, k.i AS det_idx, label, k.score AS score, {', '.join(f"round({place.format(n=n, b=b)}, 4) AS {b}" for n, b in enumerate(('x1', 'y1', 'x2', 'y2'), 1))} FROM u"""
+
+
+@query(_policy_sql("largest_area", 0.1))
 def nms_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppress.nms(det(spark, sf_dir), 0.1, policy="largest_area").select(*_NMS_OUT)
+    return rounded(suppress.nms(det(spark, sf_dir), 0.1, policy="largest_area").select(*_NMS_OUT))
 
 
-@query()
+@query(_policy_sql("average", 0.1))
 def nms_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(suppress.nms(det(spark, sf_dir), 0.1, policy="average").select(*_NMS_OUT))
 
 
-@query()
+@query(_policy_sql("merge", 0.1))
 def nms_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suppress.nms(det(spark, sf_dir), 0.1, policy="merge").select(*_NMS_OUT)
+    return rounded(suppress.nms(det(spark, sf_dir), 0.1, policy="merge").select(*_NMS_OUT))
+
+
+def _fuse_sql(src_: str, threshold: float) -> str:
+    """CTEs from ``src_`` (frame_id, label, category_id, det_idx, score, box) to fz, with n parts."""
+    item = "{'i': s.i, 'score': s.score, 'x1': s.x1, 'y1': s.y1, 'x2': s.x2, 'y2': s.y2, 'n': s.n, 'free': TRUE}"
+    w, h = ("greatest(0.0, least(k.{c}2, s.{c}2) - greatest(k.{c}1, s.{c}1))".format(c=c) for c in "xy")
+    side = lambda i, c: f"coalesce({i} / nullif((k.{c}2 - k.{c}1) + (s.{c}2 - s.{c}1) - {i}, 0), 0)"
+    ratio = f"CASE WHEN k.free AND {w} > 0 AND {h} > 0 THEN greatest({side(w, 'x')}, {side(h, 'y')}) ELSE 0.0 END"
+    both = "{'i': least(k.i, s.i), 'score': (k.score + s.score) / 2, 'x1': least(k.x1, s.x1), 'y1': least(k.y1, s.y1), 'x2': greatest(k.x2, s.x2), 'y2': greatest(k.y2, s.y2), 'n': k.n + s.n, 'free': FALSE}"
+    out = [f"fs1 AS (SELECT frame_id, label, category_id, det_idx AS i, score, {BOXES}, CAST(1 AS INTEGER) AS n, row_number() OVER (PARTITION BY frame_id, label ORDER BY score DESC, det_idx, {BOXES}) AS rn FROM {src_})"]
+    for k in (1, 2):
+        out.append(f"""ff{k} AS (
+  SELECT frame_id, label, category_id, CAST(1 AS BIGINT) AS rn, [{item}] AS kept FROM fs{k} s WHERE rn = 1
+  UNION ALL
+  SELECT frame_id, label, category_id, rn, CASE WHEN list_max(ratios) > {threshold} THEN list_transform(kept, lambda k, j: CASE WHEN j = list_position(ratios, list_max(ratios)) THEN {both} ELSE k END) ELSE list_append(kept, {item}) END
+  FROM (SELECT f.kept, s.*, list_transform(f.kept, lambda k: {ratio}) AS ratios FROM ff{k} f JOIN fs{k} s ON f.frame_id = s.frame_id AND f.label = s.label AND s.rn = f.rn + 1) s),
+fl{k} AS (SELECT frame_id, label, category_id, arg_max(kept, rn) AS kept FROM ff{k} GROUP BY ALL),
+fs{k + 1} AS (SELECT frame_id, label, category_id, e.i AS i, e.score AS score, e.x1 AS x1, e.y1 AS y1, e.x2 AS x2, e.y2 AS y2, e.n AS n, rn FROM (SELECT frame_id, label, category_id, unnest(kept) AS e, generate_subscripts(kept, 1) AS rn FROM fl{k}))""")
+    return ", ".join([*out, "fz AS (SELECT * FROM fs3)"])
 
 
-@query()
+@query(f"WITH RECURSIVE {DET}, {_fuse_sql('(SELECT * FROM det WHERE score >= 0)', 0.55)} SELECT frame_id, label, category_id, round(score, 6) AS score, {BOXES}, n FROM fz")
 def edge_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppress.fuse_edges(det(spark, sf_dir), 0.55).withColumn("score", F.round("score", 6))
 
@@ -299,11 +347,32 @@ def edge_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("frame_id", "det_idx", "tile_id", tiles.on_inner_edge(box(), F.col("tile_id"), GRID).alias("edge"))
 
 
-@query()
+_EDGE = f"""(x1 - 1 <> x2 + 1 AND y1 - 1 <> y2 + 1) AND (
+  (tile_id % 3 <> 0 AND x1 - 1 <= {_EW * 0.02!r} AND x2 + 1 >= 0) OR (tile_id % 3 <> 2 AND x2 + 1 >= {_EW * 0.98!r} AND x1 - 1 <= {_EW!r})
+  OR (tile_id // 3 <> 0 AND y1 - 1 <= {_EH * 0.02!r} AND y2 + 1 >= 0) OR (tile_id // 3 <> 1 AND y2 + 1 >= {_EH * 0.98!r} AND y1 - 1 <= {_EH!r}))"""
+
+
+@query(f"""WITH RECURSIVE {_TILED}, mv AS (SELECT frame_id, det_idx, label, category_id, score, x1 + ox AS x1, y1 + oy AS y1, x2 + ox AS x2, y2 + oy AS y2, tile_id >= 0 AND {_EDGE} AS edge FROM loc
+  WHERE CASE WHEN tile_label = 'GLOBAL' THEN (x2 - x1) * (y2 - y1) >= 640.0 * 480.0 * 0.01 * 0.1 * 5 ELSE (x2 - x1) * (y2 - y1) < 640.0 * 480.0 * 0.01 END),
+{_fuse_sql('(SELECT * FROM mv WHERE edge AND score >= 0)', 0.8)},
+al AS (SELECT frame_id, det_idx, label, category_id, score, {BOXES} FROM mv WHERE NOT edge UNION ALL SELECT frame_id, i, label, category_id, score, {BOXES} FROM fz),
+s AS (SELECT *, row_number() OVER (PARTITION BY frame_id, label ORDER BY score DESC, det_idx, {BOXES}) AS rn FROM al WHERE score > 0),
+f AS (
+  SELECT frame_id, label, CAST(1 AS BIGINT) AS rn, [{{'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM s WHERE rn = 1
+  UNION ALL
+  SELECT f.frame_id, f.label, s.rn, CASE WHEN list_bool_or(list_transform(f.kept, lambda k: {_over_sql(0.0, True)} > 0.3)) THEN f.kept ELSE list_append(f.kept, {{'score': s.score, 'x1': s.x1, 'y1': s.y1, 'x2': s.x2, 'y2': s.y2}}) END
+  FROM f JOIN s ON f.frame_id = s.frame_id AND f.label = s.label AND s.rn = f.rn + 1),
+l AS (SELECT frame_id, label, arg_max(kept, rn) AS kept FROM f GROUP BY ALL), u AS (SELECT frame_id, label, unnest(kept) AS k FROM l)
+SELECT frame_id, label, round(k.score, 6) AS score, k.x1 AS x1, k.y1 AS y1, k.x2 AS x2, k.y2 AS y2 FROM u""")
 def tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.merge_tiles(_in_tiles(spark, sf_dir), GRID.frame(spark), GRID, large=0.01, fusion=0.8).select("frame_id", "label", F.round("score", 6).alias("score"), *box())
 
 
+@query(f"WITH {TILES} SELECT tile_id, row, col, x1, y1, x2, y2 FROM tl WHERE tile_id IN (0, 2, 5)")
+def tile_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.TileGrid(3, 2, 0.1, 1.0, (640, 480), mask=(0, 2, 5)).frame(spark).select("tile_id", "row", "col", *box())
+
+
 @query(f"""WITH {TRK}, r(roi_index, label, x1, y1, x2, y2) AS (VALUES (0, 'ROI0', 0.0, 0.0, 320.0, 240.0), (1, 'ROI1', 320.0, 240.0, 640.0, 480.0))
 SELECT frame_id, roi_index, r.label, CAST(1.0 AS DOUBLE) AS score, CAST(r.x1 AS DOUBLE) AS x1, CAST(r.y1 AS DOUBLE) AS y1, CAST(r.x2 AS DOUBLE) AS x2, CAST(r.y2 AS DOUBLE) AS y2 FROM frm, r""")
 def roi_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,10 +417,10 @@ def overlay_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.overlay_labels(frames.class_filter(trk(spark, sf_dir), ["click", "view", "purchase"], True)).select("frame_id", "track_id", "overlay")
 
 
-@query(f"WITH {TRK} SELECT frm.frame_id, CAST(count(trk.track_id) AS DOUBLE) AS value FROM frm LEFT JOIN trk ON frm.frame_id = trk.frame_id AND trk.score >= 0.9 GROUP BY frm.frame_id")
+@query(f"WITH {TRK} SELECT sfr.stream_id, sfr.frame_id, CAST(count(trk.track_id) AS DOUBLE) AS value FROM sfr LEFT JOIN trk ON sfr.frame_id = trk.frame_id AND sfr.stream_id = trk.stream_id AND trk.score >= 0.2 GROUP BY ALL")
 def object_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trk(spark, sf_dir)
-    return rules.object_count(src.frames_of(t), t, None, 0.9).select("frame_id", "value")
+    return rules.object_count(stream_frames(t), t, None, 0.2, key=KEY).select(KEY, "frame_id", "value")
 
 
 @query(f"WITH {DET} SELECT frame_id, label, count(*) AS n FROM det WHERE score >= 0.5 GROUP BY frame_id, label")
@@ -389,27 +458,34 @@ def iopa_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trk(spark, sf_dir).select("frame_id", "track_id", F.round(share, 6).alias("share"), (share > 0.02).alias("hit"))
 
 
-@query()
+#: The diamond's height over x lies between 60 + |x - 320| 3/4 and 420 - |x - 320| 3/4; between the places where a bound changes, the common height is linear in x.
+_BENDS = ", ".join(["x1", "x2", "80.0", "320.0", "560.0", *(f"320.0 {s} (420.0 - {y}) / 0.75" for y in ("y1", "y2") for s in "+-"), *(f"320.0 {s} ({y} - 60.0) / 0.75" for y in ("y1", "y2") for s in "+-")])
+_HIGH = "greatest(0.0, least(y2, 420.0 - abs({x} - 320.0) * 0.75) - greatest(y1, 60.0 + abs({x} - 320.0) * 0.75))"
+
+
+@query(f"""WITH {TRK}, b AS (SELECT *, list_sort(list_transform([{_BENDS}], lambda v: greatest(greatest(x1, 80.0), least(least(x2, 560.0), v)))) AS p FROM trk),
+e AS (SELECT frame_id, track_id, y1, y2, p[i] AS a, p[i + 1] AS b FROM (SELECT *, unnest(range(1, len(p))) AS i FROM b))
+SELECT frame_id, track_id, round(sum((b - a) * ({_HIGH.format(x='a')} + {_HIGH.format(x='b')}) / 2) / 86400.0, 6) AS share FROM e GROUP BY ALL""")
 def iopa_diamond(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trk(spark, sf_dir).select("frame_id", "track_id", F.round(geo.iopa(box(), src.ZONES["diamond"]), 6).alias("share"))
 
 
-@query(f"WITH {TRK}, {MARK} SELECT frame_id, zone_index, zone_id, label, count(*) AS cnt FROM mark WHERE hit GROUP BY GROUPING SETS ((frame_id, zone_index, zone_id, label), (frame_id, zone_index, zone_id))")
+@query(f"WITH {TRK}, {MARK} SELECT stream_id, frame_id, zone_index, zone_id, label, count(*) AS cnt FROM mark WHERE hit GROUP BY GROUPING SETS ((stream_id, frame_id, zone_index, zone_id, label), (stream_id, frame_id, zone_index, zone_id))")
 def zone_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zones.untracked_counts(zones.mark(trk(spark, sf_dir), src.ZONES))
+    return zones.untracked_counts(zones.mark(trk(spark, sf_dir), src.ZONES), (KEY, "frame_id"))
 
 
 def _zone_agg_sql(agg: str) -> str:
-    return f"""WITH {TRK}, {MARK}, c AS (SELECT frame_id, zone_index, count(*) AS c FROM mark WHERE hit GROUP BY ALL),
-    grid AS (SELECT frame_id, z FROM frm, (VALUES (0), (1), (2)) v(z)), f AS (SELECT grid.frame_id, coalesce(c.c, 0) AS c FROM grid LEFT JOIN c ON c.frame_id = grid.frame_id AND c.zone_index = z)
-    SELECT frame_id, round(CAST({agg} AS DOUBLE), 6) AS value FROM f GROUP BY frame_id"""
+    return f"""WITH {TRK}, {MARK}, c AS (SELECT stream_id, frame_id, zone_index, count(*) AS c FROM mark WHERE hit GROUP BY ALL),
+    grid AS (SELECT stream_id, frame_id, z FROM sfr, (VALUES (0), (1), (2)) v(z)), f AS (SELECT grid.stream_id, grid.frame_id, coalesce(c.c, 0) AS c FROM grid LEFT JOIN c ON c.stream_id = grid.stream_id AND c.frame_id = grid.frame_id AND c.zone_index = z)
+    SELECT stream_id, frame_id, round(CAST({agg} AS DOUBLE), 6) AS value FROM f GROUP BY ALL"""
 
 
 def _zone_agg(agg: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = trk(spark, sf_dir)
-        counts = zones.untracked_counts(zones.mark(t, src.ZONES)).where("label is null")
-        return rules.zone_count(counts, src.frames_of(t), list(src.ZONES), aggregation=agg).select("frame_id", F.round("value", 6).alias("value"))
+        counts = zones.untracked_counts(zones.mark(t, src.ZONES), (KEY, "frame_id")).where("label is null")
+        return rules.zone_count(counts, stream_frames(t), list(src.ZONES), aggregation=agg, key=KEY).select(KEY, "frame_id", F.round("value", 6).alias("value"))
 
     run.__name__ = f"zone_count_{agg}"
     return run
@@ -420,68 +496,76 @@ for _a, _s in (("sum", "sum(c)"), ("max", "max(c)"), ("min", "min(c)"), ("mean",
 
 TIMEOUT = 2
 _M = TIMEOUT + 1
-#: The counter of each (zone, track) along its sightings, as a recursion.
-HYST = f"""q AS (SELECT zone_index, zone_id, track_id, frame_id, hit, row_number() OVER (PARTITION BY zone_index, track_id ORDER BY frame_id) AS n, lead(frame_id) OVER (PARTITION BY zone_index, track_id ORDER BY frame_id) AS next_frame FROM mark),
+#: The counter of each (zone, track) along its sightings, as a recursion; hl is the label the episode began with.
+HYST = f"""q AS (SELECT stream_id, zone_index, zone_id, track_id, label, frame_id, hit, row_number() OVER (PARTITION BY zone_index, track_id ORDER BY frame_id) AS n, lead(frame_id) OVER (PARTITION BY zone_index, track_id ORDER BY frame_id) AS next_frame FROM mark),
 h AS (
-  SELECT zone_index, track_id, n, frame_id, CASE WHEN hit THEN 1 ELSE 0 END AS c, CASE WHEN hit AND {_M} = 1 THEN frame_id END AS since, CAST(NULL AS BIGINT) AS left_at, CAST(NULL AS BIGINT) AS left_since FROM q WHERE n = 1
+  SELECT zone_index, track_id, n, frame_id, CASE WHEN hit THEN 1 ELSE 0 END AS c, CASE WHEN hit AND {_M} = 1 THEN frame_id END AS since, CAST(NULL AS BIGINT) AS left_at, CAST(NULL AS BIGINT) AS left_since, CASE WHEN hit THEN label END AS hl, CAST(NULL AS VARCHAR) AS left_label FROM q WHERE n = 1
   UNION ALL
   SELECT zone_index, track_id, n, frame_id, c2, CASE WHEN c2 = 0 THEN NULL WHEN s1 IS NOT NULL THEN s1 WHEN hit AND c2 = {_M} THEN frame_id END,
     CASE WHEN c > 0 AND c1 = 0 AND since IS NOT NULL THEN pf + c WHEN NOT hit AND c1 > 0 AND c2 = 0 AND s1 IS NOT NULL THEN frame_id END,
-    CASE WHEN c > 0 AND c1 = 0 AND since IS NOT NULL THEN since WHEN NOT hit AND c1 > 0 AND c2 = 0 AND s1 IS NOT NULL THEN s1 END
+    CASE WHEN c > 0 AND c1 = 0 AND since IS NOT NULL THEN since WHEN NOT hit AND c1 > 0 AND c2 = 0 AND s1 IS NOT NULL THEN s1 END,
+    CASE WHEN hit AND c1 = 0 THEN label ELSE hl END, hl
   FROM (SELECT *, CASE WHEN hit THEN least({_M}, c1 + 1) ELSE greatest(0, c1 - 1) END AS c2, CASE WHEN c1 = 0 THEN NULL ELSE since END AS s1
-    FROM (SELECT q.zone_index, q.track_id, q.n, q.frame_id, q.hit, h.c, h.since, h.frame_id AS pf, CAST(greatest(0, h.c - (q.frame_id - h.frame_id - 1)) AS INTEGER) AS c1
+    FROM (SELECT q.zone_index, q.track_id, q.n, q.frame_id, q.hit, q.label, h.hl, h.c, h.since, h.frame_id AS pf, CAST(greatest(0, h.c - (q.frame_id - h.frame_id - 1)) AS INTEGER) AS c1
       FROM h JOIN q ON q.zone_index = h.zone_index AND q.track_id = h.track_id AND q.n = h.n + 1))),
-hs AS (SELECT h.*, q.zone_id, q.next_frame FROM h JOIN q ON q.zone_index = h.zone_index AND q.track_id = h.track_id AND q.n = h.n)"""
+hs AS (SELECT h.*, q.zone_id, q.next_frame, q.stream_id, q.hit, q.label FROM h JOIN q ON q.zone_index = h.zone_index AND q.track_id = h.track_id AND q.n = h.n)"""
 
 
 def _states(spark, sf_dir):
     t = trk(spark, sf_dir)
-    return zones.hysteresis(zones.mark(t, src.ZONES), TIMEOUT), src.frames_of(t)
+    return zones.hysteresis(zones.mark(t, src.ZONES), TIMEOUT, KEY), stream_frames(t)
 
 
-@query(f"WITH RECURSIVE {TRK}, {MARK}, {HYST} SELECT zone_index, zone_id, track_id, frame_id, CAST(c AS INTEGER) AS counter, since IS NOT NULL AS in_zone, CASE WHEN since IS NULL THEN 0 ELSE frame_id - since + 1 END AS frames_in_zone FROM hs")
+@query(f"WITH RECURSIVE {TRK}, {MARK}, {HYST} SELECT stream_id, zone_index, zone_id, track_id, frame_id, CAST(c AS INTEGER) AS counter, since IS NOT NULL AS in_zone, CASE WHEN since IS NULL THEN 0 ELSE frame_id - since + 1 END AS frames_in_zone FROM hs")
 def zone_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _states(spark, sf_dir)[0].select("zone_index", "zone_id", "track_id", "frame_id", "counter", "in_zone", F.col("frames_in_zone").cast("long").alias("frames_in_zone"))
+    return _states(spark, sf_dir)[0].select(KEY, "zone_index", "zone_id", "track_id", "frame_id", "counter", "in_zone", F.col("frames_in_zone").cast("long").alias("frames_in_zone"))
 
 
 @query(f"WITH RECURSIVE {TRK}, {MARK}, {HYST} SELECT zone_index, track_id, hs.frame_id, epoch_us(a.ts) - epoch_us(b.ts) AS time_in_zone FROM hs JOIN frm a ON a.frame_id = hs.frame_id LEFT JOIN frm b ON b.frame_id = hs.since")
 def time_in_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, f = _states(spark, sf_dir)
-    return zones.with_times(s, f).select("zone_index", "track_id", "frame_id", "time_in_zone")
+    return zones.with_times(s, f, KEY).select("zone_index", "track_id", "frame_id", "time_in_zone")
 
 
-OCC = """occ AS (
-  SELECT zone_index, frame_id, count(*) AS total FROM (
-    SELECT zone_index, frame_id FROM hs WHERE since IS NOT NULL
-    UNION ALL SELECT zone_index, unnest(range(frame_id + 1, least(coalesce(next_frame, 1152921504606846976), frame_id + c))) FROM hs WHERE since IS NOT NULL AND c > 1 AND coalesce(next_frame, 1152921504606846976) > frame_id + 1) GROUP BY ALL),
+OCC = """held AS (
+  SELECT stream_id, zone_index, frame_id, CASE WHEN hit THEN label ELSE hl END AS label FROM hs WHERE since IS NOT NULL
+  UNION ALL SELECT stream_id, zone_index, unnest(range(frame_id + 1, least(coalesce(next_frame, 1152921504606846976), frame_id + c))), hl FROM hs WHERE since IS NOT NULL AND c > 1 AND coalesce(next_frame, 1152921504606846976) > frame_id + 1),
+occ AS (SELECT stream_id, zone_index, frame_id, count(*) AS total, count(*) FILTER (WHERE label = 'click') AS n_click, count(*) FILTER (WHERE label = 'purchase') AS n_purchase FROM held GROUP BY ALL),
 zn(zone_index, zone_id) AS (VALUES (0, 'dock'), (1, 'gate'), (2, 'diamond')),
-od AS (SELECT zn.zone_index, zn.zone_id, frm.frame_id, epoch_us(frm.ts) AS us, coalesce(occ.total, 0) AS total FROM frm CROSS JOIN zn LEFT JOIN occ ON occ.zone_index = zn.zone_index AND occ.frame_id = frm.frame_id)"""
+od AS (SELECT sfr.stream_id, zn.zone_index, zn.zone_id, sfr.frame_id, epoch_us(sfr.ts) AS us, coalesce(occ.total, 0) AS total, coalesce(n_click, 0) AS n_click, coalesce(n_purchase, 0) AS n_purchase
+  FROM sfr CROSS JOIN zn LEFT JOIN occ ON occ.stream_id = sfr.stream_id AND occ.zone_index = zn.zone_index AND occ.frame_id = sfr.frame_id)"""
 
 
-@query(f"WITH RECURSIVE {TRK}, {MARK}, {HYST}, {OCC} SELECT zone_index, zone_id, frame_id, total FROM od")
+@query(f"WITH RECURSIVE {TRK}, {MARK}, {HYST}, {OCC} SELECT stream_id, zone_index, zone_id, frame_id, total FROM od")
 def zone_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, f = _states(spark, sf_dir)
-    return zones.occupancy(s, f, src.ZONES).select("zone_index", "zone_id", "frame_id", "total")
+    return zones.occupancy(s, f, src.ZONES, KEY).select(KEY, "zone_index", "zone_id", "frame_id", "total")
+
+
+@query(f"WITH RECURSIVE {TRK}, {MARK}, {HYST}, {OCC} SELECT stream_id, zone_index, frame_id, total, n_click AS class_click, n_purchase AS class_purchase FROM od")
+def zone_class_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, f = _states(spark, sf_dir)
+    return zones.occupancy(s, f, src.ZONES, KEY, ["click", "purchase"]).select(KEY, "zone_index", "frame_id", "total", "class_click", "class_purchase")
 
 
 @query(f"""WITH RECURSIVE {TRK}, {MARK}, {HYST}, {OCC},
-tu AS (SELECT *, total > 0 AS busy, coalesce(lag(total > 0) OVER (PARTITION BY zone_index ORDER BY frame_id), FALSE) AS was, row_number() OVER (PARTITION BY zone_index ORDER BY frame_id) AS n, min(us) OVER (PARTITION BY zone_index) AS us0 FROM od),
-tv AS (SELECT *, last_value(CASE WHEN busy <> was THEN us END IGNORE NULLS) OVER (PARTITION BY zone_index ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ch FROM tu),
-ex AS (SELECT zone_index, zone_id, track_id, left_at AS frame_id, left_since AS since FROM hs WHERE left_at IS NOT NULL UNION ALL SELECT zone_index, zone_id, track_id, frame_id + c, since FROM hs WHERE since IS NOT NULL AND next_frame IS NULL)
-SELECT 'zone_entry' AS event_type, zone_index, zone_id, frame_id, track_id, CAST(NULL AS BIGINT) AS dwell_us FROM hs WHERE since = frame_id
-UNION ALL SELECT 'zone_exit', zone_index, zone_id, ex.frame_id, track_id, epoch_us(a.ts) - epoch_us(b.ts) FROM ex JOIN frm a ON a.frame_id = ex.frame_id JOIN frm b ON b.frame_id = ex.since
-UNION ALL SELECT CASE WHEN busy THEN 'zone_occupied' ELSE 'zone_empty' END, zone_index, zone_id, frame_id, NULL, us - CASE WHEN n > 1 THEN coalesce(ch, us0) END FROM tv WHERE busy <> was""")
+tu AS (SELECT *, total > 0 AS busy, coalesce(lag(total > 0) OVER w, FALSE) AS was, row_number() OVER w AS n, min(us) OVER (PARTITION BY stream_id, zone_index) AS us0 FROM od WINDOW w AS (PARTITION BY stream_id, zone_index ORDER BY frame_id)),
+tv AS (SELECT *, last_value(CASE WHEN busy <> was THEN us END IGNORE NULLS) OVER (PARTITION BY stream_id, zone_index ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ch FROM tu),
+ex AS (SELECT stream_id, zone_index, zone_id, track_id, left_label, left_at AS frame_id, left_since AS since FROM hs WHERE left_at IS NOT NULL UNION ALL SELECT stream_id, zone_index, zone_id, track_id, hl, frame_id + c, since FROM hs WHERE since IS NOT NULL AND next_frame IS NULL)
+SELECT 'zone_entry' AS event_type, stream_id, zone_index, zone_id, hs.frame_id, epoch_us(a.ts) AS timestamp_us, track_id, label AS object_label, CAST(NULL AS BIGINT) AS dwell_us FROM hs JOIN frm a ON a.frame_id = hs.frame_id WHERE since = hs.frame_id
+UNION ALL SELECT 'zone_exit', stream_id, zone_index, zone_id, ex.frame_id, epoch_us(a.ts), track_id, left_label, epoch_us(a.ts) - epoch_us(b.ts) FROM ex JOIN frm a ON a.frame_id = ex.frame_id JOIN frm b ON b.frame_id = ex.since
+UNION ALL SELECT CASE WHEN busy THEN 'zone_occupied' ELSE 'zone_empty' END, stream_id, zone_index, zone_id, frame_id, us, NULL, NULL, us - CASE WHEN n > 1 THEN coalesce(ch, us0) END FROM tv WHERE busy <> was""")
 def zone_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, f = _states(spark, sf_dir)
-    return zones.zone_events(s, f, src.ZONES)
+    return zones.zone_events(s, f, src.ZONES, KEY)
 
 
 # trails and lines
 
-TRL = """c0 AS (SELECT frame_id, ts, track_id, label, CAST(trunc(x1) AS BIGINT) AS x1, CAST(trunc(y1) AS BIGINT) AS y1, CAST(trunc(x2) AS BIGINT) AS x2, CAST(trunc(y2) AS BIGINT) AS y2,
+TRL = """c0 AS (SELECT stream_id, frame_id, ts, track_id, label, CAST(trunc(x1) AS BIGINT) AS x1, CAST(trunc(y1) AS BIGINT) AS y1, CAST(trunc(x2) AS BIGINT) AS x2, CAST(trunc(y2) AS BIGINT) AS y2,
     CASE WHEN frame_id - lag(frame_id) OVER w - 1 >= 8 OR lag(frame_id) OVER w IS NULL THEN 1 ELSE 0 END AS nw FROM trk WINDOW w AS (PARTITION BY track_id ORDER BY frame_id)),
 c1 AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY track_id ORDER BY frame_id) AS BIGINT) AS session FROM c0),
-trl AS (SELECT frame_id, ts, track_id, session, x1, y1, x2, y2, first_value(label) OVER w AS label, row_number() OVER w AS points,
+trl AS (SELECT stream_id, frame_id, ts, track_id, session, x1, y1, x2, y2, first_value(label) OVER w AS label, row_number() OVER w AS points,
     first_value(x1) OVER t AS sx1, first_value(x2) OVER t AS sx2, first_value(y2) OVER t AS sy2, lag(x1) OVER w AS px1, lag(x2) OVER w AS px2, lag(y2) OVER w AS py2
   FROM c1 WINDOW w AS (PARTITION BY track_id, session ORDER BY frame_id), t AS (PARTITION BY track_id, session ORDER BY frame_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"""
 
@@ -498,9 +582,9 @@ def _cross_sql(p: str) -> str:
     side = lambda ax, ay, bx, by, px, py: f"sign(({bx} - {ax}) * ({py} - {ay}) - ({by} - {ay}) * ({px} - {ax}))"
     hit = f"{side('lx1', 'ly1', 'lx2', 'ly2', 'pax', 'pay')} <> {side('lx1', 'ly1', 'lx2', 'ly2', 'pbx', 'pby')} AND {side('pax', 'pay', 'pbx', 'pby', 'lx1', 'ly1')} <> {side('pax', 'pay', 'pbx', 'pby', 'lx2', 'ly2')}"
     cross = "((pbx - pax) * (ly2 - ly1) - (pby - pay) * (lx2 - lx1))"
-    return f"""v AS (SELECT frame_id, ts, track_id, session, label, ({p}x1 + {p}x2) / 2.0 AS pax, {p}y2 AS pay, (x1 + x2) / 2.0 AS pbx, y2 AS pby FROM trl WHERE points > 1),
+    return f"""v AS (SELECT stream_id, frame_id, ts, track_id, session, label, ({p}x1 + {p}x2) / 2.0 AS pax, {p}y2 AS pay, (x1 + x2) / 2.0 AS pbx, y2 AS pby FROM trl WHERE points > 1),
 lv AS ({' UNION ALL '.join(sel)}),
-cr AS (SELECT frame_id, ts, track_id, session, label, line_index, CASE WHEN {cross} > 0 THEN 'left' WHEN {cross} < 0 THEN 'right' WHEN sign(pbx - pax) = sign(lx2 - lx1) AND sign(pby - pay) = sign(ly2 - ly1) THEN 'left' ELSE 'right' END AS direction,
+cr AS (SELECT stream_id, frame_id, ts, track_id, session, label, line_index, CASE WHEN {cross} > 0 THEN 'left' WHEN {cross} < 0 THEN 'right' WHEN sign(pbx - pax) = sign(lx2 - lx1) AND sign(pby - pay) = sign(ly2 - ly1) THEN 'left' ELSE 'right' END AS direction,
   CASE WHEN pbx - pax < 0 THEN 'left' ELSE 'right' END AS horizontal, CASE WHEN pby - pay < 0 THEN 'top' ELSE 'bottom' END AS vertical FROM lv WHERE {hit})"""
 
 
@@ -517,23 +601,38 @@ def line_cross_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.crossings(lines.trails(trk(spark, sf_dir)), src.LINES, whole_trail=False, first_only=False, absolute=True).drop("ts")
 
 
-@query(f"""WITH {TRK}, {TRL}, {_cross_sql('p')}, {_FIRST}, n AS (SELECT frame_id, line_index, count(*) FILTER (WHERE direction = 'left') AS l, count(*) FILTER (WHERE direction = 'right') AS r FROM f1 WHERE rn = 1 GROUP BY ALL),
-gr AS (SELECT frame_id, z AS line_index FROM frm, (VALUES (0), (1), (2)) v(z))
-SELECT gr.frame_id, gr.line_index, CAST(sum(coalesce(l, 0)) OVER w AS BIGINT) AS "left", CAST(sum(coalesce(r, 0)) OVER w AS BIGINT) AS "right" FROM gr LEFT JOIN n ON n.frame_id = gr.frame_id AND n.line_index = gr.line_index WINDOW w AS (PARTITION BY gr.line_index ORDER BY gr.frame_id)""")
+_PER_LINE = "SELECT stream_id, frame_id, line_index, count(*) FILTER (WHERE direction = 'left') AS l, count(*) FILTER (WHERE direction = 'right') AS r, count(*) FILTER (WHERE direction = 'left' AND label = 'view') AS vl, count(*) FILTER (WHERE direction = 'right' AND label = 'view') AS vr FROM f1 WHERE rn = 1 GROUP BY ALL"
+
+
+@query(f"""WITH {TRK}, {TRL}, {_cross_sql('p')}, {_FIRST}, n AS ({_PER_LINE}),
+gr AS (SELECT stream_id, frame_id, z AS line_index FROM sfr, (VALUES (0), (1), (2)) v(z))
+SELECT gr.stream_id, gr.frame_id, gr.line_index, CAST(sum(coalesce(l, 0)) OVER w AS BIGINT) AS "left", CAST(sum(coalesce(r, 0)) OVER w AS BIGINT) AS "right", CAST(sum(coalesce(vl, 0)) OVER w AS BIGINT) AS view_left, CAST(sum(coalesce(vr, 0)) OVER w AS BIGINT) AS view_right
+FROM gr LEFT JOIN n ON n.stream_id = gr.stream_id AND n.frame_id = gr.frame_id AND n.line_index = gr.line_index WINDOW w AS (PARTITION BY gr.stream_id, gr.line_index ORDER BY gr.frame_id)""")
 def line_counts_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trk(spark, sf_dir)
-    return lines.running_counts(lines.crossings(lines.trails(t), src.LINES, whole_trail=False), src.frames_of(t), len(src.LINES))
+    return lines.running_counts(lines.crossings(lines.trails(t, stream=KEY), src.LINES, whole_trail=False, stream=KEY), stream_frames(t), len(src.LINES), classes=["view"], stream=KEY)
+
 
+@query(f"""WITH {TRK}, {TRL}, {_cross_sql('p')}, n AS (SELECT stream_id, frame_id, line_index, count(*) FILTER (WHERE horizontal = 'left') AS l, count(*) FILTER (WHERE horizontal = 'right') AS r, count(*) FILTER (WHERE vertical = 'top') AS t, count(*) FILTER (WHERE vertical = 'bottom') AS b FROM cr GROUP BY ALL),
+gr AS (SELECT stream_id, frame_id, z AS line_index FROM sfr, (VALUES (0), (1), (2)) v(z))
+SELECT gr.stream_id, gr.frame_id, gr.line_index, coalesce(l, 0) AS "left", coalesce(r, 0) AS "right", coalesce(t, 0) AS top, coalesce(b, 0) AS bottom FROM gr LEFT JOIN n ON n.stream_id = gr.stream_id AND n.frame_id = gr.frame_id AND n.line_index = gr.line_index""")
+def line_counts_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trk(spark, sf_dir)
+    hits = lines.crossings(lines.trails(t, stream=KEY), src.LINES, whole_trail=False, first_only=False, absolute=True, stream=KEY)
+    return lines.running_counts(hits, stream_frames(t), len(src.LINES), accumulate=False, directions=("left", "right", "top", "bottom"), stream=KEY)
 
-@query(f"""WITH {TRK}, {TRL}, {_cross_sql('p')}, fl AS (SELECT DISTINCT frame_id, track_id, line_index FROM cr)
-SELECT trk.frame_id, trk.track_id, bool_or(coalesce(line_index = 0, FALSE)) AS line0, bool_or(coalesce(line_index = 1, FALSE)) AS line1, bool_or(coalesce(line_index = 2, FALSE)) AS line2 FROM trk LEFT JOIN fl ON fl.frame_id = trk.frame_id AND fl.track_id = trk.track_id GROUP BY ALL""")
+
+@query(f"""WITH {TRK}, {TRL}, {_cross_sql('p')}, fl AS (SELECT frame_id, track_id, line_index, min(direction) AS way FROM cr GROUP BY ALL)
+SELECT trk.frame_id, trk.track_id, {', '.join(f"bool_or(coalesce(line_index = {k}, FALSE)) AS line{k}, min(way) FILTER (WHERE line_index = {k}) AS way{k}" for k in range(3))} FROM trk LEFT JOIN fl ON fl.frame_id = trk.frame_id AND fl.track_id = trk.track_id GROUP BY ALL""")
 def line_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trk(spark, sf_dir)
     hits = lines.crossings(lines.trails(t), src.LINES, whole_trail=False, first_only=False)
-    return lines.flag_objects(t, hits, 3).select("frame_id", "track_id", *(F.col("cross_line")[k].alias(f"line{k}") for k in range(3)))
+    return lines.flag_objects(t, hits, 3).select("frame_id", "track_id", *(F.col(c)[k].alias(f"{n}{k}") for k in range(3) for c, n in (("cross_line", "line"), ("cross_line_direction", "way"))))
 
 
-@query()
+@query(f"""WITH {TRK}, {TRL}, {_cross_sql('s')}, nx AS (SELECT track_id, frame_id, coalesce(lead(frame_id) OVER (PARTITION BY track_id ORDER BY frame_id), 1152921504606846976) AS nf FROM trk),
+e AS (SELECT track_id, session, label, line_index, direction, unnest(range(cr.frame_id, greatest(cr.frame_id, least(nf - 1, cr.frame_id + 7)) + 1)) AS frame_id FROM cr JOIN nx USING (track_id, frame_id))
+SELECT e.frame_id, track_id, session, label, line_index, direction FROM e JOIN frm ON frm.frame_id = e.frame_id""")
 def line_cross_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trk(spark, sf_dir)
     return lines.repeated_crossings(lines.trails(t), src.frames_of(t), src.LINES, whole_trail=True).drop("ts")
@@ -541,14 +640,15 @@ def line_cross_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # events and notifications
 
-OBJ = f"{TRK}, ob AS (SELECT frm.frame_id, frm.ts, CAST(count(trk.track_id) AS DOUBLE) AS value FROM frm LEFT JOIN trk ON frm.frame_id = trk.frame_id AND trk.score >= 0.95 GROUP BY frm.frame_id, frm.ts)"
-_COND = f"cn AS (SELECT *, CAST(value > (SELECT avg(value) FROM ob) AS INTEGER) AS hit FROM ob)"
+OBJ = f"{TRK}, ob AS (SELECT sfr.stream_id, sfr.frame_id, sfr.ts, CAST(count(trk.track_id) AS DOUBLE) AS value FROM sfr LEFT JOIN trk ON sfr.stream_id = trk.stream_id AND sfr.frame_id = trk.frame_id AND trk.score >= 0.2 GROUP BY ALL)"
+_COND = "cn AS (SELECT *, CAST(value > (SELECT avg(value) FROM ob) AS INTEGER) AS hit FROM ob)"
+_BY = "PARTITION BY stream_id ORDER BY"
 
 
 def _metric(spark, sf_dir):
-    """Objects of high score per frame, less their mean: positive in busy frames."""
+    """Objects of high score per stream and frame, less their mean: positive in busy frames."""
     t = trk(spark, sf_dir)
-    m = rules.object_count(src.frames_of(t), t, None, 0.95)
+    m = rules.object_count(stream_frames(t), t, None, 0.2, key=KEY)
     mean = m.agg(F.avg("value").alias("__m"))
     return m.crossJoin(F.broadcast(mean)).withColumn("value", F.col("value") - F.col("__m")).drop("__m")
 
@@ -556,96 +656,128 @@ def _metric(spark, sf_dir):
 RULE = """
 Trigger: busy
 when: ObjectCount
-with: {min score: 0.95}
+with: {min score: 0.2}
 is greater than: 0
 during: [5, frames]
 for at least: [60, percent]
 """
 
 
-@query(f"WITH {OBJ}, {_COND} SELECT frame_id, sum(hit) OVER w >= 0.6 * count(*) OVER w AND row_number() OVER (ORDER BY frame_id) >= 5 AS fired FROM cn WINDOW w AS (ORDER BY frame_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+@query(f"WITH {OBJ}, {_COND} SELECT stream_id, frame_id, sum(hit) OVER w >= 0.6 * count(*) OVER w AND row_number() OVER ({_BY} frame_id) >= 5 AS fired FROM cn WINDOW w AS ({_BY} frame_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.fire(rules.parse_rule(RULE), _metric(spark, sf_dir)).select("frame_id", "fired")
+    return rules.fire(rules.parse_rule(RULE), _metric(spark, sf_dir), KEY).select(KEY, "frame_id", "fired")
 
 
 _SEC = "14400000000"
 
 
-@query(f"""WITH {OBJ}, {_COND}, u AS (SELECT *, epoch_us(ts) AS us FROM cn)
-SELECT frame_id, sum(hit) OVER w >= 0.5 * count(*) OVER w AND min(us) OVER (ORDER BY us) < us - {_SEC} AS fired FROM u WINDOW w AS (ORDER BY us RANGE BETWEEN {_SEC} PRECEDING AND CURRENT ROW)""")
+@query(f"""WITH {OBJ}, {_COND}, u AS (SELECT *, epoch_us(ts) - epoch_us(ts) % 3600000000 AS us FROM cn),
+p AS (SELECT a.stream_id, a.frame_id, a.us, sum(b.hit) AS hits, count(*) AS n FROM u a JOIN u b ON b.stream_id = a.stream_id AND b.frame_id <= a.frame_id AND b.us >= a.us - {_SEC} GROUP BY ALL)
+SELECT stream_id, frame_id, hits >= 0.5 * n AND min(us) OVER ({_BY} frame_id) < us - {_SEC} AS fired FROM p""")
 def event_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times are cut to whole hours, so that some frames have the same."""
     rule = rules.parse_rule({"Trigger": "slow", "when": "ObjectCount", "is greater than": 0, "during": [4 * 3600, "seconds"], "for at least": [50, "percent"]})
-    return rules.fire(rule, _metric(spark, sf_dir)).select("frame_id", "fired")
+    m = _metric(spark, sf_dir).withColumn("ts", F.timestamp_micros(micros("ts") - micros("ts") % 3_600_000_000))
+    return rules.fire(rule, m, KEY).select(KEY, "frame_id", "fired")
 
 
-@query(f"WITH {OBJ}, {_COND} SELECT frame_id, sum(hit) OVER w <= 2 AS fired FROM cn WINDOW w AS (ORDER BY frame_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
+@query(f"WITH {OBJ}, {_COND} SELECT stream_id, frame_id, sum(hit) OVER w <= 2 AS fired FROM cn WINDOW w AS ({_BY} frame_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
 def event_at_most(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = rules.parse_rule({"Trigger": "calm", "when": "ObjectCount", "is greater than": 0, "during": [6, "frames"], "for at most": [2, "frames"]})
-    return rules.fire(rule, _metric(spark, sf_dir)).select("frame_id", "fired")
+    return rules.fire(rule, _metric(spark, sf_dir), KEY).select(KEY, "frame_id", "fired")
 
 
-@query(f"""WITH {TRK}, {TRL}, {_cross_sql('p')}, {_FIRST}, n AS (SELECT frame_id, count(*) FILTER (WHERE direction = 'left') AS v FROM f1 WHERE rn = 1 AND line_index IN (0, 1) GROUP BY ALL)
-SELECT frm.frame_id, CAST(coalesce(v, 0) AS DOUBLE) AS value, coalesce(v, 0) >= 2 AS fired FROM frm LEFT JOIN n ON n.frame_id = frm.frame_id""")
+@query(f"""WITH {TRK}, {TRL}, {_cross_sql('p')}, {_FIRST}, n AS (SELECT stream_id, frame_id, count(*) FILTER (WHERE direction = 'left') AS v FROM f1 WHERE rn = 1 AND line_index IN (0, 1) GROUP BY ALL)
+SELECT sfr.stream_id, sfr.frame_id, CAST(coalesce(v, 0) AS DOUBLE) AS value, coalesce(v, 0) >= 1 AS fired FROM sfr LEFT JOIN n ON n.stream_id = sfr.stream_id AND n.frame_id = sfr.frame_id""")
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trk(spark, sf_dir)
-    per = lines.running_counts(lines.crossings(lines.trails(t), src.LINES, whole_trail=False), src.frames_of(t), 3, accumulate=False).where("line_index < 2")
-    rule = rules.parse_rule({"Trigger": "left", "when": "LineCount", "with": {"directions": ["left"]}, "is greater than or equal to": 2, "during": [1, "frame"]})
-    return rules.fire(rule, rules.line_count(per, src.frames_of(t), 3, directions=["left"])).select("frame_id", "value", "fired")
+    hits = lines.crossings(lines.trails(t, stream=KEY), src.LINES, whole_trail=False, stream=KEY)
+    per = lines.running_counts(hits, stream_frames(t), 3, accumulate=False, stream=KEY).where("line_index < 2")
+    rule = rules.parse_rule({"Trigger": "left", "when": "LineCount", "with": {"directions": ["left"]}, "is greater than or equal to": 1, "during": [1, "frame"]})
+    return rules.fire(rule, rules.line_count(per, stream_frames(t), 3, directions=["left"], key=KEY), KEY).select(KEY, "frame_id", "value", "fired")
+
+
+@query(f"""WITH {TRK}, m AS (SELECT sfr.stream_id, sfr.frame_id, max(x2 - x1 + score * 100) AS value FROM sfr LEFT JOIN trk ON sfr.stream_id = trk.stream_id AND sfr.frame_id = trk.frame_id GROUP BY ALL)
+SELECT stream_id, frame_id, round(value, 6) AS value, sum(CAST(coalesce(value < 120, FALSE) AS INTEGER)) OVER ({_BY} frame_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2 AS fired FROM m""")
+def event_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric of one's own: null in frames without boxes, which never meets the condition."""
+    t = trk(spark, sf_dir)
+    tops = t.groupBy(KEY, "frame_id").agg(F.max(F.col("x2") - F.col("x1") + F.col("score") * 100).alias("top"))
+    m = rules.custom_metric(stream_frames(t).join(tops, [KEY, "frame_id"], "left"), F.col("top"), KEY)
+    rule = rules.parse_rule({"Trigger": "small", "when": "CustomMetric", "is less than": 120, "during": [3, "frames"], "for at least": [2, "frames"]})
+    return rules.fire(rule, m, KEY).select(KEY, "frame_id", F.round("value", 6).alias("value"), "fired")
 
 
-EV = f"{OBJ}, {_COND}, ev AS (SELECT frame_id, epoch_us(ts) AS us, hit = 1 AND frame_id % 7 <> 0 AS cond FROM cn)"
+EV = f"{OBJ}, {_COND}, ev AS (SELECT stream_id, frame_id, ts, value, epoch_us(ts) AS us, hit = 1 AND frame_id % 7 <> 0 AS cond, (value > (SELECT avg(value) FROM ob)) AS busy FROM cn)"
 
 
 def _events(spark, sf_dir):
     m = _metric(spark, sf_dir)
     busy = F.when(F.col("value") > 0, F.lit("busy"))
     skip = F.when(F.col("frame_id") % 7 == 0, F.lit("skip"))
-    return m.select("frame_id", "ts", F.array_compact(F.array(busy, skip)).alias("events"))
+    return m.select(KEY, "frame_id", "ts", F.array_compact(F.array(busy, skip)).alias("events"))
+
 
+_WAS = f"coalesce(lag(cond) OVER ({_BY} frame_id), FALSE)"
 
-@query(f"WITH {EV} SELECT frame_id, cond AND NOT coalesce(lag(cond) OVER (ORDER BY frame_id), FALSE) AS fired FROM ev")
+
+@query(f"WITH {EV} SELECT stream_id, frame_id, cond AND NOT {_WAS} AS fired FROM ev")
 def notify_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.notify(_events(spark, sf_dir), "n", "busy and not skip").select("frame_id", "fired")
+    return rules.notify(_events(spark, sf_dir), "n", "busy and not skip", key=KEY).select(KEY, "frame_id", "fired")
 
 
-@query(f"WITH {EV} SELECT frame_id, cond AS fired, CASE WHEN cond THEN 'Notification triggered: n' END AS message FROM ev")
+@query(f"WITH {EV} SELECT stream_id, frame_id, cond AS fired, CASE WHEN cond THEN 'Notification triggered: n' END AS message FROM ev")
 def notify_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.notify(_events(spark, sf_dir), "n", "busy and not skip", while_true=True).select("frame_id", "fired", F.try_element_at("notifications", F.lit("n")).alias("message"))
+    return rules.notify(_events(spark, sf_dir), "n", "busy and not skip", while_true=True, key=KEY).select(KEY, "frame_id", "fired", F.try_element_at("notifications", F.lit("n")).alias("message"))
+
 
+@query(f"WITH {EV} SELECT stream_id, frame_id, CASE WHEN cond AND NOT {_WAS} THEN 'camera ' || stream_id || ' frame ' || frame_id || ' at ' || strftime(ts, '%a %b %-d %H:%M:%S %Y') || ' ${{nobody}}' END AS message FROM ev")
+def notify_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.notify(_events(spark, sf_dir), "n", "busy and not skip", message="camera ${result.stream_id} frame ${result.frame_id} at ${time} ${nobody}", key=KEY)
+    return out.select(KEY, "frame_id", F.try_element_at("notifications", F.lit("n")).alias("message"))
 
-_LAST = "last_value(CASE WHEN cond THEN {v} END IGNORE NULLS) OVER (ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
+_LAST = f"last_value(CASE WHEN cond THEN {{v}} END IGNORE NULLS) OVER ({_BY} frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
-@query(f"WITH {EV} SELECT frame_id, cond AND NOT coalesce(lag(cond) OVER (ORDER BY frame_id), FALSE) AND coalesce(frame_id - {_LAST.format(v='frame_id')} > 3, TRUE) AS fired FROM ev")
+
+@query(f"WITH {EV} SELECT stream_id, frame_id, cond AND NOT {_WAS} AND coalesce(frame_id - {_LAST.format(v='frame_id')} > 3, TRUE) AS fired FROM ev")
 def notify_holdoff_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.notify(_events(spark, sf_dir), "n", "busy and not skip", holdoff=3).select("frame_id", "fired")
+    return rules.notify(_events(spark, sf_dir), "n", "busy and not skip", holdoff=3, key=KEY).select(KEY, "frame_id", "fired")
 
 
-@query(f"WITH {EV} SELECT frame_id, cond AND coalesce(us - {_LAST.format(v='us')} > 7200000000, TRUE) AS fired FROM ev")
+@query(f"WITH {EV} SELECT stream_id, frame_id, cond AND coalesce(us - {_LAST.format(v='us')} > 7200000000, TRUE) AS fired FROM ev")
 def notify_holdoff_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.notify(_events(spark, sf_dir), "n", "busy and not skip", while_true=True, holdoff=7200.0).select("frame_id", "fired")
+    return rules.notify(_events(spark, sf_dir), "n", "busy and not skip", while_true=True, holdoff=7200.0, key=KEY).select(KEY, "frame_id", "fired")
 
 
-@query(f"WITH {EV} SELECT frame_id FROM ev WHERE cond OR frame_id % 7 = 0")
+@query(f"WITH {EV} SELECT stream_id, frame_id FROM ev WHERE busy OR frame_id % 7 = 0")
 def analyzer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
-    return frames.by_names(e, ["busy", "skip"]).select("frame_id")
+    return frames.by_names(e, ["busy", "skip"]).select(KEY, "frame_id")
+
+
+@query(f"""WITH {EV} SELECT stream_id, frame_id, array_to_string(list_filter([CASE WHEN busy THEN 'busy' END, CASE WHEN NOT busy THEN 'calm' END, CASE WHEN frame_id % 7 = 0 THEN 'skip' END], lambda x: x IS NOT NULL), ',') AS events FROM ev""")
+def events_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _metric(spark, sf_dir)
+    one = lambda c: m.select(KEY, "frame_id", c.alias("fired"))
+    named = {"skip": one(F.col("frame_id") % 7 == 0), "busy": one(F.col("value") > 0), "calm": one(F.col("value") <= 0)}
+    return rules.events_by_frame(named, KEY).select(KEY, "frame_id", F.array_join("events", ",").alias("events"))
 
 
 # clips and scene cuts
 
-_TRIG = f"{TRK}, tg AS (SELECT DISTINCT frame_id AS t FROM trk WHERE score >= 0.977), nf AS (SELECT max(frame_id) + 1 AS n FROM frm)"
+_TRIG = f"{TRK}, tg AS (SELECT DISTINCT stream_id, frame_id AS t FROM trk WHERE score >= 0.4), nf AS (SELECT max(frame_id) + 1 AS n FROM frm)"
 CLIP = """gd AS (
-  SELECT min(t) AS t FROM tg
-  UNION ALL SELECT (SELECT min(t) FROM tg WHERE t >= gd.t + 8) FROM gd WHERE gd.t IS NOT NULL),
-cl AS (SELECT t AS trigger, t - 2 AS start_frame, CASE WHEN t + 8 > n THEN greatest(0, n - 10) + t + 8 - n ELSE greatest(t - 2, 0) END AS first_frame, least(t + 7, n - 1) AS last_frame, t + 8 <= n AS whole FROM gd, nf WHERE t IS NOT NULL)"""
+  SELECT stream_id, min(t) AS t FROM tg GROUP BY stream_id
+  UNION ALL SELECT gd.stream_id, (SELECT min(t) FROM tg WHERE tg.stream_id = gd.stream_id AND t >= gd.t + 8) FROM gd WHERE gd.t IS NOT NULL),
+cl AS (SELECT stream_id, t AS trigger, t - 2 AS start_frame, CASE WHEN t + 8 > n THEN greatest(0, n - 10) + t + 8 - n ELSE greatest(t - 2, 0) END AS first_frame, least(t + 7, n - 1) AS last_frame, t + 8 <= n AS whole FROM gd, nf WHERE t IS NOT NULL)"""
 
 
 def _clips(spark, sf_dir):
     t = trk(spark, sf_dir)
     n = t.agg(F.max("frame_id")).first()[0] + 1
-    trig = t.where("score >= 0.977").select(F.col("frame_id").alias("trigger")).distinct()
-    return rules.clips(trig, n, 10, 2), t
+    trig = t.where("score >= 0.4").select(KEY, F.col("frame_id").alias("trigger")).distinct()
+    return rules.clips(trig, n, 10, 2, KEY), t
 
 
 @query(f"WITH RECURSIVE {_TRIG}, {CLIP} SELECT * FROM cl WHERE first_frame <= last_frame")
@@ -653,22 +785,34 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clips(spark, sf_dir)[0]
 
 
-@query(f"WITH RECURSIVE {_TRIG}, {CLIP} SELECT trigger, frame_id, printf('clip_%08d', start_frame) AS file_name FROM (SELECT *, unnest(range(first_frame, last_frame + 1)) AS frame_id FROM cl)")
+@query(f"WITH RECURSIVE {_TRIG}, {CLIP} SELECT stream_id, trigger, frame_id, printf('clip_%08d', start_frame) AS file_name FROM (SELECT *, unnest(range(first_frame, last_frame + 1)) AS frame_id FROM cl)")
 def clip_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, t = _clips(spark, sf_dir)
-    return rules.clip_frames(found, src.frames_of(t)).select("trigger", "frame_id", text.clip_name(F.lit("clip"), F.col("start_frame")).alias("file_name"))
+    return rules.clip_frames(found, stream_frames(t), KEY).select(KEY, "trigger", "frame_id", text.clip_name(F.lit("clip"), F.col("start_frame")).alias("file_name"))
+
+
+@query(f"""WITH RECURSIVE {_TRIG}, {CLIP}, fr AS (SELECT cl.stream_id, trigger, start_frame, f.frame_id, coalesce(n, 0) AS n FROM (SELECT *, unnest(range(first_frame, last_frame + 1)) AS frame_id FROM cl) f JOIN cl USING (stream_id, trigger, start_frame)
+  LEFT JOIN (SELECT stream_id, frame_id, count(*) AS n FROM trk GROUP BY ALL) c ON c.stream_id = cl.stream_id AND c.frame_id = f.frame_id)
+SELECT stream_id, trigger, '{{"properties":{{"start_frame":' || start_frame || ',"triggered_by":["high"],"duration":' || count(*) || ',"pre_trigger_delay":2,"target_fps":30.0}},"results":[' || string_agg('{{"frame_id":' || frame_id || ',"n":' || n || '}}', ',' ORDER BY frame_id) || ']}}' AS json FROM fr GROUP BY stream_id, trigger, start_frame""")
+def clip_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, t = _clips(spark, sf_dir)
+    counts = t.groupBy(KEY, "frame_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = rules.clip_frames(found, stream_frames(t), KEY).join(counts, [KEY, "frame_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    each = rows.groupBy(KEY, "trigger", "start_frame").agg(F.sort_array(F.collect_list(F.struct("frame_id", "n"))).alias("rs"))
+    clip = {"start_frame": F.col("start_frame"), "triggered_by": F.array(F.lit("high")), "duration": F.size("rs"), "pre_trigger_delay": F.lit(2), "target_fps": F.lit(30.0)}
+    return each.select(KEY, "trigger", text.clip_json(clip, F.col("rs")).alias("json"))
 
 
-_SCENE = """s AS (SELECT event_id AS n, value AS score FROM events),
-r AS (SELECT n, score, row_number() OVER (ORDER BY n) AS rn, avg(score) OVER (ORDER BY n ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS m FROM s),
-cand AS MATERIALIZED (SELECT n FROM r WHERE rn > 4 AND score >= 15 AND CASE WHEN abs(m) >= 0.00001 THEN least(score / m, 255.0) ELSE 255.0 END >= 1.8),
-cut AS (SELECT min(n) AS n FROM cand WHERE n >= 15 UNION ALL SELECT (SELECT min(n) FROM cand WHERE cand.n >= cut.n + 15) FROM cut WHERE n IS NOT NULL)"""
+_SCENE = """s AS (SELECT user_id, event_id AS n, value AS score FROM events),
+r AS (SELECT user_id, n, score, row_number() OVER (PARTITION BY user_id ORDER BY n) AS rn, avg(score) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS m FROM s),
+cand AS MATERIALIZED (SELECT user_id, n FROM r WHERE rn > 4 AND score >= 15 AND CASE WHEN abs(m) >= 0.00001 THEN least(score / m, 255.0) ELSE 255.0 END >= 1.8),
+cut AS (SELECT user_id, min(n) AS n FROM cand WHERE n >= 500 GROUP BY user_id UNION ALL SELECT cut.user_id, (SELECT min(n) FROM cand WHERE cand.user_id = cut.user_id AND cand.n >= cut.n + 500) FROM cut WHERE n IS NOT NULL)"""
 
 
-@query(f"WITH RECURSIVE {_SCENE} SELECT n FROM cut WHERE n IS NOT NULL")
+@query(f"WITH RECURSIVE {_SCENE} SELECT user_id, n FROM cut WHERE n IS NOT NULL")
 def scene_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = src.series(spark, sf_dir).select("n", F.col("value").alias("score"))
-    return rules.scene_cuts(s, ratio=1.8)
+    s = src.series(spark, sf_dir).select("user_id", "n", F.col("value").alias("score"))
+    return rules.scene_cuts(s, ratio=1.8, min_length=500, key="user_id")
 
 
 # signals
@@ -677,14 +821,14 @@ _TAPS = signal.lowpass_taps(0.2, 7)
 _FIR = " + ".join(f"coalesce(lag(value, {6 - k}) OVER w, first_value(value) OVER w) * CAST({t!r} AS DOUBLE)" for k, t in enumerate(_TAPS))
 
 
-@query(f"SELECT event_id AS n, round({_FIR}, 4) AS filtered FROM events WINDOW w AS (ORDER BY event_id)")
+@query(f"SELECT user_id, event_id AS n, round({_FIR}, 4) AS filtered FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def fir_lowpass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.fir(src.series(spark, sf_dir), "value", _TAPS).select("n", F.round("filtered", 4).alias("filtered"))
+    return signal.fir(src.series(spark, sf_dir), "value", _TAPS, key="user_id").select("user_id", "n", F.round("filtered", 4).alias("filtered"))
 
 
-@query(f"WITH {TRK} SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS out_id FROM frm WHERE frame_id % 30 NOT IN (0, 3, 6, 9, 12, 16, 19, 22, 25, 29)")
+@query(f"WITH {TRK} SELECT stream_id, frame_id, row_number() OVER ({_BY} frame_id) - 1 AS out_id FROM sfr WHERE frame_id % 30 NOT IN (0, 3, 6, 9, 12, 16, 19, 22, 25, 29)")
 def fps_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.thin_to_fps(src.frames_of(trk(spark, sf_dir)), 30, 20).select("frame_id", "out_id")
+    return src.thin_to_fps(stream_frames(trk(spark, sf_dir)), 30, 20, KEY).select(KEY, "frame_id", "out_id")
 
 
 @query(f"WITH {TRK} SELECT frame_id, epoch_us(ts) AS us, 30.0::DOUBLE AS source_fps, 640 AS width FROM frm")
@@ -693,11 +837,12 @@ def frame_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("meta.frame_id", micros("meta.timestamp").alias("us"), "meta.source_fps", "meta.width")
 
 
-@query(f"""WITH {TRK}, gp AS (SELECT frame_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (ORDER BY frame_id) - epoch_us(ts) AS gap FROM frm),
-rp AS (SELECT frame_id, unnest(range(0, 1 + coalesce(greatest(CAST(floor(gap / 2000000000.0) AS BIGINT) - 1, 0), 0))) AS k FROM gp)
-SELECT frame_id AS source_frame, CAST(k AS INTEGER) AS repeat, round(CASE WHEN k = 0 THEN 1.0 ELSE greatest(0.3, exp(k * -0.1)) END, 6) AS brightness, row_number() OVER (ORDER BY frame_id, k) - 1 AS out_id FROM rp""")
+@query(f"""WITH {TRK}, sf AS (SELECT DISTINCT stream_id, frame_id, ts FROM trk), gp AS (SELECT stream_id, frame_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER ({_BY} frame_id) - epoch_us(ts) AS gap FROM sf),
+rp AS (SELECT stream_id, frame_id, unnest(range(0, 1 + coalesce(greatest(CAST(floor(gap / 2000000000.0) AS BIGINT) - 1, 0), 0))) AS k FROM gp)
+SELECT stream_id, frame_id AS source_frame, CAST(k AS INTEGER) AS repeat, round(CASE WHEN k = 0 THEN 1.0 ELSE greatest(0.3, exp((k - 1) * -0.1)) END, 6) AS brightness, row_number() OVER ({_BY} frame_id, k) - 1 AS out_id FROM rp""")
 def fps_stabilize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.stabilise_fps(src.frames_of(trk(spark, sf_dir)), 2_000_000_000).withColumn("brightness", F.round("brightness", 6))
+    t = trk(spark, sf_dir).select(KEY, "frame_id", "ts").distinct()
+    return signal.stabilise_fps(t, 2_000_000_000, KEY).withColumn("brightness", F.round("brightness", 6))
 
 
 _TRKSEQ = f"{TRK}, sq AS (SELECT track_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY track_id ORDER BY frame_id) AS rn FROM trk)"
@@ -889,11 +1034,40 @@ def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("category_id", "image_id", F.col("rank").alias("det_idx"), "tp", "fp", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
 
 
-@query()
+_AREAS = "ar(area, lo, hi) AS (VALUES ('all', 0.0, 1e10), ('small', 0.0, 1024.0), ('medium', 1024.0, 9216.0), ('large', 9216.0, 1e10)), th AS (SELECT CAST(round(0.5 + 0.05 * range, 2) AS DOUBLE) AS thr FROM range(10))"
+_MATCH = f"""pr AS (SELECT frame_id AS image_id, category_id, det_idx, score, x1 + l_quantity % 5 AS x1, y1 + l_quantity % 5 AS y1, x2 + l_quantity % 5 AS x2, y2 + l_quantity % 5 AS y2 FROM det),
+pk AS (SELECT *, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, det_idx) - 1 AS rank FROM pr QUALIFY rank < 100),
+tt AS (SELECT frame_id AS image_id, category_id, det_idx AS t, {BOXES} FROM det WHERE l_suppkey % 2 = 0),
+{_AREAS},
+cd0 AS (SELECT a.image_id, a.category_id, a.rank, b.t, {_AREA.format(p='b')} AS size, {_INTER} AS inter, {_AREA.format(p='a')} AS sa FROM pk a JOIN tt b ON a.image_id = b.image_id AND a.category_id = b.category_id),
+cd AS (SELECT image_id, category_id, rank, list({{'iou': inter / (sa + size - inter), 't': t, 'size': size}}) AS cands FROM cd0 WHERE inter / (sa + size - inter) >= 0.4 GROUP BY ALL),
+pa AS (SELECT pk.image_id, pk.category_id, pk.rank, pk.score, ({_AREA.format(p='pk')} < lo OR {_AREA.format(p='pk')} > hi) AS outside, area, thr, list_transform(list_filter(coalesce(cands, []), lambda c: c.iou >= thr), lambda c: {{'iou': c.iou, 't': c.t, 'ig': c.size < lo OR c.size > hi}}) AS cands FROM pk CROSS JOIN ar CROSS JOIN th LEFT JOIN cd ON cd.image_id = pk.image_id AND cd.category_id = pk.category_id AND cd.rank = pk.rank),
+mt AS (
+  SELECT image_id, category_id, area, thr, CAST(-1 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS INTEGER) AS state FROM (SELECT DISTINCT image_id, category_id, area, thr FROM pa)
+  UNION ALL
+  SELECT image_id, category_id, area, thr, rank, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick.t) END, CASE WHEN pick IS NULL THEN CASE WHEN outside THEN -1 ELSE 0 END WHEN pick.ig THEN -1 ELSE 1 END
+  FROM (SELECT pa.image_id, pa.category_id, pa.area, pa.thr, pa.rank, pa.outside, mt.taken, list_sort(list_filter(pa.cands, lambda c: NOT list_contains(mt.taken, c.t)), 'DESC') AS free,
+    coalesce(list_filter(free, lambda c: NOT c.ig)[1], free[1]) AS pick FROM mt JOIN pa ON pa.image_id = mt.image_id AND pa.category_id = mt.category_id AND pa.area = mt.area AND pa.thr = mt.thr AND pa.rank = mt.rank + 1)),
+np AS (SELECT category_id, area, count(*) FILTER (WHERE (x2 - x1) * (y2 - y1) >= lo AND (x2 - x1) * (y2 - y1) <= hi) AS n FROM tt, ar GROUP BY ALL),
+ms AS (SELECT mt.category_id, mt.area, mt.thr, mt.image_id, mt.rank, state, pk.score FROM mt JOIN pk ON pk.image_id = mt.image_id AND pk.category_id = mt.category_id AND pk.rank = mt.rank WHERE state >= 0)"""
+_AP = """cv AS (SELECT ms.*, n, sum(state) OVER w AS tp, count(*) OVER w AS k FROM ms JOIN np ON np.category_id = ms.category_id AND np.area = ms.area WHERE n > 0 WINDOW w AS (PARTITION BY ms.category_id, ms.area, thr ORDER BY score DESC, image_id, rank ROWS UNBOUNDED PRECEDING)),
+cw AS (SELECT *, max(tp / k) OVER (PARTITION BY category_id, area, thr ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p, (tp * 100) // n AS upto, coalesce(lag((tp * 100) // n) OVER (PARTITION BY category_id, area, thr ORDER BY k), -1) AS low FROM cv),
+ap0 AS (SELECT category_id, area, thr, sum((upto - low) * p) / 101 AS ap, sum(state) FILTER (WHERE rank < 1) AS t1, sum(state) FILTER (WHERE rank < 10) AS t10, sum(state) AS t100 FROM cw GROUP BY ALL),
+ap AS (SELECT np.category_id, np.area, th.thr, coalesce(ap, 0.0) AS ap, coalesce(t1, 0) / n AS r1, coalesce(t10, 0) / n AS r10, coalesce(t100, 0) / n AS r100 FROM np CROSS JOIN th LEFT JOIN ap0 ON ap0.category_id = np.category_id AND ap0.area = np.area AND ap0.thr = th.thr WHERE n > 0)"""
+_SUMMARY = [("AP", "ap", "area = 'all'"), ("AP50", "ap", "area = 'all' AND thr = 0.5"), ("AP75", "ap", "area = 'all' AND thr = 0.75"), *((f"AP_{a}", "ap", f"area = '{a}'") for a in ("small", "medium", "large")), *((f"AR{k}", f"r{k}", "area = 'all'") for k in (1, 10, 100)), *((f"AR_{a}", "r100", f"area = '{a}'") for a in ("small", "medium", "large"))]
+
+
+@query(f"WITH RECURSIVE {DET}, {_MATCH}, {_AP} " + " UNION ALL ".join(f"SELECT {k} AS ord, '{n}' AS name, round(coalesce(avg({v}) FILTER (WHERE {w}), -1.0), 6) AS value FROM ap" for k, (n, v, w) in enumerate(_SUMMARY, 1)))
 def map50_95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.coco_summary(*_pred_truth(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
+@query(f"WITH RECURSIVE {DET}, {_MATCH} SELECT image_id, category_id, area, thr AS threshold, CAST(rank AS INTEGER) AS rank, state FROM mt WHERE rank >= 0 AND area IN ('all', 'small') AND thr IN (0.5, 0.75)")
+def truth_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = evaluate.match_truth(*_pred_truth(spark, sf_dir), (0.5, 0.75), {a: evaluate.AREAS[a] for a in ("all", "small")})
+    return m.select("image_id", "category_id", "area", "threshold", "rank", "state")
+
+
 _CENT = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), e AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM v), c AS (SELECT label AS cluster, d, round(avg(x), 6) AS x FROM e WHERE label IS NOT NULL GROUP BY label, d), dist AS (SELECT e.vec_id, c.cluster, sum((e.x - c.x) * (e.x - c.x)) AS d2 FROM e JOIN c ON c.d = e.d GROUP BY ALL)"
 
 
@@ -913,10 +1087,22 @@ def kmeans_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.exemplars(catalog.assign_centroids(*_vectors(spark, sf_dir))).select("cluster", "vec_id", "n")
 
 
-@query()
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """The rounds unrolled: coordinates of the centroids by cluster and dimension."""
+    out = ["e AS MATERIALIZED (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings WHERE embedding IS NOT NULL)", f"c0 AS MATERIALIZED (SELECT CAST(rn - 1 AS INTEGER) AS cluster, d, x FROM e JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn FROM (SELECT DISTINCT vec_id FROM e) QUALIFY rn <= {k}) USING (vec_id))"]
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, arg_min(cluster, {{'d2': d2, 'c': cluster}}) AS cluster, min(d2) AS d2 FROM (SELECT e.vec_id, c.cluster, sum((e.x - c.x) * (e.x - c.x)) AS d2 FROM e JOIN c{r} c ON c.d = e.d GROUP BY ALL) GROUP BY vec_id)")
+        out.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, c.d, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT a.cluster, e.d, avg(e.x) AS x FROM a{r} a JOIN e USING (vec_id) GROUP BY ALL) m ON m.cluster = c.cluster AND m.d = c.d)")
+    return f"WITH {', '.join(out)} SELECT cluster, arg_min(vec_id, {{'d2': d2, 'v': vec_id}}) AS vec_id, count(*) AS n, round(min(d2), 6) AS d2 FROM a{rounds} GROUP BY cluster"
+
+
+@query(_kmeans_sql(10, 4))
 def kmeans_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rounds from the vectors of the ten least ids."""
     v, _ = _vectors(spark, sf_dir)
-    return catalog.kmeans_exemplars(v.where("v is not null"), 10).withColumn("d2", F.round("d2", 6))
+    v = v.where("v is not null")
+    seeds = [r.v for r in v.orderBy("vec_id").limit(10).collect()]
+    return catalog.kmeans_exemplars(v, seeds=seeds, rounds=4).withColumn("d2", F.round("d2", 6))
 
 
 # tracking
@@ -924,42 +1110,64 @@ def kmeans_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def track_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trk(spark, sf_dir).withColumn("stream_id", F.col("track_id") % 8).withColumnRenamed("track_id", "det_idx")
+    t = trk(spark, sf_dir).withColumnRenamed("track_id", "det_idx")
     return rounded(tracking.track_objects(t, buffer=30).select("stream_id", "frame_id", "det_idx", "track_id", *box()), places=3)
 
 
-@query()
+_STICKY = """p AS (SELECT stream_id, frame_id, list(track_id ORDER BY score DESC, track_id) AS best, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS rn FROM trk GROUP BY stream_id, frame_id),
+st AS (
+  SELECT stream_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS frame_id, CAST([] AS STRUCT(n BIGINT, m BIGINT)[]) AS chosen FROM (SELECT DISTINCT stream_id FROM p)
+  UNION ALL
+  SELECT stream_id, rn, frame_id, list_concat(old, list_transform(list_filter(best[1:greatest(0, 2 - len(old))], lambda b: NOT list_contains(list_transform(old, lambda o: o.n), b)), lambda b: {'n': b, 'm': CAST(0 AS BIGINT)}))
+  FROM (SELECT p.stream_id, p.rn, p.frame_id, p.best, list_filter(list_transform(list_filter(list_transform(st.chosen, lambda o: {'n': o.n, 'm': o.m + coalesce(p.frame_id - st.frame_id - 1, 0)}), lambda o: o.m <= 5), lambda o: {'n': o.n, 'm': CASE WHEN list_contains(p.best, o.n) THEN 0 ELSE o.m + 1 END}), lambda o: o.m <= 5) AS old
+    FROM st JOIN p ON p.stream_id = st.stream_id AND p.rn = st.rn + 1))"""
+
+
+@query(f"WITH RECURSIVE {TRK}, {_STICKY} SELECT st.stream_id, st.frame_id, c.n AS track_id FROM (SELECT stream_id, rn, frame_id, unnest(chosen) AS c FROM st) st JOIN p ON p.stream_id = st.stream_id AND p.rn = st.rn WHERE list_contains(p.best, c.n)")
 def select_sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trk(spark, sf_dir).withColumns({"stream_id": F.col("track_id") % 8, "det_idx": F.col("track_id")})
+    t = trk(spark, sf_dir).withColumn("det_idx", F.col("track_id"))
     return tracking.select_sticky(t, F.col("score"), top_k=2, timeout=5).select("stream_id", "frame_id", "track_id")
 
 
 # names and templates
 
 
-@query("SELECT p_partkey, regexp_replace(p_name || '/' || p_brand || ': ' || p_type, '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM part")
+@query(r"SELECT p_partkey, regexp_replace(p_name || ' (' || p_brand || '): é&#$!@/' || p_type || '*?', '[^-_.()!@#$& A-Za-z0-9]+', '_', 'g') AS name FROM part")
 def filename_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return p.select("p_partkey", text.clean_filename(F.concat("p_name", F.lit("/"), "p_brand", F.lit(": "), "p_type")).alias("name"))
+    return p.select("p_partkey", text.clean_filename(F.concat("p_name", F.lit(" ("), "p_brand", F.lit("): é&#$!@/"), "p_type", F.lit("*?"))).alias("name"))
+
 
+ODD_NAMES = ("foo-Bar", "my_File", "Traffic Light (2)", "HTTPServer2Go", "7Up", "aB", "simple")
+_ODD_NAMES = str(list(ODD_NAMES))
 
-@query("""WITH a AS (SELECT event_id, event_type || 'EventHTTPPart' || event_id || ' x' AS s FROM events)
-SELECT event_id, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(s, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9_]+', '_', 'g'), '^([0-9])', '_\\1') AS name FROM a""")
+
+@query(rf"""WITH a AS (SELECT event_id, event_type || 'EventHTTPPart' || event_id || ' x' || ({_ODD_NAMES})[1 + event_id % 7] AS s FROM events UNION ALL SELECT -i, ({_ODD_NAMES})[i] FROM range(1, 8) t(i))
+SELECT event_id, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(s, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^0-9a-zA-Z_]', '_', 'g'), '^([0-9])', '_\1') AS name FROM a""")
 def snake_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select("event_id", text.snake_case(F.concat("event_type", F.lit("EventHTTPPart"), F.col("event_id").cast("string"), F.lit(" x"))).alias("name"))
+    odd = F.array(*map(F.lit, ODD_NAMES))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat("event_type", F.lit("EventHTTPPart"), F.col("event_id").cast("string"), F.lit(" x"), F.get(odd, (F.col("event_id") % 7).cast("int"))).alias("s"))
+    few = spark.range(1).select(F.posexplode(odd).alias("k", "s")).select((-1 - F.col("k")).cast("long").alias("event_id"), "s")
+    return e.unionByName(few).select("event_id", text.snake_case(F.col("s")).alias("name"))
 
 
-@query("SELECT event_id, CASE WHEN n > 0 THEN event_type || '_' || n ELSE event_type END AS name FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n FROM events)")
+@query("""WITH RECURSIVE n AS (SELECT p_partkey, p_brand, p_brand || (['', '_1', '', '_2'])[1 + p_partkey % 4] AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part),
+f AS (
+  SELECT p_brand, rn, p_partkey, [name] AS taken, name AS got FROM n WHERE rn = 1
+  UNION ALL SELECT p_brand, rn, p_partkey, list_append(taken, got), got FROM (
+    SELECT n.p_brand, n.rn, n.p_partkey, f.taken, CASE WHEN NOT list_contains(f.taken, n.name) THEN n.name ELSE n.name || '_' || list_min(list_filter(range(1, len(f.taken) + 2), lambda i: NOT list_contains(f.taken, n.name || '_' || i))) END AS got
+    FROM f JOIN n ON n.p_brand = f.p_brand AND n.rn = f.rn + 1))
+SELECT p_partkey, got AS name FROM f""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("event_type").alias("name"))
-    return text.unique_names(e, "name", "event_id")
+    ending = F.get(F.array(*map(F.lit, ("", "_1", "", "_2"))), (F.col("p_partkey") % 4).cast("int"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat("p_brand", ending).alias("name"))
+    return text.unique_names(p, "name", "p_partkey")
 
 
-@query("SELECT event_id, 'clip_' || printf('%08d', event_id - 5) AS name FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'out/' ELSE 'clip_' END || printf('%08d', event_id - 5) AS name FROM events")
 def clip_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select("event_id", text.clip_name(F.lit("clip"), F.col("event_id") - 5).alias("name"))
+    return e.select("event_id", text.clip_name(F.when(F.col("event_id") % 2 == 0, "out/").otherwise("clip"), F.col("event_id") - 5).alias("name"))
 
 
 @query("SELECT event_id, 'user ' || user_id || ' did ' || event_type || ' ${nothing} ${1+1}' AS message FROM events")

@@ -13,3 +13,8 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
     return df
+
+
+def by(stream: str | None, *names: str) -> list[str]:
+    """Key columns: ``names``, and before them the stream's, where there are several streams."""
+    return [*([stream] if stream else []), *names]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 FRAME_WIDTH, FRAME_HEIGHT = 640, 480
+#: Cameras among which the tracks of the fixture are dealt.
+STREAMS = 8
 ZONES = {"dock": [(100, 100), (400, 100), (400, 400), (100, 400)], "gate": [(300, 200), (500, 200), (500, 450), (300, 450)], "diamond": [(320, 60), (560, 240), (320, 420), (80, 240)]}
 LINES = [(300, 0, 300, 480), (0, 240, 640, 240), (40, 50, 600, 440)]
 
@@ -119,7 +121,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """200 frames or so, a track per user; boxes move 11 px right and 7 px down a frame."""
+    """200 frames or so of STREAMS streams, a track per user; boxes move 11 px right and 7 px down a frame."""
     events = _load(spark, sf_dir, "events")
     k = F.broadcast(events.agg(F.greatest(F.lit(5), F.expr("count(DISTINCT user_id) div 3")).alias("k")))
     g = events.crossJoin(k).select(F.expr("event_id div k").alias("frame_id"), "ts", "user_id", "event_type", "value")
@@ -128,16 +130,18 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = (F.col("user_id") * 53 + F.col("frame_id") * 7) % 420
     rows = g.groupBy("frame_id", "user_id").agg(F.min("event_type").alias("label"), F.round(F.max("value") / 500.0, 4).alias("score"))
     return rows.join(first, "frame_id").select(
-        "frame_id", F.col("fts").alias("ts"), F.col("user_id").alias("track_id"), "label",
+        "frame_id", F.col("fts").alias("ts"), F.col("user_id").alias("track_id"), "label", (F.col("user_id") % STREAMS).alias("stream_id"),
         x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 40).cast("double").alias("x2"), (y + 60).cast("double").alias("y2"), "score",
     )
 
 
-def frames_of(tracks_df: DataFrame) -> DataFrame:
-    return tracks_df.groupBy("frame_id").agg(F.min("ts").alias("ts"))
+def frames_of(tracks_df: DataFrame, streams: int = 0) -> DataFrame:
+    """The frames' times; with ``streams``, of each of so many streams that share the clock."""
+    out = tracks_df.groupBy("frame_id").agg(F.min("ts").alias("ts"))
+    return out.withColumn("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(streams - 1).cast("long")))) if streams else out
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A signal: the events' values in order of event_id."""
-    return _load(spark, sf_dir, "events").select(F.col("event_id").alias("n"), "ts", "value")
+    """A signal per user: the events' values in order of event_id."""
+    return _load(spark, sf_dir, "events").select(F.col("event_id").alias("n"), "ts", "value", "user_id")
 

@@ -183,13 +183,18 @@ def test_scores_equal_a_plain_model(spark):
                     first[u] += 1
                     word[w] += 1
                     pair[p] += 1
-        tables.append((first, word, pair))
+        tables.append((keep, first, word, pair))
     for i, t in rows:
         if not (t or "").split():
             assert (got[i].n_tokens, got[i].ce_diff) == (0, None)
             continue
         means = []
-        for first, word, pair in tables:
+        for keep, *seen in tables:
+            first, word, pair = map(Counter, seen)
+            for w, u, p in zip(*lmscore.slots(lmscore.word_ids(t.encode()), wb, pb)) if i in keep else ():
+                first[u] -= 1  # a model has not seen the text that it scores
+                word[w] -= 1
+                pair[p] -= 1
             n, loss = sum(word.values()), []
             for w, u, p in zip(*lmscore.slots(lmscore.word_ids(t.encode()), wb, pb)):
                 one = (word[w] + lmscore.ALPHA) / (n + lmscore.ALPHA * 2**wb)
@@ -197,7 +202,9 @@ def test_scores_equal_a_plain_model(spark):
                 loss.append(-math.log((1 - lmscore.MIX) * one + lmscore.MIX * min(two, 1)))
             means.append(np.mean(loss))
         assert got[i].ce_diff == pytest.approx(means[1] - means[0])
-    assert got[1].ce_diff < got[3].ce_diff
+    copies = docs.unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(4).cast("long")))
+    both = {r.doc_id: r for r in lmscore.score_documents(copies.where("text is not null"), labels).collect()}
+    assert both[3].loss_background == both[4].loss_background < got[3].loss_background
     assert lmscore.score_documents(docs.limit(0), labels).count() == 0
     assert lmscore.score_documents(docs, labels.limit(0)).count() == len(rows)
 
@@ -220,8 +227,13 @@ def test_distinct_pairs_never_share_counts(spark, monkeypatch):
                 first.update(e[:-1])
                 word.update(e[1:])
                 pair.update(zip(e, e[1:]))
-        n = sum(word.values()) + lmscore.ALPHA * 2**wb
-        means.append([np.mean([-math.log((1 - lmscore.MIX) * (word[w] + lmscore.ALPHA) / n + lmscore.MIX * (pair[u, w] / first[u] if first[u] else 0)) for u, w in zip(e, e[1:])] or [0]) for e in entries])
+        loss = []
+        for (i, _), e in zip(rows, entries):
+            o1, o2, o3 = (Counter(x) if keep(i) else Counter() for x in (e[:-1], e[1:], zip(e, e[1:])))
+            n = sum(word.values()) - sum(o2.values()) + lmscore.ALPHA * 2**wb
+            each = [-math.log((1 - lmscore.MIX) * (word[w] - o2[w] + lmscore.ALPHA) / n + lmscore.MIX * ((pair[u, w] - o3[u, w]) / (first[u] - o1[u]) if first[u] > o1[u] else 0)) for u, w in zip(e, e[1:])]
+            loss.append(np.mean(each or [0]))
+        means.append(loss)
     want = sorted((i or -1, len(e) - 1, b - a) for (i, _), e, a, b in zip(rows, entries, *means))
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-12)

@@ -58,6 +58,14 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for an inner column that no column of ``df`` has."""
+    name = f"__{name}"
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def with_row_key(docs: DataFrame) -> tuple[DataFrame, list[str], DataFrame | None]:
     """``docs`` with two longs that tell every row from every other and are the same each time it is
     read, their names, and what has been stored for that.
@@ -69,7 +77,8 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, list[str], DataFrame | Non
         plan = plan.children().head()
     if plan.nodeName() != "LogicalRelation" or "parquet" not in plan.toString():
         docs = stored = store(docs, "rows")
-    return docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")), ["__file", "__row"], stored
+    names = [fresh(docs, "file"), fresh(docs, "row")]
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names, stored
 
 
 def _smallest(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:

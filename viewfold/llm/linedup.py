@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewfold.llm.common import store, texts_of
+from viewfold.llm.common import fresh, store, texts_of
 
 WIDTH = 3
 
@@ -79,10 +79,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wins = docs.select(key.alias("d"), F.col(text_col)).mapInArrow(emit, "h0 long, h1 long, d long")
     wins = store(wins, "windows")
     repeated = wins.groupBy("h0", "h1").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("h0", "h1", "first")
-    later = wins.join(repeated, ["h0", "h1"]).where("d > first").groupBy("d").agg(F.collect_list(F.struct("h0", "h1")).alias("__later"))
+    own, list_, made = (fresh(docs, c) for c in ("key", "later", "cut"))
+    later = wins.join(repeated, ["h0", "h1"]).where("d > first").groupBy(F.col("d").alias(own)).agg(F.collect_list(F.struct("h0", "h1")).alias(list_))
 
     names = [c for c in docs.columns if c != count_col]
-    joined = docs.withColumn("__key", key).join(later.withColumnRenamed("d", "__key"), "__key", "left")
+    joined = docs.withColumn(own, key).join(later, own, "left")
 
     @F.arrow_udf("struct<text:string,n:long>")
     def cut(text: pa.Array, later: pa.Array) -> pa.Array:
@@ -95,6 +96,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ns.append(n)
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(ns, pa.int64())], ["text", "n"])
 
-    done = joined.withColumn("__cut", cut(F.col(text_col), F.col("__later")))
-    cols = [F.col("__cut.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
-    return done.select(*cols, *([F.col("__cut.n").alias(count_col)] if count_col else []))
+    done = joined.withColumn(made, cut(F.col(text_col), F.col(list_)))
+    cols = [F.col(f"`{made}`.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
+    return done.select(*cols, *([F.col(f"`{made}`.n").alias(count_col)] if count_col else []))

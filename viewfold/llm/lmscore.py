@@ -7,8 +7,10 @@ either. Loss of a word:
 
     -ln( (1-MIX) (c(w)+ALPHA)/(N+ALPHA V) + MIX c(u,w)/c(u) )     (no second term if c(u) = 0)
 
-c(u) being the count of the preceding word; a text starts with a boundary word. A document's score is its mean loss under the target
-model less that under the background model: the lower, the more it reads like the target.
+c(u) being the count of the preceding word; a text starts with a boundary word. A document is
+scored by models that have not seen it: its own words are taken off the background's counts, and
+off the target's if it is a target document. Its score is its mean loss under the target model
+less that under the background model: the lower, the more it reads like the target.
 
 Counts are never gathered in one place. Documents are dealt into chunks by id; a chunk sends its
 distinct keys with their counts to the slices of the key table, and a slice sends each chunk the
@@ -31,8 +33,8 @@ MIX, ALPHA = 0.7, 0.5
 MIN_BITS, HASH_BITS = 14, 31
 #: Characters of text for each chunk of documents and each slice of the key table.
 CHUNK_CHARS, SLICE_CHARS = 16 << 20, 32 << 20
-PARTS = "chunk long, slice long, keys binary, background binary, goal binary, n_background long, n_goal long"
-COUNTS = "chunk long, slice long, background binary, goal binary, n_background long, n_goal long"
+PARTS = "chunk long, slice long, keys binary, background binary, goal binary, n_background long, n_goal long, ids binary"
+COUNTS = "chunk long, slice long, background binary, goal binary, n_background long, n_goal long, ids binary"
 SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double"
 
 
@@ -95,11 +97,21 @@ class Keys:
         order = np.argsort(own, kind="stable")
         return np.split(order, np.searchsorted(own[order], np.arange(1, n, dtype=np.uint64)))
 
-    def losses(self, counts: np.ndarray, n: int, word_bits: int) -> np.ndarray:
-        """Loss of each pair."""
-        single = (counts[self.word] + ALPHA) / (n + ALPHA * (1 << word_bits))
-        after = counts[self.before]
-        both = np.where(after > 0, counts[: self.pairs] / np.maximum(after, 1), 0.0)
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each token's pair, word and preceding word occur in its text."""
+        text = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        out = []
+        for key in (self.token, self.word[self.token], self.before[self.token]):
+            _, at, n = np.unique(text * (len(self.keys) + 1) + key, return_inverse=True, return_counts=True)
+            out.append(n[at])
+        return tuple(out)
+
+    def losses(self, counts: np.ndarray, n: int, word_bits: int, seen: np.ndarray, own: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Loss of each token, less what its own text counts where the model has ``seen`` it."""
+        pair, word, before = (counts[key] - k * seen for key, k in zip((self.token, self.word[self.token], self.before[self.token]), own))
+        total = n - np.repeat(self.lengths, self.lengths) * seen
+        single = (word + ALPHA) / (total + ALPHA * (1 << word_bits))
+        both = np.where(before > 0, pair / np.maximum(before, 1), 0.0)
         return -np.log((1 - MIX) * single + MIX * np.minimum(both, 1.0))
 
 
@@ -107,7 +119,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """``(doc_id, n_tokens, loss_target, loss_background, ce_diff)`` for each row of ``docs``.
 
     Background: all documents. Target: the documents that ``labels`` marks by the SQL condition
-    ``target``. Both models' counts cover every token of every document. Losses are means per
+    ``target``. Both models' counts cover every token of every document but the one that is scored;
+    a copy of it under another row counts. Losses are means per
     token; null and empty texts have 0 tokens and null losses. Labels without a document,
     repeated labels and null labels change nothing; without any target document the target model is
     uniform. An empty table gives no rows."""
@@ -122,7 +135,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def count(rows, marked):
         if not rows.num_rows:
-            return pa.table({c: pa.array([], pa.binary() if c in ("keys", "background", "goal") else pa.int64()) for c in ("chunk", "slice", "keys", "background", "goal", "n_background", "n_goal")})
+            return pa.table({c: pa.array([], pa.binary() if c in ("keys", "background", "goal", "ids") else pa.int64()) for c in ("chunk", "slice", "keys", "background", "goal", "n_background", "n_goal", "ids")})
         k = Keys(texts(rows), word_bits, pair_bits)
         wanted = set(marked.column("id").to_pylist())
         mask = np.repeat(np.array([i in wanted for i in rows.column("id").to_pylist()], dtype=bool), k.lengths)
@@ -137,6 +150,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                 "goal": pa.array([pack(goal[at]) for at in parts], pa.binary()),
                 "n_background": pa.array([len(mask)] * slices, pa.int64()),
                 "n_goal": pa.array([int(mask.sum())] * slices, pa.int64()),
+                # the target's own ids, with the first slice
+                "ids": pa.array([np.array(sorted(wanted), dtype="<i8").tobytes()] + [None] * (slices - 1), pa.binary()),
             }
         )
 
@@ -144,28 +159,31 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         keys = [np.cumsum(unpack(x), dtype=np.uint64) for x in t.column("keys").to_pylist()]
         ends = np.cumsum([len(x) for x in keys])[:-1]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        out = {"chunk": t.column("chunk"), "slice": t.column("slice")}
+        out = {"chunk": t.column("chunk"), "slice": t.column("slice"), "ids": t.column("ids")}
         for c in ("background", "goal"):
             sums = np.bincount(at, np.concatenate([unpack(x) for x in t.column(c).to_pylist()]))
             out[c] = pa.array([pack(x) for x in np.split(sums[at], ends)], pa.binary())
         for c in ("n_background", "n_goal"):
             out[c] = pa.array([sum(t.column(c).to_pylist())] * t.num_rows, pa.int64())
-        return pa.table(out)
+        return pa.table(out).select([*(c for c in out if c != "ids"), "ids"])
 
     def score(rows, counts):
         k = Keys(texts(rows), word_bits, pair_bits)
         some = k.lengths > 0
         starts = (np.cumsum(k.lengths) - k.lengths)[some]
         parts = k.slices(slices)
+        own = k.own()
+        wanted = {i for x in counts.column("ids").to_pylist() if x for i in np.frombuffer(x, dtype="<i8").tolist()}
+        marked = np.repeat(np.array([i in wanted for i in rows.column("id").to_pylist()], dtype=np.int64), k.lengths)
         means = {}
-        for c in ("goal", "background"):
+        for c, seen in (("goal", marked), ("background", np.ones(len(marked), dtype=np.int64))):
             n = np.zeros(len(k.keys), dtype=np.int64)
             for s, x in zip(counts.column("slice").to_pylist(), counts.column(c).to_pylist()):
                 n[parts[s]] = unpack(x)
-            loss = k.losses(n, counts.column(f"n_{c}")[0].as_py() if counts.num_rows else 0, word_bits)
+            loss = k.losses(n, counts.column(f"n_{c}")[0].as_py() if counts.num_rows else 0, word_bits, seen, own)
             means[c] = np.zeros(len(some))
             if some.any():
-                means[c][some] = np.add.reduceat(loss[k.token], starts) / k.lengths[some]
+                means[c][some] = np.add.reduceat(loss, starts) / k.lengths[some]
         return pa.table(
             {
                 "doc_id": rows.column("id"),

@@ -210,24 +210,24 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     made = store(features(docs, id_col, text_col), "votes")
     model = made.sparkSession.sparkContext.broadcast(_fit(made, fit_rows))
 
-    @F.pandas_udf("weak double, score double")
-    def predict(pattern, slots, values):
-        import pandas as pd
-
+    @F.arrow_udf("struct<weak:double,score:double>")
+    def predict(pattern: pa.Array, slots: pa.Array, values: pa.Array) -> pa.Array:
         m = model.value
-        sizes = np.array([len(s) for s in slots])
-        at = np.concatenate([*slots, np.zeros(0, dtype=np.int32)]).astype(np.int64)
-        val = np.concatenate([*values, np.zeros(0)])
+        pats = pattern.to_pylist()
+        sizes = np.diff(slots.offsets.to_numpy())
+        at, val = (x.flatten().to_numpy() for x in (slots, values))
         z = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=val * m.weights[at], minlength=len(sizes)) + m.weights[-1]
-        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return pd.DataFrame({"weak": [m.posteriors.get(p) for p in pattern], "score": np.where(pattern.to_numpy() < 0, 0.0, score)})
+        score = np.where(np.array(pats) < 0, 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return pa.StructArray.from_arrays([pa.array([m.posteriors.get(p) for p in pats], pa.float64()), pa.array(score)], ["weak", "score"])
 
     done = made.withColumn("p", predict("pattern", "slots", "values"))
     return done.select("doc_id", F.col("p.weak").alias("weak_good"), F.col("p.score").alias("score"), (F.col("p.score") >= 0.5).alias("keep"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Rows of ``docs`` that the scorer keeps. The texts stay where they are: no shuffle."""
+    """Rows of ``docs``, with all columns, that the scorer keeps. Each row goes by its own text: null
+    ids and repeated rows are judged like any other, texts without words, null ones too, go; an
+    empty table gives no rows. The texts stay where they are: no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, id_col, text_col, fit_rows))
 
     @F.arrow_udf("boolean")

@@ -295,8 +295,79 @@ def test_crf_learns_and_adds_what_patterns_miss():
         assert all(set(base[k]) <= set(full[k]) for k in pii.KINDS)
         spans = sorted(x for v in full.values() for x in v)
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
-    _, full = pii.find_all("write to ann (at) mail (dot) example.com today", crf)
-    assert pii.find_all("nothing here", crf)[1] == {k: [] for k in pii.KINDS}
+    for t, kind, span in (
+        ("write to ann (at) mail (dot) example.com today", "email", "ann (at) mail (dot) example.com"),
+        ("ann at mail dot com", "email", "ann at mail dot com"),
+        ("reach ANN (AT) mail (DOT) com soon", "email", "ANN (AT) mail (DOT) com"),
+        ("the host 10[.]0[.]0[.]1 is up", "ip", "10[.]0[.]0[.]1"),
+        ("pay with 4111/1111/1111/1111 please", "card", "4111/1111/1111/1111"),
+        ("call 030/1234567 now", "phone", "030/1234567"),
+    ):
+        base, full = pii.find_all(t, crf)
+        assert not any(base.values()) and {k: [t[s:e] for s, e in v] for k, v in full.items() if v} == {kind: [span]}
+    for t in ("nothing here", "on 2024-10-12 10:30:00 we met at noon", "card 4111/1111/1111/1112", "version 1.2.33.4567", "he stood at the door. Then"):
+        assert pii.find_all(t, crf)[1] == {k: [] for k in pii.KINDS}, t
+
+
+def test_added_spans_have_recall_and_precision(spark):
+    """On examples written with another seed than those learned, and on the documents."""
+    docs = [r.text for r in read(spark, "documents", BIG).collect()]
+    crf = pii.train(read(spark, "documents", BIG))
+    right, added, wanted = Counter(), Counter(), Counter()
+    for t, true in pii.examples(docs[:100], 100, 4321):
+        base, full = pii.find_all(t, crf)
+        known = {x for k in pii.KINDS for x in base[k]}
+        got = {(k, *x) for k in pii.KINDS for x in full[k] if x not in base[k]}
+        want = {x for x in true if x[1:] not in known}
+        for k, *_ in got:
+            added[k] += 1
+        for k, *_ in want:
+            wanted[k] += 1
+        for k, *_ in got & want:
+            right[k] += 1
+    for k, least in zip(pii.KINDS, (0.7, 0.95, 0.95, 0.9)):
+        assert right[k] >= least * wanted[k] and right[k] >= least * added[k], (k, right, added, wanted)
+    odd = 0
+    for t in docs:
+        base, full = pii.find_all(t, crf)
+        odd += sum(len(full[k]) - len(base[k]) for k in pii.KINDS)
+    assert odd < len(docs) / 50
+
+
+def all_segmentations(n, cands):
+    """Every set of candidates that don't overlap, as lists of their numbers."""
+    if n == 0:
+        return [[]]
+    out = all_segmentations(n - 1, cands)
+    for c, (i, j, _) in enumerate(cands):
+        if j == n:
+            out = out + [[*x, c] for x in all_segmentations(i, cands)]
+    return out
+
+
+def test_decoding_and_sums_equal_enumeration():
+    rnd = random.Random(8)
+    for _ in range(60):
+        text = "".join(rnd.choice(["1.2.3.4", " 0301234567", "4111 1111 1111 1111", "a at b dot de", " ", "x", ".", "+49"]) for _ in range(4))
+        weights = {}
+
+        class Random(pii.SemiCRF):
+            def score(self, kind, t, s, e):
+                return weights.setdefault((kind, s, e), rnd.uniform(-2, 2))
+
+        for tokens in pii.regions(text):
+            tokens = tokens[:14]
+            cands = pii.candidates(text, tokens)
+            crf = Random({})
+            v = [crf.score(k, text, tokens[i][0], tokens[j - 1][1]) for i, j, k in cands]
+            every = all_segmentations(len(tokens), cands)
+            got = crf.decode(text, tokens, [])
+            assert sum(crf.score(k, text, s, e) for k, s, e in got) == pytest.approx(max(sum(v[c] for c in x) for x in every))
+            total = sum(math.exp(sum(v[c] for c in x)) for x in every)
+            log, share = pii.sums(len(tokens), cands, v)
+            assert log == pytest.approx(math.log(total))
+            for c in range(len(cands)):
+                assert share[c] == pytest.approx(sum(math.exp(sum(v[d] for d in x)) for x in every if c in x) / total)
 
 
 def test_pii_query(spark):
@@ -399,6 +470,69 @@ def test_em_finds_the_accuracies():
     assert [table[j, 1, 2] for j in range(4)] == pytest.approx([0.95, 0.9, 0.9, 0.85], abs=0.03)
 
 
+def slow_em(votes, rounds):
+    """Dawid and Skene over single documents: P(good) of each, by plain loops."""
+    k = len(votes[0])
+    q = [0.1 if 0 in v else 0.95 for v in votes]
+    for _ in range(rounds):
+        share = sum(q) / len(q)
+        says = [[[1.0, 1.0] for _ in (0, 1)] for _ in range(k)]
+        for v, p in zip(votes, q):
+            for j, x in enumerate(v):
+                if x >= 0:
+                    says[j][0][x] += 1 - p
+                    says[j][1][x] += p
+        new = []
+        for v in votes:
+            like = [1 - share, share]
+            for c in (0, 1):
+                for j, x in enumerate(v):
+                    if x >= 0:
+                        like[c] *= says[j][c][x] / sum(says[j][c])
+            new.append(like[1] / sum(like))
+        q = new
+    return q
+
+
+def slow_linear(feats, q):
+    """Logistic regression by Adagrad on dicts of features, the last weight the bias."""
+    good, bad = max(sum(q), 1), max(len(q) - sum(q), 1)
+    each = [p / good + (1 - p) / bad for p in q]
+    w, g2, whole = Counter(), {}, sum(each)
+    for _ in range(quality.EPOCHS):
+        g = Counter({k: 1e-5 * v for k, v in w.items() if k != "bias"})
+        for f, p, a in zip(feats, q, each):
+            z = w["bias"] + sum(w[k] * v for k, v in f.items())
+            err = (1 / (1 + math.exp(-max(-30, min(30, z)))) - p) * a / whole
+            g["bias"] += err
+            for k, v in f.items():
+                g[k] += v * err
+        for k, v in g.items():
+            g2[k] = g2.get(k, 1e-8) + v * v
+            w[k] -= 0.5 * v / math.sqrt(g2[k])
+    return w
+
+
+def test_quality_equals_plain_em_and_scorer(spark):
+    rows = read(spark, "documents").collect()
+    made = {r.doc_id: quality.describe(r.text.encode()) for r in rows if r.text.split()}
+    q = dict(zip(made, slow_em([v for v, _ in made.values()], quality.EM_ROUNDS)))
+    w = slow_linear([f for _, f in made.values()], list(q.values()))
+    for r in quality.score_quality(read(spark, "documents")).collect():
+        assert r.weak_good == pytest.approx(q[r.doc_id], abs=1e-6)
+        z = w["bias"] + sum(w[k] * v for k, v in made[r.doc_id][1].items())
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-3) and r.keep == (r.score >= 0.5)
+
+
+def test_votes_of_plain_texts():
+    name = lambda t: dict(zip(quality.LABELLERS, quality.describe(t.encode())[0]))
+    good = name("The cat of the house is on the mat, and it was good for us. We like to be with it in the sun.")
+    assert set(good.values()) <= {1, -1} and good["function_words"] == good["symbols"] == 1
+    bad = name("|||| BUY NOW!!! BUY NOW!!! $$$ %%% &&& BUY NOW!!! BUY BUY BUY BUY ####")
+    assert bad["symbols"] == bad["capitals"] == bad["shouting"] == 0
+    assert quality.describe(b" \n") is None
+
+
 def test_quality_agrees_with_held_labels(spark):
     got = quality.score_quality(read(spark, "documents", BIG)).join(read(spark, "labels", BIG), "doc_id").collect()
     right = sum(r.keep == (r.quality == 1) for r in got) / len(got)
@@ -440,6 +574,69 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score_toxicity(df.limit(0), odd).count() == 0
 
 
+def slow_tree(x, g, h, rows, depth, cuts):
+    """The best cut at each level by plain loops: ("leaf", value) or (feature, cut, low, high)."""
+    gs, hs = sum(g[r] for r in rows), sum(h[r] for r in rows)
+    best, pick = 1e-3, None
+    if depth and len(rows) >= 20:
+        for j, cs in enumerate(cuts):
+            for c in cs:
+                low = [r for r in rows if x[r][j] < c]
+                gl, hl = sum(g[r] for r in low), sum(h[r] for r in low)
+                if hl >= 1 and hs - hl >= 1:
+                    gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+                    if gain > best + 1e-9:
+                        best, pick = gain, (j, c)
+    if pick is None:
+        return ("leaf", -gs / (hs + 1))
+    j, c = pick
+    return (j, c, slow_tree(x, g, h, [r for r in rows if x[r][j] < c], depth - 1, cuts), slow_tree(x, g, h, [r for r in rows if x[r][j] >= c], depth - 1, cuts))
+
+
+def test_boosting_equals_plain_trees():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 3)).round(2)
+    y = ((x[:, 0] > 0.2) | (x[:, 2] < -0.7)).astype(float)
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, toxicity.BINS + 1)[1:-1]))) for j in range(3)]
+    z = [math.log(y.mean() / (1 - y.mean()))] * len(x)
+    for _ in range(6):
+        p = [1 / (1 + math.exp(-v)) for v in z]
+        tree = slow_tree(x.tolist(), [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p], list(range(len(x))), toxicity.DEPTH, cuts)
+        for r in range(len(x)):
+            t = tree
+            while t[0] != "leaf":
+                t = t[2] if x[r][t[0]] < t[1] else t[3]
+            z[r] += toxicity.RATE * t[1]
+    assert toxicity.Boosted(6).fit(x, y).raw(x) == pytest.approx(z)
+
+
+def test_lexicons_equal_counts_of_each_fold():
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["idiot", "1d1ot", "idiots", "nice", "day", "the", "moronic"]) if rnd.random() < 0.5 else rnd.choice(["the", "day", "nice"]) for _ in range(8)) for _ in range(90)]
+    toxic = np.array([float("idiot" in t or "moron" in t) for t in texts])
+    fold = np.arange(len(texts)) % 3
+    for f, lex in zip((0, 1, 2, None), toxicity.lexicons(texts, toxic, fold)):
+        use = [k for k in range(len(texts)) if f is None or fold[k] != f]
+        sets = {k: {x for w in texts[k].translate(toxicity.PLAIN).split() for x in toxicity._terms(w)} for k in use}
+        n1 = sum(toxic[k] for k in use)
+        want = {}
+        for t in set().union(*sets.values()):
+            pos, neg = (sum(t in sets[k] for k in use if toxic[k] == v) for v in (1, 0))
+            odds = math.log((pos + 0.5) / (n1 + 1)) - math.log((neg + 0.5) / (len(use) - n1 + 1))
+            if pos >= toxicity.MIN_DOCS and odds > 2.5:
+                want[t] = odds
+        assert lex == pytest.approx(want)
+
+
+def test_toxicity_rows_equal_a_plain_run(spark):
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    use = sorted((r.doc_id, r.toxic) for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in text)
+    model = toxicity.fit_toxicity([text[i] for i, _ in use], [y for _, y in use])
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert got == pytest.approx({i: float(model.scores([t])[0]) for i, t in text.items()})
+
+
 def test_boosting_and_isotonic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))

@@ -3,11 +3,15 @@
 Whole spans are scored: a candidate segment's features look at all of it (digits, groups, check
 sum, frame, words before it), and a segment-level Viterbi search over bounded segments jointly
 chooses boundaries and types. Base matches by pattern are always part of the result; the field
-adds spans that the patterns miss (parts with odd separators, spelled-out at-signs and dots).
+adds spans that the patterns miss (parts with odd separators, spelled-out at-signs and dots, phone
+numbers without a plus). It learns them from examples written by rule, set among words of the
+corpus, beside what the patterns find and refuse in the corpus itself.
 """
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
@@ -21,6 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Longest segment in tokens, most tokens without a trigger inside a region.
 MAX_TOKENS, REACH = 24, 3
 FIT_ROWS, FIT_CHARS, EPOCHS, RATE, DECAY = 1_000, 50_000, 12, 0.2, 1e-3
+#: Examples written by rule: of each kind, and of numbers that are none.
+WRITTEN = 120
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -28,7 +34,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@+]|[(\[](?:at|dot)[)\]]")
+_TRIGGER = re.compile(r"[0-9@+]|[(\[](?:at|dot)[)\]]|\bdot\b", re.IGNORECASE)
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
 
 
@@ -79,8 +85,9 @@ def segment_features(kind: str, text: str, s: int, e: int) -> list[str]:
     groups = [len(g) for g in re.findall(r"[0-9]+", x)]
     letters = sum(c.isalpha() for c in x)
     before, after = text[max(0, s - 1) : s], text[e : e + 1]
-    at = x.count("@") + len(re.findall(r"\bat\b", x))
-    dots = x.count(".") + len(re.findall(r"\bdot\b", x))
+    low = x.lower()
+    at = x.count("@") + len(re.findall(r"\bat\b", low))
+    dots = x.count(".") + len(re.findall(r"\bdot\b", low))
     joined = n > 0 and not letters
     f = [
         "bias",
@@ -100,6 +107,12 @@ def segment_features(kind: str, text: str, s: int, e: int) -> list[str]:
         f"right{'d' if after.isdigit() else 'w' if after.isalpha() else 'p' if after in tuple('-+@_%') and after else 's'}",
         f"ends{x[0].isalnum() or x[0] in '+('}{x[-1].isalnum()}",
         f"mail{at == 1 and dots >= 1 and letters >= 3 and x[-1].isalpha()}",
+        f"spelled{'@' not in x}{min(len(re.findall(r'[(\[](?:at|dot)[)\]]', low)), 2)}",
+        f"bare{min(len(re.findall(r'(?<![(\[])\b(?:at|dot)\b(?![)\]])', low)), 3)}",
+        f"host{len(x) - 1 - max(x.rfind('.'), low.rfind('dot') + 2) if letters else 0}",
+        f"lead{x[0] if x[0] in '+(0' else '-'}",
+        f"signs{''.join(sorted({c for c in x if not c.isalnum()}))[:6]}",
+        f"words{min(len(low.split()), 6)}",
     ]
     return [f"{kind}:{name}" for name in f]
 
@@ -114,10 +127,11 @@ def regions(text: str) -> list[list[tuple[int, int]]]:
             continue
         lo = m.start()
         steps = 0
+        back = REACH + 1 if m[0].isalpha() else REACH - 1  # a bare word stands behind a whole address
         while lo > seen and steps < 40 * REACH and text[lo - 1] != "\n":
             lo -= 1
             steps += 1
-            if text[lo].isspace() and text[lo + 1 : m.start()].count(" ") >= REACH - 1:
+            if text[lo].isspace() and text[lo + 1 : m.start()].count(" ") >= back:
                 break
         tokens: list[tuple[int, int]] = []
         quiet = 0
@@ -126,7 +140,7 @@ def regions(text: str) -> list[list[tuple[int, int]]]:
                 break
             tokens.append(t.span())
             if t.start() > m.end():
-                quiet = 0 if _TRIGGER.match(text, t.start()) or t[0] in ("at", "dot") or not t[0].isalnum() else quiet + 1
+                quiet = 0 if _TRIGGER.match(text, t.start()) or t[0].lower() in ("at", "dot") or not t[0].isalnum() else quiet + 1
             if quiet > REACH:
                 break
         if tokens:
@@ -140,6 +154,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int,
     and ended where a segment of the kind can be."""
     out = []
     words = [text[s:e] for s, e in tokens]
+    words = [w.lower() if len(w) < 4 else w for w in words]
     for i, w in enumerate(words):
         digit = w.isdigit()
         if not (w.isalnum() or w in "+("):
@@ -210,13 +225,83 @@ class SemiCRF:
         return out[::-1]
 
 
-def fit_crf(texts: list[str]) -> SemiCRF:
-    """Maximum conditional likelihood by stochastic gradient: base matches are the true segments
-    of their regions, every other candidate competes with them. Forward and backward sums run
-    over all segmentations of a region."""
+def written(kind: str, rnd: random.Random) -> str:
+    """An example of a kind in a form that its base pattern misses, or, for "none", a number that
+    is no personal data."""
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    name = lambda lo, hi: "".join(rnd.choice("abcdefghijklmnoprstuvwxyz") for _ in range(rnd.randint(lo, hi)))
+    if kind == "email":
+        at = rnd.choice(["@", " @ ", "(at)", " (at) ", "[at]", " [AT] ", " (AT) ", " at ", " AT "])
+        plain = [".", " . "] if at not in ("@", " at ", " AT ") else []
+        dot = rnd.choice([*plain, "(dot)", " (dot) ", " [dot] ", " (DOT) ", " dot ", " DOT "])
+        user = name(3, 8) + rnd.choice(["", "", "." + name(3, 7), digits(2)])
+        parts = [name(3, 9), *([name(3, 8)] if rnd.random() < 0.3 else []), rnd.choice(["com", "org", "net", "de", "fr", "es", "io"])]
+        return user + at + dot.join(parts)
+    if kind == "ip":
+        sep = rnd.choice([" . ", "[.]", "(.)", " dot ", " (dot) ", " [dot] "])
+        return sep.join(str(rnd.randint(0, 255)) for _ in range(4))
+    if kind == "card":
+        d = digits(15)
+        d += next(c for c in "0123456789" if luhn(d + c))
+        return rnd.choice([".", "/", "  ", " - ", "_", ". "]).join(d[k : k + 4] for k in range(0, 16, 4))
+    if kind == "phone":
+        a, sep = str(rnd.randint(2, 9)), rnd.choice(["-", " ", "."])
+        return rnd.choice(
+            [f"0{a}{digits(2)}/{digits(rnd.randint(6, 8))}", f"({'0' + a + digits(1)}) {digits(3)}{sep}{digits(4)}", f"00{a}{digits(1)}{sep}{digits(2)}{sep}{digits(7)}", f"0{a}{digits(1)}{sep}{digits(3)}{sep}{digits(2)}{sep}{digits(2)}", f"0{a}{digits(1)} {digits(7)}"]
+        )
+    bad = digits(15)
+    bad += rnd.choice([c for c in "0123456789" if not luhn(bad + c)])
+    year = rnd.randint(1900, 2030)
+    return rnd.choice(
+        [bad, " ".join(bad[k : k + 4] for k in range(0, 16, 4)), f"{year}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)} {rnd.randint(10, 23)}:{rnd.randint(10, 59)}:{rnd.randint(10, 59)}", f"{rnd.randint(10, 28)}/{rnd.randint(10, 12)}/{year}", f"{digits(1)}.{digits(rnd.randint(3, 12))}", f"{rnd.randint(1, 9)}{digits(2)},{digits(3)},{digits(3)}", f"{rnd.randint(1, 9)}{digits(rnd.randint(6, 13))}", f"v{digits(1)}.{digits(1)}.{digits(2)}.{rnd.randint(300, 9999)}", f"{rnd.randint(256, 999)} . {digits(3)} . {digits(3)} . {digits(3)}", f"look at {name(4, 8)} dot {name(8, 12)} and", f"{name(4, 7)} at {name(4, 8)}. {name(4, 8)}", f"{digits(4)}-{digits(4)}", f"{rnd.randint(1, 9)}{digits(2)} {rnd.randint(1, 9)}{digits(2)} {rnd.randint(1, 9)}{digits(2)}"]
+    )
+
+
+def examples(texts: list[str], n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """(text, true segments) for ``n`` written examples of each kind and twice as many of none, with
+    words of the texts around them."""
+    rnd = random.Random(seed)
+    words = sorted({w for t in texts for w in re.findall(r"[^\W\d_]+", t[:2000])})[:20_000] or ["the", "of", "and", "see", "call", "or"]
+    out = []
+    for kind in (*KINDS, "none", "none"):
+        for _ in range(n):
+            before = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 4)))
+            after = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 4)))
+            span = written(kind, rnd)
+            head = before + " " if before else ""
+            tail = rnd.choice([" ", ". ", ", ", "\n"]) + after if after else rnd.choice(["", "."])
+            out.append((head + span + tail, [(kind, len(head), len(head) + len(span))] if kind != "none" else []))
+    return out
+
+
+def sums(n: int, cands: list[tuple[int, int, str]], v: list[float]) -> tuple[float, list[float]]:
+    """Log of the summed weight of all segmentations of ``n`` tokens, and each candidate's share."""
+    ending: list[list[int]] = [[] for _ in range(n + 1)]
+    starting: list[list[int]] = [[] for _ in range(n + 1)]
+    for c, (i, j, _) in enumerate(cands):
+        ending[j].append(c)
+        starting[i].append(c)
+    a, b = [0.0] * (n + 1), [0.0] * (n + 1)
+    for j in range(1, n + 1):
+        a[j] = _logsum([a[j - 1], *(a[cands[c][0]] + v[c] for c in ending[j])]) if ending[j] else a[j - 1]
+    for i in range(n - 1, -1, -1):
+        b[i] = _logsum([b[i + 1], *(b[cands[c][1]] + v[c] for c in starting[i])]) if starting[i] else b[i + 1]
+    return a[n], [math.exp(min(0.0, a[i] + v[c] + b[j] - a[n])) for c, (i, j, _) in enumerate(cands)]
+
+
+def _logsum(x: list[float]) -> float:
+    top = max(x)
+    return top + math.log(sum(math.exp(y - top) for y in x))
+
+
+def fit_crf(texts: list[str], n_written: int = WRITTEN) -> SemiCRF:
+    """Maximum conditional likelihood by stochastic gradient. In the texts base matches are the true
+    segments of their regions, in written examples the example is; every other candidate competes
+    with them. Forward and backward sums run over all segmentations of a region."""
     data = []
-    for text in texts:
-        base = {(k, s, e) for k, spans in base_matches(text).items() for s, e in spans}
+    known = [(t, [(k, s, e) for k, spans in base_matches(t).items() for s, e in spans]) for t in texts]
+    for text, true in known + examples(texts, n_written, 11):
+        base = set(true)
         for tokens in regions(text):
             cands = candidates(text, tokens)
             if cands:
@@ -229,22 +314,11 @@ def fit_crf(texts: list[str]) -> SemiCRF:
         rate = RATE / (1 + epoch / 4)
         for at in rng.permutation(len(data)).tolist():
             n, cands, feats, gold = data[at]
-            v = [sum(weights.get(f, 0.0) for f in fs) for fs in feats]
-            ending: list[list[int]] = [[] for _ in range(n + 1)]
-            starting: list[list[int]] = [[] for _ in range(n + 1)]
-            for c, (i, j, _) in enumerate(cands):
-                ending[j].append(c)
-                starting[i].append(c)
-            a = [0.0] * (n + 1)
-            for j in range(1, n + 1):
-                a[j] = np.logaddexp.reduce([a[j - 1], *(a[cands[c][0]] + v[c] for c in ending[j])])
-            b = [0.0] * (n + 1)
-            for i in range(n - 1, -1, -1):
-                b[i] = np.logaddexp.reduce([b[i + 1], *(b[cands[c][1]] + v[c] for c in starting[i])])
-            for c, (i, j, _) in enumerate(cands):
-                step = rate * (float(gold[c]) - float(np.exp(min(0.0, a[i] + v[c] + b[j] - a[n]))))
-                if abs(step) > 1e-6:
-                    for f in feats[c]:
+            share = sums(n, cands, [sum(weights.get(f, 0.0) for f in fs) for fs in feats])[1]
+            for fs, true, p in zip(feats, gold, share):
+                step = rate * (true - p)
+                if abs(step) > 1e-4:
+                    for f in fs:
                         weights[f] = weights.get(f, 0.0) * (1 - rate * DECAY) + step
     return SemiCRF(weights)
 

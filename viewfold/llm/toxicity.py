@@ -12,10 +12,13 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_ROWS, FIT_CHARS, MIN_DOCS = 6_000, 200_000, 6
+from viewfold.llm.common import texts_of
+
+FIT_ROWS, FIT_CHARS, FIT_TOTAL, MIN_DOCS = 6_000, 200_000, 60_000_000, 6
 TREES, DEPTH, RATE, BINS, FOLDS = 80, 3, 0.15, 32, 3
 WORD = re.compile(r"[^\W_]+(?:[*@$!'][^\W_]+)*")
 SECOND = frozenset("you your yours u ur tu te toi vous votre ton ta du dich dir ihr euch dein deine usted ustedes ti tus vosotros".split())
@@ -30,26 +33,36 @@ def _terms(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in range(4, min(10, len(word))))]
 
 
-def mine_lexicon(texts: list[str], toxic: np.ndarray) -> dict[str, float]:
-    """Term to smoothed log-odds, for terms in MIN_DOCS toxic documents at least whose odds are
-    over e^2.5 times the base; a beginning must tell more than the words that it covers."""
-    positive: Counter = Counter()
-    words = [set(w.translate(PLAIN) for w in WORD.findall(t.lower())) for t in texts]
-    for s, y in zip(words, toxic):
+def lexicons(texts: list[str], toxic: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[dict[str, float]]:
+    """For each fold the lexicon of the other folds' texts, and last that of all: term to smoothed
+    log-odds, for terms in MIN_DOCS toxic documents at least whose odds are over e^2.5 times the
+    base. Texts are read once; a lexicon's counts are those of all less those of its fold."""
+    sets = [{w if w.isalpha() else w.translate(PLAIN) for w in WORD.findall(t.lower())} for t in texts]
+    positive = [Counter() for _ in range(folds)]
+    for s, y, f in zip(sets, toxic, fold):
         if y:
-            positive.update({x for w in s for x in _terms(w)})
-    wanted = {t for t, c in positive.items() if c >= MIN_DOCS}
-    negative: Counter = Counter()
+            positive[f].update({x for w in s for x in _terms(w)})
+    every = sum(positive, Counter())
+    wanted = {t for t, c in every.items() if c >= MIN_DOCS}
     heads = {t[:4] for t in wanted}
-    for s, y in zip(words, toxic):
+    negative = [Counter() for _ in range(folds)]
+    for s, y, f in zip(sets, toxic, fold):
         if not y:
-            negative.update({x for w in s if w[:4] in heads for x in _terms(w) if x in wanted})
-    n1, n0 = max(1, int(toxic.sum())), max(1, int(len(toxic) - toxic.sum()))
-    out = {}
-    for t in wanted:
-        odds = np.log((positive[t] + 0.5) / (n1 + 1)) - np.log((negative[t] + 0.5) / (n0 + 1))
-        if odds > 2.5:
-            out[t] = float(odds)
+            negative[f].update({x for w in s if w[:4] in heads for x in _terms(w) if x in wanted})
+    against = sum(negative, Counter())
+    out = []
+    for f in (*range(folds), None):
+        use = fold != f if f is not None else np.ones(len(fold), dtype=bool)
+        n1 = int(toxic[use].sum())
+        n1, n0 = max(1, n1), max(1, int(use.sum() - n1))
+        lex = {}
+        for t in sorted(wanted):
+            pos = every[t] - (positive[f][t] if f is not None else 0)
+            neg = against[t] - (negative[f][t] if f is not None else 0)
+            odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
+            if pos >= MIN_DOCS and odds > 2.5:
+                lex[t] = float(odds)
+        out.append(lex)
     return out
 
 
@@ -206,15 +219,12 @@ def fit_toxicity(texts: list[str], toxic) -> ToxicityModel:
     the model kept has the lexicon of all rows."""
     toxic = np.array(toxic, dtype=float)
     fold = np.arange(len(texts)) % FOLDS
-    x = np.zeros((len(texts), len(NAMES)))
-    for f in range(FOLDS):
-        lex = mine_lexicon([t for t, k in zip(texts, fold) if k != f], toxic[fold != f])
-        heads = frozenset(t[:4] for t in lex)
-        x[fold == f] = np.array([features(t, lex, heads) for t, k in zip(texts, fold) if k == f]).reshape(-1, len(NAMES))
+    *parts, lex = lexicons(texts, toxic, fold)
+    heads = [frozenset(t[:4] for t in p) for p in parts]
+    x = np.array([features(t, parts[f], heads[f]) for t, f in zip(texts, fold)], dtype=float).reshape(-1, len(NAMES))
     z = np.zeros(len(texts))
     for f in range(FOLDS):
         z[fold == f] = Boosted().fit(x[fold != f], toxic[fold != f]).raw(x[fold == f])
-    lex = mine_lexicon(texts, toxic)
     knots, values = isotonic(z, toxic)
     return ToxicityModel(lex, frozenset(t[:4] for t in lex), Boosted().fit(x, toxic), knots, values)
 
@@ -224,13 +234,23 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_total: int = FIT_TOTAL) -> ToxicityModel:
     """Fit on labelled documents that are not held out: the first ``fit_rows`` labels by hash of
-    the id, of texts up to FIT_CHARS characters. Only these rows reach the driver."""
+    the id, of texts up to FIT_CHARS characters, and of these the first that have ``fit_total``
+    characters together. Only these rows reach the driver; their lengths come first."""
     use = labels.select(F.col(label_id).alias("__id"), F.col(label_col).cast("int").alias("__y")).where(F.col("__id").isNotNull() & F.col("__y").isNotNull() & ~held_out("__id"))
     use = use.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).where(F.length("t") <= FIT_CHARS).join(F.broadcast(use), "__id").select("__id", "t", "__y").toArrow().sort_by([("__id", "ascending"), ("t", "ascending")])
-    return fit_toxicity(rows.column("t").to_pylist(), rows.column("__y").to_pylist())
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).where(F.length("t") <= FIT_CHARS).join(F.broadcast(use), "__id")
+    total, kept = 0, []
+    for r in sorted(rows.select(F.xxhash64("__id").alias("h"), "__id", F.length("t").alias("n")).limit(4 * fit_rows).collect()):
+        total += r.n
+        if total > fit_total and kept:
+            break
+        kept.append(r.h)
+    if kept and total > fit_total:
+        rows = rows.where(F.xxhash64("__id") <= kept[-1])
+    found = rows.select("__id", "t", "__y").limit(4 * fit_rows).toArrow().sort_by([("__id", "ascending"), ("t", "ascending")])
+    return fit_toxicity(found.column("t").to_pylist(), found.column("__y").to_pylist())
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
@@ -242,11 +262,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     table gives no rows. Scoring keeps the texts where they are: no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, **kw))
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
-        return pd.Series(model.value.scores(text))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        m = model.value
+        each = [m.scores([None if t is None else t.decode() for (t,) in rows]) for rows in texts_of(pa.record_batch([text], ["t"]), 0)]
+        return pa.array(np.concatenate([np.zeros(0), *each]))
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), score(F.col(text_col)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -169,7 +169,7 @@ def vector_rows(n_groups=25, seed=2):
     return [(int(i), rows[k][0].tolist(), rows[k][1]) for i, k in enumerate(order)]
 
 
-@pytest.mark.parametrize("settings", [{}, {"leaf_rows": 32, "fit_rows": 4000}])
+@pytest.mark.parametrize("settings", [{}, {"leaf_rows": 32, "fit_rows": 4000}, {"leaf_rows": 16, "fit_rows": 40, "split_rows": 40}])
 def test_vectors_equal_brute_force(spark, settings):
     rows = vector_rows()
     rows += [(10_000, None, 1), (10_001, [0.0] * 16, 1), (10_002, [1.0, float("nan")] + [0.0] * 14, 1), (10_003, rows[0][1], None), (10_004, [1.0, None], 1), (10_005, [], 1), (10_006, [1.0, 0.0], 1), (10_007, [2.0, 0.0], 1)]
@@ -195,6 +195,39 @@ def test_chunks_are_exact(spark, monkeypatch):
     assert got == brute_vectors(rows)
 
 
+def test_very_large_and_small_components(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e-200, 1e-200], 1), (3, [1e300, 1.0], 1), (4, [1.0, 0.0], 1), (5, [-1.0, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
+def test_planted_pairs_of_a_large_table(spark):
+    """50 000 vectors of four labels, 2 000 of them near another one; small fits, so that leaves are
+    split in the executors."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(50_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k, c in zip(range(0, 4000, 2), rng.uniform(0.935, 0.99, 2000)):
+        side = rng.normal(size=32)
+        side -= side @ x[k] * x[k]
+        x[k + 1] = c * x[k] + math.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    label = np.arange(50_000) // 2 % 4
+    want = np.zeros(50_000, dtype=int)
+    for lab in range(4):
+        own = np.flatnonzero(label == lab)
+        for at in range(0, len(own), 2000):
+            want[own[at : at + 2000]] = (x[own[at : at + 2000]] @ x[own].T >= 0.93).sum(axis=1) - 1
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": x.tolist(), "label": label}))
+    got = near_vectors(df, fit_rows=1000, split_rows=2048).collect()
+    found = np.zeros(50_000, dtype=int)
+    for r in got:
+        found[r.vec_id] = r.n_links
+    assert len(got) == 50_000 and (found <= want).all() and want.sum() >= 4000
+    assert found.sum() >= 0.95 * want.sum()
+
+
 def test_vectors_of_the_test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     near = df.unionByName(df.limit(200).select((F.col("vec_id") + 100_000).alias("vec_id"), F.transform("embedding", lambda x: x * 2).alias("embedding"), "label"))

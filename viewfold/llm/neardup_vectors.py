@@ -3,11 +3,17 @@
 Each tree splits the vectors again and again by a random direction at the median. Vectors within
 MARGIN of the split go to both sides (spill), so close pairs are seldom parted; several trees
 make a miss in all of them very unlikely. Vectors that share a leaf are compared exactly.
+
+The first levels are fitted on a bounded sample, on the driver. A leaf that still holds too many
+vectors of a label is split again in the executors by a subtree fitted on a sample of its own, and
+so on, so that leaves don't grow with the table. What can't be split, as all its vectors are close
+to one another, is compared in blocks.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +22,9 @@ from pyspark.sql import functions as F
 
 from viewfold.llm.common import connected_components, discard, store
 
-TREES, LEAF_ROWS, MARGIN, FIT_ROWS, CHUNK = 6, 1024, 0.03, 32768, 1024
+TREES, LEAF_ROWS, MARGIN, FIT_ROWS, CHUNK = 6, 1024, 0.03, 32768, 2048
+#: Vectors of a label in a leaf from which on it is split again; rows of a leaf that fit its subtree; rows routed at a time.
+SPLIT_ROWS, SUB_ROWS, SLICE_ROWS = 8192, 4096, 16384
 
 
 def grow_tree(sample: np.ndarray, depth: int, seed: int, margin: float = MARGIN) -> list[tuple]:
@@ -63,10 +71,69 @@ def route(nodes: list[tuple], x: np.ndarray, margin: float = MARGIN) -> list[tup
 
 def _unit(blobs, dim: int) -> np.ndarray:
     x = np.frombuffer(b"".join(blobs), dtype="<f8").reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)  # else squares of very large or small components are lost
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.93, trees: int = TREES, leaf_rows: int = LEAF_ROWS, margin: float = MARGIN, fit_rows: int = FIT_ROWS) -> DataFrame:
+ROUTED = "leaf long, label string, cls long, w long, v binary, own array<long>, done boolean"
+
+
+def _descend(leaf: int, sub: int) -> int:
+    """A number for a leaf of a leaf's subtree."""
+    return (leaf * 0x5851F42D4C957F2D + sub + 1) % (1 << 63)
+
+
+def _split_leaves(routed: DataFrame, leaf_rows: int, split_rows: int, margin: float, longest: int) -> DataFrame:
+    """Stored ``routed`` rows with leaves of more than ``split_rows`` rows of a label split, round by
+    round. A leaf's rows are dealt into slices, each of which gets the leaf's subtree."""
+    key = ["leaf", "label"]
+    for level in range(48):
+        sizes = routed.where(~F.col("done") & (F.length("v") == 8 * longest)).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split_rows)
+        sizes = store(sizes, "sizes")
+        if not sizes.limit(1).count():
+            discard(sizes)
+            break
+        big = routed.join(sizes, key)
+        share = F.pmod(F.xxhash64("cls", F.lit(level)), F.lit(1 << 30)) < (F.lit(SUB_ROWS) / F.col("n") * (1 << 30)).cast("long")
+
+        def grow(k, pdf):
+            import pandas as pd
+
+            x = _unit(pdf["v"], longest)
+            n = int(pdf["n"].iloc[0])
+            depth = max(1, min(math.ceil(math.log2(n / leaf_rows)), int(math.log2(max(len(x), 1) / 64)) if len(x) >= 128 else 1))
+            nodes = grow_tree(x[np.argsort(pdf["cls"].to_numpy(), kind="stable")], depth, (k[0] + 104729 * level) % (1 << 31), margin)  # noqa: B023
+            return pd.DataFrame({"leaf": [k[0]], "label": [k[1]], "n": [n], "tree": [pickle.dumps(nodes)]})
+
+        trees = big.where(share).select(*key, "cls", "v", "n").groupBy(*key).applyInPandas(grow, "leaf long, label string, n long, tree binary")
+        slices = F.explode(F.sequence(F.lit(0), (F.col("n") / SLICE_ROWS).cast("int")))
+        own_slice = F.pmod(F.xxhash64("cls"), (F.col("n") / SLICE_ROWS).cast("int") + 1).cast("int")
+
+        def send(rows, tree):
+            nodes = pickle.loads(tree.column("tree")[0].as_py()) if tree.num_rows else [None]
+            if not rows.num_rows:
+                return rows.select(["leaf", "label", "cls", "w", "v", "own", "done"])
+            leaf, found = rows.column("leaf")[0].as_py(), []
+            for sub, at in route(nodes, _unit(rows.column("v").to_pylist(), longest), margin):
+                part = rows.take(pa.array(at)).select(["leaf", "label", "cls", "w", "v", "own", "done"])
+                found.append(part.set_column(0, "leaf", pa.array([_descend(leaf, sub)] * len(at), pa.int64())).set_column(6, "done", pa.array([len(nodes) == 1] * len(at))))
+            return pa.concat_tables(found)
+
+        dealt = big.withColumn("slice", own_slice).groupBy(*key, "slice")
+        sent = dealt.cogroup(trees.withColumn("slice", slices).groupBy(*key, "slice")).applyInArrow(send, ROUTED)
+        new = store(routed.join(sizes, key, "left_anti").select("leaf", "label", "cls", "w", "v", "own", "done").unionByName(sent), "leaves")
+        for x in (routed, sizes):
+            discard(x)
+        routed = new
+    if level:
+        own = routed.groupBy("cls").agg(F.array_sort(F.collect_set("leaf")).alias("own"))
+        new = store(routed.drop("own").join(own, "cls").select("leaf", "label", "cls", "w", "v", "own", "done"), "leaves")
+        discard(routed)
+        routed = new
+    return routed
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.93, trees: int = TREES, leaf_rows: int = LEAF_ROWS, margin: float = MARGIN, fit_rows: int = FIT_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors``.
 
     Two vectors link when their labels are equal and not null and their cosine, in double
@@ -79,9 +146,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     link. Other columns are not looked at; an empty table gives no rows.
 
     Equal vectors of a label are one class with a weight, so copies are never paired. The trees'
-    splits are fitted on at most ``fit_rows`` classes, the first by hash; every class is routed
-    through every tree. Leaves larger than CHUNK classes are compared in pairs of chunks, each a
-    group of its own, which is exact. A pair that meets in several leaves counts in the first
+    first splits are fitted on about ``fit_rows`` classes, the first by hash, and leaves of more than
+    ``split_rows`` classes of a label are split further; every class is routed through every
+    tree. Leaves that stay larger than CHUNK classes are compared in pairs of chunks, each a
+    group of its own, which is exact: N classes that are all close to one another cost their N^2
+    comparisons and N^2 / CHUNK rows. A pair that meets in several leaves counts in the first
     only, which both rows' lists of leaves tell, so links are counted where they are found and
     never listed: a leaf gives each row's count and one link to its local component."""
     spark = vectors.sparkSession
@@ -94,12 +163,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = store(base.where("cls is not null").groupBy("cls", "label", "v").agg(F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("least")), "classes")
 
     n = classes.count()
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     longest = classes.agg(F.max(F.size("v"))).first()[0] or 1
     upto = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 9 * fit_rows // (10 * max(n, 1)))  # hashes are spread evenly
-    sample = sorted(classes.select("cls", "v").where(F.col("cls") <= upto).limit(fit_rows).collect()) if n else []
+    sample = sorted(classes.select("cls", "v").where(F.col("cls") <= upto).collect()) if n else []
     rows = [np.array(r.v) for r in sample if len(r.v) == longest]
-    x = np.array([r / np.linalg.norm(r) for r in rows]) if rows else np.zeros((0, longest))
-    depth = min(max(0, math.ceil(math.log2(max(n, 1) / leaf_rows))), max(0, int(math.log2(max(len(x), 1) / 16))))
+    x = _unit([r.astype("<f8").tobytes() for r in rows], longest) if rows else np.zeros((0, longest))
+    # only vectors of a label are compared
+    depth = min(max(0, math.ceil(math.log2(max(most, 1) / leaf_rows))), max(0, int(math.log2(max(len(x), 1) / 16))))
     forest = spark.sparkContext.broadcast([grow_tree(x, depth, 7919 * k + 1, margin) for k in range(trees)])
 
     def leaves(batches):
@@ -122,11 +193,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             if flat:
                 i = [a for a, _ in flat]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f for _, f in flat], pa.int64()), pa.array([labels[k] for k in i], pa.string()), pa.array(ids[i]), pa.array([ws[k] for k in i], pa.int64()), pa.array([blobs[k] for k in i], pa.binary()), pa.array([own[k] for k in i], pa.list_(pa.int64()))],
-                    ["leaf", "label", "cls", "w", "v", "own"],
+                    [pa.array([f for _, f in flat], pa.int64()), pa.array([labels[k] for k in i], pa.string()), pa.array(ids[i]), pa.array([ws[k] for k in i], pa.int64()), pa.array([blobs[k] for k in i], pa.binary()), pa.array([own[k] for k in i], pa.list_(pa.int64())), pa.array([False] * len(i))],
+                    ["leaf", "label", "cls", "w", "v", "own", "done"],
                 )
 
-    routed = store(classes.select("cls", "label", "w", "v").mapInArrow(leaves, "leaf long, label string, cls long, w long, v binary, own array<long>"), "leaves")
+    routed = store(classes.select("cls", "label", "w", "v").mapInArrow(leaves, ROUTED), "leaves")
+    routed = _split_leaves(routed, leaf_rows, split_rows, margin, longest)
     sizes = routed.groupBy("leaf", "label", F.length("v").alias("size")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
     cut = routed.withColumn("size", F.length("v")).join(sizes, ["leaf", "label", "size"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     cut = cut.withColumn("mine", F.pmod(F.col("cls"), F.col("chunks")).cast("int"))
@@ -140,7 +212,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         u = _unit(pdf["v"], key[2] // 8)
         mine, w = pdf["mine"].to_numpy(), pdf["w"].to_numpy()
         a, b = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        linked = u[a] @ u[b].T >= threshold
+        linked = np.empty((len(a), len(b)), dtype=bool)
+        for k in range(0, len(a), 256):
+            linked[k : k + 256] = u[a[k : k + 256]] @ u[b].T >= threshold
         if lo == hi:
             np.fill_diagonal(linked, False)
         ra, rb = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
@@ -171,13 +245,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         return pd.DataFrame({"cls": cls, "n": count, "to": to})[count > 0]
 
     found = store(cut.groupBy("leaf", "label", "size", "lo", "hi").applyInPandas(compare, "cls long, n long, to long"), "links")
-    comps = connected_components(found.select(F.col("cls").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "cls")
+    comps = connected_components(found.select(F.col("cls").alias("a"), F.col("to").alias("b")))
     counts = found.groupBy("cls").agg(F.sum("n").alias("n"))
-    known = store(classes.select("cls", "w", "least").join(counts, "cls", "left").join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "known")
+    known = store(classes.select("cls", "w", "least").join(counts, "cls", "left").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "known")
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = known.join(least, "component").select("cls", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
-    out = base.select("vec_id", "cls").join(by_class, "cls", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
-    discard(routed)
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    # stored, so that the join has exchanges of its own that can be split where copies abound
+    by_class = store(known.join(least, "component").select("cls", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id"), "by_class")
+    linked = base.where("cls is not null").select("vec_id", "cls").join(by_class, "cls").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = base.where("cls is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for x in (routed, classes, found, comps, known):
+        discard(x)
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -87,7 +87,19 @@ def test_doubles_count_once(spark):
 def test_text_functions(spark):
     df = spark.createDataFrame([("fooBarHTTPServer 2", "a/b c*?.txt", (1, "x"))], "n string, f string, r struct<i:int,s:string>")
     r = df.select(text.snake_case(F.col("n")).alias("n"), text.clean_filename(F.col("f")).alias("f"), text.template("${r.s}-${{r.i}} ${nope} ${a+b}", {"r": F.col("r")}).alias("t"), text.clip_name(F.lit("c"), F.lit(-3)).alias("c"), text.media_kind(F.lit("x.JPG")).alias("k")).first()
-    assert (r.n, r.f, r.t, r.c, r.k) == ("foo_bar_http_server_2", "a_b_c_.txt", "x-1 ${nope} ${a+b}", "c_-0000003", "image")
+    assert (r.n, r.f, r.t, r.c, r.k) == ("foo_bar_http_server_2", "a_b c_.txt", "x-1 ${nope} ${a+b}", "c_-0000003", "image")
+
+
+def test_names_as_specified(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(text.clean_filename(F.lit("cam (1) & x.mp4"))) == "cam (1) & x.mp4"
+    assert one(text.clean_filename(F.lit('a:/b"é"<>.txt'))) == "a_b_.txt"
+    for name, want in (("foo-Bar", "foo__bar"), ("my_File", "my__file"), ("Traffic Light (2)", "traffic__light__2_"), ("7Up", "_7_up"), ("HTTPServer2Go", "http_server2_go")):
+        assert one(text.snake_case(F.lit(name))) == want
+    assert one(text.clip_name(F.lit("out/"), F.lit(5))) == "out/00000005" and one(text.clip_name(F.lit("out"), F.lit(5))) == "out_00000005"
+    rows = [(0, "a"), (1, "a"), (2, "a_1"), (3, "a"), (4, "b"), (5, "b"), (6, "c_1"), (7, None), (8, None)]
+    got = text.unique_names(spark.createDataFrame(rows, "k long, name string"), "name", "k")
+    assert [r.name for r in got.orderBy("k").limit(7).collect()] == ["a", "a_1", "a_1_1", "a_2", "b", "b_1", "c_1"]
 
 
 def solid(spark, colours, w=32, h=24):
@@ -104,6 +116,18 @@ def test_change_scores(spark):
         media.change_scores(df, limit=8)
 
 
+def test_large_pictures_are_scaled_by_area(spark):
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 256, (2, 60, 80, 3)).astype(np.uint8)
+    small = lambda x: media._small(x.tobytes(), 80, 60, 40).reshape(30, 40, 3)
+    want = np.rint(a.reshape(30, 2, 40, 2, 3).astype(float).mean(axis=(1, 3)))
+    assert np.abs(small(a) - want).max() <= 1
+    df = spark.createDataFrame([(k, 80, 60, bytearray(x.tobytes())) for k, x in enumerate((a, b))], "frame_id long, width int, height int, rgb binary")
+    got = [r.score for r in media.change_scores(df, luma_only=True, limit=40).orderBy("n").collect()]
+    assert got[1] == pytest.approx(np.abs(media.luma(small(a).reshape(-1, 3)) - media.luma(small(b).reshape(-1, 3))).mean())
+    assert media.to_hsv(np.array([[255, 0, 0], [0, 255, 0], [0, 0, 255], [128, 128, 128], [0, 0, 0], [255, 0, 128]], dtype=np.uint8)).tolist() == [[0, 255, 255], [60, 255, 255], [120, 255, 255], [0, 0, 128], [0, 0, 0], [165, 255, 255]]
+
+
 def test_motion_and_masks(spark):
     a, b = np.zeros((24, 32, 3), dtype=np.uint8), np.zeros((24, 32, 3), dtype=np.uint8)
     b[8:16, 8:16] = 255
@@ -122,7 +146,27 @@ def test_readers(spark, tmp_path):
     (tmp_path / "cat" / "x.jpg").write_bytes(b"12")
     assert src.read_images(spark, str(tmp_path), "*.jpg").first().class_name == "cat"
     wav = np.arange(10, dtype="<i2").tobytes()
-    df = spark.createDataFrame([("f", bytearray(b"\0" * 44 + wav))], "path string, content binary")
-    blocks = src.audio_blocks(df, 4).orderBy("block_id").collect()
-    assert [r.samples for r in blocks] == [[0, 1, 2, 3], [4, 5, 6, 7]]
+    head = lambda more: b"RIFF\0\0\0\0WAVEfmt \x10\0\0\0" + b"\0" * 16 + more + b"data\x14\0\0\0"
+    files = [("f", bytearray(head(b"") + wav + b"LIST\0\0\0\0")), ("g", bytearray(head(b"LIST\3\0\0\0abc\0") + wav)), ("raw", bytearray(wav)), ("none", bytearray(b""))]
+    df = spark.createDataFrame(files, "path string, content binary")
+    for name in ("f", "g", "raw"):
+        blocks = src.audio_blocks(df, 4).where(F.col("path") == name).orderBy("block_id").collect()
+        assert [r.samples for r in blocks] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+    assert src.audio_blocks(df, 4).where("path = 'none'").count() == 0
+    (tmp_path / "r.json").write_text(json.dumps({"images": [{"file_name": "a", "value": 1}]}))
+    assert src.read_regression_truth(spark, str(tmp_path / "r.json")).first().value == 1.0
     assert src.frames_from(spark, ["a", "b"], "path string").count() == 2
+
+
+def test_masks_and_points_as_similarity(spark):
+    assert evaluate.rle_iou([0, 4, 4], [2, 4, 2]) == pytest.approx(2 / 6) and evaluate.rle_iou([8], [8]) == 0
+    assert evaluate.rle_iou([0, 4, 4], [2, 4, 2], True) == pytest.approx(0.5)
+    box = dict(image_id=1, category_id=1, x1=0.0, y1=0.0, x2=10.0, y2=10.0)
+    pred = spark.createDataFrame([{**box, "det_idx": 0, "score": 0.9, "rle": [0, 50, 50], "keypoints": [1.0, 1.0, 2.0, 9.0, 9.0, 2.0]}])
+    truth = spark.createDataFrame([{**box, "truth_idx": 0, "rle": [10, 50, 40], "keypoints": [1.0, 1.0, 2.0, 9.0, 8.0, 2.0]}])
+    state = lambda kind, t, **how: evaluate.match_truth(pred, truth, (t,), kind=kind, **how).first().state
+    assert (state("segm", 0.6), state("segm", 0.7)) == (1, 0)  # 40 of 60
+    like = (1 + np.exp(-1 / 0.04 / 100 / 2)) / 2
+    assert (state("keypoints", like - 1e-6, sigmas=(0.1, 0.1)), state("keypoints", like + 1e-6, sigmas=(0.1, 0.1))) == (1, 0)
+    with pytest.raises(ValueError):
+        evaluate.match_truth(pred, truth, kind="other")

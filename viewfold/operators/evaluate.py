@@ -6,24 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from viewfold.functions.folds import per_list
 from viewfold.functions.geometry import box, iou
 
 #: IoU thresholds and area ranges of the public COCO protocol.
 IOU_THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
+KINDS = ("bbox", "keypoints", "segm")
+# fixed values: the protocol's spreads of 17 body points, nose to ankles
+SIGMAS = (0.026, 0.025, 0.025, 0.035, 0.035, 0.079, 0.079, 0.072, 0.072, 0.062, 0.062, 0.107, 0.107, 0.087, 0.087, 0.089, 0.089)
 
 
-def topk_accuracy(pred: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5), item: str = "item", by_class: bool = True) -> DataFrame:
+def topk_accuracy(pred: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5), item: str = "item", by_class: bool = True, max_images: int = 0) -> DataFrame:
     """(class, k, accuracy, n): share of items whose true class is among the k best predictions;
     ties of score go by label. The row of a null class is overall. ``pred``: (item, label, score),
-    ``truth``: (item, label)."""
+    ``truth``: (item, label). With ``max_images`` only so many items count, class after class in
+    order; the class in which the limit falls counts overall but has no row of its own."""
     ranked = pred.withColumn("__r", F.row_number().over(W.partitionBy(item).orderBy(F.col("score").desc(), "label")))
     t = truth.select(item, F.col("label").alias("class"))
-    hit = t.join(ranked, (t[item] == ranked[item]) & (t["class"] == ranked["label"]), "left").select(t[item], "class", F.coalesce("__r", F.lit(1 << 30)).alias("__r"))
+    cut = F.lit(False)
+    if max_images:
+        # places within a class, and how many items the classes before it have: no sort of all items
+        sizes = t.groupBy("class").agg(F.count(F.lit(1)).alias("__n"))
+        before = F.sum("__n").over(W.partitionBy(F.lit(0)).orderBy("class").rowsBetween(W.unboundedPreceding, -1))
+        t = t.join(F.broadcast(sizes.withColumn("__before", F.coalesce(before, F.lit(0)))), "class")
+        t = t.withColumn("__at", F.row_number().over(W.partitionBy("class").orderBy(item)) + F.col("__before")).where(F.col("__at") <= max_images)
+        cut = F.col("__before") + F.col("__n") >= max_images
+    t = t.withColumn("__own", ~cut)
+    hit = t.join(ranked, (t[item] == ranked[item]) & (t["class"] == ranked["label"]), "left").select(t[item], "class", "__own", F.coalesce("__r", F.lit(1 << 30)).alias("__r"))
     rows = hit.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn("__h", (F.col("__r") <= F.col("k")).cast("double"))
     if not by_class:
         return rows.groupBy("k").agg(F.avg("__h").alias("accuracy"), F.count(F.lit(1)).alias("n"))
-    return rows.groupingSets([["class", "k"], ["k"]], "class", "k").agg(F.avg("__h").alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    out = rows.groupingSets([["class", "k"], ["k"]], "class", "k").agg(F.avg("__h").alias("accuracy"), F.count(F.lit(1)).alias("n"), F.bool_and("__own").alias("__own"))
+    return out.where(F.col("class").isNull() | F.col("__own")).drop("__own")
 
 
 def regression_errors(df: DataFrame, truth: str = "truth", pred: str = "pred") -> DataFrame:
@@ -52,45 +67,96 @@ def flat_keypoints(landmarks: Column) -> Column:
     return F.flatten(F.transform(landmarks, lambda p: F.array(p["x"], p["y"], p["score"])))
 
 
-def match_truth(pred: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = IOU_THRESHOLDS, areas: dict | None = None, max_dets: int = 100) -> DataFrame:
+def oks_matrix(a, b, boxes, areas, sigmas):
+    """Object keypoint similarity of predictions and truths, flat [x, y, visibility, …] each: the mean
+    over the truth's visible points of exp(-d^2 / (2 (2 sigma)^2 area)). A truth without visible
+    points is compared by how far points lie outside its box, doubled on every side."""
+    import numpy as np
+
+    x, y = np.array(a, dtype=float).reshape(len(a), -1, 3), np.array(b, dtype=float).reshape(len(b), -1, 3)
+    out = np.zeros((len(x), len(y)))
+    spread = (2 * np.array(sigmas, dtype=float)) ** 2
+    for j in range(len(y)):
+        seen = y[j, :, 2] > 0
+        if seen.any():
+            d = x[:, :, :2] - y[j, None, :, :2]
+        else:
+            (x1, y1, x2, y2) = boxes[j]
+            w, h = x2 - x1, y2 - y1
+            low, high = np.array([x1 - w, y1 - h]), np.array([x2 + w, y2 + h])
+            d = np.maximum(0, low - x[:, :, :2]) + np.maximum(0, x[:, :, :2] - high)
+        e = (d**2).sum(axis=2) / spread / (areas[j] + np.spacing(1)) / 2
+        out[:, j] = np.exp(-(e[:, seen] if seen.any() else e)).mean(axis=1)
+    return out
+
+
+def rle_iou(a: list[int], b: list[int], crowd: bool = False) -> float:
+    """IoU of two masks as run lengths that start with zeros; of a crowd, over the first's area."""
+    import numpy as np
+
+    ones = lambda r: np.cumsum(r, dtype=np.int64)
+    ea, eb = ones(a), ones(b)
+    edge = np.unique(np.concatenate([[0], ea, eb]))
+    on = lambda e: np.searchsorted(e, edge[:-1], "right") % 2 == 1
+    size, x, y = np.diff(edge), on(ea), on(eb)
+    whole = size[x].sum() if crowd else size[x | y].sum()
+    return float(size[x & y].sum() / whole) if whole else 0.0
+
+
+def match_truth(pred: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = IOU_THRESHOLDS, areas: dict | None = None, max_dets: int = 100, kind: str = "bbox", sigmas: tuple[float, ...] = SIGMAS) -> DataFrame:
     """Greedy matching per image and class: (image_id, category_id, area, threshold, score, rank,
     state), state 1 for a hit, 0 for a miss, -1 for not counted.
 
     Predictions come by score from the highest (ties by det_idx), the first ``max_dets``; each
-    takes the truth box of greatest IoU not yet taken, from the threshold on, boxes that count
-    before those that don't (crowds, and areas out of range), crowds any number of times. A
-    prediction out of range without a match isn't counted either."""
+    takes the truth of greatest similarity not yet taken, from the threshold on, those that count
+    before those that don't (crowds, areas out of range, no visible points), crowds any number of
+    times. A prediction out of range without a match isn't counted either.
+
+    ``kind``: similarity is IoU of boxes, or of masks as run lengths in ``rle`` (segm), or that of
+    points in ``keypoints``, both tables' [x, y, visibility, …], with a spread for each point in
+    ``sigmas``. Areas are the boxes', or the column ``area`` of the truth where there is one."""
+    if kind not in KINDS:
+        raise ValueError(f"{kind} is not one of {KINDS}")
     areas = areas or {"all": AREAS["all"]}
-    p = pred.groupBy("image_id", "category_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("k"), "det_idx", "score", "x1", "y1", "x2", "y2"))).alias("ps"))
+    extra = {"bbox": F.array().cast("array<double>"), "keypoints": F.col("keypoints").cast("array<double>"), "segm": F.col("rle").cast("array<double>")}[kind].alias("extra")
+    item = F.struct((-F.col("score")).alias("k"), "det_idx", "score", "x1", "y1", "x2", "y2", extra)
+    p = pred.groupBy("image_id", "category_id").agg(F.sort_array(F.collect_list(item)).alias("ps"))
     crowd = F.col("iscrowd") if "iscrowd" in truth.columns else F.lit(0)
-    t = truth.groupBy("image_id", "category_id").agg(F.sort_array(F.collect_list(F.struct("truth_idx", "x1", "y1", "x2", "y2", crowd.cast("int").alias("crowd")))).alias("ts"))
+    size = F.col("area") if "area" in truth.columns else (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    t = truth.groupBy("image_id", "category_id").agg(F.sort_array(F.collect_list(F.struct("truth_idx", "x1", "y1", "x2", "y2", crowd.cast("int").alias("crowd"), size.cast("double").alias("size"), extra))).alias("ts"))
     pairs = p.join(t, ["image_id", "category_id"], "left")
     ts, lims, most = thresholds, list(areas.items()), max_dets
 
-    def run(ps, truths):
+    def run(_k, _i, score, px1, py1, px2, py2, points, _t, tx1, ty1, tx2, ty2, crowds, sizes, marks):
         import numpy as np
 
-        names = ("x1", "y1", "x2", "y2")
-        ps = list(ps)[:most]
-        truths = list(truths) if truths is not None else []
-        a = np.array([[x[n] for n in names] for x in ps], dtype=float).reshape(-1, 4)
-        b = np.array([[x[n] for n in names] for x in truths], dtype=float).reshape(-1, 4)
-        crowd = np.array([x["crowd"] for x in truths], dtype=bool)
-        size = lambda v: (v[:, 2:] - v[:, :2]).prod(axis=1)
-        inter = np.clip(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]), 0, None).prod(axis=2)
-        whole = np.where(crowd[None, :], size(a)[:, None], size(a)[:, None] + size(b)[None, :] - inter)
-        over = np.divide(inter, whole, out=np.zeros_like(inter), where=whole > 0)
-        states: list[list[int]] = [[] for _ in ps]
+        score, points = score[:most], points[:most]
+        a = np.array([px1, py1, px2, py2], dtype=float).T[:most]
+        b = np.array([tx1, ty1, tx2, ty2], dtype=float).T
+        crowd, own = np.array(crowds, dtype=bool), np.array(sizes, dtype=float)
+        size = (a[:, 2:] - a[:, :2]).prod(axis=1)
+        if kind == "keypoints":
+            over = oks_matrix(points, marks, b, own, sigmas) if len(a) and len(b) else np.zeros((len(a), len(b)))
+            blank = np.array([not any(v > 0 for v in m[2::3]) for m in marks], dtype=bool)
+        elif kind == "segm":
+            over = np.array([[rle_iou(x, y, c) for y, c in zip(marks, crowds)] for x in points], dtype=float).reshape(len(a), len(b))
+            size, blank = np.array([sum(x[1::2]) for x in points], dtype=float), np.zeros(len(b), dtype=bool)
+        else:
+            inter = np.clip(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]), 0, None).prod(axis=2)
+            whole = np.where(crowd[None, :], size[:, None], size[:, None] + (b[:, 2:] - b[:, :2]).prod(axis=1)[None, :] - inter)
+            over, blank = np.divide(inter, whole, out=np.zeros_like(inter), where=whole > 0), np.zeros(len(b), dtype=bool)
+        over = over.tolist()
+        states: list[list[int]] = [[] for _ in score]
         for _, (lo, hi) in lims:
-            ignore = (crowd | (size(b) < lo) | (size(b) > hi)).tolist()
+            ignore = (crowd | blank | (own < lo) | (own > hi)).tolist()
             order = sorted(range(len(ignore)), key=ignore.__getitem__)
-            outside = ((size(a) < lo) | (size(a) > hi)).tolist()
+            outside = ((size < lo) | (size > hi)).tolist()
             for thr in ts:
                 taken = [False] * len(ignore)
-                for i, row in enumerate(over.tolist()):
+                for i, row in enumerate(over):
                     best, at = min(thr, 1 - 1e-10), -1
                     for j in order:
-                        if taken[j] and not crowd[j]:
+                        if taken[j] and not crowds[j]:
                             continue
                         if at >= 0 and not ignore[at] and ignore[j]:
                             break
@@ -99,14 +165,9 @@ def match_truth(pred: DataFrame, truth: DataFrame, thresholds: tuple[float, ...]
                     if at >= 0:
                         taken[at] = True
                     states[i].append((-1 if ignore[at] else 1) if at >= 0 else -1 if outside[i] else 0)
-        return [{"score": x["score"], "rank": i, "states": st} for i, (x, st) in enumerate(zip(ps, states))]
-
-    @F.pandas_udf("array<struct<score:double,rank:int,states:array<int>>>")
-    def walk(preds, truths):
-        import pandas as pd
-
-        return pd.Series([run(x, y) for x, y in zip(preds, truths)])
+        return score, list(range(len(score))), states
 
+    walk = per_list(run, "score double, rank int, states array<int>")
     each = pairs.select("image_id", "category_id", F.inline(walk("ps", "ts")))
     each = each.select("image_id", "category_id", "score", "rank", F.posexplode("states").alias("__k", "state"))
     at = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
@@ -142,29 +203,59 @@ def average_precision(curve: DataFrame, positives: DataFrame, thresholds: tuple[
     return grid.join(sums, keys, "left").select(*keys, (F.coalesce("s", F.lit(0.0)) / 101).alias("ap"), *recalls)
 
 
-def positives_of(truth: DataFrame, areas: dict | None = None) -> DataFrame:
+def positives_of(truth: DataFrame, areas: dict | None = None, kind: str = "bbox") -> DataFrame:
     areas = areas or {"all": AREAS["all"]}
-    size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    crowd = F.col("iscrowd") == 1 if "iscrowd" in truth.columns else F.lit(False)
-    counts = [F.count_if(~crowd & (size >= lo) & (size <= hi)).alias(n) for n, (lo, hi) in areas.items()]
+    size = F.col("area") if "area" in truth.columns else (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    real = F.col("iscrowd") == 0 if "iscrowd" in truth.columns else F.lit(True)
+    if kind == "keypoints":
+        real = real & F.exists(F.filter("keypoints", lambda v, i: i % 3 == 2), lambda v: v > 0)
+    counts = [F.count_if(real & (size >= lo) & (size <= hi)).alias(n) for n, (lo, hi) in areas.items()]
     wide = truth.groupBy("category_id").agg(*counts)
     return wide.select("category_id", F.inline(F.array(*(F.struct(F.lit(n).alias("area"), F.col(n).alias("positives")) for n in areas))))
 
 
-def coco_summary(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """The twelve numbers of the protocol: (ord, name, value); -1 where nothing counts. Greedy
-    matching goes by falling score, so that of the n best is the start of that of 100: one pass."""
-    n = positives_of(truth, AREAS)
-    per = average_precision(precision_recall(match_truth(pred, truth, IOU_THRESHOLDS, AREAS, 100), n), n, IOU_THRESHOLDS, (1, 10, 100))
-    every = F.lit(True)
-    pick = [("AP", every, "all", "ap"), ("AP50", F.col("threshold") == 0.5, "all", "ap"), ("AP75", F.col("threshold") == 0.75, "all", "ap")]
-    pick += [(f"AP_{a}", every, a, "ap") for a in ("small", "medium", "large")]
-    pick += [(f"AR{k}", every, "all", f"recall_{k}") for k in (1, 10, 100)]
-    pick += [(f"AR_{a}", every, a, "recall_100") for a in ("small", "medium", "large")]
+def coco_summary(pred: DataFrame, truth: DataFrame, kind: str = "bbox", sigmas: tuple[float, ...] = SIGMAS) -> DataFrame:
+    """The protocol's numbers: (ord, name, value), twelve, or ten for keypoints; -1 where nothing
+    counts. Greedy matching goes by falling score, so that of the n best is the start of that of
+    all: one pass."""
+    points = kind == "keypoints"
+    areas = {k: v for k, v in AREAS.items() if not points or k != "small"}
+    limits = (20,) if points else (1, 10, 100)
+    n = positives_of(truth, areas, kind)
+    matched = match_truth(pred, truth, IOU_THRESHOLDS, areas, limits[-1], kind, sigmas)
+    per = average_precision(precision_recall(matched, n), n, IOU_THRESHOLDS, limits)
+    every, half, most = F.lit(True), F.col("threshold") == 0.5, F.col("threshold") == 0.75
+    sizes = [a for a in areas if a != "all"]
+    pick = [("AP", every, "all", "ap"), ("AP50", half, "all", "ap"), ("AP75", most, "all", "ap")] + [(f"AP_{a}", every, a, "ap") for a in sizes]
+    if points:
+        pick += [("AR", every, "all", "recall_20"), ("AR50", half, "all", "recall_20"), ("AR75", most, "all", "recall_20")]
+    else:
+        pick += [(f"AR{k}", every, "all", f"recall_{k}") for k in limits]
+    pick += [(f"AR_{a}", every, a, f"recall_{limits[-1]}") for a in sizes]
     row = per.agg(*(F.coalesce(F.avg(F.when(c & (F.col("area") == a), F.col(v))), F.lit(-1.0)).alias(name) for name, c, a, v in pick))
     return row.select(F.inline(F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(name).alias("name"), F.col(name).alias("value")) for k, (name, *_) in enumerate(pick, 1)))))
 
 
+def match_boxes(a: DataFrame, b: DataFrame, key: str = "frame_id", id_col: str = "det_idx", least: float = 0.0) -> DataFrame:
+    """(key, a_id, b_id, iou): the pairing of the boxes of a frame in ``a`` with those in ``b`` that
+    has the greatest sum of IoU; pairs with an IoU of ``least`` or less are none."""
+    from viewfold.operators.tracking import assign, iou_matrix
+
+    own = lambda df, n: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(id_col, "x1", "y1", "x2", "y2"))).alias(n))
+
+    def run(ia, *rest):
+        import numpy as np
+
+        x, ib, y = np.array(rest[:4], dtype=float).T, rest[4], np.array(rest[5:], dtype=float).T
+        m = iou_matrix(x.reshape(-1, 4), y.reshape(-1, 4))
+        pairs = [(i, j) for i, j in assign(1 - m) if m[i, j] > least]
+        return [ia[i] for i, _ in pairs], [ib[j] for _, j in pairs], [float(m[i, j]) for i, j in pairs]
+
+    kind = a.schema[id_col].dataType.simpleString()
+    walk = per_list(run, f"a_id {kind}, b_id {kind}, iou double")
+    return own(a, "__a").join(own(b, "__b"), key).select(key, F.inline(walk("__a", "__b")))
+
+
 def iou_with_truth(pred: DataFrame, truth: DataFrame) -> DataFrame:
     p, t = pred.alias("p"), truth.alias("t")
     on = (F.col("p.image_id") == F.col("t.image_id")) & (F.col("p.category_id") == F.col("t.category_id"))

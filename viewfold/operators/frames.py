@@ -24,6 +24,17 @@ def class_filter(df: DataFrame, classes: list[str], tracked: bool = False) -> Da
     return out.where(F.col("track_id").isNotNull()) if tracked else out
 
 
+def skip_missing(df: DataFrame, results: str = "results") -> DataFrame:
+    """Frames for which a model gave a result; an empty one is a result, null is none."""
+    return df.where(F.col(results).isNotNull())
+
+
+def latest(df: DataFrame, stream: str = "stream_id", order: str = "frame_id") -> DataFrame:
+    """The last frame of each stream: what a lossy consumer sees of a batch."""
+    rest = [c for c in df.columns if c != stream]
+    return df.groupBy(stream).agg(F.max_by(F.struct(*rest), order).alias("__r")).select(stream, "__r.*")
+
+
 def exclude_classes(df: DataFrame, classes: list[str]) -> DataFrame:
     """Rows of other classes stay, with score 0, so that they are never tracked."""
     return df.withColumn("score", F.when(F.col("label").isin(*classes), F.col("score")).otherwise(F.lit(0.0)))

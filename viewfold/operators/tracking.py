@@ -12,7 +12,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from viewfold.functions.geometry import box, iou
 from viewfold.schema import BOX, require_columns
 
 _POSITION, _VELOCITY = 1 / 20, 1 / 160
@@ -238,6 +240,31 @@ class StickySelector:
         return [at[n] for n in self.chosen if n in at]
 
 
+def union_tracks(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
+    """The rows of ``a`` and those of ``b`` whose track ``a`` doesn't have; of rows of a track in one
+    table the first by its columns stays."""
+    rows = a.withColumn("__side", F.lit(0)).unionByName(b.withColumn("__side", F.lit(1)))
+    over = W.partitionBy(*keys).orderBy("__side", *(c for c in a.columns if c not in keys))
+    return rows.withColumn("__n", F.row_number().over(over)).where("__n = 1").drop("__side", "__n")
+
+
+def subtract_tracks(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
+    return a.join(b.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def drop_double_tracks(tracked: DataFrame, lost: DataFrame, keys: tuple[str, ...] = (), distance: float = 0.15) -> tuple[DataFrame, DataFrame]:
+    """Of a tracked and a lost track nearly in the same place (1 - IoU below ``distance``) the younger
+    goes, the tracked one if both have the same age. Rows: (keys, track_id, first, last, box)."""
+    a, b = tracked.alias("a"), lost.alias("b")
+    on = (1 - iou(box("a."), box("b."))) < distance
+    for k in keys:
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    near = a.join(b, on).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.track_id").alias("ta"), F.col("b.track_id").alias("tb"), (F.col("a.last") - F.col("a.first") > F.col("b.last") - F.col("b.first")).alias("older"))
+    gone = lambda cond, c: near.where(cond).select(*keys, F.col(c).alias("track_id"))
+    names = (*keys, "track_id")
+    return subtract_tracks(tracked, gone("not older", "ta"), names), subtract_tracks(lost, gone("older", "tb"), names)
+
+
 def track_objects(df: DataFrame, stream: str = "stream_id", cuts: DataFrame | None = None, classes: list[str] | None = None, **settings) -> DataFrame:
     """``df`` (stream, frame_id, det_idx, score, box…) with ``track_id`` and the tracked rows'
     filtered boxes; every row comes back. ``cuts``: (stream, frame_id) of scene cuts, where

@@ -10,8 +10,12 @@ from viewfold.functions import geometry as geo
 from viewfold.functions import signal, text
 from viewfold.functions.geometry import box, columns
 from viewfold.functions.times import micros
-from viewfold.operators import catalog, evaluate, frames, lines, rules, suppress, tiles, tracking, zones
+from viewfold.functions.times import stage_durations, stamp
+from viewfold.operators import catalog, evaluate, frames, lines, media, models, rules, suppress, tiles, tracking, zones
+from viewfold.plans import graph
+from viewfold.sources import sinks
 from viewfold.sources import tables as src
+from viewfold.streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -983,11 +987,27 @@ t AS (SELECT frame_id, CASE WHEN frame_id % 2 = 0 THEN label ELSE CASE label WHE
 j AS (SELECT t.class, k, CAST(coalesce(r.rk, 99) <= k AS INTEGER) AS h FROM t LEFT JOIN r ON r.frame_id = t.frame_id AND r.label = t.class, (VALUES (1), (2)) v(k))
 SELECT class, k, round(avg(h), 6) AS accuracy, count(*) AS n FROM j GROUP BY GROUPING SETS ((class, k), (k))""")
 def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.topk_accuracy(*_topk(spark, sf_dir), (1, 2)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+def _topk(spark, sf_dir):
+    """Predictions, and truths that are the best of them in even frames only."""
     pred = det(spark, sf_dir).groupBy(F.col("frame_id").alias("item"), "label").agg(F.max("score").alias("score"))
     first = pred.withColumn("r", F.row_number().over(W.partitionBy("item").orderBy(F.col("score").desc(), "label"))).where("r = 1")
     other = F.when(F.col("label") == "A", "N").when(F.col("label") == "N", "R").otherwise("A")
-    truth = first.select("item", F.when(F.col("item") % 2 == 0, F.col("label")).otherwise(other).alias("label"))
-    return evaluate.topk_accuracy(pred, truth, (1, 2)).withColumn("accuracy", F.round("accuracy", 6))
+    return pred, first.select("item", F.when(F.col("item") % 2 == 0, F.col("label")).otherwise(other).alias("label"))
+
+
+@query(f"""WITH {DET}, s AS (SELECT frame_id, label, max(score) AS score FROM det GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, label) AS rk FROM s),
+t AS (SELECT frame_id, CASE WHEN frame_id % 2 = 0 THEN label ELSE CASE label WHEN 'A' THEN 'N' WHEN 'N' THEN 'R' ELSE 'A' END END AS class FROM r WHERE rk = 1),
+o AS (SELECT *, row_number() OVER (ORDER BY class, frame_id) AS pos, count(*) OVER () * 6 // 10 AS m FROM t),
+h AS (SELECT class, CAST(coalesce(r.rk, 99) <= 1 AS INTEGER) AS hit FROM o LEFT JOIN r ON r.frame_id = o.frame_id AND r.label = o.class WHERE pos <= m),
+w AS (SELECT class FROM o GROUP BY class, m HAVING max(pos) < m)
+SELECT class, CAST(1 AS INTEGER) AS k, round(avg(hit), 6) AS accuracy, count(*) AS n FROM h WHERE class IN (SELECT class FROM w) GROUP BY class UNION ALL SELECT NULL, 1, round(avg(hit), 6), count(*) FROM h""")
+def topk_first_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the classes in order only so many images."""
+    pred, truth = _topk(spark, sf_dir)
+    return evaluate.topk_accuracy(pred, truth, (1,), max_images=truth.count() * 6 // 10).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("""WITH p AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS pred FROM lineitem GROUP BY l_orderkey)
@@ -1035,12 +1055,17 @@ def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AREAS = "ar(area, lo, hi) AS (VALUES ('all', 0.0, 1e10), ('small', 0.0, 1024.0), ('medium', 1024.0, 9216.0), ('large', 9216.0, 1e10)), th AS (SELECT CAST(round(0.5 + 0.05 * range, 2) AS DOUBLE) AS thr FROM range(10))"
+_IOU_SIM = f"SELECT a.image_id, a.category_id, a.rank, b.t, {_AREA.format(p='b')} AS size, {_INTER} / ({_AREA.format(p='a')} + {_AREA.format(p='b')} - {_INTER}) AS sim FROM pk a JOIN tt b ON a.image_id = b.image_id AND a.category_id = b.category_id"
+#: The corners as points, all visible: the mean over four points of exp(-d^2 / (2 (2 s)^2 area)).
+_SPREADS = (0.05, 0.1, 0.15, 0.2)
+_OKS = " + ".join(f"exp(-(pow(a.{x} - b.{x}, 2) + pow(a.{y} - b.{y}, 2)) / {(2 * k) ** 2!r} / ({_AREA.format(p='b')}) / 2)" for k, (x, y) in zip(_SPREADS, (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))))
+_OKS_SIM = f"SELECT a.image_id, a.category_id, a.rank, b.t, {_AREA.format(p='b')} AS size, ({_OKS}) / 4 AS sim FROM pk a JOIN tt b ON a.image_id = b.image_id AND a.category_id = b.category_id"
 _MATCH = f"""pr AS (SELECT frame_id AS image_id, category_id, det_idx, score, x1 + l_quantity % 5 AS x1, y1 + l_quantity % 5 AS y1, x2 + l_quantity % 5 AS x2, y2 + l_quantity % 5 AS y2 FROM det),
 pk AS (SELECT *, row_number() OVER (PARTITION BY image_id, category_id ORDER BY score DESC, det_idx) - 1 AS rank FROM pr QUALIFY rank < 100),
 tt AS (SELECT frame_id AS image_id, category_id, det_idx AS t, {BOXES} FROM det WHERE l_suppkey % 2 = 0),
 {_AREAS},
-cd0 AS (SELECT a.image_id, a.category_id, a.rank, b.t, {_AREA.format(p='b')} AS size, {_INTER} AS inter, {_AREA.format(p='a')} AS sa FROM pk a JOIN tt b ON a.image_id = b.image_id AND a.category_id = b.category_id),
-cd AS (SELECT image_id, category_id, rank, list({{'iou': inter / (sa + size - inter), 't': t, 'size': size}}) AS cands FROM cd0 WHERE inter / (sa + size - inter) >= 0.4 GROUP BY ALL),
+cd0 AS ({_IOU_SIM}),
+cd AS (SELECT image_id, category_id, rank, list({{'iou': sim, 't': t, 'size': size}}) AS cands FROM cd0 WHERE sim >= 0.4 GROUP BY ALL),
 pa AS (SELECT pk.image_id, pk.category_id, pk.rank, pk.score, ({_AREA.format(p='pk')} < lo OR {_AREA.format(p='pk')} > hi) AS outside, area, thr, list_transform(list_filter(coalesce(cands, []), lambda c: c.iou >= thr), lambda c: {{'iou': c.iou, 't': c.t, 'ig': c.size < lo OR c.size > hi}}) AS cands FROM pk CROSS JOIN ar CROSS JOIN th LEFT JOIN cd ON cd.image_id = pk.image_id AND cd.category_id = pk.category_id AND cd.rank = pk.rank),
 mt AS (
   SELECT image_id, category_id, area, thr, CAST(-1 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS INTEGER) AS state FROM (SELECT DISTINCT image_id, category_id, area, thr FROM pa)
@@ -1062,6 +1087,17 @@ def map50_95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.coco_summary(*_pred_truth(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
+_POINT_SUMMARY = [("AP", "ap", "area = 'all'"), ("AP50", "ap", "area = 'all' AND thr = 0.5"), ("AP75", "ap", "area = 'all' AND thr = 0.75"), ("AP_medium", "ap", "area = 'medium'"), ("AP_large", "ap", "area = 'large'"), ("AR", "r100", "area = 'all'"), ("AR50", "r100", "area = 'all' AND thr = 0.5"), ("AR75", "r100", "area = 'all' AND thr = 0.75"), ("AR_medium", "r100", "area = 'medium'"), ("AR_large", "r100", "area = 'large'")]
+
+
+@query(f"WITH RECURSIVE {DET}, {_MATCH.replace(_IOU_SIM, _OKS_SIM).replace('QUALIFY rank < 100', 'QUALIFY rank < 20')}, {_AP} " + " UNION ALL ".join(f"SELECT {k} AS ord, '{n}' AS name, round(coalesce(avg({v}) FILTER (WHERE {w}), -1.0), 6) AS value FROM ap" for k, (n, v, w) in enumerate(_POINT_SUMMARY, 1)))
+def keypoint_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes' corners as points."""
+    points = F.array(*(c.cast("double") for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2")) for c in (F.col(x), F.col(y), F.lit(2))))
+    pred, truth = (df.withColumn("keypoints", points) for df in _pred_truth(spark, sf_dir))
+    return evaluate.coco_summary(pred, truth, "keypoints", _SPREADS).withColumn("value", F.round("value", 6))
+
+
 @query(f"WITH RECURSIVE {DET}, {_MATCH} SELECT image_id, category_id, area, thr AS threshold, CAST(rank AS INTEGER) AS rank, state FROM mt WHERE rank >= 0 AND area IN ('all', 'small') AND thr IN (0.5, 0.75)")
 def truth_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = evaluate.match_truth(*_pred_truth(spark, sf_dir), (0.5, 0.75), {a: evaluate.AREAS[a] for a in ("all", "small")})
@@ -1189,3 +1225,300 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     s = text.split_model_url(F.col("url"))
     return p.select("page_id", s["zoo_url"].alias("zoo_url"), s["model_name"].alias("model_name"), text.object_url(F.lit("http://h/"), F.lit("b"), F.col("page_id").cast("string")).alias("object_url"))
+
+
+# sources, sinks and nodes
+
+
+@query("SELECT l_orderkey AS frame_id, CAST(l_linenumber AS INTEGER) AS n, 12.5::DOUBLE AS fps, 1280 AS frame_width FROM lineitem")
+def source_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.read_frames(spark, f"{sf_dir}/lineitem.parquet", fps=12.5, width=1280).select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").cast("int").alias("n"), "fps", "frame_width")
+
+
+@query("SELECT range AS frame_id, 'f' || range || '.jpg' AS file_path, -1::BIGINT AS frame_count FROM range(50)")
+def source_iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.frames_from(spark, (f"f{k}.jpg" for k in range(50)), "file_path string")
+
+
+_WAV_HEAD = b"RIFF\x00\x00\x00\x00WAVEfmt \x10\x00\x00\x00\x01\x00\x01\x00\x80>\x00\x00\x00}\x00\x00\x02\x00\x10\x00LIST\x03\x00\x00\x00abc\x00data".hex()
+
+
+@query("""WITH u AS (SELECT user_id, list(CAST(floor(value) AS BIGINT) ORDER BY event_id) AS s FROM events GROUP BY user_id), b AS (SELECT user_id, unnest(range(0, (len(s) + 6) // 7)) AS block_id, s FROM u)
+SELECT user_id, block_id, list_sum(s[block_id * 7 + 1:block_id * 7 + 7])::BIGINT AS total, len(s[block_id * 7 + 1:block_id * 7 + 7])::INTEGER AS n FROM b""")
+def audio_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WAV file of each user's values, with a chunk before its data and an odd number of samples."""
+    two = lambda v, n: F.concat(*(F.lpad(F.hex(F.shiftright(v, 8 * k).bitwiseAND(255)), 2, "0") for k in range(n)))
+    e = src.series(spark, sf_dir)
+    item = F.struct("n", two(F.floor("value").cast("long"), 2).alias("h"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["h"]), "")
+    files = e.groupBy("user_id").agg(body.alias("body")).select("user_id", F.unhex(F.concat(F.lit(_WAV_HEAD), two((F.length("body") / 2).cast("long"), 4), "body")).alias("content"))
+    b = src.audio_blocks(files, 7, key="user_id")
+    return b.select("user_id", "block_id", F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("samples").alias("n"))
+
+
+@query("SELECT table_name || '.parquet' AS name, TRUE AS filled FROM information_schema.tables WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')")
+def object_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.list_objects(spark, sf_dir, "*.parquet").select("name", (F.col("size") > 0).alias("filled"))
+
+
+@query(f"WITH {TRK} SELECT stream_id, frame_id, count(*) AS n FROM trk WHERE stream_id IN (1, 5) GROUP BY ALL")
+def frame_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks written by stream, and two streams read back."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/frames-{sf_dir.rstrip('/').split('/')[-1]}"
+    sinks.write_frames(trk(spark, sf_dir), path, KEY, mode="overwrite")
+    return sinks.read_stream(spark, path, [1, 5]).groupBy(F.col(KEY).cast("long").alias(KEY), "frame_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, category_id, x1, y1, x2, y2 FROM det WHERE frame_id % 5 = 0")
+def coco_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations through COCO documents, one for each hundred frames."""
+    d = det(spark, sf_dir).where("frame_id % 5 = 0")
+    size = F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    docs = d.groupBy(F.expr("frame_id div 100")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("det_idx").alias("id"), F.col("frame_id").alias("image_id"), "category_id", size.alias("bbox"), F.lit(0).alias("iscrowd"))).alias("annotations"))).alias("value"))
+    a = src.parse_coco(docs)["annotations"]
+    return a.select(F.col("image_id").alias("frame_id"), F.col("id").alias("det_idx"), F.col("category_id").cast("int").alias("category_id"), *box())
+
+
+@query("SELECT 'o' || o_orderkey AS file_name, o_totalprice AS value FROM orders")
+def regression_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    item = F.struct(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("file_name"), F.col("o_totalprice").alias("value"))
+    return src.parse_regression_truth(o.groupBy(F.col("o_orderkey") % 16).agg(F.to_json(F.struct(F.collect_list(item).alias("images"))).alias("value")))
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, round((x2 - x1) * (y2 - y1) / 307200.0, 9) AS share, CASE WHEN (x2 - x1) * (y2 - y1) / 307200.0 > 0.01 THEN 'large' ELSE 'small' END AS size FROM det")
+def model_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model over batches of boxes."""
+
+    def sizes(cols):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        share = pc.divide(pc.multiply(pc.subtract(cols["x2"], cols["x1"]), pc.subtract(cols["y2"], cols["y1"])), 307200.0)
+        return {"share": share, "size": pc.if_else(pc.greater(share, 0.01), pa.scalar("large"), pa.scalar("small"))}
+
+    made = models.predict_rows(det(spark, sf_dir).select("frame_id", "det_idx", *box()), sizes, "share double, size string", ["x1", "y1", "x2", "y2"], 500)
+    return made.select("frame_id", "det_idx", F.round("share", 9).alias("share"), "size")
+
+
+@query(f"WITH {DET} SELECT label, count(*) AS n FROM det GROUP BY label")
+def model_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that keeps a state over its batches and answers at the end of each partition."""
+
+    def count(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        seen = Counter()
+        for b in batches:
+            seen.update(b.column("label").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["label", "n"])
+
+    return models.predict(det(spark, sf_dir), count, "label string, n long", ["label"], 100).groupBy("label").agg(F.sum("n").alias("n"))
+
+
+_GRAPH = """
+vars: {least: 0.5, labels: [A, N]}
+nodes:
+  boxes: source
+  chosen: {filter: {least: $(least), labels: $(labels)}}
+  others: {filter: {least: 0.8, labels: [R]}}
+  both: merge
+  best: {top: {k: 1}}
+connections:
+  - [boxes, chosen, both, best]
+  - [boxes, others, "both[1]"]
+"""
+
+
+@query(f"WITH {DET}, b AS (SELECT * FROM det WHERE (score >= 0.5 AND label IN ('A', 'N')) OR (score >= 0.8 AND label = 'R')) SELECT frame_id, det_idx, label FROM b QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, det_idx) = 1")
+def pipeline_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two branches of a graph written as YAML, joined again."""
+    node = graph.Node
+    kinds = {
+        "source": lambda: node(lambda: det(spark, sf_dir), tags=["boxes"]),
+        "filter": lambda least, labels: node(lambda df: frames.class_filter(df.where(F.col("score") >= least), labels), needs=["label", "score"], requires=["boxes"]),
+        "merge": lambda: node(frames.union_models),
+        "top": lambda k: graph.analyzer(lambda df: frames.select_best(df, k)),
+    }
+    return graph.load_pipeline(_GRAPH, kinds).run().select("frame_id", "det_idx", "label")
+
+
+@query(f"WITH {DET}, k AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, det_idx) AS r FROM det WHERE label = 'A') SELECT frame_id, det_idx, label || ' box' AS tag FROM k WHERE r <= 2")
+def analyzer_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyzers one after another, an absent one and one with ``apply`` among them."""
+
+    class Tag:
+        def apply(self, df):
+            return df.withColumn("tag", F.concat("label", F.lit(" box")))
+
+    return graph.chain(det(spark, sf_dir), lambda df: frames.class_filter(df, ["A"]), None, lambda df: frames.select_best(df, 2), Tag()).select("frame_id", "det_idx", "tag")
+
+
+@query(f"WITH {DET}, r AS (SELECT frame_id, count(*) FILTER (WHERE label = 'A') AS n, bool_or(label = 'R') AS known FROM det GROUP BY frame_id) SELECT frame_id, n::INTEGER AS n FROM r WHERE known")
+def skip_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames without a box R have no result (null); a result may be empty."""
+    item = F.when(F.col("label") == "A", F.struct("det_idx"))
+    rows = det(spark, sf_dir).groupBy("frame_id").agg(F.when(F.bool_or(F.col("label") == "R"), F.array_compact(F.collect_list(item))).alias("results"))
+    return frames.skip_missing(rows).select("frame_id", F.size("results").alias("n"))
+
+
+@query(f"WITH {TRK} SELECT stream_id, max(frame_id) AS frame_id, arg_max(n, frame_id) AS n FROM (SELECT stream_id, frame_id, count(*) AS n FROM trk GROUP BY ALL) GROUP BY stream_id")
+def latest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.latest(trk(spark, sf_dir).groupBy(KEY, "frame_id").agg(F.count(F.lit(1)).alias("n")), KEY)
+
+
+@query("SELECT event_id, user_id + 1 AS decode_us, event_id % 7 * 1000 AS infer_us FROM events")
+def stage_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    us = micros("ts")
+    e = src.series(spark, sf_dir)
+    at = lambda c: F.timestamp_micros(c)
+    for stage, t in (("source", us), ("decode", us + F.col("user_id") + 1), ("infer", us + F.col("user_id") + 1 + F.col("n") % 7 * 1000)):
+        e = stamp(e, stage, at(t))
+    d = stage_durations("timing")
+    return e.select(F.col("n").alias("event_id"), d[0]["us"].alias("decode_us"), d[1]["us"].alias("infer_us"))
+
+
+# fixed corners of the pictures made of events: one pixel each, of three numbers below 256
+_RGB = ("event_id * 37 % 256", "event_id * 91 % 256", "event_id * 13 % 256 * (event_id % 3)")
+
+
+def _pictures(spark, sf_dir):
+    e = src.series(spark, sf_dir)
+    px = [F.expr(c.replace("event_id", "n")) % 256 for c in _RGB]
+    rgb = F.unhex(F.concat(*(F.lpad(F.hex(c), 2, "0") for c in px)))
+    return e.select("user_id", F.col("n").alias("frame_id"), F.lit(1).alias("width"), F.lit(1).alias("height"), rgb.alias("rgb"))
+
+
+_PX = "px AS (SELECT user_id, event_id, {0} % 256 AS r, {1} % 256 AS g, {2} % 256 AS b FROM events)".format(*_RGB)
+_HSV = """mx AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM px),
+hs AS (SELECT *, (d * CASE WHEN v > 0 THEN CAST(round_even(1044480.0 / v, 0) AS BIGINT) ELSE 0 END + 2048) >> 12 AS s, (CASE WHEN v = r THEN g - b WHEN v = g THEN b - r + 2 * d ELSE r - g + 4 * d END * CASE WHEN d > 0 THEN CAST(round_even(737280.0 / (6 * d), 0) AS BIGINT) ELSE 0 END + 2048) AS h0 FROM mx),
+hv AS (SELECT user_id, event_id, CASE WHEN floor(h0 / 4096.0) < 0 THEN floor(h0 / 4096.0) + 180 ELSE floor(h0 / 4096.0) END AS h, s, v FROM hs)"""
+
+
+@query(f"WITH {_PX}, {_HSV} SELECT user_id, row_number() OVER w AS n, round(coalesce((abs(h - lag(h) OVER w) + abs(s - lag(s) OVER w) + abs(v - lag(v) OVER w)) / 3.0, 0.0), 6) AS score FROM hv WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def change_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.change_scores(_pictures(spark, sf_dir), key="user_id").withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_PX}, l AS (SELECT *, (r * 4899 + g * 9617 + b * 1868 + 8192) >> 14 AS l FROM px) SELECT user_id, row_number() OVER w AS n, CAST(coalesce(abs(l - lag(l) OVER w), 0) AS DOUBLE) AS score FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def change_scores_luma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.change_scores(_pictures(spark, sf_dir), luma_only=True, key="user_id")
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, concat_ws(',', CAST(x1 AS BIGINT) * 480 + CAST(y1 AS BIGINT), repeat((y2 - y1)::BIGINT || ',' || (480 - (y2 - y1))::BIGINT || ',', (x2 - x1)::BIGINT - 1) || (y2 - y1)::BIGINT, (640 - x2)::BIGINT * 480 + (480 - y2)::BIGINT) AS runs FROM det WHERE frame_id % 50 = 0")
+def mask_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled boxes as masks of the frame."""
+    d = det(spark, sf_dir).where("frame_id % 50 = 0")
+    w, h = (F.col("x2") - F.col("x1")).cast("int"), (F.col("y2") - F.col("y1")).cast("int")
+    bits = F.unhex(F.repeat(F.lit("01"), w * h))
+    return d.select("frame_id", "det_idx", F.array_join(media.mask_rle(F.col("x1").cast("int"), F.col("y1").cast("int"), w, h, bits, 640, 480).cast("array<string>"), ",").alias("runs"))
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx, x1 || ',' || y1 || ',' || score || ',' || x2 || ',' || y2 || ',1.0' AS points FROM det")
+def keypoints_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("score").alias("score")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"), F.lit(1.0).alias("score")))
+    return det(spark, sf_dir).select("frame_id", "det_idx", F.array_join(evaluate.flat_keypoints(marks).cast("array<string>"), ",").alias("points"))
+
+
+@query(f"WITH {DET} SELECT frame_id, det_idx FROM det WHERE frame_id IN (SELECT DISTINCT frame_id FROM det ORDER BY frame_id LIMIT 25)")
+def first_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.first_images(det(spark, sf_dir), "frame_id", 25).select("frame_id", "det_idx")
+
+
+_TOP, _BOTTOM = ((100.0, 50.0), (500.0, 80.0)), ((40.0, 400.0), (600.0, 440.0))
+
+
+@query("""WITH g AS (SELECT r, c, unnest([{'i': 0, 'r': r, 'c': c}, {'i': 1, 'r': r, 'c': c + 1}, {'i': 2, 'r': r + 1, 'c': c + 1}, {'i': 3, 'r': r + 1, 'c': c}]) AS p FROM (SELECT range AS r FROM range(3)), (SELECT range AS c FROM range(4)))
+SELECT CAST(r * 4 + c AS INTEGER) AS zone_index, CAST(p.i AS INTEGER) AS corner, round((100.0 + 400.0 * p.c / 4) * (1 - p.r / 3) + (40.0 + 560.0 * p.c / 4) * p.r / 3, 6) AS x, round((50.0 + 30.0 * p.c / 4) * (1 - p.r / 3) + (400.0 + 40.0 * p.c / 4) * p.r / 3, 6) AS y FROM g""")
+def zone_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(z, k, x, y) for z, poly in enumerate(geo.grid_polygons(_TOP, _BOTTOM, 4, 3)) for k, (x, y) in enumerate(poly)]
+    return spark.createDataFrame(rows, "zone_index int, corner int, x double, y double").withColumns({c: F.round(c, 6) for c in "xy"})
+
+
+@query("SELECT * FROM (VALUES (0, 'det_a', 'detection', 'cpu,gpu', 'zoo/default', '30'), (1, 'cls_b', 'classification', 'cpu', 'zoo/own', '25'), (2, 'det_c', 'detection', 'gpu', 'zoo/default', '30')) v(ord, model_name, task, hardware, zoo_url, fps)")
+def catalog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_ = """
+models:
+  det_a: {task: detection, hardware: [cpu, gpu]}
+  cls_b: {task: classification, hardware: cpu, zoo_url: zoo/own, metadata: {fps: 25}}
+  det_c: {task: detection, hardware: [gpu]}
+defaults: {metadata: {fps: 30}}
+"""
+    c = catalog.load(spark, text_)
+    return c.select("ord", "model_name", "task", F.concat_ws(",", "hardware").alias("hardware"), F.coalesce("zoo_url", F.lit("zoo/default")).alias("zoo_url"), F.col("metadata")["fps"].alias("fps"))
+
+
+@query("SELECT page_id, CASE regexp_extract(lower(f), '\\.([a-z0-9]+)$', 1) WHEN 'jpg' THEN 'image' WHEN 'mp4' THEN 'video' WHEN 'wav' THEN 'audio' END AS kind FROM (SELECT page_id, 'x' || page_id || (['.JPG', '.mp4', '.wav', '.txt', ''])[1 + page_id % 5] AS f FROM pages)")
+def media_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    end = F.get(F.array(*map(F.lit, (".JPG", ".mp4", ".wav", ".txt", ""))), (F.col("page_id") % 5).cast("int"))
+    return p.select("page_id", text.media_kind(F.concat(F.lit("x"), F.col("page_id").cast("string"), end)).alias("kind"))
+
+
+# pairing and sets of tracks
+
+_PAIR = f"""pa AS (SELECT frame_id, det_idx AS i, row_number() OVER (PARTITION BY frame_id ORDER BY det_idx) AS rn, {BOXES} FROM det WHERE label = 'A'),
+pb AS (SELECT frame_id, det_idx AS j, {BOXES} FROM det WHERE label = 'N'),
+pe AS (SELECT a.frame_id, a.rn, b.j, {_INTER} / ({_AREA.format(p='a')} + {_AREA.format(p='b')} - {_INTER}) AS iou FROM pa a JOIN pb b ON a.frame_id = b.frame_id WHERE {_INTER} > 0),
+wk AS (
+  SELECT frame_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS used, CAST(0.0 AS DOUBLE) AS total FROM (SELECT DISTINCT frame_id FROM pe)
+  UNION ALL
+  SELECT wk.frame_id, o.rn, CASE WHEN o.j IS NULL THEN used ELSE list_append(used, o.j) END, total + coalesce(o.iou, 0)
+  FROM wk JOIN (SELECT frame_id, rn, j, iou FROM pe UNION ALL SELECT frame_id, rn, NULL, NULL FROM pa) o ON o.frame_id = wk.frame_id AND o.rn = wk.rn + 1 AND (o.j IS NULL OR NOT list_contains(used, o.j)))"""
+
+
+@query(f"WITH RECURSIVE {DET}, {_PAIR} SELECT frame_id, round(max(total), 6) AS total FROM wk GROUP BY frame_id")
+def box_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best sum of IoU by pairing boxes A with boxes N; the SQL goes through all pairings."""
+    d = det(spark, sf_dir)
+    m = evaluate.match_boxes(d.where("label = 'A'"), d.where("label = 'N'"))
+    return m.groupBy("frame_id").agg(F.round(F.sum("iou"), 6).alias("total"))
+
+
+def _track_sets(spark, sf_dir):
+    """Tracks by their first and last frame, at their last place; those last seen late are tracked."""
+    t = trk(spark, sf_dir)
+    each = t.groupBy(KEY, "track_id").agg(F.min("frame_id").alias("first"), F.max("frame_id").alias("last"), *(F.max_by(n, "frame_id").alias(n) for n in ("x1", "y1", "x2", "y2")))
+    return each.where("last % 2 = 0"), each.where("last % 2 = 1 or track_id % 3 = 0")
+
+
+_SETS = """ea AS (SELECT stream_id, track_id, min(frame_id) AS first, max(frame_id) AS last, arg_max(x1, frame_id) AS x1, arg_max(y1, frame_id) AS y1, arg_max(x2, frame_id) AS x2, arg_max(y2, frame_id) AS y2 FROM trk GROUP BY ALL),
+ta AS (SELECT * FROM ea WHERE last % 2 = 0), tb AS (SELECT * FROM ea WHERE last % 2 = 1 OR track_id % 3 = 0)"""
+
+
+@query(f"WITH {TRK}, {_SETS} SELECT stream_id, track_id, last FROM ta UNION SELECT stream_id, track_id, last FROM tb")
+def track_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.union_tracks(*_track_sets(spark, sf_dir)).select(KEY, "track_id", "last")
+
+
+@query(f"WITH {TRK}, {_SETS} SELECT stream_id, track_id FROM ta WHERE track_id NOT IN (SELECT track_id FROM tb)")
+def track_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.subtract_tracks(*_track_sets(spark, sf_dir)).select(KEY, "track_id")
+
+
+@query(f"""WITH {TRK}, {_SETS}, nr AS (SELECT a.track_id AS ia, b.track_id AS ib, a.last - a.first > b.last - b.first AS older FROM ta a JOIN tb b ON 1 - {_INTER} / ({_AREA.format(p='a')} + {_AREA.format(p='b')} - {_INTER}) < 0.4)
+SELECT 'tracked' AS side, stream_id, track_id FROM ta WHERE track_id NOT IN (SELECT ia FROM nr WHERE NOT older) UNION ALL SELECT 'lost', stream_id, track_id FROM tb WHERE track_id NOT IN (SELECT ib FROM nr WHERE older)""")
+def track_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _track_sets(spark, sf_dir)
+    left = tracking.drop_double_tracks(a, b, distance=0.4)
+    return left[0].select(F.lit("tracked").alias("side"), KEY, "track_id").unionByName(left[1].select(F.lit("lost").alias("side"), KEY, "track_id"))
+
+
+# jobs of the outbox
+
+
+@query("""WITH j AS (SELECT event_id AS job_id, (['upload', 'reference', 'notify'])[1 + event_id % 3] AS kind, CASE WHEN event_id % 3 < 2 THEN event_id + 2 - event_id % 3 END AS dependent, epoch_us(ts) AS us, CASE WHEN event_id % 11 = 0 THEN 'failed' WHEN event_id % 5 <> 0 THEN 'done' END AS outcome FROM events),
+n AS (SELECT max(us) - 36000000000 AS now FROM j),
+w AS (SELECT j.*, count(d.job_id) FILTER (WHERE d.outcome IS NULL OR d.outcome <> 'done') AS waits, bool_or(coalesce(d.outcome = 'failed', FALSE)) AS broken FROM j LEFT JOIN j d ON d.dependent = j.job_id GROUP BY ALL)
+SELECT job_id, CASE WHEN outcome IS NOT NULL THEN outcome WHEN us > now THEN 'waiting' WHEN now - us > 86400000000 THEN 'timed out' WHEN broken THEN 'blocked' WHEN waits > 0 THEN 'waiting' ELSE 'ready' END AS state FROM w, n""")
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads and references come before the notification that names them."""
+    e = src.series(spark, sf_dir).withColumn("us", micros("ts"))
+    kind = F.get(F.array(*map(F.lit, ("upload", "reference", "notify"))), (F.col("n") % 3).cast("int"))
+    dependent = F.when(F.col("n") % 3 < 2, F.col("n") + 2 - F.col("n") % 3)
+    made = e.select(F.col("n").alias("job_id"), kind.alias("kind"), dependent.alias("dependent"), "ts")
+    outcomes = e.select(F.col("n").alias("job_id"), F.when(F.col("n") % 11 == 0, "failed").when(F.col("n") % 5 != 0, "done").alias("state")).where("state is not null")
+    now = e.agg(F.max("us")).first()[0] - 36_000_000_000
+    return jobs.job_states(made, outcomes, F.timestamp_micros(F.lit(now)), 86_400.0).select("job_id", "state")

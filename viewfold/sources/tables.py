@@ -42,38 +42,64 @@ def read_images(spark: SparkSession, path: str, glob: str = "*", content: bool =
     return df.select(*cols, *(["content"] if content else []))
 
 
-def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """images, annotations and categories of a COCO file, boxes as corners."""
-    doc = spark.read.option("multiLine", "true").json(path)
-    images = doc.select(F.inline("images"))
-    categories = doc.select(F.inline("categories"))
+_COCO = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,area:double,iscrowd:int>>, categories array<struct<id:long,name:string>>"
+
+
+def parse_coco(docs: DataFrame, text: str = "value") -> dict[str, DataFrame]:
+    """images, annotations and categories of COCO documents, one a row, boxes as corners."""
+    doc = docs.select(F.from_json(text, _COCO).alias("d")).select("d.*")
     a = doc.select(F.inline("annotations"))
-    box = [F.col("bbox")[k].cast("double") for k in range(4)]
+    box = [F.col("bbox")[k] for k in range(4)]
     annotations = a.select("*", box[0].alias("x1"), box[1].alias("y1"), (box[0] + box[2]).alias("x2"), (box[1] + box[3]).alias("y2"))
-    return {"images": images, "annotations": annotations, "categories": categories}
+    return {"images": doc.select(F.inline("images")), "annotations": annotations, "categories": doc.select(F.inline("categories")).distinct()}
+
+
+def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The same from files, each of which is one document."""
+    return parse_coco(spark.read.text(path, wholetext=True))
+
+
+def parse_regression_truth(docs: DataFrame, text: str = "value") -> DataFrame:
+    """(file_name, value) of documents {"images": [{"file_name": …, "value": …}]}."""
+    return docs.select(F.inline(F.from_json(text, "images array<struct<file_name:string,value:double>>")["images"]))
 
 
 def read_regression_truth(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", "true").json(path).select(F.inline("images")).select("file_name", F.col("value").cast("double"))
+    return parse_regression_truth(spark.read.text(path, wholetext=True))
+
+
+def _samples_at(x: memoryview) -> tuple[int, int]:
+    """Start and end of a WAV file's samples: of its data chunk, which other chunks may precede. What
+    is no such file is samples from its first byte."""
+    if len(x) < 12 or x[:4] != b"RIFF" or x[8:12] != b"WAVE":
+        return 0, len(x)
+    at = 12
+    while at + 8 <= len(x):
+        n = int.from_bytes(x[at + 4 : at + 8], "little")
+        if x[at : at + 4] == b"data":
+            return at + 8, min(len(x), at + 8 + n)
+        at += 8 + n + n % 2
+    return len(x), len(x)
 
 
-def audio_blocks(df: DataFrame, block: int, data_col: str = "content", key: str = "path", skip: int = 44) -> DataFrame:
-    """16-bit samples of each file's bytes after a header of ``skip`` bytes, in blocks of
-    ``block`` samples; a short last block is dropped. (key, block_id, samples)"""
+def audio_blocks(df: DataFrame, block: int, data_col: str = "content", key: str = "path") -> DataFrame:
+    """16-bit samples of each WAV file's bytes, in blocks of ``block`` samples; the last may be
+    shorter. (key, block_id, samples)"""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                a = np.frombuffer(x[skip : skip + (len(x) - skip) // 2 * 2], dtype="<i2")
-                n = len(a) // block
-                for at in range(0, n, 256):
-                    part = a[at * block : min(n, at + 256) * block].reshape(-1, block)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.int16()))], [key, "block_id", "samples"])
-
-    return df.select(key, data_col).mapInArrow(run, f"{key} string, block_id long, samples array<smallint>")
+            for k, x in zip(b.column(0), b.column(1)):
+                data = memoryview(x.as_buffer())
+                first, last = _samples_at(data)
+                a = np.frombuffer(data[first : first + (last - first) // 2 * 2], dtype="<i2")
+                for at in range(0, -(-len(a) // block), 256):
+                    part = [a[j * block : (j + 1) * block] for j in range(at, min(-(-len(a) // block), at + 256))]
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(part), b.column(0).type), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.list_(pa.int16()))], [key, "block_id", "samples"])
+
+    return df.select(key, data_col).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, block_id long, samples array<smallint>")
 
 
 def overlapped_blocks(blocks: DataFrame, key: str = "stream_id", order: str = "block_id", samples: str = "samples") -> DataFrame:

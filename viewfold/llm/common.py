@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """What is stored inside is deleted at the end, unless it is taken off the list given."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        for df in made:
+            discard(df)
+
+
 def store(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage in a way
     that survives lost executors."""
@@ -46,6 +63,8 @@ def store(df: DataFrame, label: str = "t") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 

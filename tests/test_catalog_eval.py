@@ -90,6 +90,22 @@ def test_text_functions(spark):
     assert (r.n, r.f, r.t, r.c, r.k) == ("foo_bar_http_server_2", "a_b c_.txt", "x-1 ${nope} ${a+b}", "c_-0000003", "image")
 
 
+def test_templates(spark):
+    df = spark.createDataFrame([(2, 3, "bar", {"foo": 123}, [5, 6], None)], "a int, b int, foo string, data map<string,int>, xs array<int>, none int")
+    fields = {c: F.col(c) for c in df.columns}
+    for said, want in (
+        ("Sum: ${a + b}, Product: ${a * b}", "Sum: 5, Product: 6"),
+        ("Value: ${y}", "Value: ${y}"),
+        ("Number: ${42}", "Number: 42"),
+        ("Hello ${foo}, missing: ${baz}, math: ${1+2}", "Hello bar, missing: ${baz}, math: 3"),
+        ('Nested: ${data["foo"]} ${xs[1]}', "Nested: 123 6"),
+        ("Nested: ${${a}}, outer: ${x+${b}}", "Nested: ${2}, outer: ${x+3}"),
+        ("${{a}} ${a / 4} ${-b // 2} ${-b % 2} ${a / 0} ${none}", "2 0.5 -2 1 ${a / 0} None"),
+        ("${__import__('os')} ${a if b else 1} ${a.b.c()}", "${__import__('os')} ${a if b else 1} ${a.b.c()}"),
+    ):
+        assert df.select(text.template(said, fields).alias("t")).first().t == want
+
+
 def test_names_as_specified(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(text.clean_filename(F.lit("cam (1) & x.mp4"))) == "cam (1) & x.mp4"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -74,25 +75,59 @@ def clip_json(clip: dict[str, Column], results: Column) -> Column:
     return F.to_json(F.struct(F.struct(*(clip[k].alias(k) for k in known if k in clip)).alias("properties"), results.alias("results")))
 
 
-_FIELD = re.compile(r"\$\{\{?\s*([^${}]*?)\s*\}?\}")
+_FIELD = re.compile(r"\$\{\{\s*([^${}]*?)\s*\}\}|\$\{\s*([^${}]*?)\s*\}")
+
+
+def _floor_divide(a: Column, b: Column) -> Column:
+    return F.floor(F.try_divide(a, b))
+
+
+_OPERATORS = {
+    ast.Add: lambda a, b: F.try_add(a, b),
+    ast.Sub: lambda a, b: F.try_subtract(a, b),
+    ast.Mult: lambda a, b: F.try_multiply(a, b),
+    ast.Div: lambda a, b: F.try_divide(a.cast("double"), b.cast("double")),
+    ast.FloorDiv: _floor_divide,
+    ast.Mod: lambda a, b: F.try_subtract(a, F.try_multiply(_floor_divide(a, b), b)),
+}
+
+
+def _column(node: ast.AST, fields: dict[str, Column]) -> Column:
+    """A parsed expression as a column; LookupError for names and forms that are not known."""
+    if isinstance(node, ast.Name) and node.id in fields:
+        return fields[node.id]
+    if isinstance(node, ast.Attribute):
+        return _column(node.value, fields).getField(node.attr)
+    if isinstance(node, ast.Subscript) and isinstance(node.slice, ast.Constant):
+        k, inner = node.slice.value, _column(node.value, fields)
+        return inner.getField(k) if isinstance(k, str) else F.get(inner, F.lit(k))
+    if isinstance(node, ast.Constant) and type(node.value) in (int, float, str):
+        return F.lit(node.value)
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+        return -_column(node.operand, fields)
+    if isinstance(node, ast.BinOp) and type(node.op) in _OPERATORS:
+        return _OPERATORS[type(node.op)](_column(node.left, fields), _column(node.right, fields))
+    raise LookupError(ast.dump(node))
 
 
 def template(text: str, fields: dict[str, Column]) -> Column:
-    """``${name}`` and ``${{name}}`` replaced by columns, dots for parts of a struct. Unknown names
-    and anything that is not a name stay as written; nothing is evaluated as code."""
+    """``${…}`` and ``${{…}}`` replaced by what they say of the columns ``fields``: names, parts of
+    structs and maps by .name or ["name"], elements of arrays by [number], numbers, text, and
+    + - * / // % with parentheses over them. What can't be understood or computed stays as
+    written, innermost braces count, and a null name reads None. The text is parsed into an
+    expression of columns; nothing in it is evaluated as code."""
     parts: list[Column] = []
     at = 0
     for m in _FIELD.finditer(text):
-        head, *rest = m[1].split(".")
         parts.append(F.lit(text[at : m.start()]))
         at = m.end()
-        if head in fields and all(re.fullmatch(r"\w+", r) for r in rest):
-            c = fields[head]
-            for r in rest:
-                c = c.getField(r)
-            parts.append(F.coalesce(c.cast("string"), F.lit("None")))
-        else:
+        try:
+            tree = ast.parse(m[1] or m[2] or "", mode="eval").body
+            c = _column(tree, fields).cast("string")
+        except (LookupError, SyntaxError, ValueError):
             parts.append(F.lit(m[0]))
+            continue
+        parts.append(F.coalesce(c, F.lit(m[0] if isinstance(tree, (ast.BinOp, ast.UnaryOp)) else "None")))
     return F.concat(*parts, F.lit(text[at:]))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -175,32 +178,56 @@ def match_truth(pred: DataFrame, truth: DataFrame, thresholds: tuple[float, ...]
     return each.select("image_id", "category_id", area.alias("area"), at([float(t) for t in ts], F.col("__k") % len(ts)).alias("threshold"), "score", "rank", "state")
 
 
+_CURVE = ["category_id", "area", "threshold"]
+
+
+def _band(score: Column) -> Column:
+    """Equal scores are in one band, higher scores in the same or a higher one; 256 bands lie between
+    0 and 1. A curve's rows are sorted band by band in many tasks, and only the bands' sums are
+    gone through as a whole."""
+    return F.floor((0.5 + F.atan(score.cast("double")) / math.pi) * 1024).cast("int")
+
+
+def _bands_before(rows: DataFrame, sums: dict[str, Column], combine: Callable[[str], Column], falling: bool) -> DataFrame:
+    """``rows`` with, for each of ``sums`` over a band, what all bands above it (below it, if not
+    ``falling``) come to."""
+    per = rows.groupBy(*_CURVE, "__band").agg(*(v.alias(n) for n, v in sums.items()))
+    band = F.col("__band").desc() if falling else F.col("__band")
+    over = W.partitionBy(*_CURVE).orderBy(band).rowsBetween(W.unboundedPreceding, -1)
+    return rows.join(per.withColumns({n: combine(n).over(over) for n in sums}), [*_CURVE, "__band"])
+
+
 def precision_recall(matched: DataFrame, positives: DataFrame) -> DataFrame:
     """(…, score, tp, fp, recall, precision) along falling scores, ties by image, then rank.
     ``positives``: (category_id, area, positives)."""
-    keys = ["category_id", "area", "threshold"]
-    over = W.partitionBy(*keys).orderBy(F.col("score").desc(), "image_id", "rank").rowsBetween(W.unboundedPreceding, 0)
-    rows = matched.where("state >= 0").join(F.broadcast(positives), ["category_id", "area"])
-    tp, fp = F.sum((F.col("state") == 1).cast("long")).over(over), F.sum((F.col("state") == 0).cast("long")).over(over)
-    return rows.withColumns({"tp": tp, "fp": fp}).withColumns({"recall": F.try_divide("tp", "positives"), "precision": F.try_divide("tp", F.col("tp") + F.col("fp"))})
+    over = W.partitionBy(*_CURVE, "__band").orderBy(F.col("score").desc(), "image_id", "rank").rowsBetween(W.unboundedPreceding, 0)
+    rows = matched.where("state >= 0").join(F.broadcast(positives), ["category_id", "area"]).withColumn("__band", _band(F.col("score")))
+    hit, miss = ((F.col("state") == v).cast("long") for v in (1, 0))
+    rows = _bands_before(rows, {"__tp": F.sum(hit), "__fp": F.sum(miss)}, F.sum, True)
+    tp, fp = (F.sum(c).over(over) + F.coalesce(b, F.lit(0)) for c, b in ((hit, "__tp"), (miss, "__fp")))
+    out = rows.withColumns({"tp": tp, "fp": fp}).withColumns({"recall": F.try_divide("tp", "positives"), "precision": F.try_divide("tp", F.col("tp") + F.col("fp"))})
+    return out.drop("__band", "__tp", "__fp")
 
 
 def average_precision(curve: DataFrame, positives: DataFrame, thresholds: tuple[float, ...] = IOU_THRESHOLDS, limits: tuple[int, ...] = (100,)) -> DataFrame:
     """(category_id, area, threshold, ap, recall_n…): precision made non-increasing, then read at
     101 recall points; ``recall_n`` is the recall of the n best predictions per image and class.
     Classes without positives give no row."""
-    keys = ["category_id", "area", "threshold"]
-    part = W.partitionBy(*keys).orderBy(F.col("score").desc(), "image_id", "rank")
+    banded = curve.withColumn("__band", _band(F.col("score")))
+    banded = _bands_before(banded, {"__top": F.max("precision")}, F.max, False)
     # from the lowest score on, as a frame that grows costs one step a row and one that shrinks all
-    back = W.partitionBy(*keys).orderBy("score", F.col("image_id").desc(), F.col("rank").desc()).rowsBetween(W.unboundedPreceding, 0)
-    top = curve.withColumn("p", F.max("precision").over(back))
-    marks = top.withColumn("upto", F.floor(F.col("recall") * 100 + 1e-9).cast("int"))
-    marks = marks.withColumn("low", F.coalesce(F.lag("upto").over(part), F.lit(-1)))
+    back = W.partitionBy(*_CURVE, "__band").orderBy("score", F.col("image_id").desc(), F.col("rank").desc()).rowsBetween(W.unboundedPreceding, 0)
+    top = banded.withColumn("p", F.greatest(F.max("precision").over(back), F.coalesce("__top", F.lit(0.0))))
+    # a row reads the points from the recall before it on: its own less one hit, if it is one
+    point = lambda c: F.floor(c * 100 / F.col("positives") + 1e-9).cast("int")
+    before = F.col("tp") - (F.col("state") == 1).cast("int")
+    first = F.col("tp") + F.col("fp") == 1
+    marks = top.withColumns({"upto": point(F.col("tp")), "low": F.when(first, F.lit(-1)).otherwise(point(before))})
     hits = [F.count_if((F.col("state") == 1) & (F.col("rank") < n)).alias(f"tp_{n}") for n in limits]
-    sums = marks.groupBy(*keys).agg(F.sum((F.col("upto") - F.col("low")) * F.col("p")).alias("s"), *hits)
+    sums = marks.groupBy(*_CURVE).agg(F.sum((F.col("upto") - F.col("low")) * F.col("p")).alias("s"), *hits)
     grid = positives.where("positives > 0").withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
     recalls = [(F.coalesce(f"tp_{n}", F.lit(0)) / F.col("positives")).alias(f"recall_{n}") for n in limits]
-    return grid.join(sums, keys, "left").select(*keys, (F.coalesce("s", F.lit(0.0)) / 101).alias("ap"), *recalls)
+    return grid.join(sums, _CURVE, "left").select(*_CURVE, (F.coalesce("s", F.lit(0.0)) / 101).alias("ap"), *recalls)
 
 
 def positives_of(truth: DataFrame, areas: dict | None = None, kind: str = "bbox") -> DataFrame:

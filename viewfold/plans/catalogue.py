@@ -231,22 +231,22 @@ f AS (
   SELECT frame_id, label, rn, CASE WHEN pos > 0 THEN list_transform(kept, lambda k, j: CASE WHEN j = pos THEN {grown} ELSE k END) ELSE list_append(kept, {new}) END
   FROM (SELECT f.kept, s.*, coalesce(list_position(list_transform(f.kept, lambda k: {_over_sql(1.0, True)} > {threshold}), TRUE), 0) AS pos FROM f JOIN s ON f.frame_id = s.frame_id AND f.label = s.label AND s.rn = f.rn + 1) s),
 l AS (SELECT frame_id, label, arg_max(kept, rn) AS kept FROM f GROUP BY ALL), u AS (SELECT frame_id, label, unnest(kept) AS k FROM l)
-SELECT frame_id, k.i AS det_idx, label, k.score AS score, {', '.join(f"round({place.format(n=n, b=b)}, 4) AS {b}" for n, b in enumerate(('x1', 'y1', 'x2', 'y2'), 1))} FROM u"""
+SELECT frame_id, k.i AS det_idx, label, k.score AS score, {', '.join(f"round({place.format(n=n, b=b)}, 7) AS {b}" for n, b in enumerate(('x1', 'y1', 'x2', 'y2'), 1))} FROM u"""
 
 
 @query(_policy_sql("largest_area", 0.1))
 def nms_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(suppress.nms(det(spark, sf_dir), 0.1, policy="largest_area").select(*_NMS_OUT))
+    return rounded(suppress.nms(det(spark, sf_dir), 0.1, policy="largest_area").select(*_NMS_OUT), places=7)
 
 
 @query(_policy_sql("average", 0.1))
 def nms_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(suppress.nms(det(spark, sf_dir), 0.1, policy="average").select(*_NMS_OUT))
+    return rounded(suppress.nms(det(spark, sf_dir), 0.1, policy="average").select(*_NMS_OUT), places=7)
 
 
 @query(_policy_sql("merge", 0.1))
 def nms_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(suppress.nms(det(spark, sf_dir), 0.1, policy="merge").select(*_NMS_OUT))
+    return rounded(suppress.nms(det(spark, sf_dir), 0.1, policy="merge").select(*_NMS_OUT), places=7)
 
 
 def _fuse_sql(src_: str, threshold: float) -> str:
@@ -880,7 +880,7 @@ def fps_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT user_id AS stream_id, event_id // 100 AS block_id, list(CAST(floor(value) AS INTEGER) ORDER BY event_id) AS s FROM events GROUP BY ALL)
-SELECT stream_id, block_id, list_sum(list_concat(coalesce(lag(s) OVER w, list_transform(s, lambda x: 0)), s)) AS total, CAST(len(list_concat(coalesce(lag(s) OVER w, s), s)) AS INTEGER) AS n FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY block_id)""")
+SELECT stream_id, block_id, CAST(list_sum(list_concat(coalesce(lag(s) OVER w, list_transform(s, lambda x: 0)), s)) AS BIGINT) AS total, CAST(len(list_concat(coalesce(lag(s) OVER w, s), s)) AS INTEGER) AS n FROM b WINDOW w AS (PARTITION BY stream_id ORDER BY block_id)""")
 def audio_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     item = F.struct("event_id", F.floor("value").cast("int").alias("v"))
@@ -1206,10 +1206,11 @@ def clip_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", text.clip_name(F.when(F.col("event_id") % 2 == 0, "out/").otherwise("clip"), F.col("event_id") - 5).alias("name"))
 
 
-@query("SELECT event_id, 'user ' || user_id || ' did ' || event_type || ' ${nothing} ${1+1}' AS message FROM events")
+@query("""SELECT event_id, 'user ' || user_id || ' did ' || event_type || ' ${nothing} 2 ' || (user_id + event_id * 2) || ' ' || CAST(floor((event_id - 3) / 4.0) AS BIGINT) || ' ' || CAST(event_id / 4.0 AS DOUBLE) || ' ' || event_id % 7 || ' ${result.user_id // 0} ${${event_id}}' AS message FROM events""".replace("${${event_id}}'", "${' || event_id || '}'"))
 def template_subst(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("result", F.struct("user_id", "event_type"))
-    return e.select("event_id", text.template("user ${result.user_id} did ${{ result.event_type }} ${nothing} ${1+1}", {"result": F.col("result")}).alias("message"))
+    said = "user ${result.user_id} did ${{ result['event_type'] }} ${nothing} ${1+1} ${result.user_id + n * 2} ${(n - 3) // 4} ${n / 4} ${n % 7} ${result.user_id // 0} ${${n}}"
+    return e.select("event_id", text.template(said, {"result": F.col("result"), "n": F.col("event_id")}).alias("message"))
 
 
 @query("""SELECT p_partkey, round(r * 0.2126::DOUBLE + g * 0.7152::DOUBLE + b * 0.0722::DOUBLE, 4) AS lum, CASE WHEN r * 0.2126 + g * 0.7152 + b * 0.0722 > 180 THEN 0 ELSE 255 END AS ink, CAST(255 - r AS BIGINT) AS comp, CAST(b AS BIGINT) AS swapped

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -70,6 +71,41 @@ def chain(df: DataFrame, *analyzers) -> DataFrame:
     return reduce(lambda d, a: d.transform(a.apply if hasattr(a, "apply") else a), (a for a in analyzers if a is not None), df)
 
 
+def predict_stream(source: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None, analyzers: Iterable = ()) -> DataFrame:
+    """Frames through a model, if any, and analyzers; streaming if the source is."""
+    return chain(source, model, *analyzers)
+
+
+@dataclass(frozen=True)
+class EvaluatorConfig:
+    """Settings of an evaluation, from code or YAML."""
+
+    kind: str = "bbox"
+    max_images: int = 0
+    classes: dict[str, int] | None = None
+    top_k: tuple[int, ...] = (1, 5)
+    sigmas: tuple[float, ...] | None = None
+    pred_path: str | None = None
+
+    def __post_init__(self):
+        if self.kind not in ("bbox", "keypoints", "segm", "classification", "regression"):
+            raise ValueError(f"no evaluation of {self.kind}")
+        if self.max_images < 0 or any(k < 1 for k in self.top_k):
+            raise ValueError("limits must not be negative")
+
+    @classmethod
+    def load(cls, text: str | dict, **overrides) -> EvaluatorConfig:
+        if isinstance(text, str):
+            import yaml
+
+            text = yaml.safe_load(text)
+        values = {**(text or {}), **overrides}
+        unknown = set(values) - {f.name for f in fields(cls)}
+        if unknown:
+            raise ValueError(f"unknown settings {sorted(unknown)}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+
+
 class Pipeline:
     """The nodes connected to those given. Building checks that inputs are complete, and that
     every required tag and column comes from some node before."""

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from viewfold.functions.folds import per_list
 from viewfold.functions.geometry import box, iou
-from viewfold.schema import BOX, require_columns
+from viewfold.schema import BOX, by, require_columns
 
 _POSITION, _VELOCITY = 1 / 20, 1 / 160
 
@@ -240,6 +241,28 @@ class StickySelector:
         return [at[n] for n in self.chosen if n in at]
 
 
+def smooth_tracks(df: DataFrame, stream: str | None = None, track: str = "track_id") -> DataFrame:
+    """``df`` with the boxes that the tracker's filter makes of each track's own sightings, in order
+    of frame: predicted over every frame between, and corrected at each sighting."""
+    keys = by(stream, track)
+    filter_ = BoxFilter()
+
+    def run(frames, *sides):
+        z = BoxFilter.measure(np.array(sides, dtype=float).T)
+        mean, cov = filter_.start(z[0])
+        out = [BoxFilter.boxes(mean)]
+        for k in range(1, len(z)):
+            for _ in range(int(frames[k] - frames[k - 1])):
+                mean, cov = (v[0] for v in filter_.predict(mean[None], cov[None]))
+            mean, cov = filter_.update(mean, cov, z[k])
+            out.append(BoxFilter.boxes(mean))
+        return (frames, *np.array(out).T.tolist())
+
+    walk = per_list(run, "frame_id long, x1 double, y1 double, x2 double, y2 double")
+    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("frame_id", *(F.col(c).cast("double").alias(c) for c in BOX)))).alias("__r"))
+    return df.drop(*BOX).join(rows.select(*keys, F.inline(walk("__r"))), [*keys, "frame_id"])
+
+
 def union_tracks(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
     """The rows of ``a`` and those of ``b`` whose track ``a`` doesn't have; of rows of a track in one
     table the first by its columns stays."""

@@ -1150,6 +1150,59 @@ def track_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tracking.track_objects(t, buffer=30).select("stream_id", "frame_id", "det_idx", "track_id", *box()), places=3)
 
 
+def _far_apart(spark, sf_dir):
+    """Boxes in cells of their own that move a pixel a frame; each third object comes a frame or two
+    later, and each fourth is missing in frames 5 and 6."""
+    users = src.series(spark, sf_dir).select("user_id").distinct()
+    k = F.row_number().over(W.partitionBy(F.col("user_id") % 8).orderBy("user_id")) - 1
+    o = users.select((F.col("user_id") % 8).alias(KEY), k.cast("long").alias("k")).withColumn("frame_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
+    o = o.where((F.col("frame_id") >= F.col("k") % 3) & ~((F.col("k") % 4 == 1) & F.col("frame_id").isin(5, 6)))
+    x, y = F.col("k") % 20 * 100 + F.col("frame_id"), F.expr("k div 20") * 150 + F.col("frame_id")
+    return o.select(KEY, "frame_id", F.col("k").alias("det_idx"), F.lit(0.9).alias("score"), *(c.cast("double").alias(n) for c, n in zip((x, y, x + 40, y + 60), ("x1", "y1", "x2", "y2"))))
+
+
+_FAR = """us AS (SELECT DISTINCT user_id FROM events), ok AS (SELECT user_id % 8 AS stream_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY user_id) - 1 AS k FROM us),
+far AS (SELECT stream_id, k, range AS frame_id FROM ok, range(12) WHERE range >= k % 3 AND NOT (k % 4 = 1 AND range IN (5, 6)))"""
+
+
+@query(f"""WITH {_FAR}, n AS (SELECT stream_id, k, row_number() OVER (PARTITION BY stream_id ORDER BY k % 3, k) AS number FROM ok)
+SELECT far.stream_id, frame_id, far.k AS det_idx, CASE WHEN frame_id > 0 AND frame_id = far.k % 3 THEN NULL ELSE number END AS track_id FROM far JOIN n ON n.stream_id = far.stream_id AND n.k = far.k""")
+def track_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that never meet: a track each, from the second sighting on unless it is in the first
+    frame, which is found again after it was lost."""
+    return tracking.track_objects(_far_apart(spark, sf_dir)).select(KEY, "frame_id", "det_idx", "track_id")
+
+
+def _kalman_sql() -> str:
+    """Centre x, centre y, width / height and height each have a filter of place and velocity of
+    their own (m, v, p, c, q: means and covariances); only the noise, which follows the height, is
+    shared."""
+    z = {"x": "(x1 + x2) / 2", "y": "(y1 + y2) / 2", "a": "(x2 - x1) / (y2 - y1)", "h": "y2 - y1"}
+    std = lambda n, h, place, speed: (f"pow({place!r} * ({h}), 2)", f"pow({speed!r} * ({h}), 2)") if n != "a" else ("1e-4", "1e-10")
+    start, ahead, right = [], [], []
+    for n in z:
+        p, q = std(n, "zh", 2 / 20, 10 / 160)
+        start += [f"z{n} AS m{n}", f"CAST(0 AS DOUBLE) AS v{n}", f"CAST({p} AS DOUBLE) AS p{n}", f"CAST(0 AS DOUBLE) AS c{n}", f"CAST({q} AS DOUBLE) AS q{n}"]
+        p, q = std(n, "f.mh", 1 / 20, 1 / 160)
+        ahead += [f"m{n} + v{n} AS m{n}", f"v{n}", f"p{n} + 2 * c{n} + q{n} + {p} AS p{n}", f"c{n} + q{n} AS c{n}", f"q{n} + {q} AS q{n}"]
+        g = f"(p{n} + " + ("pow(mh / 20, 2))" if n != "a" else "1e-2)")
+        right += [f"m{n} + p{n} / {g} * (z{n} - m{n})", f"v{n} + c{n} / {g} * (z{n} - m{n})", f"p{n} - p{n} * p{n} / {g}", f"c{n} - p{n} * c{n} / {g}", f"q{n} - c{n} * c{n} / {g}"]
+    return f"""sq AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY frame_id) AS rn, {', '.join(f'{e} AS z{n}' for n, e in z.items())} FROM trk),
+kf AS (
+  SELECT track_id, rn, {', '.join(start)} FROM sq WHERE rn = 1
+  UNION ALL
+  SELECT track_id, rn, {', '.join(right)} FROM (SELECT s.track_id, s.rn, s.zx, s.zy, s.za, s.zh, {', '.join(ahead)} FROM kf f JOIN sq s ON s.track_id = f.track_id AND s.rn = f.rn + 1))"""
+
+
+@query(f"WITH RECURSIVE {TRK}, {_kalman_sql()} SELECT track_id, rn AS frame_id, round(mx - ma * mh / 2, 3) AS x1, round(my - mh / 2, 3) AS y1, round(mx + ma * mh / 2, 3) AS x2, round(my + mh / 2, 3) AS y2 FROM kf")
+def track_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter along each track's sightings, taken as frame after frame."""
+    t = trk(spark, sf_dir)
+    n = F.row_number().over(W.partitionBy("track_id").orderBy("frame_id")).cast("long")
+    rows = t.withColumn("n", n).select("track_id", F.col("n").alias("frame_id"), *box())
+    return rounded(tracking.smooth_tracks(rows).select("track_id", "frame_id", *box()), places=3)
+
+
 _STICKY = """p AS (SELECT stream_id, frame_id, list(track_id ORDER BY score DESC, track_id) AS best, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS rn FROM trk GROUP BY stream_id, frame_id),
 st AS (
   SELECT stream_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS frame_id, CAST([] AS STRUCT(n BIGINT, m BIGINT)[]) AS chosen FROM (SELECT DISTINCT stream_id FROM p)

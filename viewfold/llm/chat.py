@@ -77,16 +77,14 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     all the same. Repeated rows are turns of their own. Rows with a null conv_id make one
     conversation. Other columns are not looked at; an empty table gives no rows.
 
-    Each turn is escaped and framed before the rows meet; a task then only sorts and joins the
-    turns of its conversations. A conversation's output is one string, so it has to fit a task."""
+    Rows meet as they are, so a text is moved once; a task sorts the turns of its conversations and
+    escapes and frames them. A conversation's output is one string, so it has to fit a task."""
     t = template
     text = F.coalesce(F.col(text_col), F.lit(""))
     role = F.coalesce(F.col(role_col), F.lit(""))
     framed = turns.select(
         F.col(conv_col).alias("conv_id"),
-        F.struct(
-            F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), escaped_role(role, t).alias("r"), escaped(text, t).alias("body")
-        ).alias("x"),
+        F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text")).alias("x"),
     )
     grouped = framed.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     segment = lambda kind, s, loss: F.struct(F.lit(kind).alias("kind"), s.alias("text"), loss.alias("loss"))
@@ -95,8 +93,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.transform(
             "xs",
             lambda x: F.array(
-                segment("head", F.concat(F.lit(t.start), x["r"], F.lit(t.after_role)), no),
-                segment("text", x["body"], x["role"].isin(*t.loss_roles)),
+                segment("head", F.concat(F.lit(t.start), escaped_role(x["role"], t), F.lit(t.after_role)), no),
+                segment("text", escaped(x["text"], t), x["role"].isin(*t.loss_roles)),
                 segment("tail", F.lit(t.end + t.after_turn), no),
             ),
         )

@@ -213,13 +213,13 @@ def average_precision(curve: DataFrame, positives: DataFrame, thresholds: tuple[
     """(category_id, area, threshold, ap, recall_n…): precision made non-increasing, then read at
     101 recall points; ``recall_n`` is the recall of the n best predictions per image and class.
     Classes without positives give no row."""
-    banded = curve.withColumn("__band", _band(F.col("score")))
+    banded = curve.where("positives > 0").withColumn("__band", _band(F.col("score")))
     banded = _bands_before(banded, {"__top": F.max("precision")}, F.max, False)
     # from the lowest score on, as a frame that grows costs one step a row and one that shrinks all
     back = W.partitionBy(*_CURVE, "__band").orderBy("score", F.col("image_id").desc(), F.col("rank").desc()).rowsBetween(W.unboundedPreceding, 0)
     top = banded.withColumn("p", F.greatest(F.max("precision").over(back), F.coalesce("__top", F.lit(0.0))))
     # a row reads the points from the recall before it on: its own less one hit, if it is one
-    point = lambda c: F.floor(c * 100 / F.col("positives") + 1e-9).cast("int")
+    point = lambda c: F.floor(F.try_divide(c * 100, F.col("positives")) + 1e-9).cast("int")
     before = F.col("tp") - (F.col("state") == 1).cast("int")
     first = F.col("tp") + F.col("fp") == 1
     marks = top.withColumns({"upto": point(F.col("tp")), "low": F.when(first, F.lit(-1)).otherwise(point(before))})
@@ -244,13 +244,14 @@ def positives_of(truth: DataFrame, areas: dict | None = None, kind: str = "bbox"
 def coco_summary(pred: DataFrame, truth: DataFrame, kind: str = "bbox", sigmas: tuple[float, ...] = SIGMAS) -> DataFrame:
     """The protocol's numbers: (ord, name, value), twelve, or ten for keypoints; -1 where nothing
     counts. Greedy matching goes by falling score, so that of the n best is the start of that of
-    all: one pass."""
+    all: one pass. The numbers are worked out at once, as the matches are kept only meanwhile."""
     points = kind == "keypoints"
     areas = {k: v for k, v in AREAS.items() if not points or k != "small"}
     limits = (20,) if points else (1, 10, 100)
     n = positives_of(truth, areas, kind)
-    matched = match_truth(pred, truth, IOU_THRESHOLDS, areas, limits[-1], kind, sigmas)
-    per = average_precision(precision_recall(matched, n), n, IOU_THRESHOLDS, limits)
+    matched = match_truth(pred, truth, IOU_THRESHOLDS, areas, limits[-1], kind, sigmas).where("state >= 0").persist()
+    curve = precision_recall(matched, n).persist()
+    per = average_precision(curve, n, IOU_THRESHOLDS, limits)
     every, half, most = F.lit(True), F.col("threshold") == 0.5, F.col("threshold") == 0.75
     sizes = [a for a in areas if a != "all"]
     pick = [("AP", every, "all", "ap"), ("AP50", half, "all", "ap"), ("AP75", most, "all", "ap")] + [(f"AP_{a}", every, a, "ap") for a in sizes]
@@ -259,8 +260,10 @@ def coco_summary(pred: DataFrame, truth: DataFrame, kind: str = "bbox", sigmas:
     else:
         pick += [(f"AR{k}", every, "all", f"recall_{k}") for k in limits]
     pick += [(f"AR_{a}", every, a, f"recall_{limits[-1]}") for a in sizes]
-    row = per.agg(*(F.coalesce(F.avg(F.when(c & (F.col("area") == a), F.col(v))), F.lit(-1.0)).alias(name) for name, c, a, v in pick))
-    return row.select(F.inline(F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(name).alias("name"), F.col(name).alias("value")) for k, (name, *_) in enumerate(pick, 1)))))
+    row = per.agg(*(F.coalesce(F.avg(F.when(c & (F.col("area") == a), F.col(v))), F.lit(-1.0)).alias(name) for name, c, a, v in pick)).first()
+    for df in (curve, matched):
+        df.unpersist()
+    return pred.sparkSession.createDataFrame([(k, name, row[name]) for k, (name, *_) in enumerate(pick, 1)], "ord int, name string, value double")
 
 
 def match_boxes(a: DataFrame, b: DataFrame, key: str = "frame_id", id_col: str = "det_idx", least: float = 0.0) -> DataFrame:

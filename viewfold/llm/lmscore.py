@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ MIX, ALPHA = 0.7, 0.5
 MIN_BITS, HASH_BITS = 14, 31
 #: Characters of text for each chunk of documents and each slice of the key table.
 CHUNK_CHARS, SLICE_CHARS = 16 << 20, 32 << 20
+#: Tokens whose losses are worked out at a time.
+BLOCK_TOKENS = 1 << 18
 PARTS = "chunk long, slice long, keys binary, background binary, goal binary, n_background long, n_goal long, ids binary"
 COUNTS = "chunk long, slice long, background binary, goal binary, n_background long, n_goal long, ids binary"
 SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double"
@@ -82,7 +85,8 @@ class Keys:
         words, word = np.unique(pairs & np.uint64((1 << word_bits) - 1), return_inverse=True)
         befores, before = np.unique(pairs >> np.uint64(word_bits), return_inverse=True)
         self.pairs = len(pairs)
-        self.word, self.before = word + len(pairs), before + len(pairs) + len(words)
+        self.token = self.token.astype(np.int32)
+        self.word, self.before = (word + len(pairs)).astype(np.int32), (before + len(pairs) + len(words)).astype(np.int32)
         self.keys = np.concatenate([pairs, words | np.uint64(1 << 62), befores | np.uint64(1 << 63)])
 
     def counts(self, tokens: np.ndarray) -> np.ndarray:
@@ -97,22 +101,34 @@ class Keys:
         order = np.argsort(own, kind="stable")
         return np.split(order, np.searchsorted(own[order], np.arange(1, n, dtype=np.uint64)))
 
-    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How often each token's pair, word and preceding word occur in its text."""
-        text = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        out = []
-        for key in (self.token, self.word[self.token], self.before[self.token]):
+    def blocks(self) -> Iterator[tuple[slice, slice]]:
+        """Texts of BLOCK_TOKENS tokens together, or one text: (texts, their tokens)."""
+        ends = np.cumsum(self.lengths)
+        at = 0
+        while at < len(ends):
+            first = int(ends[at] - self.lengths[at])
+            upto = max(at + 1, int(np.searchsorted(ends, first + BLOCK_TOKENS, "right")))
+            yield slice(at, upto), slice(first, int(ends[upto - 1]))
+            at = upto
+
+    def losses(self, texts: slice, tokens: slice, models: list[tuple[np.ndarray, int, np.ndarray]], word_bits: int) -> list[np.ndarray]:
+        """Loss of each of the tokens under each model (counts, total, which texts it has seen), less
+        what its own text counts where the model has seen it."""
+        token = self.token[tokens]
+        lengths = self.lengths[texts]
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        keys, own = (token, self.word[token], self.before[token]), []
+        for key in keys:
             _, at, n = np.unique(text * (len(self.keys) + 1) + key, return_inverse=True, return_counts=True)
-            out.append(n[at])
-        return tuple(out)
-
-    def losses(self, counts: np.ndarray, n: int, word_bits: int, seen: np.ndarray, own: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """Loss of each token, less what its own text counts where the model has ``seen`` it."""
-        pair, word, before = (counts[key] - k * seen for key, k in zip((self.token, self.word[self.token], self.before[self.token]), own))
-        total = n - np.repeat(self.lengths, self.lengths) * seen
-        single = (word + ALPHA) / (total + ALPHA * (1 << word_bits))
-        both = np.where(before > 0, pair / np.maximum(before, 1), 0.0)
-        return -np.log((1 - MIX) * single + MIX * np.minimum(both, 1.0))
+            own.append(n[at])
+        out = []
+        for counts, n, marked in models:
+            seen = marked[texts][text]
+            pair, word, before = (counts[key] - k * seen for key, k in zip(keys, own))
+            single = (word + ALPHA) / (n - lengths[text] * seen + ALPHA * (1 << word_bits))
+            both = np.where(before > 0, pair / np.maximum(before, 1), 0.0)
+            out.append(-np.log((1 - MIX) * single + MIX * np.minimum(both, 1.0)))
+        return out
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", target: str = "quality = 1") -> DataFrame:
@@ -170,20 +186,24 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     def score(rows, counts):
         k = Keys(texts(rows), word_bits, pair_bits)
         some = k.lengths > 0
-        starts = (np.cumsum(k.lengths) - k.lengths)[some]
         parts = k.slices(slices)
-        own = k.own()
         wanted = {i for x in counts.column("ids").to_pylist() if x for i in np.frombuffer(x, dtype="<i8").tolist()}
-        marked = np.repeat(np.array([i in wanted for i in rows.column("id").to_pylist()], dtype=np.int64), k.lengths)
-        means = {}
+        marked = np.array([i in wanted for i in rows.column("id").to_pylist()], dtype=np.int64)
+        models = []
         for c, seen in (("goal", marked), ("background", np.ones(len(marked), dtype=np.int64))):
             n = np.zeros(len(k.keys), dtype=np.int64)
             for s, x in zip(counts.column("slice").to_pylist(), counts.column(c).to_pylist()):
                 n[parts[s]] = unpack(x)
-            loss = k.losses(n, counts.column(f"n_{c}")[0].as_py() if counts.num_rows else 0, word_bits, seen, own)
-            means[c] = np.zeros(len(some))
-            if some.any():
-                means[c][some] = np.add.reduceat(loss, starts) / k.lengths[some]
+            models.append((n, counts.column(f"n_{c}")[0].as_py() if counts.num_rows else 0, seen))
+        del parts
+        means = {c: np.zeros(len(some)) for c in ("goal", "background")}
+        for own, tokens in k.blocks():
+            full = np.flatnonzero(some[own])
+            if len(full):
+                lengths = k.lengths[own]
+                starts = (np.cumsum(lengths) - lengths)[full]
+                for mean, loss in zip(means.values(), k.losses(own, tokens, models, word_bits)):
+                    mean[own.start + full] = np.add.reduceat(loss, starts) / lengths[full]
         return pa.table(
             {
                 "doc_id": rows.column("id"),

@@ -95,14 +95,15 @@ def near_links(classes: DataFrame, radius: int = 4, split: int = SPLIT) -> DataF
     keys = [F.struct(F.lit(k).alias("mask"), F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key")) for k, m in enumerate(masks)]
     buckets = classes.select("fp", F.inline(F.array(*keys)))
     ends = lambda df: df.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    made = [members := store(buckets.join(ends(buckets), "key"), "buckets")]
+    # the planner takes exploded rows for no more than what they come from, and would send them to every executor
+    made = [members := store(buckets.hint("merge").join(ends(buckets), "key"), "buckets")]
     if (members.agg(F.max("n")).first()[0] or 0) > split:
         finer = F.array(*(F.lit(_signed(m)) for ms in finer_masks(radius) for m in ms))
         n = len(masks)
         one = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.xxhash64(F.col("key"), k, F.col("fp").bitwiseAND(F.get(finer, F.col("mask") * n + k))))
         cut = members.where(F.col("n") > split).select("fp", F.explode(one).alias("key"))
         small = members.where(F.col("n") <= split).select("fp", "key", "lo", "hi")
-        made.append(members := store(small.unionByName(cut.join(ends(cut).drop("n"), "key").select("fp", "key", "lo", "hi")), "buckets"))
+        made.append(members := store(small.unionByName(cut.hint("merge").join(ends(cut).drop("n"), "key").select("fp", "key", "lo", "hi")), "buckets"))
     close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
     to_lo = members.where(close("fp", "lo")).select(F.col("fp").alias("a"), F.col("lo").alias("b"))
     to_hi = members.where(close("fp", "hi")).select(F.col("fp").alias("a"), F.col("hi").alias("b"))

@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -110,3 +111,26 @@ def test_tracker_survives_noise():
         b = np.array([[x := rnd.uniform(0, 500), y := rnd.uniform(0, 400), x + 30, y + 30] for _ in range(n)]).reshape(-1, 4)
         got = t.update(b, np.array([rnd.random() for _ in range(n)]))
         assert len({k for k, *_ in got}) == len(got) == len({m for _, m, _ in got})
+
+
+def test_near_pairs_are_those_of_all_pairs():
+    rng = np.random.default_rng(0)
+    for k in range(60):
+        n, m = rng.integers(0, 25, 2)
+        a, b = (np.concatenate([x := rng.uniform(0, 50 * (1 + k % 4), (c, 2)), x + rng.uniform(10, 100, (c, 2))], axis=1) for c in (n, m))
+        w, over = rng.uniform(0.3, 1, m), tracking.iou_matrix(a, b)
+        i, j, o = tracking.overlapping(a, b)
+        assert list(zip(i.tolist(), j.tolist())) == [tuple(x) for x in np.argwhere(over > 0).tolist()] and (o == over[i, j]).all()
+        assert tracking.match_near(a, b, 0.8, w) == tracking.match(1 - over * w[None, :], 0.8)
+
+
+def test_many_objects_take_no_table_of_all_pairs():
+    k = np.arange(4000)
+    corner = np.stack([k % 20 * 100.0, k // 20 * 150.0], axis=1)
+    boxes, t = np.concatenate([corner, corner + [40, 60]], axis=1), Tracker()
+    tracemalloc.start()
+    for step in range(3):
+        got = t.update(boxes + step, np.full(len(k), 0.9))
+        assert [(r, n) for r, n, _ in got] == [(r, r + 1) for r in range(len(k))]
+    assert tracemalloc.get_traced_memory()[1] < 100e6  # a matrix of all pairs has 128 MB
+    tracemalloc.stop()

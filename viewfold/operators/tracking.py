@@ -7,14 +7,16 @@ the partitioning is by stream.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from viewfold.functions.folds import per_list
+from viewfold.functions.folds import floats, in_order, per_list
 from viewfold.functions.geometry import box, iou
 from viewfold.schema import BOX, by, require_columns
 
@@ -45,18 +47,18 @@ class BoxFilter:
         return std**2
 
     def start(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mean = np.concatenate([z, np.zeros(4)])
-        return mean, np.diag(self._noise(z[3], 2 * _POSITION, 10 * _VELOCITY, 1e-2, 1e-5))
+        mean = np.concatenate([z, np.zeros_like(z)], axis=-1)
+        return mean, self._noise(z[..., 3], 2 * _POSITION, 10 * _VELOCITY, 1e-2, 1e-5)[..., None] * np.eye(8)
 
     def predict(self, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         q = self._noise(mean[:, 3], _POSITION, _VELOCITY, 1e-2, 1e-5)
         return mean @ self.move.T, self.move @ cov @ self.move.T + q[:, :, None] * np.eye(8)
 
     def update(self, mean: np.ndarray, cov: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s2 = (_POSITION * mean[3]) ** 2
-        seen = cov[:4, :4] + np.diag([s2, s2, 1e-2, s2])
-        gain = np.linalg.solve(seen, cov[:4, :]).T
-        return mean + gain @ (z - mean[:4]), cov - gain @ cov[:4, :]
+        s2 = (_POSITION * mean[..., 3]) ** 2
+        seen = cov[..., :4, :4] + np.stack([s2, s2, np.full_like(s2, 1e-2), s2], axis=-1)[..., None] * np.eye(4)
+        gain = np.linalg.solve(seen, cov[..., :4, :]).swapaxes(-1, -2)
+        return mean + (gain @ (z - mean[..., :4])[..., None])[..., 0], cov - gain @ cov[..., :4, :]
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,8 +106,126 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 def match(cost: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
     """Pairs with a cost up to ``limit``, and the rows and columns left over."""
     pairs = [(r, c) for r, c in assign(np.where(cost > limit, limit + 1e-4, cost)) if cost[r, c] <= limit]
+    return pairs, *_left(pairs, *cost.shape)
+
+
+def _left(pairs: list[tuple[int, int]], n: int, m: int) -> tuple[list[int], list[int]]:
     rows, cols = {r for r, _ in pairs}, {c for _, c in pairs}
-    return pairs, [r for r in range(cost.shape[0]) if r not in rows], [c for c in range(cost.shape[1]) if c not in cols]
+    return [r for r in range(n) if r not in rows], [c for c in range(m) if c not in cols]
+
+
+#: Candidates that are compared at once.
+_CHUNK = 1 << 20
+
+
+def overlapping(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of ``a``, rows of ``b``, IoU) of the boxes that overlap, in order. Boxes are compared with
+    those of neighbouring cells only, for each two classes of size in cells of the larger."""
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    kinds = []
+    for v in (a, b):
+        size = v[:, 2:] - v[:, :2]
+        fit = np.flatnonzero(np.isfinite(v).all(axis=1) & (size > 0).all(axis=1))
+        level = np.ceil(np.log2(size[fit])).astype(np.int64)
+        kinds.append([(k, fit[(level == k).all(axis=1)]) for k in np.unique(level, axis=0)])
+    for ka, ra in kinds[0]:
+        for kb, rb in kinds[1]:
+            cell = np.exp2(np.maximum(ka, kb))
+            ca, cb = np.floor(a[ra, :2] / cell), np.floor(b[rb, :2] / cell)
+            low = np.minimum(ca.min(axis=0), cb.min(axis=0)) - 1
+            ca, cb = (ca - low).astype(np.int64), (cb - low).astype(np.int64)
+            wide = max(ca[:, 1].max(), cb[:, 1].max()) + 2
+            key = cb[:, 0] * wide + cb[:, 1]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            for dx in (-1, 0, 1):
+                # three cells of a column are one range of keys
+                at = (ca[:, 0] + dx) * wide + ca[:, 1]
+                first, end = np.searchsorted(key, at - 1, "left"), np.searchsorted(key, at + 1, "right")
+                upto = np.cumsum(end - first)
+                s = 0
+                while s < len(ra):
+                    e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + _CHUNK, "right")))
+                    n = (end - first)[s:e]
+                    i = np.repeat(np.arange(s, e), n)
+                    j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[s:e], n)]
+                    x, y = a[ra[i]], b[rb[j]]
+                    inter = np.clip(np.minimum(x[:, 2:], y[:, 2:]) - np.maximum(x[:, :2], y[:, :2]), 0, None).prod(axis=1)
+                    hit = inter > 0
+                    x, y, inter = x[hit], y[hit], inter[hit]
+                    union = (x[:, 2:] - x[:, :2]).prod(axis=1) + (y[:, 2:] - y[:, :2]).prod(axis=1) - inter
+                    found.append((ra[i[hit]], rb[j[hit]], inter / union))
+                    s = e
+    i, j, over = (np.concatenate(v) for v in zip(*found))
+    order = np.lexsort((j, i))
+    return i[order], j[order], over[order]
+
+
+def assign_near(n: int, m: int, rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, single: float) -> list[tuple[int, int]]:
+    """A cheapest choice of pairs among those listed (in order of rows) where a row without a pair costs
+    ``single``: shortest augmenting paths with potentials along the pairs listed."""
+    own = (np.bincount(rows, minlength=n)[rows] == 1) & (np.bincount(cols, minlength=m)[cols] == 1)
+    pairs = list(zip(rows[own].tolist(), cols[own].tolist()))
+    rows, cols, cost = rows[~own], cols[~own], cost[~own]
+    names, start = np.unique(rows, return_index=True)
+    start = [*start.tolist(), len(rows)]
+    u, v = [0.0] * len(names), np.zeros(m)
+    row_of: dict[int, int] = {}
+    col_of: dict[int, int] = {}
+    for r in range(len(names)):
+        least: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: dict[int, float] = {}
+        heap: list[tuple[float, int]] = []
+        i, base, best, alone, to = r, 0.0, np.inf, r, None
+        while True:
+            if base + single - u[i] < best:
+                best, alone = base + single - u[i], i
+            s, e = start[i], start[i + 1]
+            d = base + cost[s:e] - u[i] - v[cols[s:e]]
+            for j, x in zip(cols[s:e].tolist(), d.tolist()):
+                if x < best and j not in done and x < least.get(j, np.inf):
+                    least[j], came[j] = x, i
+                    heappush(heap, (x, j))
+            while heap and (heap[0][1] in done or heap[0][0] > least[heap[0][1]]):
+                heappop(heap)
+            if not heap or heap[0][0] >= best:
+                break
+            base, to = heappop(heap)
+            if to not in row_of:
+                best = base
+                break
+            done[to] = base
+            i, to = row_of[to], None
+        u[r] += best
+        for j, x in done.items():
+            u[row_of[j]] += best - x
+            v[j] -= best - x
+        if to is None:  # the row that stays alone leaves its column to the one before it
+            if alone == r:
+                continue
+            to = col_of.pop(alone)
+        while True:
+            i = came[to]
+            row_of[to], before = i, col_of.get(i)
+            col_of[i] = to
+            if i == r:
+                break
+            to = before
+    return sorted(pairs + [(int(names[i]), j) for i, j in col_of.items()])
+
+
+def match_near(a: np.ndarray, b: np.ndarray, limit: float, weight: np.ndarray | None = None) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """``match`` of boxes by 1 - IoU, or 1 - IoU times the second box's ``weight``. Below a limit of 1
+    only boxes that overlap can be a pair, and no other is looked at."""
+    if limit >= 1:
+        over = iou_matrix(a, b)
+        return match(1 - (over if weight is None else over * weight[None, :]), limit)
+    rows, cols, over = overlapping(a, b)
+    cost = 1 - (over if weight is None else over * weight[cols])
+    near = cost <= limit
+    pairs = assign_near(len(a), len(b), rows[near], cols[near], cost[near], limit + 1e-4)
+    return pairs, *_left(pairs, len(a), len(b))
 
 
 @dataclass
@@ -121,8 +241,9 @@ class Track:
     lost: bool = False
     sighting: int = -1
 
-    def place(self) -> np.ndarray:
-        return BoxFilter.boxes(self.mean)
+
+def places(tracks: list[Track]) -> np.ndarray:
+    return BoxFilter.boxes(np.stack([t.mean for t in tracks])) if tracks else np.zeros((0, 4))
 
 
 @dataclass
@@ -147,9 +268,18 @@ class Tracker:
         """At a scene cut: tracks go, the counts of frames and tracks go on."""
         self.tracked, self.lost, self.gone = [], [], set()
 
-    def _see(self, t: Track, k: int, boxes: np.ndarray, scores: np.ndarray) -> None:
-        t.mean, t.cov = self.filter.update(t.mean, t.cov, BoxFilter.measure(boxes[k]))
-        t.score, t.last, t.active, t.lost, t.sighting = float(scores[k]), self.frame, True, False, k
+    def _see(self, tracks: list[Track], ks: np.ndarray, boxes: np.ndarray, scores: np.ndarray) -> None:
+        if not tracks:
+            return
+        mean, cov = self.filter.update(np.stack([t.mean for t in tracks]), np.stack([t.cov for t in tracks]), BoxFilter.measure(boxes[ks]))
+        for t, k, score, t.mean, t.cov in zip(tracks, ks.tolist(), scores[ks].tolist(), mean, cov):
+            t.score, t.last, t.active, t.lost, t.sighting = score, self.frame, True, False, k
+
+    def _match(self, tracks: list[Track], ks: np.ndarray, limit: float, boxes: np.ndarray, scores: np.ndarray, weigh: bool = True) -> tuple[list[Track], np.ndarray]:
+        """Tracks and boxes that find no partner; the others are seen."""
+        pairs, rest, left = match_near(places(tracks), boxes[ks], limit, scores[ks] if weigh else None)
+        self._see([tracks[r] for r, _ in pairs], ks[[c for _, c in pairs]], boxes, scores)
+        return [tracks[r] for r in rest], ks[left]
 
     def update(self, boxes: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
         """(row, track number, filtered box) for each row of a frame that belongs to a track."""
@@ -170,29 +300,18 @@ class Tracker:
             mean, cov = self.filter.predict(mean, np.stack([t.cov for t in pool]))
             for t, m, c in zip(pool, mean, cov):
                 t.mean, t.cov = m, c
-        place = lambda ts: np.stack([t.place() for t in ts]) if ts else np.zeros((0, 4))
-        pairs, rest, left = match(1 - iou_matrix(place(pool), boxes[high]) * scores[high][None, :], self.match_limit)
-        for r, c in pairs:
-            self._see(pool[r], int(high[c]), boxes, scores)
-        waiting = [pool[r] for r in rest if not pool[r].lost]
-        pairs, rest, _ = match(1 - iou_matrix(place(waiting), boxes[low]), 0.5)
-        for r, c in pairs:
-            self._see(waiting[r], int(low[c]), boxes, scores)
-        newly_lost = [waiting[r] for r in rest]
+        rest, high = self._match(pool, high, self.match_limit, boxes, scores)
+        newly_lost, _ = self._match([t for t in rest if not t.lost], low, 0.5, boxes, scores, weigh=False)
         for t in newly_lost:
             t.lost = True
-        high = high[left]
-        pairs, rest, left = match(1 - iou_matrix(place(unsure), boxes[high]) * scores[high][None, :], 0.7)
-        for r, c in pairs:
-            self._see(unsure[r], int(high[c]), boxes, scores)
-        removed = {unsure[r].number for r in rest}
+        rest, high = self._match(unsure, high, 0.7, boxes, scores)
+        removed = {t.number for t in rest}
+        high = high[scores[high] >= self.track_over + 0.1]
         fresh = []
-        for c in left:
-            k = int(high[c])
-            if scores[k] >= self.track_over + 0.1:
+        if len(high):
+            for k, score, mean, cov in zip(high.tolist(), scores[high].tolist(), *self.filter.start(BoxFilter.measure(boxes[high]))):
                 self.last_number += 1
-                mean, cov = self.filter.start(BoxFilter.measure(boxes[k]))
-                fresh.append(Track(self.last_number, boxes[k], float(scores[k]), mean, cov, self.frame, self.frame, self.frame == 1, False, k))
+                fresh.append(Track(self.last_number, boxes[k], score, mean, cov, self.frame, self.frame, self.frame == 1, False, k))
         expired = {t.number for t in self.lost if t.lost and self.frame - t.last > self.buffer}
         found = [t for t in self.lost if not t.lost]
         now = [t for t in self.tracked if not t.lost and t.number not in removed] + fresh + found
@@ -201,16 +320,18 @@ class Tracker:
         self.lost = [t for t in (*self.lost, *newly_lost) if t.number not in names and t.number not in self.gone]
         self.gone = expired | removed
         self.tracked, self.lost = self._without_doubles(now, self.lost)
-        return [(t.sighting, t.number, t.place()) for t in self.tracked if t.active and t.sighting >= 0]
+        seen = [t for t in self.tracked if t.active and t.sighting >= 0]
+        return [(t.sighting, t.number, place) for t, place in zip(seen, places(seen))]
 
     @staticmethod
     def _without_doubles(a: list[Track], b: list[Track]) -> tuple[list[Track], list[Track]]:
         """Of a tracked and a lost track in nearly the same place the younger goes."""
         if not a or not b:
             return a, b
-        near = np.argwhere(1 - iou_matrix(np.stack([t.place() for t in a]), np.stack([t.place() for t in b])) < 0.15)
+        rows, cols, over = overlapping(places(a), places(b))
+        near = 1 - over < 0.15
         drop_a, drop_b = set(), set()
-        for i, j in near.tolist():
+        for i, j in zip(rows[near].tolist(), cols[near].tolist()):
             if a[i].last - a[i].first > b[j].last - b[j].first:
                 drop_b.add(j)
             else:
@@ -303,28 +424,42 @@ def track_objects(df: DataFrame, stream: str = "stream_id", cuts: DataFrame | No
     else:
         df = df.withColumn("__cut", F.lit(False))
 
-    def run(pdf):
-        pdf = pdf.sort_values(["frame_id", "det_idx"], kind="stable").reset_index(drop=True)
-        tracker = Tracker(**settings)
-        numbers, places = np.full(len(pdf), -1), pdf[list(BOX)].to_numpy(dtype=float).copy()
-        frames = pdf["frame_id"].to_numpy()
-        edge = np.flatnonzero(np.diff(frames, prepend=frames[0] - 1 if len(frames) else 0))
-        for s, e in zip(edge, [*edge[1:], len(frames)]):
-            if s:
-                for _ in range(min(int(frames[s] - frames[s - 1]) - 1, tracker.buffer + 2)):
-                    tracker.update(np.zeros((0, 4)), np.zeros(0))
-            if pdf["__cut"].iloc[s] is True or pdf["__cut"].iloc[s] == True:  # noqa: E712
-                tracker.reset()
-            for k, n, place in tracker.update(places[s:e], pdf["__s"].to_numpy()[s:e]):
-                numbers[s + k] = n
-                places[s + k] = place
-        pdf["track_id"] = [None if n < 0 else int(n) for n in numbers]
-        pdf["track_id"] = pdf["track_id"].astype("Int64")
-        pdf[list(BOX)] = places
-        return pdf.drop(columns=["__s", "__cut"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop("__s", "__cut", "track_id").schema) + ", track_id long"
-    return df.drop("track_id").groupBy(stream).applyInPandas(lambda pdf: run(pdf), schema)
+    df = df.drop("track_id")
+    names = [c for c in df.columns if c not in ("__s", "__cut")]
+
+    def make():
+        import pyarrow as pa
+
+        tracker, last = Tracker(**settings), None
+
+        def walk(t: pa.Table, starts: list[int]) -> Iterator[pa.RecordBatch]:
+            nonlocal tracker, last
+            own, fresh = floats(t, *BOX), set(starts)
+            scores, frames, cut = floats(t, "__s")[:, 0], t.column("frame_id").to_pylist(), t.column("__cut").to_pylist()
+            numbers = np.full(len(frames), -1)
+            edge = [k for k in range(len(frames)) if not k or k in fresh or frames[k] != frames[k - 1]]
+            for s, e in zip(edge, [*edge[1:], len(frames)]):
+                if s in fresh:
+                    tracker, last = Tracker(**settings), None
+                if last is not None:
+                    for _ in range(min(int(frames[s] - last) - 1, tracker.buffer + 2)):
+                        tracker.update(np.zeros((0, 4)), np.zeros(0))
+                if cut[s]:
+                    tracker.reset()
+                last = frames[s]
+                for k, n, place in tracker.update(own[s:e].copy(), scores[s:e]):
+                    numbers[s + k] = n
+                    own[s + k] = place
+            for k, c in enumerate(BOX):
+                was = t.column(c)
+                made = pa.array(own[:, k], pa.float64(), mask=was.is_null().to_numpy()).cast(was.type, safe=False)
+                t = t.set_column(t.schema.get_field_index(c), c, made)
+            yield from t.select(names).append_column("track_id", pa.array(numbers, pa.int64(), mask=numbers < 0)).to_batches()
+
+        return walk
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*(F.col(f"`{c}`") for c in names)).schema) + ", track_id long"
+    return in_order(df, [stream], [F.col("frame_id"), F.col("det_idx").asc_nulls_last()], make, schema, whole=["frame_id"])
 
 
 def select_sticky(df: DataFrame, metric, stream: str = "stream_id", top_k: int = 1, timeout: int = 30) -> DataFrame:

@@ -186,3 +186,21 @@ def test_masks_and_points_as_similarity(spark):
     assert (state("keypoints", like - 1e-6, sigmas=(0.1, 0.1)), state("keypoints", like + 1e-6, sigmas=(0.1, 0.1))) == (1, 0)
     with pytest.raises(ValueError):
         evaluate.match_truth(pred, truth, kind="other")
+
+
+def test_curves_at_once_are_those_row_by_row(spark):
+    rng = np.random.default_rng(3)
+    def box():
+        x = rng.integers(0, 60, 2)
+        return [float(v) for v in (*x, *(x + rng.integers(20, 130, 2)))]
+
+    rows = [(int(rng.integers(0, 25)), int(rng.integers(0, 3)), k, float(rng.integers(0, 9)) / 10, *box()) for k in range(400)]
+    p = spark.createDataFrame(rows, "image_id long, category_id int, det_idx long, score double, x1 double, y1 double, x2 double, y2 double")
+    t = p.where("det_idx % 3 = 0 and category_id < 2").withColumnRenamed("det_idx", "truth_idx").drop("score")
+    n, limits = evaluate.positives_of(t, evaluate.AREAS), (1, 10, 100)
+    want = evaluate.average_precision(evaluate.precision_recall(evaluate.match_truth(p, t, areas=evaluate.AREAS), n), n, limits=limits)
+    packed = evaluate._matches(p, t, evaluate.IOU_THRESHOLDS, evaluate.AREAS, 100, "bbox", evaluate.SIGMAS, "hit long, miss long", lambda h, m, _: (h, m))
+    got, kept = evaluate._curves(packed, n, [*evaluate.AREAS], evaluate.IOU_THRESHOLDS, limits)
+    rows = [sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()) for df in (got, want)]
+    assert rows[0] == rows[1] and len(rows[0]) > 60
+    kept.unpersist()

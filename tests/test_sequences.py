@@ -158,3 +158,20 @@ def test_lowpass_settles(spark):
     df = spark.createDataFrame([(n, float(n % 2)) for n in range(200)], "n long, v double")
     last = signal.fir(df, "v", taps).orderBy(F.col("n").desc()).first().filtered
     assert abs(last - 0.5) < 0.01 and abs(sum(taps) - 1) < 1e-12
+
+
+def test_hysteresis_takes_no_history_as_an_array(spark):
+    from viewfold.operators import zones
+
+    m = spark.range(40).selectExpr("id % 2 AS track_id", "id div 2 AS frame_id", "0 AS zone_index", "'z' AS zone_id", "id % 7 < 4 AS hit")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, rows = spark.conf.get(size), []
+    try:
+        for n in ("3", "10000"):
+            spark.conf.set(size, n)
+            s = zones.hysteresis(m, 1)
+            assert "collect_list" not in s._jdf.queryExecution().toString()
+            rows.append(s.orderBy("track_id", "frame_id").collect())
+    finally:
+        spark.conf.set(size, was)
+    assert rows[0] == rows[1] and len(rows[0]) == 40 and any(r.left_at for r in rows[0])

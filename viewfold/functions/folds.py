@@ -56,11 +56,12 @@ def _edges(t: pa.Table, keys: Sequence[str]) -> list[int]:
     return (np.flatnonzero(new) + 1).tolist()
 
 
-def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], make: Callable, schema: str | StructType, whole: Sequence[str] = ()) -> DataFrame:
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], make: Callable, schema: str | StructType, whole: Sequence[str] = (), dealt: Sequence[str] = ()) -> DataFrame:
     """The rows of each of ``keys`` in ``order``, gone through by what ``make`` gives for a task: a
     function of some rows, a table, and of the places in it at which other keys begin, that yields
     record batches. Rows come sorted out of the shuffle, so those of a key are never together in
-    memory; those that agree in ``whole`` too are never apart."""
+    memory; those that agree in ``whole`` too are never apart. ``dealt``: keys by which the table is
+    dealt out already, some of ``keys``."""
     unit = [*keys, *whole]
 
     def parts(batches):
@@ -87,4 +88,4 @@ def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             last = ends[1]
             yield from walk(t, [*([0] if new else []), *_edges(t, keys)])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return (df if dealt else df.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -134,3 +134,24 @@ def test_many_objects_take_no_table_of_all_pairs():
         assert [(r, n) for r, n, _ in got] == [(r, r + 1) for r in range(len(k))]
     assert tracemalloc.get_traced_memory()[1] < 100e6  # a matrix of all pairs has 128 MB
     tracemalloc.stop()
+
+
+def test_selection_takes_no_stream_whole(spark):
+    rnd = random.Random(2)
+    rows = [(s, f, k, k, rnd.random()) for s in range(3) for f in range(12) for k in range(6) if rnd.random() < 0.6]
+    df = spark.createDataFrame(rows, "stream_id long, frame_id long, det_idx long, track_id long, score double")
+    want = []
+    for s in range(3):
+        chooser = StickySelector(2, 1)
+        for f in range(12):
+            here = sorted(r for r in rows if r[:2] == (s, f))
+            want += [here[k] for k in chooser.update([r[3] for r in here], np.array([r[4] for r in here]))]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(size)
+    spark.conf.set(size, "4")  # frames lie across batches
+    try:
+        got = tracking.select_sticky(df, F.col("score"), top_k=2, timeout=1)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    finally:
+        spark.conf.set(size, was)

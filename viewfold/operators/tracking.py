@@ -465,19 +465,27 @@ def track_objects(df: DataFrame, stream: str = "stream_id", cuts: DataFrame | No
 def select_sticky(df: DataFrame, metric, stream: str = "stream_id", top_k: int = 1, timeout: int = 30) -> DataFrame:
     """Rows of the tracks that the sticky selector keeps, per stream. ``metric``: a column."""
     require_columns(df, stream, "frame_id", "det_idx", "track_id")
+    names = df.columns
     df = df.withColumn("__m", metric)
-    schema = df.schema
-
-    def run(pdf):
-        pdf = pdf.sort_values(["frame_id", "det_idx"], kind="stable").reset_index(drop=True)
-        selector, keep, before = StickySelector(top_k, timeout), [], None
-        for frame, rows in pdf.groupby("frame_id", sort=True).indices.items():
-            if before is not None:
-                for _ in range(min(int(frame - before) - 1, timeout + 1)):
-                    selector.update([], np.zeros(0))
-            numbers = [None if v != v or v is None else int(v) for v in pdf["track_id"].to_numpy(dtype=object, na_value=None)[rows]]
-            keep += [rows[k] for k in selector.update(numbers, pdf["__m"].to_numpy()[rows])]
-            before = frame
-        return pdf.iloc[keep]
-
-    return df.groupBy(stream).applyInPandas(run, schema).drop("__m")
+
+    def make():
+        selector, last = StickySelector(top_k, timeout), None
+
+        def walk(t, starts):
+            nonlocal selector, last
+            fresh, frames, numbers, best = set(starts), t.column("frame_id").to_pylist(), t.column("track_id").to_pylist(), floats(t, "__m")[:, 0]
+            edge, keep = [k for k in range(len(frames)) if not k or k in fresh or frames[k] != frames[k - 1]], []
+            for s, e in zip(edge, [*edge[1:], len(frames)]):
+                if s in fresh:
+                    selector, last = StickySelector(top_k, timeout), None
+                if last is not None:
+                    for _ in range(min(int(frames[s] - last) - 1, timeout + 1)):
+                        selector.update([], np.zeros(0))
+                last = frames[s]
+                keep += [s + k for k in selector.update([None if n is None or n != n else int(n) for n in numbers[s:e]], best[s:e])]
+            yield from t.select(names).take(np.array(keep, dtype=np.int64)).to_batches()
+
+        return walk
+
+    schema = df.drop("__m").schema
+    return in_order(df, [stream], [F.col("frame_id"), F.col("det_idx").asc_nulls_last()], make, schema, whole=["frame_id"])

@@ -162,3 +162,13 @@ def test_clip_json_has_known_properties_only(spark):
     assert json.loads(row.j) == {"properties": {"start_frame": -2, "triggered_by": ["e"]}, "results": [{"n": 1}]}
     with pytest.raises(ValueError):
         clip_json({"other": F.lit(1)}, F.array())
+
+
+def test_a_table_of_part_files_is_one_object(spark, tmp_path):
+    (tmp_path / "a.parquet").write_bytes(b"12")
+    for name in ("b.parquet/part-0.parquet", "b.parquet/part-1.parquet", "other/c.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"123")
+    (tmp_path / "b.parquet/_SUCCESS").write_bytes(b"")
+    assert sorted((r.name, r.size) for r in sinks.list_objects(spark, str(tmp_path), "*.parquet").collect()) == [("a.parquet", 2), ("b.parquet", 6)]
+    assert sinks.list_objects(spark, str(tmp_path), "*.csv").count() == 0

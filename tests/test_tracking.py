@@ -155,3 +155,22 @@ def test_selection_takes_no_stream_whole(spark):
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     finally:
         spark.conf.set(size, was)
+
+
+def test_doubles_are_found_in_cells(spark):
+    rng = np.random.default_rng(5)
+    at, size = rng.integers(0, 90, (160, 2)), rng.integers(4, 80, (160, 2))
+    rows = [(k, 0, int(rng.integers(0, 9)), *map(float, (*at[k], *(at[k] + size[k])))) for k in range(160)]
+    rows += [(k + 200, 0, int(rng.integers(0, 9)), *(v + float(rng.integers(0, 3)) for v in rows[k][3:])) for k in range(160)]
+    df = spark.createDataFrame(rows, "track_id long, first long, last long, x1 double, y1 double, x2 double, y2 double")
+    a, b = rows[::2], rows[1::2]
+    over = tracking.iou_matrix(np.array([r[3:] for r in a]), np.array([r[3:] for r in b]))
+    older = np.array([r[2] for r in a])[:, None] > np.array([r[2] for r in b])[None, :]
+    tables = [spark.createDataFrame(x, df.schema) for x in (a, b)]
+    for distance in (0.15, 0.4, 0.9):
+        near = 1 - over < distance
+        want = [sorted(r[0] for r, g in zip(x, gone) if not g) for x, gone in ((a, (near & ~older).any(axis=1)), (b, (near & older).any(axis=0)))]
+        got = tracking.drop_double_tracks(*tables, distance=distance)
+        assert any("__cx" in x._jdf.queryExecution().toString() for x in got)
+        wrong = [{r.track_id for r in x.collect()} ^ {k for k in w} for x, w in zip(got, want)]
+        assert wrong == [set(), set()]

@@ -7,6 +7,7 @@ the partitioning is by stream.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heappop, heappush
@@ -399,14 +400,51 @@ def subtract_tracks(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("track_
 def drop_double_tracks(tracked: DataFrame, lost: DataFrame, keys: tuple[str, ...] = (), distance: float = 0.15) -> tuple[DataFrame, DataFrame]:
     """Of a tracked and a lost track nearly in the same place (1 - IoU below ``distance``) the younger
     goes, the tracked one if both have the same age. Rows: (keys, track_id, first, last, box)."""
-    a, b = tracked.alias("a"), lost.alias("b")
-    on = (1 - iou(box("a."), box("b."))) < distance
-    for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    near = a.join(b, on).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.track_id").alias("ta"), F.col("b.track_id").alias("tb"), (F.col("a.last") - F.col("a.first") > F.col("b.last") - F.col("b.first")).alias("older"))
-    gone = lambda cond, c: near.where(cond).select(*keys, F.col(c).alias("track_id"))
-    names = (*keys, "track_id")
-    return subtract_tracks(tracked, gone("not older", "ta"), names), subtract_tracks(lost, gone("older", "tb"), names)
+    near = 1 - distance
+    age = F.col("last") - F.col("first")
+    # copies of a box differ in nothing but age, and only the greatest age of the other side counts
+    a, b = (df.groupBy(*keys, *BOX).agg(F.max(age).alias("age")) for df in (tracked, lost))
+    if 0 < near < 1:
+        a, b = _in_cells(a, b, near)
+        cell = [*keys, "__lx", "__ly", "__cx", "__cy"]
+    else:
+        cell = [*keys]
+    same = F.lit(True)
+    for c in cell:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    pairs = a.alias("a").join(b.alias("b"), same & ((1 - iou(box("a."), box("b."))) < distance))
+
+    def left(df, own, other, falls):
+        most = pairs.groupBy(*(F.col(f"{own}.{c}").alias(c) for c in (*keys, *BOX))).agg(F.max(f"{other}.age").alias("__most"))
+        gone = df.withColumn("__age", age).join(most, [*keys, *BOX]).where(falls).select(*keys, "track_id")
+        return subtract_tracks(df, gone, (*keys, "track_id"))
+
+    return left(tracked, "a", "b", "__age <= __most"), left(lost, "b", "a", "__age < __most")
+
+
+def _in_cells(a: DataFrame, b: DataFrame, near: float) -> tuple[DataFrame, DataFrame]:
+    """``b`` with the cell of each box's centre, ``a`` with a row for each cell that may hold a box
+    whose IoU with it is over ``near``. Widths and heights of such boxes differ by less than
+    the factor 1 / near, and their centres by less than 1 - near of the larger; so sizes are in
+    classes of that factor, cells are by class, and three classes at most are looked at."""
+    sides = {"x": ("x1", "x2"), "y": ("y1", "y2")}
+    base = math.log(1 / near)
+
+    def placed(df):
+        for n, (lo, hi) in sides.items():
+            df = df.withColumns({f"__s{n}": F.col(hi) - F.col(lo), f"__m{n}": (F.col(lo) + F.col(hi)) / 2})
+        df = df.where("__sx > 0 and __sy > 0")
+        return df.withColumns({f"__l{n}": F.floor(F.log(F.col(f"__s{n}")) / base) for n in sides})
+
+    step = lambda n: F.exp(F.col(f"__l{n}") * base) * (1 - near)
+    a, b = placed(a), placed(b)
+    levels = b.groupBy("__lx", "__ly").agg(*(F.max(f"__s{n}").alias(f"__t{n}") for n in sides))
+    a = a.withColumnsRenamed({f"__l{n}": f"__k{n}" for n in sides}).join(F.broadcast(levels), F.expr("abs(__lx - __kx) <= 1 and abs(__ly - __ky) <= 1"))
+    for n in sides:
+        # a little more, for what rounding does to places
+        reach = F.greatest(F.col(f"__s{n}"), F.col(f"__t{n}")) * (1 - near) * 1.000001
+        a = a.withColumn(f"__c{n}", F.explode(F.sequence(*(F.floor((F.col(f"__m{n}") + r) / step(n)) for r in (-reach, reach)))))
+    return a, b.withColumns({f"__c{n}": F.floor(F.col(f"__m{n}") / step(n)) for n in sides})
 
 
 def track_objects(df: DataFrame, stream: str = "stream_id", cuts: DataFrame | None = None, classes: list[str] | None = None, **settings) -> DataFrame:
